@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from corpuslens.llm import exact_dedup, packing, token_files
 
-def queries() -> dict:
-    from corpuslens.llm.exact_dedup import op6_exact_dedup
 
-    return {"op6_exact_dedup": op6_exact_dedup}
+def queries() -> dict:
+    """Queries over the given tables, one for each operator."""
+    return {
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_token_files": token_files.op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpuslens.llm.exact_dedup import OP6_SQL
-
-    return {"op6_exact_dedup": OP6_SQL}
+    """DuckDB twins of those that SQL can express."""
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL}

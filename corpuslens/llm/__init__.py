@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, packing, token_files
+from corpuslens.llm import exact_dedup, packing, simhash, token_files
 
 
 def queries() -> dict:
     """Queries over the given tables, one for each operator."""
     return {
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_simhash": simhash.op7_simhash,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_token_files": token_files.op10_token_files,
     }

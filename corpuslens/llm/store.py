@@ -34,7 +34,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs at most the stages since the last settled table."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -45,7 +47,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def settled_path(df: DataFrame) -> str:
     """Folder of a table returned by :func:`settle`."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+    return df.settled_at
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, packing, simhash, token_files
+from corpuslens.llm import exact_dedup, packing, secrets, simhash, token_files, toxicity
 
 
 def queries() -> dict:
     """Queries over the given tables, one for each operator."""
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op3_secret_ledger": secrets.op3_secret_ledger,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,
         "op8_best_fit_packing": packing.op8_best_fit_packing,

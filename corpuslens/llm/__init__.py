@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, packing, secrets, simhash, token_files, toxicity
+from corpuslens.llm import exact_dedup, neighbours, packing, secrets, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,13 +10,15 @@ def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_secret_ledger": secrets.op3_secret_ledger,
+        "op5_block_neighbours": neighbours.op5_block_neighbours,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_warc": warc.op9_warc,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of those that SQL can express."""
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op5_block_neighbours": neighbours.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_warc": warc.OP9_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, neighbours, packing, secrets, simhash, token_files, toxicity, warc
+from corpuslens.llm import exact_dedup, neighbours, packing, secrets, simhash, suffix_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_secret_ledger": secrets.op3_secret_ledger,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_block_neighbours": neighbours.op5_block_neighbours,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,

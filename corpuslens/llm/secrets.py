@@ -102,6 +102,38 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RU
     return findings, new
 
 
+def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """``docs`` with every found span replaced by its kind in brackets; n_chars, if there, follows.
+
+    ``findings`` are rows of :func:`scan_versions` (version_id: doc_id).  Overlapping
+    spans are replaced as one, named after the first."""
+    own = findings.select(F.col("version_id").alias("v"), F.col("blob").alias("b"), "kinds", "starts", "ends").dropDuplicates(["v", "b"])
+    address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col("v")) & (address == F.col("b")), "left")
+
+    def replace(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            out = columns["text"].to_pylist()
+            hit = [i for i, k in enumerate(columns["kinds"].to_pylist()) if k]
+            for i in hit:
+                text, at, parts = out[i], 0, []
+                for kind, a, b in zip(*(columns[c][i].as_py() for c in ("kinds", "starts", "ends")), strict=True):
+                    if a >= at:
+                        parts += [text[at:a], f"[{kind}]"]
+                    at = max(at, b)
+                out[i] = "".join([*parts, text[at:]])
+            columns["text"] = pa.array(out, columns["text"].type)
+            if "n_chars" in columns and hit:
+                sizes = columns["n_chars"].to_pylist()
+                for i in hit:
+                    sizes[i] = len(out[i])
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+
+    return joined.select(*docs.columns, "kinds", "starts", "ends").mapInArrow(replace, docs.schema)
+
+
 def digest_columns(findings: DataFrame) -> DataFrame:
     """Counts by kind and the joined spans of findings."""
     spans = F.array_join(

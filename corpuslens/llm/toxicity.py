@@ -240,6 +240,19 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean_rows(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below 0.5."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        grammar = Grammar(lexicon)
+        for batch in batches:
+            e = np.array([grammar.evidence(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(KINDS))
+            yield batch.filter(pa.array(weights[0] + e @ weights[1:] < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every row of ``documents``."""
     docs = table(spark, sf_dir, "documents")

@@ -109,6 +109,7 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
     spans are replaced as one, named after the first."""
     own = findings.select(F.col("version_id").alias("v"), F.col("blob").alias("b"), "kinds", "starts", "ends").dropDuplicates(["v", "b"])
     address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    names = docs.columns
     joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col("v")) & (address == F.col("b")), "left")
 
     def replace(batches):
@@ -129,9 +130,9 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
                 for i in hit:
                     sizes[i] = len(out[i])
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return joined.select(*docs.columns, "kinds", "starts", "ends").mapInArrow(replace, docs.schema)
+    return joined.select(*names, "kinds", "starts", "ends").mapInArrow(replace, docs.schema)
 
 
 def digest_columns(findings: DataFrame) -> DataFrame:

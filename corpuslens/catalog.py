@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "direction_audit"
+from corpuslens.plans import corpus_queries, token_queries
+from corpuslens.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "e3_direction_audit"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "corpus_queries", "token_queries"]

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,14 +327,14 @@ def own_anchors(docs: pa.Table, wanted: pa.Table, length: int, gram: int):
 
 
 def suffix_runs(receivers: int, length: int, gram: int):
-    """A bucket's sorted runs by receiver, and one row (receiver -1) that says who stands behind each string.
+    """A bucket's sorted runs by receiver, and one row (behind) that says who stands behind each string.
 
     Of equal strings in the bucket only the smallest document's is sent; the others are
     settled (string number -1)."""
 
     def run(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         parts = list(own_anchors(docs, wanted, length, gram))
-        schema = pa.schema([("receiver", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary())])
+        schema = pa.schema([("receiver", pa.int32()), ("behind", pa.bool_()), ("bucket", pa.int32()), ("first", pa.int64()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary())])
         if not parts or not sum(len(p[0]) for p in parts):
             return pa.Table.from_pylist([], schema)
         strings, row, pos, h = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -351,7 +352,7 @@ def suffix_runs(receivers: int, length: int, gram: int):
         settled = doc > leader[number]
         out = [
             {
-                "receiver": -1, "bucket": key[0].as_py(), "first": 0,
+                "receiver": key[0].as_py() % receivers, "behind": True, "bucket": key[0].as_py(), "first": 0,
                 "shared": squeeze(np.where(settled, -1, number).astype(np.int32)),
                 "rest": squeeze(pos.astype(np.uint32)),
                 "docs": squeeze(np.stack([doc, marks[row]])),
@@ -361,7 +362,7 @@ def suffix_runs(receivers: int, length: int, gram: int):
         cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             shared, rest = front_coded(strings[a:b])
-            out.append({"receiver": int(to[a]), "bucket": key[0].as_py(), "first": a, "shared": squeeze(shared), "rest": squeeze(rest), "docs": squeeze(leader[a:b])})
+            out.append({"receiver": int(to[a]), "behind": False, "bucket": key[0].as_py(), "first": a, "shared": squeeze(shared), "rest": squeeze(rest), "docs": squeeze(leader[a:b])})
         return pa.Table.from_pylist(out, schema)
 
     return run
@@ -384,11 +385,19 @@ def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_runs(length: int, gram: int):
-    """Merge a receiver's runs: per bucket, strings found in a smaller document, and single windows that are."""
+    """Merge a receiver's runs: per bucket, strings found in a smaller document, and single windows that are.
+
+    Rows that say who stands behind the strings pass through."""
     left, right = length - gram, length
     width = left + right + 2
+    schema = pa.schema([("bucket", pa.int32()), ("behind", pa.bool_()), ("number", pa.binary()), ("back", pa.binary()), ("docs", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
+        through = rows.filter(rows["behind"])
+        passed = pa.table([through["bucket"], through["behind"], through["shared"], through["rest"], through["docs"]], schema=schema)
+        rows = rows.filter(pc.invert(rows["behind"]))
+        if not rows.num_rows:
+            return passed
         shared = [expand(x.as_py(), np.uint8) for x in rows["shared"]]
         runs = [decode_run(s, expand(x.as_py()), width) for s, x in zip(shared, rows["rest"], strict=True)]
         merged, common = loser_merge(runs, [s.tolist() for s in shared])
@@ -430,13 +439,14 @@ def merge_runs(length: int, gram: int):
         b, e, a = b[order], e[order], a[order]
         cuts = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
         pairs = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(b) else []
-        return pa.table(
-            {
-                "bucket": pa.array([int(b[i]) for i, _ in pairs], pa.int32()),
-                "number": pa.array([squeeze(e[i:j].astype(np.int32)) for i, j in pairs], pa.binary()),
-                "back": pa.array([squeeze(a[i:j].astype(np.int8)) for i, j in pairs], pa.binary()),
-            }
-        )
+        columns = [
+            pa.array([int(b[i]) for i, _ in pairs], pa.int32()),
+            pa.array([False] * len(pairs), pa.bool_()),
+            pa.array([squeeze(e[i:j].astype(np.int32)) for i, j in pairs], pa.binary()),
+            pa.array([squeeze(a[i:j].astype(np.int8)) for i, j in pairs], pa.binary()),
+            pa.array([b""] * len(pairs), pa.binary()),
+        ]
+        return pa.concat_tables([passed, pa.table(columns, schema=schema)])
 
     return run
 
@@ -509,18 +519,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     grams = known.mapInArrow(gram_rows(parts), "r int, docs binary, sizes binary, grams binary")
     wanted = grams.groupBy("r").applyInArrow(shared_grams(buckets), "bucket int, docs binary, grams binary")
     packed = packed_texts(known, buckets)
-    runs = settle(
-        packed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(
-            suffix_runs(parts, length, gram), "receiver int, bucket int, first long, shared binary, rest binary, docs binary"
-        ),
-        "suffix-runs",
+    runs = packed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(
+        suffix_runs(parts, length, gram), "receiver int, behind boolean, bucket int, first long, shared binary, rest binary, docs binary"
     )
-    hits = settle(
-        runs.filter("receiver >= 0").groupBy("receiver").applyInArrow(merge_runs(length, gram), "bucket int, number binary, back binary"),
-        "suffix-hits",
+    found = settle(
+        runs.groupBy("receiver").applyInArrow(merge_runs(length, gram), "bucket int, behind boolean, number binary, back binary, docs binary"), "suffix-hits"
     )
-    behind = runs.filter("receiver < 0").select("bucket", F.lit(True).alias("behind"), F.col("shared").alias("number"), F.col("rest").alias("back"), "docs")
-    found = behind.unionByName(hits.select("bucket", F.lit(False).alias("behind"), "number", "back", F.lit(b"").alias("docs")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut_out(length, gram, with_text), schema)
     body = F.encode("text", "UTF-8")

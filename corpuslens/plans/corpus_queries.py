@@ -28,7 +28,7 @@ def a1(spark, d):
     return S.read_texts(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("a2_labelled_pool", "SELECT doc_id, length(text) AS n, CAST(label AS INTEGER) AS label FROM pool_t")
+@query("a2_labelled_pool", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(label AS INTEGER) AS label FROM pool_t")
 def a2(spark, d):
     p = pool(spark, d)
     return S.labelled_pool(p.filter("label = 1"), p.filter("label = 0")).select("doc_id", F.length("text").alias("n"), "label")
@@ -80,7 +80,7 @@ def b1(spark, d):
     return C.clean_texts(table(spark, d, "documents").select("doc_id", "text"), 20, 500).select("doc_id", F.md5("text").alias("h"))
 
 
-@query("b2_filter_texts", f"SELECT doc_id, length(text) AS n FROM documents WHERE length({STRIP}) >= 200")
+@query("b2_filter_texts", f"SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE length({STRIP}) >= 200")
 def b2(spark, d):
     return C.filter_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("n"))
 
@@ -214,7 +214,7 @@ def b15(spark, d):
     return C.token_budget(tokens(spark, d), 1000, 100, 5)
 
 
-@query("c1_length_features", f"SELECT doc_id, length(text) AS char_count, len({WORDS}) AS word_count, len({TERMS}) AS term_count FROM documents")
+@query("c1_length_features", f"SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len({WORDS}) AS INTEGER) AS word_count, CAST(len({TERMS}) AS INTEGER) AS term_count FROM documents")
 def c1(spark, d):
     return X.length_features(table(spark, d, "documents"))
 

@@ -120,7 +120,7 @@ def d4(spark, d):
 
 @query(
     "d5_position_stats",
-    """SELECT doc_id, pos, round(avg(logp), 6) AS mu, round(stddev_samp(logp), 6) AS sigma, round(sum(exp(logp) * logp), 6) AS mu_w,
+    """SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(avg(logp), 6) AS mu, round(stddev_samp(logp), 6) AS sigma, round(sum(exp(logp) * logp), 6) AS mu_w,
     round(sqrt(greatest(sum(exp(logp) * logp * logp) - sum(exp(logp) * logp) * sum(exp(logp) * logp), 0) + 1e-12), 6) AS sigma_w FROM vocab_t GROUP BY doc_id, pos""",
 )
 def d5(spark, d):

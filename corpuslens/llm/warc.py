@@ -5,11 +5,13 @@
 * ``df.write.format("warc").mode("append").save(uri)`` writes rows (page_id, url,
   record_type, refers_to, payload_digest, payload_length, payload) as records.
   Tasks write files under unique names; the commit lists those that count in a
-  manifest, so a task that runs again leaves nothing behind that is read.
+  manifest, so a task that runs again leaves nothing behind that is read.  Each
+  record is a gzip member of its own with the standard's skip lengths (``sl``).
 * ``spark.read.format("warc").load(uri)`` plans byte ranges of the files, which the
   writer marks at record boundaries, parses each record's headers first, and reads
   a payload only if the record passes all pushed predicates and the option
-  ``payload`` is not ``false``; otherwise it seeks past the block.
+  ``payload`` is not ``false``; otherwise it seeks past the record, without inflating
+  more than its head.  Plain ``.warc`` files are read too.
 
 Paths are URIs that pyarrow's file systems open (file, hdfs, s3, gs, ...).
 """
@@ -17,7 +19,9 @@ Paths are URIs that pyarrow's file systems open (file, hdfs, s3, gs, ...).
 from __future__ import annotations
 
 import json
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -93,6 +97,66 @@ def record(page_id, url, kind, refers_to, digest, length, payload: bytes | None)
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: A gzip header with one extra field, and the skip-lengths field in it.
+GZIP_HEAD, SKIP_FIELD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", struct.Struct("<H2sHII")
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member that says how long it is, and how long its contents are."""
+    body = zlib.compressobj(1, zlib.DEFLATED, -15)
+    packed = body.compress(data) + body.flush()
+    size = len(GZIP_HEAD) + SKIP_FIELD.size + len(packed) + 8
+    return GZIP_HEAD + SKIP_FIELD.pack(12, b"sl", 8, size, len(data)) + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+class Record:
+    """A record at a place in a file: its headers at once, its block on request."""
+
+    def __init__(self, f, at: int, name: str):
+        f.seek(at)
+        first = f.read(2048)
+        self.f, self.at, self.rest, self.stop = f, at, None, None
+        if first[:2] == b"\x1f\x8b":
+            self.inflate = zlib.decompressobj(31)
+            if first.startswith(GZIP_HEAD[:4]) and first[12:14] == b"sl":
+                self.stop = at + SKIP_FIELD.unpack_from(first, 10)[3]
+                first = first[: self.stop - at]
+            self.seen = self.inflate.decompress(first, 4096)
+            grow = lambda: self.inflate.decompress(self.inflate.unconsumed_tail or f.read(8192), 8192)
+        else:
+            self.inflate, self.seen = None, first
+            grow = lambda: f.read(8192)
+        while (end := self.seen.find(b"\r\n\r\n")) < 0:
+            more = grow()
+            if not more:
+                raise ValueError(f"{name}: no header end after {at}")
+            self.seen += more
+        if not self.seen.startswith(b"WARC/1."):
+            raise ValueError(f"{name}: no record at {at}")
+        self.headers = dict(line.split(": ", 1) for line in self.seen[:end].decode().split("\r\n")[1:] if ": " in line)
+        self.begin, self.length = end + 4, int(self.headers["Content-Length"])
+        if self.inflate is None:
+            self.stop = at + self.begin + self.length + 4
+
+    def block(self) -> bytes:
+        """The record's block; inflates what is left of a gzip member."""
+        need = self.begin + self.length
+        while len(self.seen) < need:
+            if self.inflate is None:
+                self.seen += self.f.read(need - len(self.seen))
+            else:
+                self.seen += self.inflate.decompress(self.inflate.unconsumed_tail or self.f.read(1 << 16), need + 4 - len(self.seen))
+        return self.seen[self.begin : need]
+
+    def end(self) -> int:
+        """Where the next record begins; a member without skip lengths is read to its end."""
+        while self.stop is None:
+            self.inflate.decompress(self.inflate.unconsumed_tail or self.f.read(1 << 16), 1 << 20)
+            if self.inflate.eof:
+                self.stop = self.f.tell() - len(self.inflate.unused_data)
+        return self.stop
+
+
 @dataclass
 class Files(WriterCommitMessage):
     names: list
@@ -113,12 +177,12 @@ class WarcWriter(DataSourceArrowWriter):
                     out.close()
                     out = None
                 if out is None:
-                    names.append(f"{uuid.uuid4().hex}.warc")
+                    names.append(f"{uuid.uuid4().hex}.warc.gz")
                     splits.append([0])
-                    out, size = store.open_output_stream(f"{root}/{names[-1]}"), 0
+                    out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 if size - splits[-1][-1] >= SPLIT_BYTES:
                     splits[-1].append(size)
-                data = record(*row)
+                data = member(record(*row))
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -174,7 +238,7 @@ class WarcReader(DataSourceReader):
         for path in manifests:
             with store.open_input_stream(path) as f:
                 marks |= json.loads(f.read())
-        names = {f.path: marks.get(f.base_name) for f in found if f.base_name.endswith(".warc") and (not manifests or f.base_name in marks)}
+        names = {f.path: marks.get(f.base_name) for f in found if f.base_name.endswith((".warc", ".warc.gz")) and (not manifests or f.base_name in marks)}
         sizes = {f.path: f.size for f in found}
         out = []
         for path, cuts in sorted(names.items()):
@@ -203,18 +267,8 @@ class WarcReader(DataSourceReader):
         with store.open_input_file(partition.path) as f:
             at = partition.start
             while at < partition.stop:
-                f.seek(at)
-                head = f.read(min(2048, partition.stop - at))
-                while (end := head.find(b"\r\n\r\n")) < 0:
-                    more = f.read(8192)
-                    if not more:
-                        raise ValueError(f"{partition.path}: no header end after {at}")
-                    head += more
-                if not head.startswith(b"WARC/1."):
-                    raise ValueError(f"{partition.path}: no record at {at}")
-                headers = dict(line.split(": ", 1) for line in head[:end].decode().split("\r\n")[1:] if ": " in line)
-                block = at + end + 4
-                length = int(headers["Content-Length"])
+                found = Record(f, at, partition.path)
+                headers = found.headers
                 ident = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:N>
                 row = {
                     "page_id": ident(headers.get("WARC-Record-ID")),
@@ -227,17 +281,16 @@ class WarcReader(DataSourceReader):
                     "payload": None,
                 }
                 if self.wanted(row):
-                    if self.with_payload and length:
-                        f.seek(block)
-                        body = f.read(length)
+                    if self.with_payload and found.length:
+                        body = found.block()
                         row["payload"] = body[body.index(b"\r\n\r\n") + 4 :]
-                        held += length
+                        held += found.length
                     rows.append(row)
                     held += 500
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, ARROW)
                         rows, held = [], 0
-                at = block + length + 4
+                at = found.end()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 

@@ -480,7 +480,7 @@ def cut_out(length: int, gram: int, with_text: bool):
             order = np.lexsort((start, mark[who], doc[who]))
             who, start, stop = who[order], start[order], stop[order]
             change = np.flatnonzero(np.append(True, (np.diff(doc[who]) != 0) | (np.diff(mark[who]) != 0))) if len(who) else np.zeros(0, np.int64)
-            for x, y in zip(change, np.append(change[1:], len(who)), strict=True):
+            for x, y in zip(change, np.append(change[1:], len(who))[: len(change)], strict=True):
                 spans[int(doc[who[x]]), int(mark[who[x]])] = [start[x:y], stop[x:y]]
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for i in range(docs.num_rows):

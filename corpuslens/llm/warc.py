@@ -151,9 +151,10 @@ class Record:
     def end(self) -> int:
         """Where the next record begins; a member without skip lengths is read to its end."""
         while self.stop is None:
-            self.inflate.decompress(self.inflate.unconsumed_tail or self.f.read(1 << 16), 1 << 20)
             if self.inflate.eof:
                 self.stop = self.f.tell() - len(self.inflate.unused_data)
+            else:
+                self.inflate.decompress(self.inflate.unconsumed_tail or self.f.read(1 << 16), 1 << 20)
         return self.stop
 
 

@@ -161,7 +161,7 @@ def split_exact(df: DataFrame, label: str, frac: float, seed: int, key: str = "d
     """Add in_a for the first round(frac * n) places of each class."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     ranked = exact_rank(df, [label], seed, key).join(F.broadcast(sizes), label)  # one row per class
-    return ranked.withColumn("in_a", F.col("place") < F.round(F.col("n_class") * frac)).drop("place", "n_class")
+    return ranked.withColumn("in_a", F.col("place") < F.bround(F.col("n_class") * frac)).drop("place", "n_class")
 
 
 def crop_tokens(df: DataFrame, length: int, random_crop: bool, seed: int, ids: str = "ids", key: str = "doc_id", pad: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corpuslens.functions.draws import terms_of, words_of
 
@@ -18,7 +19,7 @@ def length_features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def zlib_len(text: pd.Series) -> pd.Series:
     """Bytes of the zlib-compressed text; null counts as empty."""
     return text.map(lambda t: len(zlib.compress((t or "").encode()))).astype("int32")
@@ -29,9 +30,12 @@ def grams(terms: Column, n: int) -> Column:
 
 
     def runs(k: int) -> Column:
-        at = F.sequence(F.lit(1), F.size(terms) - (k - 1))
-        made = F.transform(at, lambda i: F.array_join(F.slice(terms, i, F.lit(k)), " "))
-        return F.when(F.size(terms) >= k, made).otherwise(F.array().cast("array<string>"))
+        # neighbours side by side, so that the terms are not looked up again for each run
+        m = F.size(terms) - (k - 1)
+        made = F.slice(terms, F.lit(1), m)
+        for j in range(1, k):
+            made = F.zip_with(made, F.slice(terms, F.lit(j + 1), m), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.when(m > 0, made).otherwise(F.array().cast("array<string>"))
 
     return F.concat(terms, *[runs(k) for k in range(2, n + 1)])
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 EPS = 1e-8
 
@@ -95,7 +96,7 @@ def greedy_tokens(vocab_lp: DataFrame) -> DataFrame:
     return vocab_lp.groupBy("doc_id", "pos").agg(F.min_by("token", F.struct((-F.col("logp")).alias("l"), "token")).alias("token"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays, row by row of the table."""
 

@@ -153,7 +153,7 @@ def b10(spark, d):
 
 @query(
     "b11_splits",
-    f"""SELECT doc_id, label, CAST((rn - 1) % 5 AS INTEGER) AS fold, rn - 1 < round(n * 0.7) AS in_a FROM (
+    f"""SELECT doc_id, label, CAST((rn - 1) % 5 AS INTEGER) AS fold, rn - 1 < round_even(n * 0.7, 0) AS in_a FROM (
     SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {u('4', 'doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM pool_t)""",
 )
 def b11(spark, d):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, neighbours, packing, secrets, simhash, suffix_dedup, token_files, toxicity, warc
+from corpuslens.llm import exact_dedup, neighbours, packing, pieces, secrets, simhash, suffix_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict:
     """Queries over the given tables, one for each operator."""
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_sampled_pieces": pieces.op2_sampled_pieces,
         "op3_secret_ledger": secrets.op3_secret_ledger,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_block_neighbours": neighbours.op5_block_neighbours,

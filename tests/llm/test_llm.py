@@ -307,3 +307,48 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert {r[0] for r in packed.select("doc_id").collect()} == ids
     assert shared_dir(spark)
+
+
+def test_sampled_pieces(docs, none):
+    from corpuslens.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    got = pieces.decoded(pieces.sampled_segmentations(docs, model, 3, with_ids=True), model).collect()
+    lat = pieces.Lattice(model)
+    plain = {}
+    for i, t in TEXTS:
+        plain.setdefault(key(i), set()).add(lat.model.decode(lat.model.encode(t or "")))
+    by = {}
+    for r in got:
+        assert r["decoded"] in plain[key(r["doc_id"])] and r["n_pieces"] == len(r["ids"]) and 0 <= r["inclusion"] <= 1
+        by.setdefault((key(r["doc_id"]), r["decoded"]), []).append(r)
+    for rows in by.values():
+        assert len({tuple(r["ids"]) for r in rows}) == len({r["sample"] for r in rows})
+    assert [(r["n_pieces"], r["inclusion"]) for r in got if r["doc_id"] == 4] == [(0, 1.0)]
+    again = pieces.sampled_segmentations(docs.repartition(5), model, 3).collect()
+    assert sorted((key(r["doc_id"]), r["sample"], r["ids_crc32"]) for r in again) == sorted((key(r["doc_id"]), r["sample"], r["ids_crc32"]) for r in got)
+    assert pieces.sampled_segmentations(none, model).count() == 0
+
+
+def test_samples_follow_the_distribution():
+    from itertools import product
+
+    from corpuslens.llm import pieces
+
+    lat = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    slots = np.array(lat.model.encode("there information"), np.int64)
+    p = {x: float(np.exp(sum(lat.logp[list(x)]))) for x in product(*[range(lat.start[i], lat.start[i + 1]) for i in slots])}
+    n = 4000
+    first, pairs = {}, {}
+    for k in range(n):
+        (a, *_), (b, *_) = lat.sample(slots, 2, np.random.default_rng(k))
+        first[tuple(a)] = first.get(tuple(a), 0) + 1
+        pairs[tuple(a), tuple(b)] = pairs.get((tuple(a), tuple(b)), 0) + 1
+    top = sorted(p, key=p.get, reverse=True)[:3]
+    for a in top:
+        assert abs(first.get(a, 0) / n - p[a]) < 0.03
+        for b in top:
+            if a != b:
+                assert abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03
+    every = lat.sample(slots, 10_000, np.random.default_rng(0))
+    assert {tuple(x[0]) for x in every} == set(p) and all(x[3] == 1.0 for x in every)

@@ -19,7 +19,7 @@ def r6(c) -> Column:
 
 def stripped(c) -> Column:
     """Text without ASCII white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c if isinstance(c, Column) else F.col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def words_of(c) -> Column:

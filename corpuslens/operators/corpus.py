@@ -139,12 +139,12 @@ def split_frac(df: DataFrame, frac: float, seed: int, key: str = "doc_id") -> Da
     return df.withColumn("in_a", u01(F.lit(seed), F.col(key)) < frac)
 
 
-def exact_rank(df: DataFrame, by: list[str], seed: int, key: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """Add ``place``: the row's number (from 0) in its group's seeded order.
+def exact_rank(df: DataFrame, by: list[str], seed: int, key: str = "doc_id", buckets: int = 64, also: tuple = ()) -> DataFrame:
+    """Add ``place``: the row's number (from 0) in its group's seeded order; ``also``: columns that enter the draw.
 
     Draws are uniform, so equal slices of [0, 1) are equal parts of every group, however
     large; a row's place is its place in the slice plus the sizes of the slices before."""
-    drawn = df.withColumn("draw", u01(F.lit(seed), F.col(key))).withColumn("slice", F.floor(F.col("draw") * buckets).cast("int"))
+    drawn = df.withColumn("draw", u01(F.lit(seed), *[F.col(c) for c in also], F.col(key))).withColumn("slice", F.floor(F.col("draw") * buckets).cast("int"))
     sizes = drawn.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n_slice"))
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "slice", F.coalesce(F.sum("n_slice").over(before), F.lit(0)).alias("offset"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import u01
 from corpuslens.operators import metrics as M
+from corpuslens.operators.corpus import exact_rank
 
 #: Longest score vector that is broadcast to the kernel's tasks.
 MAX_BROADCAST_SCORES = 2_000_000
@@ -87,8 +88,8 @@ def permuted_labels(rows: DataFrame, permutations: int, seed: int, key: str = "d
     """rows for each permutation m with ``permuted``: the P smallest draws are 1, so class sizes stay."""
     p = rows.agg(F.sum("label").alias("p"))
     grid = rows.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    place = F.row_number().over(Window.partitionBy("m").orderBy(u01(F.lit(seed), F.col("m"), F.col(key)), key))
-    return grid.withColumn("place", place).crossJoin(F.broadcast(p)).withColumn("permuted", (F.col("place") <= F.col("p")).cast("int")).drop("place", "p")
+    ranked = exact_rank(grid, ["m"], seed, key, also=("m",))
+    return ranked.crossJoin(F.broadcast(p)).withColumn("permuted", (F.col("place") < F.col("p")).cast("int")).drop("place", "p")
 
 
 def sign_test(rows: DataFrame, margin: str) -> DataFrame:

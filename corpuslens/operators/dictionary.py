@@ -119,22 +119,22 @@ def decomposition_audit(parts: DataFrame, d: DataFrame) -> DataFrame:
     )
 
 
-def recon_quality(parts: DataFrame, d_sae: int) -> DataFrame:
+def recon_quality(parts: DataFrame, size: int) -> DataFrame:
     """Squared error (summed over dimensions), row cosine, active features, sparsity, error ratio; means over rows."""
     err = norm(F.col("resid"))
     return parts.agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.avg(cosine(F.col("h"), F.col("recon"))).alias("cosine"), F.avg("l0").alias("l0"),
-        F.avg(1 - F.col("l0") / d_sae).alias("sparsity"), F.avg(err / (norm(F.col("h")) + 1e-12)).alias("error_ratio"),
+        F.avg(1 - F.col("l0") / size).alias("sparsity"), F.avg(err / (norm(F.col("h")) + 1e-12)).alias("error_ratio"),
     )
 
 
-def eval_summary(parts: DataFrame, codes: DataFrame, d_sae: int) -> DataFrame:
+def eval_summary(parts: DataFrame, codes: DataFrame, size: int) -> DataFrame:
     """Unexplained variance, mean squared error over all entries, mean L1 of codes, share of features that never fire."""
     mean = parts.agg(mean_vector("h").alias("m"))
     err, dev = norm(F.col("resid")), norm(minus(F.col("h"), F.col("m")))
     a = parts.crossJoin(F.broadcast(mean)).agg((F.sum(err * err) / F.sum(dev * dev)).alias("fvu"), (F.sum(err * err) / F.sum(F.size("h"))).alias("mse"), F.count(F.lit(1)).alias("n"))
     c = codes.agg(F.sum("z").alias("l1"), F.count_distinct("feature_id").alias("alive"))
-    return a.crossJoin(c).select("n", "fvu", "mse", (F.col("l1") / F.col("n")).alias("l1_mean"), F.col("l1").alias("l1_sum"), (1 - F.col("alive") / d_sae).alias("dead_fraction"))
+    return a.crossJoin(c).select("n", "fvu", "mse", (F.col("l1") / F.col("n")).alias("l1_mean"), F.col("l1").alias("l1_sum"), (1 - F.col("alive") / size).alias("dead_fraction"))
 
 
 def feature_alignment(dictionary: DataFrame, d: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import r6, u01
 from corpuslens.functions.vectors import scaled
+from corpuslens.operators import controls as K
 from corpuslens.operators import corpus as C
 from corpuslens.operators import dictionary as D
 from corpuslens.operators import metrics as M
@@ -82,8 +83,8 @@ def h4(spark, d):
     codes = D.encode(a, w)
     n = a.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     top = [r[0] for r in D.ranked(D.feature_label_corr(codes, n), "r").filter("place <= 16").select("feature_id").collect()]  # 16 ids
-    before = _card(P.code_probe(codes, len(w.ids), k=2)).withColumn("dropped", F.lit(0))
-    return before.unionByName(_card(P.code_probe(codes, len(w.ids), top, k=2)).withColumn("dropped", F.lit(len(top))))
+    before = _card(P.code_probe(codes, len(w.ids), k=2, docs=a)).withColumn("dropped", F.lit(0))
+    return before.unionByName(_card(P.code_probe(codes, len(w.ids), top, k=2, docs=a)).withColumn("dropped", F.lit(len(top))))
 
 
 @query("h5_probe_components")
@@ -163,6 +164,21 @@ def i8(spark, d):
     return M.auroc(out, ["control"]).select("control", r6("auroc").alias("auroc"))
 
 
+@query("i8_residual_controls")
+def i8_residual(spark, d):
+    """AUROC of frozen probes after the residual's leading directions are erased, and under four controls."""
+    a, w = _dict(spark, d)
+    out = K.ablation_controls(K.control_scores(a, w, P.probe_bank(a, [0, 1]), rank=10))
+    return out.select("control", "n_seeds", *[r6(c).alias(c) for c in ("mean", "std", "pct05", "pct50", "pct95")])
+
+
+@query("i2_rank_by_probe")
+def i2_probe(spark, d):
+    """Features by their weight in a probe on scaled codes."""
+    a, w = _dict(spark, d)
+    return D.ranked(P.rank_by_probe(D.encode(a, w), a, len(w.ids)), "score").select("feature_id", r6("score").alias("score"), "place")
+
+
 def beta_p(rho: float, n: int) -> float:
     """Two-sided p-value of a correlation by Student's t, with the incomplete beta's continued fraction."""
     if n < 3 or not abs(rho) < 1:

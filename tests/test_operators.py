@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import words_of
 from corpuslens.operators import cohort as K
+from corpuslens.operators import controls
 from corpuslens.operators import corpus as C
 from corpuslens.operators import dictionary as D
 from corpuslens.operators import metrics as M
+from corpuslens.operators import probes as P
 from corpuslens.operators import resample as R
 from corpuslens.operators import textfeat as X
 from corpuslens.operators import tokenscores as T
@@ -170,3 +172,69 @@ def test_top_contexts_ties(spark):
     codes = spark.createDataFrame(rows, "feature_id int, doc_id long, pos int, z double")
     got = [(r["doc_id"], r["pos"]) for r in D.top_contexts(codes, 3).orderBy("rank").collect()]
     assert got == [(9, 0), (0, 0), (1, 0)]
+
+
+def _small_model(spark):
+    g = np.random.Generator(np.random.Philox(5))
+    x = g.standard_normal((60, 6)) * [3, 2, 1, 1, 1, 1]
+    labels = (x[:, 0] + g.standard_normal(60) > 0).astype(int)
+    w = g.standard_normal((10, 6))
+    acts = spark.createDataFrame([(i, int(y), v.tolist()) for i, (y, v) in enumerate(zip(labels, x, strict=True))], "doc_id long, label int, h array<double>")
+    table = spark.createDataFrame([(i, v.tolist(), -0.5) for i, v in enumerate(w)], "feature_id int, w array<double>, b_enc double")
+    bank = [(0, g.standard_normal(6), 0.25), (7, g.standard_normal(6), -1.0)]
+    return x, labels, acts, D.Dictionary(table, np.full(6, 0.1)), bank
+
+
+def test_residual_controls_by_brute_force(spark):
+    x, labels, acts, own, bank = _small_model(spark)
+    rank = 2
+    rows = controls.control_scores(acts.repartition(5), own, bank, rank, n_random=3, n_noise=2, n_mask=2, seed=9)
+    got = {}
+    for r in rows.collect():
+        got.setdefault((r["control"], r["seed"], r["probe"]), []).append((r["label"], r["value"]))
+    z = own.encode(x)
+
+    def erased(decoded, u=None):
+        e = x - decoded
+        if u is None:
+            u = np.linalg.svd(e - e.mean(0))[2][:rank].T
+        return x - e @ u @ u.T
+
+    full = own.decode(z)
+    expected = {("primary", 0): erased(full), ("identity", 0): x}
+    for s, q in enumerate(controls.random_bases(6, rank, 3, 9)):
+        assert np.allclose(q.T @ q, np.eye(rank))
+        expected["random", s] = erased(full, q)
+    for s, pick in enumerate(controls.masks(10, 2, seed=9)):
+        cut = z.copy()
+        cut[:, pick] = 0
+        expected["mask", s] = erased(own.decode(cut))
+    for (control, s), h in expected.items():
+        for p, w, b in bank:
+            want = sorted(zip(labels.tolist(), (h @ w + b).tolist(), strict=True))
+            assert np.allclose(sorted(got[control, s, p]), want, atol=1e-6), control
+    assert len(got) == 2 * (1 + 1 + 3 + 2 + 2)
+    card = {r["control"]: r for r in controls.ablation_controls(rows).collect()}
+    assert card["noise"]["n_seeds"] == 2 and card["identity"]["std"] == 0
+    assert card["random"]["pct05"] <= card["random"]["pct50"] <= card["random"]["pct95"]
+
+
+def test_noise_has_unit_length_and_its_own_seed():
+    along = controls.noise_along([3, 4], np.eye(6), 5, 1)
+    assert np.allclose(np.linalg.norm(along, axis=2), 1)
+    assert np.allclose(along[1], controls.noise_along([4], np.eye(6), 5, 1)[0])
+    assert not np.allclose(along[0], along[1])
+
+
+def test_controls_of_no_vectors(spark):
+    _, _, acts, own, bank = _small_model(spark)
+    assert controls.control_scores(acts.limit(0), own, bank, 2, 1, 1, 1).count() == 0
+
+
+def test_rank_by_probe_finds_the_label(spark):
+    rows = [(i, i % 2, f, z) for i in range(40) for f, z in ((0, 1.0 + i % 7), (3, 2.0)) if f == 0 or i % 2]
+    codes = spark.createDataFrame(rows, "doc_id long, label int, feature_id int, z double")
+    docs = spark.range(41).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS label")
+    score = {r["feature_id"]: r["score"] for r in P.rank_by_probe(codes, docs, 4).collect()}
+    assert max(score, key=score.get) == 3 and score[1] == score[2] == 0
+    assert P.code_vectors(codes, 4, docs=docs).count() == 41

@@ -14,9 +14,12 @@ from corpuslens.llm.store import settle, table
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id is a key like others."""
+    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id is a key like others.
+
+    All rows of a doc_id stay if one of them does, so repeated rows and rows without an
+    id are never lost.  Other columns may have any names."""
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,6 @@ from corpuslens.llm.store import table
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 1024, 8192, 1024
 
 
-
-
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whole numbers in -127..127, their scale, and the norm of the rounding error, per row."""
     scale = np.abs(x).max(1) / 127
@@ -56,7 +54,7 @@ def block_neighbours(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndar
         bound = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(qid), np.inf)
         for i, heap in enumerate(heaps):
             limit = min(bound[i], -heap[0][0]) if len(heap) == k else bound[i]
-            near = np.flatnonzero((low[i] <= limit) & ~own[i])
+            near = np.flatnonzero(~(low[i] > limit) & ~own[i])  # bounds that overflow decide nothing
             for d, v in zip(exact_distances(q[i], c[part][near]).tolist(), cid[part][near].tolist(), strict=True):
                 if len(heap) < k:
                     heapq.heappush(heap, (-d, -v))

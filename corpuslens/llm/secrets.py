@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.store import settle, table
+from corpuslens.llm.store import settle, table, unused
 
 #: Kind, pattern, the group whose length counts, least length.
 RULES = (
@@ -106,20 +106,24 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; n_chars, if there, follows.
 
     ``findings`` are rows of :func:`scan_versions` (version_id: doc_id).  Overlapping
-    spans are replaced as one, named after the first."""
-    own = findings.select(F.col("version_id").alias("v"), F.col("blob").alias("b"), "kinds", "starts", "ends").dropDuplicates(["v", "b"])
+    spans are replaced as one, named after the first.  Other columns, whatever their
+    names, pass through; null and empty texts stay as they are."""
+    found = unused(docs, "found")
+    own = findings.dropDuplicates(["version_id", "blob"]).select(F.struct("version_id", "blob", "kinds", "starts", "ends").alias(found))
     address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     names = docs.columns
-    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col("v")) & (address == F.col("b")), "left")
+    joined = docs.join(own, docs["doc_id"].eqNullSafe(own[found]["version_id"]) & (address == own[found]["blob"]), "left")
+    spans = [F.col(found)[c].alias(unused(docs, c)) for c in ("kinds", "starts", "ends")]
+    kinds, starts, ends = (unused(docs, c) for c in ("kinds", "starts", "ends"))
 
     def replace(batches):
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             out = columns["text"].to_pylist()
-            hit = [i for i, k in enumerate(columns["kinds"].to_pylist()) if k]
+            hit = [i for i, k in enumerate(columns[kinds].to_pylist()) if k]
             for i in hit:
                 text, at, parts = out[i], 0, []
-                for kind, a, b in zip(*(columns[c][i].as_py() for c in ("kinds", "starts", "ends")), strict=True):
+                for kind, a, b in zip(*(columns[c][i].as_py() for c in (kinds, starts, ends)), strict=True):
                     if a >= at:
                         parts += [text[at:a], f"[{kind}]"]
                     at = max(at, b)
@@ -132,7 +136,7 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return joined.select(*names, "kinds", "starts", "ends").mapInArrow(replace, docs.schema)
+    return joined.select(*names, *spans).mapInArrow(replace, docs.schema)
 
 
 def digest_columns(findings: DataFrame) -> DataFrame:

@@ -352,3 +352,35 @@ def test_samples_follow_the_distribution():
                 assert abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03
     every = lat.sample(slots, 10_000, np.random.default_rng(0))
     assert {tuple(x[0]) for x in every} == set(p) and all(x[3] == 1.0 for x in every)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    labels = [(i, int(i == 13)) for i in range(1, 14)] + [(None, 1), (3, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("n_chars", "kept_id", "version_id", "starts", "ends", "found", "v", "b", "component_id", "text_sha256", "score", "e", "lang")])
+    present = {i for i, _ in TEXTS}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} <= present, name
+        if name == "secret_scan":
+            assert len(rows) == len(TEXTS) and {r["found"] for r in rows} == {1}
+            assert [r["kinds"] for r in rows] == ["x"] * len(TEXTS)
+            assert sum("[hex]" in (r["text"] or "") for r in rows) == 1 and sum(r["text"] is None for r in rows) == 1
+        if name == "exact_dedup":
+            assert {1, 7, 3} <= {r["doc_id"] for r in rows} and not {2, 8, 4} & {r["doc_id"] for r in rows}
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    assert {r["doc_id"] for r in pack(spark, odd, folder).select("doc_id").collect()} == present
+    assert pack(spark, odd.limit(0), folder).count() == 0
+
+
+def test_neighbours_of_huge_vectors(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1.0, 1.0]), (3, [-1e200, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df.filter("vec_id = 0"), df, 2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2] and got[0]["score"] == 1.0 and got[1]["score"] == float("inf")

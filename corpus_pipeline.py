@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import exact_dedup, packing, secrets, simhash, toxicity
+from corpuslens.llm import exact_dedup, nearcopies, packing, secrets, toxicity
 from corpuslens.llm.store import settle, table
 
 
@@ -36,8 +36,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the smallest doc_id."""
-    classes = simhash.near_duplicates(docs)
+    """One document of each component of near copies (five-word shingles, Jaccard similarity
+    of at least 0.8): the smallest doc_id."""
+    classes = nearcopies.near_copies(docs)
     return _keep(docs, classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 

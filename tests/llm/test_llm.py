@@ -384,3 +384,31 @@ def test_neighbours_of_huge_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = neighbours.nearest(df.filter("vec_id = 0"), df, 2).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2] and got[0]["score"] == 1.0 and got[1]["score"] == float("inf")
+
+
+def test_pipeline_drops_every_near_copy(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(1)
+    texts = []
+    for base in range(12):
+        words = [f"w{base}x{k}" for k in rng.integers(0, 10**6, 200)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 4, 8):  # 1 to 8 places: similarity 0.95 to 0.66
+            copy = list(words)
+            for at in range(changes):
+                copy[10 + at * 22] = f"new{base}y{changes}z{at}"
+            texts.append(" ".join(copy))
+    grams = []
+    for t in texts:
+        w = t.split()
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()}
+    assert kept == set(root) and len(kept) < len(texts)

@@ -57,14 +57,14 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizers library gives them without special tokens."""
+    """Ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.alphabet = _byte_alphabet()
@@ -195,6 +195,8 @@ class Encoder:
         quote = pc.match_substring(texts, "'").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(quote):
             odd[i] |= bool(CONTRACTION.search(texts[int(i)].as_py().lower()))
+        for content in self.added:
+            odd |= pc.match_substring(texts, content, ignore_case=self.lower).to_numpy(zero_copy_only=False)
         if self.lower:
             odd |= pc.match_substring(texts, "İ").to_numpy(zero_copy_only=False)
         return odd

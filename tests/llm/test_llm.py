@@ -412,3 +412,17 @@ def test_pipeline_drops_every_near_copy(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()}
     assert kept == set(root) and len(kept) < len(texts)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_as_a_fresh_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    contents = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert contents
+    texts = ["plain words", *[f"end {c} of" for c in contents], *[f"a{c}{c.upper()}b {c}" for c in contents], "<|end oftext|>", "after"]
+    ids, n = tokens.Encoder(path).encode(pa.array(texts))
+    at = np.append(0, np.cumsum(n))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == fresh.encode(text, add_special_tokens=False).ids, text

@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
-The lattice of a text has a slot for each piece of its plain encoding; a slot holds the
-piece itself and every split of it into two pieces of the vocabulary, so each path decodes
-to the same text.  A piece is kept with probability ``1 - split``; its splits share the
-rest in proportion to exp(alpha * sum of their scores / vocabulary size).
+The lattice of a text has the places between its characters as nodes and every piece of the
+vocabulary that spells the characters between two nodes as an edge.  No piece holds a blank
+after another character, so the lattice is cut into words (a run of blanks and what follows);
+bytes and unknown pieces of the plain encoding stand alone.  Each path decodes to the same
+text.  A path's weight is the product over its pieces of split * exp(alpha * score /
+vocabulary size); backward sums of the weights give the probability of each edge at its node.
 
 Segmentations are drawn without replacement by the Gumbel top-k trick.  Every path has its
 log-probability plus a Gumbel number; a perturbed A* search finds the k largest without
@@ -16,6 +18,8 @@ first path left out.
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -26,11 +30,17 @@ from pyspark.sql import functions as F
 from corpuslens.llm.store import table
 
 SAMPLES, SPLIT, ALPHA, SEED = 3, 0.1, 4.0, 20
+#: Edges of word lattices kept by a worker; when more, the cache starts anew.
+CACHE_EDGES = 4_000_000
+#: Texts cut into words at once.
+TEXTS = 128
+BLANK, ALONE = "\u2581", 0xF0000
+WORD = re.compile("[\U000F0000-\U000FFFFF]|\u2581+[^\u2581\U000F0000-\U000FFFFF]*|[^\u2581\U000F0000-\U000FFFFF]+")
 SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
 
 
 class Lattice:
-    """Slots of every piece of a model, laid out for array look-ups."""
+    """The plain encoding's pieces and their splits in two only; kept for comparison, no query uses it."""
 
     def __init__(self, path: str, split: float = SPLIT, alpha: float = ALPHA):
         import sentencepiece
@@ -112,12 +122,166 @@ class Lattice:
         return [(p, lp, g, float(-np.expm1(-np.exp(min(lp - best, 700.0)))) if best > -np.inf else 1.0) for p, lp, g in found]
 
 
+class WordLattice:
+    """Lattices of all words met so far, laid out for array look-ups; bounded in size.
+
+    ``start[v]`` to ``start[v + 1]`` are the edges out of node v; ``piece``, ``to`` (-1: the
+    word's end) and ``logp`` are the piece, the next node and the log-probability of an edge."""
+
+    def __init__(self, path: str, split: float = SPLIT, alpha: float = ALPHA, cache_edges: int = CACHE_EDGES):
+        import sentencepiece
+
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = m.get_piece_size()
+        names = [m.id_to_piece(i) for i in range(n)]
+        plain = [not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)) for i in range(n)]
+        self.ids = {name: i for i, name in enumerate(names) if plain[i]}
+        if any(BLANK in name.lstrip(BLANK) for name in self.ids):
+            raise ValueError("pieces reach over words")
+        # scores of pieces for blanks alone may be far below the others
+        self.weight = [float(np.log(split) + alpha * max(m.get_score(i) / n, -1.0)) for i in range(n)]
+        self.longest = max(map(len, self.ids))
+        # pieces that stand alone are single characters of a private plane
+        self.surface = [name if plain[i] else chr(ALONE + i) for i, name in enumerate(names)]
+        self.cache_edges = cache_edges
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.start, self.piece, self.to = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.logp, self.rest, self.cum = np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def _edges(self, word: str) -> list[list[tuple[int, int, float]]]:
+        """(piece, end, log-probability) of the edges out of each place of a word that are on a path."""
+        if ord(word[0]) >= ALONE:
+            return [[(ord(word[0]) - ALONE, 1, 0.0)]]
+        size, ids, weight = len(word), self.ids, self.weight
+        mass = [-math.inf] * size + [0.0]
+        out: list = [[] for _ in word]
+        for v in range(size - 1, -1, -1):
+            found = []
+            for end in range(v + 1, min(size, v + self.longest) + 1):
+                if mass[end] > -math.inf:
+                    i = ids.get(word[v:end])
+                    if i is not None:
+                        found.append((i, end, weight[i] + mass[end]))
+            if found:
+                high = max(f[2] for f in found)
+                mass[v] = total = high + math.log(math.fsum(math.exp(f[2] - high) for f in found))
+                out[v] = sorted(((i, end, w - total) for i, end, w in found), key=lambda f: -f[2])
+        return out
+
+    def add(self, words) -> None:
+        """File the lattices of new words."""
+        start, piece, to, logp, node, edge = [], [], [], [], len(self.start) - 1, len(self.piece)
+        for word in words:
+            if word in self.words:
+                continue
+            self.words[word] = node
+            size = len(word)
+            for edges in self._edges(word):
+                for i, end, lp in edges:
+                    piece.append(i)
+                    to.append(-1 if end == size else node + end)
+                    logp.append(lp)
+                start.append(edge + len(piece))
+            node += size
+        if not start:
+            return
+        old = len(self.start) - 1
+        lp, ends = np.array(logp), np.array(start, np.int64)
+        sizes = np.diff(np.append(edge, ends))
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        p = np.exp(lp)
+        run = np.cumsum(p)
+        before = np.append(0.0, run)[np.append(edge, ends)[:-1] - edge]
+        cum = old + own + np.minimum(run - before[own], 1.0)
+        cum[(ends - edge - 1)[sizes > 0]] = old + np.flatnonzero(sizes) + 1.0
+        single = sizes[own] == 1
+        rest = np.where(single, -np.inf, np.log1p(-np.minimum(p, 1 - 1e-16)))
+        self.start = np.append(self.start, ends)
+        self.piece, self.to = np.append(self.piece, np.array(piece, np.int64)), np.append(self.to, np.array(to, np.int64))
+        self.logp, self.rest, self.cum = np.append(self.logp, np.where(single, 0.0, lp)), np.append(self.rest, rest), np.append(self.cum, cum)
+
+    def split_up(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text's plain encoding."""
+        surface = self.surface
+        return [WORD.findall("".join([surface[i] for i in ids])) for ids in self.model.encode(texts, num_threads=1)]
+
+    def roots(self, words: list[str]) -> np.ndarray:
+        """First node of each word; words not met yet are filed."""
+        if any(w not in self.words for w in words):
+            self.add(words)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def walk(self, nodes: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random paths from nodes to their words' ends: (node, edge, place in ``nodes``) of all steps in order."""
+        place = np.arange(len(nodes))
+        steps = []
+        while len(nodes):
+            at = np.searchsorted(self.cum, nodes + rng.random(len(nodes)), "right")
+            at = np.clip(at, self.start[nodes], self.start[nodes + 1] - 1)
+            steps.append((nodes, at, place))
+            after = self.to[at]
+            go = after >= 0
+            nodes, place = after[go], place[go]
+        if not steps:
+            empty = np.zeros(0, np.int64)
+            return empty, empty, empty
+        node, edge, place = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(place, kind="stable")
+        return node[order], edge[order], place[order]
+
+    def sample(self, roots: np.ndarray, k: int, rng) -> list[tuple[np.ndarray, float, float, float]]:
+        """Up to k distinct paths in falling order: (edges, log-probability, number, inclusion score)."""
+
+        def truncated(loc, top):
+            return -np.logaddexp(-top, -(loc + rng.gumbel(size=np.shape(loc))))
+
+        found: list = []
+        frontier: list = []  # [nodes, edges, words, sums before each step, numbers of steps, taken edges by step]
+
+        def follow(node, edge, word, at: int, top: float) -> None:
+            logp = self.logp[edge]
+            before = np.cumsum(logp) - logp
+            numbers = np.full(len(edge), -np.inf)
+            numbers[at:] = truncated(before[at:] + self.rest[edge[at:]], top)
+            frontier.append([node, edge, word, before, numbers, {}])
+            found.append([edge, float(logp.sum()), top])
+
+        follow(*self.walk(roots, rng), 0, float(rng.gumbel()))
+        while True:
+            best, where = -np.inf, None
+            for f in frontier:
+                if len(f[4]):
+                    j = int(f[4].argmax())
+                    if f[4][j] > best:
+                        best, where = float(f[4][j]), (f, j)
+            if len(found) == k or where is None:
+                break
+            (node, edge, word, before, numbers, taken), j = where
+            out = taken.setdefault(j, {int(edge[j])})
+            left = [a for a in range(int(self.start[node[j]]), int(self.start[node[j] + 1])) if a not in out]
+            p = np.exp(self.logp[left])
+            pick = min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right")), len(left) - 1)
+            chosen = left.pop(pick)
+            out.add(chosen)
+            remaining = float(np.exp(self.logp[left]).sum())
+            numbers[j] = float(truncated(before[j] + np.log(remaining), best)) if remaining > 0 else -np.inf
+            inner, later = int(self.to[chosen]), roots[word[j] + 1 :]
+            more = self.walk(np.append(inner, later) if inner >= 0 else later, rng)
+            shift = word[j] + (0 if inner >= 0 else 1)
+            head = (node[: j + 1], np.append(edge[:j], chosen), word[: j + 1])
+            follow(*(np.append(x, y) for x, y in zip(head, (more[0], more[1], more[2] + shift), strict=True)), j + 1, best)
+        return [(e, lp, g, float(-np.expm1(-np.exp(min(lp - best, 700.0)))) if best > -np.inf else 1.0) for e, lp, g in found]
+
+
 _LATTICES: dict = {}
 
 
-def lattice(path: str) -> Lattice:
+def lattice(path: str) -> WordLattice:
     if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
+        _LATTICES[path] = WordLattice(path)
     return _LATTICES[path]
 
 
@@ -133,13 +297,20 @@ def sampled_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, s
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, text, ids in zip(batch.column(0).to_pylist(), texts, lat.model.encode(texts, num_threads=1), strict=True):
-                rng = np.random.Generator(np.random.SFC64([seed, zlib.crc32(str(doc).encode()), zlib.crc32(text.encode())]))
-                for no, (path, lp, g, inc) in enumerate(lat.sample(np.array(ids, np.int64), samples, rng), 1):
-                    pieces = lat.ids_of(path).astype(np.uint32)
-                    row = (doc, no, len(pieces), zlib.crc32(pieces.tobytes()), lp, g, inc, pieces.astype(np.int32) if with_ids else None)
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
+            keys = batch.column(0).to_pylist()
+            for at in range(0, len(texts), TEXTS):
+                if len(lat.piece) > lat.cache_edges:
+                    lat.clear()
+                part = texts[at : at + TEXTS]
+                split = lat.split_up(part)
+                lat.add({w: None for words in split for w in words})
+                for doc, text, words in zip(keys[at : at + TEXTS], part, split, strict=True):
+                    rng = np.random.Generator(np.random.SFC64([seed, zlib.crc32(str(doc).encode()), zlib.crc32(text.encode())]))
+                    for no, (path, lp, g, inc) in enumerate(lat.sample(lat.roots(words), samples, rng), 1):
+                        pieces = lat.piece[path].astype(np.uint32)
+                        row = (doc, no, len(pieces), zlib.crc32(pieces.tobytes()), lp, g, inc, pieces.astype(np.int32) if with_ids else None)
+                        for column, v in zip(out, row, strict=True):
+                            column.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
             names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "ids"]
             n = 8 if with_ids else 7

@@ -426,3 +426,36 @@ def test_added_tokens_as_a_fresh_tokenizer(path):
     at = np.append(0, np.cumsum(n))
     for k, text in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
+def test_samples_of_short_texts_are_all_segmentations():
+    from corpuslens.llm import pieces
+
+    lat = pieces.WordLattice(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def ways(word):
+        return [()] if not word else [(lat.ids[word[:c]], *w) for c in range(1, len(word) + 1) if word[:c] in lat.ids for w in ways(word[c:])]
+
+    for text in ("abc", "of it", "nat\n"):
+        words = lat.split_up([text])[0]
+        every = [()]
+        for w in words:
+            every = [x + y for x in every for y in ([(ord(w) - pieces.ALONE,)] if ord(w[0]) >= pieces.ALONE else ways(w))]
+        got = lat.sample(lat.roots(words), 100_000, np.random.default_rng(0))
+        assert sorted(tuple(lat.piece[e].tolist()) for e, *_ in got) == sorted(every) and all(x[3] == 1.0 for x in got), text
+        weights = {x: float(np.exp(sum(lat.weight[i] for i in x))) for x in every}
+        total = sum(weights.values())
+        for e, lp, *_ in got:
+            assert abs(np.exp(lp) - weights[tuple(lat.piece[e].tolist())] / total) < 1e-9
+    words = lat.split_up(["of it"])[0]
+    roots, n, first, pairs = lat.roots(words), 4000, {}, {}
+    p = {tuple(lat.piece[e].tolist()): np.exp(lp) for e, lp, *_ in lat.sample(roots, 10_000, np.random.default_rng(0))}
+    for k in range(n):
+        a, b = (tuple(lat.piece[x[0]].tolist()) for x in lat.sample(roots, 2, np.random.default_rng(k)))
+        first[a] = first.get(a, 0) + 1
+        pairs[a, b] = pairs.get((a, b), 0) + 1
+    top = sorted(p, key=p.get, reverse=True)[:4]
+    for a in top:
+        assert abs(first.get(a, 0) / n - p[a]) < 0.03
+        for b in top:
+            assert a == b or abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03

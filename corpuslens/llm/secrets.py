@@ -26,7 +26,14 @@ RULES = (
 )
 #: The same matches, found faster: a run that is too short is passed over at once.
 FASTER = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
+
+
+def rule_version(rules) -> str:
+    """Name of a rule set by its content."""
+    return hashlib.sha256(repr(tuple(map(tuple, rules))).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = rule_version(RULES)
 
 LEDGER = "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>"
 KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)")
@@ -39,19 +46,21 @@ def scan(text: str, rules=RULES) -> list[tuple[int, int, str]]:
     short are dropped after matching."""
     found = []
     for k, (kind, pattern, group, least) in enumerate(rules):
-        if kind == "access" and "AKIA" not in text:
+        own = (kind, pattern, group, least) in RULES  # fast forms hold for the built-in rules only
+        if own and kind == "access" and "AKIA" not in text:
             continue
-        if kind == "assign" and ("=" not in text and ":" not in text or not KEYWORD.search(text)):
+        if own and kind == "assign" and ("=" not in text and ":" not in text or not KEYWORD.search(text)):
             continue
-        for m in re.finditer(FASTER.get(kind, pattern), text):
+        for m in re.finditer(FASTER.get(kind, pattern) if own else pattern, text):
             if len(m.group(group)) >= least:
                 found.append((m.start(), k, m.end()))
     return sorted(found)
 
 
-def scan_blobs(blobs: DataFrame, rules=RULES, version: str = RULE_VERSION) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules=RULES, version: str | None = None) -> DataFrame:
     """Ledger rows for blobs (columns blob, text)."""
     names = [r[0] for r in rules]
+    version = version or rule_version(rules)
 
     def run(batches):
         for batch in batches:
@@ -70,13 +79,14 @@ def scan_blobs(blobs: DataFrame, rules=RULES, version: str = RULE_VERSION) -> Da
     return blobs.select("blob", "text").mapInArrow(run, LEDGER)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan a table of versions (columns version_id, text) against a ledger.
 
     ``version_id`` names one version of one path.  Returns the findings (version_id,
     blob, kinds, starts, ends; one row per row of ``versions``) and the new rows of
     the ledger, settled.  Null texts count as empty.
     """
+    version = version or rule_version(rules)
     address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")
     addressed = settle(versions.select("version_id", address), "blob-addresses")
     blobs = addressed.groupBy("blob").agg(F.min("version_id").alias("version_id"))

@@ -459,3 +459,11 @@ def test_samples_of_short_texts_are_all_segmentations():
         assert abs(first.get(a, 0) / n - p[a]) < 0.03
         for b in top:
             assert a == b or abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03
+
+
+def test_changed_rules_scan_old_blobs_again(spark):
+    rows = spark.createDataFrame([(1, "x 0123456789abcdef z AKIA1")], "version_id long, text string")
+    _, old = secrets.scan_versions(rows)
+    rules = (secrets.RULES[0], ("access", r"AKIA[0-9]", 0, 5), ("hex", r"[0-9a-f]+", 0, 16))
+    found, _ = secrets.scan_versions(rows, old, rules)
+    assert [r["kinds"] for r in found.collect()] == [["hex", "access"]]

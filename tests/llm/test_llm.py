@@ -314,13 +314,13 @@ def test_sampled_pieces(docs, none):
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     got = pieces.decoded(pieces.sampled_segmentations(docs, model, 3, with_ids=True), model).collect()
-    lat = pieces.Lattice(model)
+    lat = pieces.lattice(model)
     plain = {}
     for i, t in TEXTS:
         plain.setdefault(key(i), set()).add(lat.model.decode(lat.model.encode(t or "")))
     by = {}
     for r in got:
-        assert r["decoded"] in plain[key(r["doc_id"])] and r["n_pieces"] == len(r["ids"]) and 0 <= r["inclusion"] <= 1
+        assert r["decoded"] in plain[key(r["doc_id"])] and r["decoded_crc32"] == zlib.crc32(r["decoded"].encode()) and r["n_pieces"] == len(r["ids"]) and 0 <= r["inclusion"] <= 1
         by.setdefault((key(r["doc_id"]), r["decoded"]), []).append(r)
     for rows in by.values():
         assert len({tuple(r["ids"]) for r in rows}) == len({r["sample"] for r in rows})
@@ -330,30 +330,6 @@ def test_sampled_pieces(docs, none):
     assert pieces.sampled_segmentations(none, model).count() == 0
 
 
-def test_samples_follow_the_distribution():
-    from itertools import product
-
-    from corpuslens.llm import pieces
-
-    lat = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    slots = np.array(lat.model.encode("there information"), np.int64)
-    p = {x: float(np.exp(sum(lat.logp[list(x)]))) for x in product(*[range(lat.start[i], lat.start[i + 1]) for i in slots])}
-    n = 4000
-    first, pairs = {}, {}
-    for k in range(n):
-        (a, *_), (b, *_) = lat.sample(slots, 2, np.random.default_rng(k))
-        first[tuple(a)] = first.get(tuple(a), 0) + 1
-        pairs[tuple(a), tuple(b)] = pairs.get((tuple(a), tuple(b)), 0) + 1
-    top = sorted(p, key=p.get, reverse=True)[:3]
-    for a in top:
-        assert abs(first.get(a, 0) / n - p[a]) < 0.03
-        for b in top:
-            if a != b:
-                assert abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03
-    every = lat.sample(slots, 10_000, np.random.default_rng(0))
-    assert {tuple(x[0]) for x in every} == set(p) and all(x[3] == 1.0 for x in every)
-
-
 def test_pipeline_stages_on_odd_tables(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -433,32 +409,50 @@ def test_samples_of_short_texts_are_all_segmentations():
 
     lat = pieces.WordLattice(public_tokenizers.path("piece_bpe_32k.model"))
 
-    def ways(word):
-        return [()] if not word else [(lat.ids[word[:c]], *w) for c in range(1, len(word) + 1) if word[:c] in lat.ids for w in ways(word[c:])]
-
-    for text in ("abc", "of it", "nat\n"):
-        words = lat.split_up([text])[0]
-        every = [()]
-        for w in words:
-            every = [x + y for x in every for y in ([(ord(w) - pieces.ALONE,)] if ord(w[0]) >= pieces.ALONE else ways(w))]
-        got = lat.sample(lat.roots(words), 100_000, np.random.default_rng(0))
-        assert sorted(tuple(lat.piece[e].tolist()) for e, *_ in got) == sorted(every) and all(x[3] == 1.0 for x in got), text
-        weights = {x: float(np.exp(sum(lat.weight[i] for i in x))) for x in every}
-        total = sum(weights.values())
-        for e, lp, *_ in got:
-            assert abs(np.exp(lp) - weights[tuple(lat.piece[e].tolist())] / total) < 1e-9
-    words = lat.split_up(["of it"])[0]
-    roots, n, first, pairs = lat.roots(words), 4000, {}, {}
-    p = {tuple(lat.piece[e].tolist()): np.exp(lp) for e, lp, *_ in lat.sample(roots, 10_000, np.random.default_rng(0))}
-    for k in range(n):
-        a, b = (tuple(lat.piece[x[0]].tolist()) for x in lat.sample(roots, 2, np.random.default_rng(k)))
+    def segmentations(text):
+        spelt = lat.spelt(lat.model.normalize(text))
+        ids = lat.ids | {c: ord(c) - pieces.ALONE for c in spelt if ord(c) >= pieces.ALONE}
+
+        def ways(word):
+            return [()] if not word else [(ids[word[:c]], *w) for c in range(1, len(word) + 1) if word[:c] in ids for w in ways(word[c:])]
+
+        weights = {x: float(np.exp(sum(lat.weight[list(x)]))) for x in ways(spelt)}
+        return {x: w / sum(weights.values()) for x, w in weights.items()}
+
+    def drawn(texts, k):
+        paths, out_of = lat.sample(*lat.segments(texts), pieces.row_keys(list(range(len(texts))), texts, 7), k)
+        rows = [[] for _ in texts]
+        for p in paths:
+            for t in np.flatnonzero(p.has):
+                rows[t].append((tuple(lat.piece.held[p.edge[p.at[t] : p.at[t + 1]]].tolist()), p.total[t] * pieces.UNIT, p.top[t]))
+        return rows, out_of
+
+    for text in ("abc", "of it", "nat\n", "", "  ", "a\U0001f600\u1234", "x\u1208"):
+        p = segmentations(text)
+        (got,), out_of = drawn([text], 5000)
+        assert sorted(g for g, _, _ in got) == sorted(p) and out_of[0] == -np.inf, text
+        assert all(abs(np.exp(lp) - p[g]) < 1e-8 for g, lp, _ in got)
+        assert [x for *_, x in got] == sorted((x for *_, x in got), reverse=True)
+        assert all(pieces.decode(lat, g).decode() == lat.model.decode(list(g)) == text for g, _, _ in got)
+    # first and second draws have the probabilities of sampling without replacement
+    p, n = segmentations("of it"), 6000
+    first, pairs = {}, {}
+    for (a, *_), (b, *_) in drawn(["of it"] * n, 2)[0]:
         first[a] = first.get(a, 0) + 1
         pairs[a, b] = pairs.get((a, b), 0) + 1
     top = sorted(p, key=p.get, reverse=True)[:4]
     for a in top:
-        assert abs(first.get(a, 0) / n - p[a]) < 0.03
+        assert abs(first.get(a, 0) / n - p[a]) < 0.02
         for b in top:
-            assert a == b or abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.03
+            assert a == b or abs(pairs.get((a, b), 0) / n - p[a] * p[b] / (1 - p[a])) < 0.02
+    # neither the texts beside a text nor the cache change its samples
+    texts = ["of it", "", "words and words", "x" * 3000, "of it " * 50]
+    together = drawn(texts, 4)[0]
+    lat.clear()
+    keys = pieces.row_keys(list(range(len(texts))), texts, 7)
+    for t, text in enumerate(texts):
+        paths, _ = lat.sample(*lat.segments([text]), keys[t : t + 1], 4)
+        assert [(tuple(lat.piece.held[q.edge].tolist()), q.total[0] * pieces.UNIT, q.top[0]) for q in paths if q.has[0]] == together[t]
 
 
 def test_changed_rules_scan_old_blobs_again(spark):

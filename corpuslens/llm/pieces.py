@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrays import offsets, spread
 from corpuslens.llm.store import table
 
 SAMPLES, SPLIT, ALPHA, SEED = 3, 0.1, 4.0, 20
@@ -70,16 +71,6 @@ def truncated(loc: np.ndarray, top: np.ndarray, counter: np.ndarray) -> np.ndarr
     return -np.logaddexp(-top, -(loc + gumbel(counter)))
 
 
-def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups of given sizes: each member's group, and its place in the group."""
-    group = np.repeat(np.arange(len(counts)), counts)
-    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def offsets(counts: np.ndarray) -> np.ndarray:
-    return np.append(0, np.cumsum(counts))
-
-
 class Grown:
     """An array that grows at its end."""
 

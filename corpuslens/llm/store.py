@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +51,21 @@ def settled_path(df: DataFrame) -> str:
     return df.settled_at
 
 
+#: At most so many groups are taken for hot.
+HOT = 512
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Join rows to groups (one row for each value of ``key``; ``size`` counts the group's rows).
+
+    Groups with more than one row in HOT of ``total``, so at most HOT of them, are broadcast
+    and their rows stay where they are; only rows of other groups are shuffled."""
+    least = max(1, total // HOT)
+    hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
+    kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(kept)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

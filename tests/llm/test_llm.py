@@ -147,8 +147,35 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_links_in_large_nodes(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 8)
+def test_gray_trees_prune_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    mask = np.uint64((1 << 21) - 1)
+    for m, least in ((64, 0.2), (500, 0.5), (1024, 0.5)):
+        codes = np.unique((rng.integers(0, 1 << 63, m).astype(np.uint64) & ~mask) | np.uint64(12345))
+        codes = np.concatenate([codes[:-9], codes[:9] ^ (np.uint64(1) << rng.integers(22, 62, 9).astype(np.uint64))])
+        codes = np.unique(codes)
+        codes = codes[np.argsort(simhash.gray_rank(codes & ~mask))]
+        apart = np.bitwise_count(codes[:, None] ^ codes)
+        want = {(i, j) for i, j in np.argwhere(apart <= 4).tolist() if i < j}
+        x, y, compared = simhash.GrayTrees(codes, np.array([len(codes)])).near(np.array([0]), np.array([0]), 4)
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(want) >= 9
+        pairs = len(codes) * (len(codes) - 1) // 2
+        print(f"{len(codes)} fingerprints below one pattern: {1 - compared / pairs:.0%} of the pairs pruned")
+        assert 1 - compared / pairs >= least
+    # two trees, and trees of very different size side by side
+    codes = np.concatenate([codes[:300], codes[300:303], codes[303:700]])
+    trees = simhash.GrayTrees(codes, np.array([300, 3, len(codes) - 303]))
+    x, y, _ = trees.near(np.array([0, 1]), np.array([2, 1]), 4)
+    apart = np.bitwise_count(codes[:, None] ^ codes) <= 4
+    want = {(i, j) for i, j in np.argwhere(apart).tolist() if i < 300 and j >= 303 or 300 <= i < j < 303}
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
+    assert [simhash.blocks_for(n, 4, 6) for n in (0, 1 << 20, 1 << 26, 1 << 30, 1 << 40)] == [6, 6, 7, 7, 10]
+
+
+@pytest.mark.parametrize("chunk, chunks", [(8, 16), (4, 2), (1024, 16)])
+def test_links_in_large_nodes(spark, monkeypatch, chunk, chunks):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "CHUNKS", chunks)
     rng = np.random.default_rng(5)
     codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 60), *([c] for c in (1 << rng.integers(0, 63, 40)) ^ (1 << rng.integers(0, 63, 40)))]))
     df = spark.createDataFrame([(int(c),) for c in codes], "fp long")

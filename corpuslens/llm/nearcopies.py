@@ -1,16 +1,22 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Two documents are linked if the sets of their shingles have a Jaccard similarity of at
-least ``similarity``.  Candidates are pairs that agree on all minima of some band of a
-MinHash sketch: with 24 bands of 4 minima a pair at similarity 0.8 is missed with
-probability (1 - 0.8**4)**24 < 4e-6.  (A SimHash index does not reach that: at 0.8 some
-ten of 64 bits differ, and blocks that any two such fingerprints share are too short.)
-Every candidate is verified on the whole sets before components are formed.
-
-Documents with equal sets are one node.  Nodes of a band value are first compared with one
-leader each, drawn anew for every band value; then all pairs of a band value that are
-still in different components are compared, so no candidate link between components is
-left out and a large group of copies costs a few comparisons a member.
+"""Near copies: SimHash links and MinHash bands, verified by Jaccard similarity.
+
+Two documents are linked if the sets of their word shingles have a Jaccard similarity of
+at least ``similarity``.  Candidates come from three sources, one after the other:
+
+1. Links of the SimHash index (fingerprints of the same shingles within a few bits).
+   They join nearly equal documents, and with them large groups, at one pair a document.
+   They do not suffice: at similarity 0.8 some ten of 64 bits differ, and blocks that any
+   two such fingerprints share are too short for an index.
+2. Pairs that agree on all minima of some band of a MinHash sketch; with 40 bands of 6
+   minima a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**40 < 6e-6.
+   Members of a band value are first compared with one leader.
+3. Pairs of a band value that are still in different components, compared within tasks
+   by their whole sketches; a pair goes on if at least LEAST_AGREE of the 240 minima agree
+   (a pair at similarity 0.8 fails that with probability below 1e-7).  So no link is left
+   out, and pairs that are not alike are never written out.
+
+Every candidate is verified on the whole sets before components are formed.  Documents
+with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -23,41 +29,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.simhash import LOWER, SEED, components
-from corpuslens.llm.store import settle
+from corpuslens.llm.groups import changes, chunk_pairs, whole_groups
+from corpuslens.llm.simhash import DISTANCE, SEED, components, links, majority, named_classes, shingle_hashes
+from corpuslens.llm.store import join_hot, settle
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
+#: Least share of equal minima (last bytes of them) for a pair to be verified.
+LEAST_AGREE = 0.66
+#: Sketches in a chunk, and compared at once.
+CHUNK, AT_ONCE = 512, 2048
 
 _RNG = np.random.Generator(np.random.Philox(SEED))
-FLIPS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+FLIPS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+FACTORS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 values of a whole text's word shingles.
-
-    A text with fewer words is one shingle, one without words has none."""
-    parts = (text or "").encode().translate(LOWER).split()
-    n = len(parts)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    digest = xxhash.xxh64_intdigest
-    if n <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
-    size = np.fromiter(map(len, parts), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: n - words + 1].tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def bands(found: np.ndarray) -> np.ndarray:
-    """One number for each band of the sketch of a set of shingles that is not empty."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        np.minimum(low, ((found[at : at + 4096, None] ^ FLIPS) * FACTORS).min(0), out=low)
-    raw = low.reshape(BANDS, ROWS)
+    """Sorted distinct XXH64 values of a whole text's word shingles."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The sketch of a set of shingles that is not empty."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    own = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(own), 256):
+        np.minimum(low, ((own[at : at + 256, None] ^ FLIPS) * FACTORS).min(0), out=low)
+    return low
+
+
+def bands(sketch: np.ndarray) -> np.ndarray:
+    """One number for each band of a sketch."""
+    raw = sketch.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(raw)], np.uint64).view(np.int64)
 
 
@@ -66,16 +70,23 @@ def _node(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (digest of the set of shingles) and bands of every document."""
+    """doc_id, node (digest of the set of shingles), SimHash fingerprint, bands, sketch and number of shingles of every document."""
 
     def make(batches):
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            rows = [bands(s) if len(s) else [] for s in sets]
-            columns = [batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array(rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands"])
+            all_ = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            prints = np.fromiter((majority(h) for h in all_), np.uint64, len(all_))
+            sets = [np.unique(h) for h in all_]
+            low = [minima(s) if len(s) else None for s in sets]
+            rows = [bands(m) if m is not None else [] for m in low]
+            brief = [(m & np.uint32(255)).astype(np.uint8).tobytes() if m is not None else b"" for m in low]
+            columns = [
+                batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array(prints.view(np.int64)),
+                pa.array(rows, pa.list_(pa.int64())), pa.array(brief, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, fp long, bands array<long>, sketch binary, size long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -110,35 +121,87 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _pairs(left: str, right: str):
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def open_bands(held: DataFrame, found: DataFrame) -> DataFrame:
+    """band, node, root of band values whose nodes are in different components, settled."""
+    rooted = held.join(found.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    return settle(rooted.join(mixed.hint("merge"), "band"), "open-bands")
+
+
+def across(open_: DataFrame, sketches_: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of a band value that are in different components and may be similar enough."""
+    members = open_.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+    brief = sketches_.select("node", "sketch", "size").dropDuplicates(["node"])
+    rows = open_.join(members.hint("merge"), "band").join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
+    keys = ["band", "i", "j"]
+
+    def compare(batches):
+        for t in whole_groups(batches, keys, AT_ONCE):
+            begin = np.append(np.append(0, np.flatnonzero(changes(t, keys)) + 1), t.num_rows)
+            side, root, size = (np.asarray(t.column(c)) for c in ("side", "root", "size"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            left, right = [], []
+            for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                second = lo + int(np.searchsorted(side[lo:hi], 1))
+                for x in range(lo, second):
+                    y = np.arange(second if second < hi else x + 1, hi)
+                    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                    y = y[(root[y] != root[x]) & (small >= similarity * large - 1e-9)]
+                    if len(y):
+                        y = y[(sketch[y] == sketch[x]).sum(1) >= least]
+                        left.append(np.full(len(y), x))
+                        right.append(y)
+            if left:
+                node = t.column("node")
+                pairs = [node.take(pa.array(np.concatenate(k))).combine_chunks() for k in (left, right)]
+                yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
+
+    least = LEAST_AGREE / SIMILARITY * similarity * BANDS * ROWS
+    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a binary, b binary")
+    return near.select(*_pairs("a", "b")).distinct()
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable) of every document.
 
     Null, empty and blank texts have no shingles and count as copies of each other.
     Repeated rows give one output row each; a null doc_id never names a component
-    unless no other member has an id."""
+    unless no other member has an id.  Other columns, whatever their names, are
+    ignored; an empty table gives no rows."""
     sketched = settle(sketches(docs, words), "sketches")
     filed = sketched.select(F.explode("bands").alias("band"), "node").distinct()
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     held = settle(filed.join(shared.hint("merge"), "band"), "bands")
-    wanted = held.select("node").distinct()
-    sets = settle(shingle_sets(docs, words).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
-    leader = F.min(F.struct(F.xxhash64("band", "node").alias("draw"), "node")).alias("leader")
-    leaders = held.groupBy("band").agg(leader).select("band", F.col("leader.node").alias("leader"))
-    led = held.join(leaders.hint("merge"), "band").filter("node != leader")
-    first = settle(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+    # nodes of one fingerprint with the first of them, and the first nodes of linked fingerprints
+    prints = settle(sketched.select("fp", "node").distinct(), "prints")
+    codes = settle(prints.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")), "codes")
+    equal = join_hot(prints, codes, "fp", "n", prints.count()).filter("node != lead").select(*_pairs("node", "lead"))
+    ends = links(codes, distance)
+    for side in ("a", "b"):
+        ends = ends.join(codes.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}")).hint("merge"), side)
+    first = settle(equal.unionByName(ends.select(*_pairs("lead_a", "lead_b"))).filter("a != b").distinct(), "pairs")
+
+    wanted = held.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    sets = settle(shingle_sets(docs, words).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    as_edges = lambda df: df.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = components(verified(first, sets, similarity))
 
-    rooted = held.join(found.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    open_ = settle(rooted.join(mixed.hint("merge"), "band"), "open-bands")
-    left, right = (open_.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    across = left.join(right.hint("merge"), "band").filter("a < b AND root_a != root_b").select("a", "b").distinct()
-    second = verified(across.join(first.hint("merge"), ["a", "b"], "left_anti"), sets, similarity)
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-
-    least = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = least.join(found.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named.hint("merge"), "root").select("node", "component_id")
-    return sketched.select("doc_id", "node").join(classes.hint("merge"), "node").select("doc_id", "component_id")
+    now = open_bands(held, found)
+    draw = F.min(F.struct(F.xxhash64("band", "node").alias("draw"), "node", "root")).alias("lead")
+    leaders = now.groupBy("band").agg(draw).select("band", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+    led = now.join(leaders.hint("merge"), "band").filter("root != lead_root").select(*_pairs("node", "lead")).distinct()
+    second = settle(led.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    found = components(as_edges(found).unionByName(verified(second, sets, similarity)))
+
+    now = open_bands(held, found)
+    third = across(now, sketched, similarity).join(second.unionByName(first).hint("merge"), ["a", "b"], "left_anti")
+    found = components(as_edges(found).unionByName(verified(third, sets, similarity)))
+
+    nodes = settle(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    classes = settle(named_classes(nodes, found, "node"), "classes")
+    return join_hot(sketched.select("doc_id", "node"), classes, "node", "n", sketched.count()).select("doc_id", "component_id")

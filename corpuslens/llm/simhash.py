@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.arrays import spread
+from corpuslens.llm.groups import changes, chunk_pairs, whole_groups
 from corpuslens.llm.store import discard, join_hot, settle, settled_path, table
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -227,73 +228,31 @@ def links(codes: DataFrame, distance: int = DISTANCE, blocks: int | None = None)
 
         return rows.select("no", "fp").mapInArrow(run, "no long, pattern long, fp long, gray long")
 
-    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["no", "pattern", "i", "j"]
 
     def edges_of(batches):
-        """Groups arrive whole and in Gray order; the last may go on in the next batch."""
-        held: list[pa.RecordBatch] = []
-
-        def compare(t: pa.Table):
-            key = [np.asarray(t.column(k)) for k in [*keys, "side"]]
-            fp = np.asarray(t.column("fp"))
-            new, side = np.ones(len(fp), bool), np.asarray(t.column("side"))
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
-            tree_at = np.flatnonzero(new)
-            counts = np.diff(np.append(tree_at, len(fp)))
-            trees = GrayTrees(fp.view(np.uint64), counts)
+        """Groups arrive whole and in Gray order."""
+        for t in whole_groups(batches, keys, AT_ONCE):
+            fp, side = np.asarray(t.column("fp")), np.asarray(t.column("side"))
+            tree_at = np.append(0, np.flatnonzero(changes(t, [*keys, "side"])) + 1)
+            trees = GrayTrees(fp.view(np.uint64), np.diff(np.append(tree_at, len(fp))))
             tree = np.arange(len(tree_at))
             second = side[tree_at] == 1
             paired = np.append(second[1:], False)  # a chunk and the one it is compared with
-            alone = ~second & ~paired
-            left = tree[alone | paired]
+            left = tree[~second]
             x, y, _ = trees.near(left, left + paired[left], distance)
             root = _spanning(x, y, len(fp))
             at = np.flatnonzero(root != np.arange(len(fp)))
             pair = np.unique(np.sort(np.stack([fp[root[at]], fp[at]], 1), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-        def whole(t: pa.Table):
-            """Compare some thousands of fingerprints at once, always whole groups."""
-            key = [np.asarray(t.column(k)) for k in keys]
-            ends = np.append(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1, t.num_rows)
-            at = 0
-            while at < t.num_rows:
-                end = int(ends[max(np.searchsorted(ends, at + AT_ONCE, "right") - 1, np.searchsorted(ends, at, "right"))])
-                yield compare(t.slice(at, end - at))
-                at = end
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # the key's rows are together, so its first row is where the open group begins
-            last = np.logical_and.reduce([k == k[-1] for k in (np.asarray(batch.column(k)) for k in keys)])
-            cut = int(np.argmax(last))
-            if held and cut == 0 and all(held[0].column(k)[0].as_py() == batch.column(k)[0].as_py() for k in keys):
-                held.append(batch)
-                continue
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-            yield from whole(done)
-        if held:
-            yield from whole(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     found, depth = [], 1
     filed = file_under(codes.select(F.lit(0).cast("long").alias("no"), "fp"), depth)
     while True:
         size = settle(filed.groupBy("no", "pattern").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "index-nodes")
         nodes = filed.join(size, ["no", "pattern"])
-        # nodes of at most one chunk: one group each, many groups to a task
-        columns = ["no", "pattern", "fp", "gray"]
-        small = nodes.filter(F.col("members") <= CHUNK).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-        chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-        # by hash, so that no task has to sort a large node to cut it up
-        middle = nodes.filter((F.col("members") > CHUNK) & (F.col("members") <= CHUNK * CHUNKS))
-        dealt = middle.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-            *columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
-        )
-        grouped = small.unionByName(paired).repartition(parts, *keys).sortWithinPartitions(*keys, "side", "gray")
+        near = nodes.filter(F.col("members") <= CHUNK * CHUNKS)
+        grouped = chunk_pairs(near, ["no", "pattern"], "members", F.col("fp"), CHUNK, ["gray"])
         found.append(grouped.mapInArrow(edges_of, "a long, b long").filter("a != b"))
         if size.filter(F.col("members") > CHUNK * CHUNKS).isEmpty():
             break

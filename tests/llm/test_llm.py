@@ -389,9 +389,12 @@ def test_neighbours_of_huge_vectors(spark):
     assert [r["vec_id"] for r in got] == [1, 2] and got[0]["score"] == 1.0 and got[1]["score"] == float("inf")
 
 
-def test_pipeline_drops_every_near_copy(spark):
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_pipeline_drops_every_near_copy(spark, monkeypatch, chunk):
     import corpus_pipeline
+    from corpuslens.llm import nearcopies
 
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     texts = []
     for base in range(12):

@@ -1,33 +1,57 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into blocks; each pair of blocks is one task
-group.  Inside, vectors are reduced to int8 with a scale and an exact norm of what
-rounding lost, and products of tiles give every distance up to a known error.  Only
-pairs whose lower bound does not exceed the k-th smallest upper bound are computed
-again in double precision; heaps merge tiles, and a ranked limit merges blocks.
+Vectors are reduced where they are read to int8 codes with a scale and the exact norm of
+what rounding lost; only codes travel.  Queries and candidates are dealt into blocks, and
+each pair of blocks is one task group.  Products of int8 tiles give every distance up to a
+known error; a pair survives if its lower bound does not exceed the k-th smallest upper
+bound of its query, first within its block and then over all blocks.  Survivors fetch
+their original vectors and are computed again in double precision; heaps keep the k
+nearest of each query.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.store import table
+from corpuslens.llm.store import settle, table
 
-#: Vectors in a block of queries, in a block of candidates, and in a tile.
-QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 1024, 8192, 1024
+#: Codes in a block of queries, in a block of candidates (at least the second number), and in a tile.
+QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK, TILE = 16384, 65536, 4096, 1024
+CODES = "vec_id long, dim int, code binary, scale double, norm double, lost double"
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole numbers in -127..127, their scale, and the norm of the rounding error, per row."""
-    scale = np.abs(x).max(1) / 127
-    codes = np.rint(x / scale[:, None])
-    lost = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1))
-    return codes, scale, lost
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, their scale, the norm of what they stand for, and the norm of the rounding error, per row."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = np.abs(x).max(1) / 127
+        codes = np.rint(x / scale[:, None])
+        lost = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1))
+        norm = np.sqrt((codes**2).sum(1)) * scale
+    return np.nan_to_num(codes).astype(np.int8), scale, norm, lost
+
+
+def coded(vectors: DataFrame) -> DataFrame:
+    """int8 codes of vectors (columns vec_id, embedding)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = np.asarray(batch.column(0)), batch.column(1)
+            values = np.asarray(lists.flatten(), float)
+            sizes = np.asarray(lists.value_lengths())
+            at = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == n)
+                codes, scale, norm, lost = quantised(values[at[own][:, None] + np.arange(n)])
+                columns = [pa.array(ids[own]), pa.array(np.full(len(own), n, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (scale, norm, lost))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "code", "scale", "norm", "lost"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, CODES)
 
 
 def exact_distances(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -35,41 +59,90 @@ def exact_distances(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum((rows - q) ** 2, axis=1)[:, -1])
 
 
-def block_neighbours(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, float, int]]:
-    """The k nearest candidates of each query: (query_id, distance, vec_id)."""
-    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products stay exact whole numbers
-    q8, q_scale, q_lost = quantised(q)
-    c8, c_scale, c_lost = quantised(c)
-    q8, c8 = q8.astype(kind), c8.astype(kind)
-    q_norm, c_norm = (q8.astype(float) ** 2).sum(1) * q_scale**2, (c8.astype(float) ** 2).sum(1) * c_scale**2
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]  # largest on top: (-distance, -vec_id)
-    for at in range(0, len(cid), TILE):
-        part = slice(at, at + TILE)
-        dots = (q8 @ c8[part].T).astype(float) * q_scale[:, None] * c_scale[part]
-        about = np.sqrt(np.maximum(q_norm[:, None] + c_norm[part] - 2 * dots, 0))
-        error = q_lost[:, None] + c_lost[part] + 1e-6 * (np.sqrt(q_norm)[:, None] + np.sqrt(c_norm[part]))
-        low, high = about - error, about + error
-        own = cid[part] == qid[:, None]
-        low[own] = high[own] = np.inf
-        bound = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(qid), np.inf)
-        for i, heap in enumerate(heaps):
-            limit = min(bound[i], -heap[0][0]) if len(heap) == k else bound[i]
-            near = np.flatnonzero(~(low[i] > limit) & ~own[i])  # bounds that overflow decide nothing
-            for d, v in zip(exact_distances(q[i], c[part][near]).tolist(), cid[part][near].tolist(), strict=True):
-                if len(heap) < k:
-                    heapq.heappush(heap, (-d, -v))
-                elif (-d, -v) > heap[0]:
-                    heapq.heapreplace(heap, (-d, -v))
-    return [(int(i), -d, -v) for i, heap in zip(qid, heaps, strict=True) for d, v in heap]
+class Codes:
+    """Codes of one length, as arrays."""
+
+    def __init__(self, t: pa.Table, dim: int):
+        t = t.filter(pa.array(np.asarray(t["dim"]) == dim))
+        self.ids, self.scale, self.norm, self.lost = (np.asarray(t[c]) for c in ("vec_id", "scale", "norm", "lost"))
+        self.codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(len(self.ids), dim)
+
+
+def bounded_pairs(q: Codes, c: Codes, k: int):
+    """(query row, candidate row, lower bound, upper bound) of pairs that may be among the k nearest of the block."""
+    kind = np.float32 if q.codes.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products stay exact whole numbers
+    for first in range(0, len(q.ids), TILE):
+        a = slice(first, first + TILE)
+        best = np.full((len(q.ids[a]), k), np.inf)
+        found = []
+        left = q.codes[a].astype(kind)
+        for at in range(0, len(c.ids), TILE):
+            b = slice(at, at + TILE)
+            with np.errstate(over="ignore", invalid="ignore"):
+                dots = (left @ c.codes[b].astype(kind).T).astype(float) * q.scale[a, None] * c.scale[b]
+                about = np.sqrt(np.maximum(q.norm[a, None] ** 2 + c.norm[b] ** 2 - 2 * dots, 0))
+                error = q.lost[a, None] + c.lost[b] + 1e-6 * (q.norm[a, None] + c.norm[b])
+                low, high = about - error, about + error
+            low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf  # bounds that overflow decide nothing
+            low[c.ids[b] == q.ids[a, None]] = high[c.ids[b] == q.ids[a, None]] = np.nan
+            best = np.sort(np.partition(np.hstack([best, np.where(np.isnan(high), np.inf, high)]), k - 1, axis=1)[:, :k], axis=1)
+            x, y = np.nonzero(low <= best[:, -1:])
+            found.append((x, y + at, low[x, y], high[x, y]))
+        x, y, low, high = (np.concatenate(f) for f in zip(*found, strict=True))
+        stay = low <= best[x, -1]
+        yield x[stay] + first, y[stay], low[stay], high[stay]
+
+
+def block(k: int):
+    """Surviving pairs of a block of queries and a block of candidates."""
+    kinds = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        for dim in set(np.asarray(a["dim"]).tolist()) & set(np.asarray(b["dim"]).tolist()):
+            q, c = Codes(a, dim), Codes(b, dim)
+            for x, y, low, high in bounded_pairs(q, c, k):
+                for column, v in zip(out, (q.ids[x], c.ids[y], low, high), strict=True):
+                    column.append(v)
+        return pa.table({n: pa.array(np.concatenate(v), t) for (n, t), v in zip(kinds, out, strict=True)})
+
+    return run
+
+
+def recomputed(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of pairs with their vectors (q, c); of each query the k nearest of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            size = np.asarray(batch.column("c").value_lengths())
+            same = np.flatnonzero(np.asarray(batch.column("q").value_lengths()) == size)
+            heaps: dict[int, list] = defaultdict(list)  # largest on top: (-distance, -vec_id)
+            ids, vecs = np.asarray(batch.column("query_id")), np.asarray(batch.column("vec_id"))
+            for n in np.unique(size[same]).tolist():
+                own = same[size[same] == n]
+                q, c = (np.asarray(batch.column(x).take(pa.array(own)).flatten(), float).reshape(-1, n) for x in ("q", "c"))
+                with np.errstate(over="ignore"):
+                    distance = exact_distances(q, c)
+                for i, d, v in zip(ids[own].tolist(), distance.tolist(), vecs[own].tolist(), strict=True):
+                    if len(heaps[i]) < k:
+                        heapq.heappush(heaps[i], (-d, -v))
+                    elif (-d, -v) > heaps[i][0]:
+                        heapq.heapreplace(heaps[i], (-d, -v))
+            rows = [(i, -v, -d) for i, heap in heaps.items() for d, v in heap]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for the k nearest candidates of each query.
 
-    Both tables have vec_id and embedding; other columns are ignored.  Rows with the
-    query's own vec_id are no candidates; only vectors of the query's length are.
-    Equal distances go to the smaller vec_id.  A query id that repeats is answered
-    for its smallest vector; candidate rows that repeat each count.  Null ids take no part.
+    Both tables have vec_id and embedding; other columns, whatever their names, are
+    ignored.  Rows with the query's own vec_id are no candidates; only vectors of the
+    query's length are.  Equal distances go to the smaller vec_id.  A query id that
+    repeats is answered for its smallest vector; candidate rows that repeat each count.
+    Null ids take no part, nor do vectors that are null, empty, zero or hold null or
+    non-finite numbers.  An empty table on either side gives no rows.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(
         F.col("vec_id").isNotNull()
@@ -77,26 +150,22 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    asked = clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = max(1, -(-queries.count() // QUERY_BLOCK))
-    columns = max(1, -(-candidates.count() // CANDIDATE_BLOCK))
+    asked = settle(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = candidates.count()
+    rows = max(1, -(-asked.count() // QUERY_BLOCK))
+    columns = max(1, -(-n // CANDIDATE_BLOCK), min(parts // rows, n // LEAST_BLOCK))
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("c", across(columns))
-    right = clean(candidates).withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("r", across(rows))
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        size_a, size_b = a["embedding"].map(len), b["embedding"].map(len)
-        for n in set(size_a) & set(size_b):
-            x, y = a[size_a == n], b[size_b == n]
-            out += block_neighbours(
-                x["vec_id"].to_numpy(), np.stack(x["embedding"]).astype(float), y["vec_id"].to_numpy(), np.stack(y["embedding"]).astype(float), k
-            )
-        return pd.DataFrame(out, columns=["query_id", "score", "vec_id"])
-
-    found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(block, "query_id long, score double, vec_id long")
+    left = coded(asked).withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("c", across(columns))
+    right = coded(clean(candidates)).withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("r", across(rows))
+    found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(block(k), "query_id long, vec_id long, low double, high double")
+    ordered = Window.partitionBy("query_id").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    survivors = found.withColumn("bound", F.nth_value("high", k).over(ordered)).filter("bound IS NULL OR low <= bound").select("query_id", "vec_id").distinct()
+    pairs = survivors.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).hint("merge"), "query_id")
+    pairs = pairs.join(clean(candidates).select("vec_id", F.col("embedding").alias("c")).hint("merge"), "vec_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact = recomputed(pairs.select("query_id", "vec_id", "q", "c"), k)
+    return exact.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

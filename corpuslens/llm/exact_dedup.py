@@ -2,11 +2,12 @@
 
 1. Each row is reduced to (id, SHA-256 of its normalised text); only these
    narrow rows travel.
-2. Misra-Gries summaries of the digests are built per partition and merged, so
-   every digest held by more than ``n / counters`` rows is a candidate.
-3. Candidates are counted exactly; those above the threshold are the verified
-   winners, at most ``counters`` of them.  They are broadcast and their rows are
-   resolved on the map side, without a shuffle.
+2. Misra-Gries summaries of the digests, one row a partition, are merged in a tree
+   to one summary of at most ``counters`` digests, among them every digest held by
+   more than ``n / counters`` rows.
+3. These candidates are broadcast and counted exactly; those above the threshold are
+   the verified winners.  They are broadcast and their rows are resolved on the map
+   side, without a shuffle.
 4. All other digests, none of which is frequent, go through an ordinary
    aggregate and join on the digest.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.store import settle, table
 
-COUNTERS = 512
+COUNTERS = 4096
+#: Summaries merged by one task; three levels suffice for 4 million partitions.
+FAN, LEVELS = 160, 3
 
 
 def normalised(text):
@@ -29,6 +32,14 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def cut_back(held: Counter, counters: int) -> Counter:
+    """A summary with at most ``counters`` entries; what is taken off each keeps the guarantee."""
+    if len(held) <= counters:
+        return held
+    cut = sorted(held.values(), reverse=True)[counters]
+    return Counter({k: v - cut for k, v in held.items() if v > cut})
+
+
 def misra_gries(batches, counters: int) -> Counter:
     """Summary of a stream of value batches with at most ``counters`` entries.
 
@@ -37,16 +48,20 @@ def misra_gries(batches, counters: int) -> Counter:
     held: Counter = Counter()
     for values in batches:
         held.update(Counter(values))
-        if len(held) > counters:
-            cut = sorted(held.values(), reverse=True)[counters]
-            held = Counter({k: v - cut for k, v in held.items() if v > cut})
+        held = cut_back(held, counters)
     return held
 
 
-def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Verified heavy digests: digest, keep_id, group_size (at most ``counters`` rows)."""
+def summary(digests: DataFrame, counters: int) -> DataFrame:
+    """One row (g, digests, counts, n) for the whole table: its Misra-Gries summary and number of rows."""
+    schema = "g long, digests array<binary>, counts array<long>, n long"
+
+    def row(g: int, held: Counter, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"g": [g], "digests": [list(held)], "counts": [list(held.values())], "n": [n]})
 
     def local(batches):
+        from pyspark import TaskContext
+
         seen = 0
 
         def values():
@@ -56,20 +71,34 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
                 yield pdf["digest"].tolist()
 
         held = misra_gries(values(), counters)
-        # a digest below half the local threshold cannot be frequent overall unless
-        # it is so in another partition, which then reports it
-        keys = [k for k, v in held.items() if v + seen / (counters + 1) > seen / counters]
-        yield pd.DataFrame({"digest": keys}, dtype=object)
-
-    candidates = digests.select("digest").mapInPandas(local, "digest binary").distinct()
-    n = digests.agg(F.count(F.lit(1))).first()[0]
-    exact = (
-        digests.join(candidates, "digest", "left_semi")
+        if seen:
+            yield row(TaskContext.get().partitionId(), held, seen)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        held: Counter = Counter()
+        for keys, counts in zip(rows["digests"], rows["counts"], strict=True):
+            held.update(dict(zip(keys, (int(c) for c in counts), strict=True)))
+            held = cut_back(held, counters)
+        return row(int(rows["g"].iloc[0]), held, int(rows["n"].sum()))
+
+    merged = digests.select("digest").mapInPandas(local, schema)
+    for _ in range(LEVELS):
+        merged = merged.withColumn("g", F.floor(F.col("g") / FAN)).groupBy("g").applyInPandas(merge, schema)
+    return merged
+
+
+def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """Verified heavy digests: digest, keep_id, group_size (at most ``counters`` rows)."""
+    merged = settle(summary(digests, counters), "exact-summary")  # one row
+    n = merged.agg(F.sum("n")).first()[0] or 0
+    candidates = merged.select(F.explode("digests").alias("digest"))
+    # bounded: a summary holds at most `counters` digests of 32 bytes
+    return (
+        digests.join(F.broadcast(candidates), "digest", "left_semi")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter(F.col("group_size") > F.lit(n / counters))
     )
-    return exact
 
 
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:

@@ -7,11 +7,14 @@
   Tasks write files under unique names; the commit lists those that count in a
   manifest, so a task that runs again leaves nothing behind that is read.  Each
   record is a gzip member of its own with the standard's skip lengths (``sl``).
+  The option ``date`` is the records' WARC-Date (by default, when the write began).
 * ``spark.read.format("warc").load(uri)`` plans byte ranges of the files, which the
   writer marks at record boundaries, parses each record's headers first, and reads
   a payload only if the record passes all pushed predicates and the option
   ``payload`` is not ``false``; otherwise it seeks past the record, without inflating
-  more than its head.  Plain ``.warc`` files are read too.
+  more than its head.  Predicates on the columns are pushed by Spark; the option
+  ``header.<name>`` asks for records whose header of that name has the given value.
+  Plain ``.warc`` files are read too.
 
 Paths are URIs that pyarrow's file systems open (file, hdfs, s3, gs, ...).
 """
@@ -23,6 +26,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -64,6 +68,10 @@ MANIFEST = "_manifest"
 FILE_BYTES, SPLIT_BYTES, BATCH_BYTES = 256 << 20, 16 << 20, 4 << 20
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
+#: Up to so many revisits (some 48 bytes each) are broadcast to the rows; more are joined.
+BROADCAST_ROWS = 50_000
+#: Fixed value: the profile of revisits with an equal payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TESTS = {
     EqualTo: lambda v, x: v == x,
     In: lambda v, x: v in x,
@@ -77,14 +85,28 @@ TESTS = {
 }
 
 
-def record(page_id, url, kind, refers_to, digest, length, payload: bytes | None) -> bytes:
+def urn(page_id, digest) -> str:
+    """A record's id: of page and payload, so that only rows equal in both share one."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+
+
+def page_of(ident: str | None) -> int | None:
+    """The page in a record's id."""
+    if not ident or not ident.startswith("<urn:page:"):
+        return None
+    page = ident[10:-1].split(":")[0]
+    return int(page) if page else None
+
+
+def record(date: str, page_id, url, kind, refers_to, digest, length, payload: bytes | None) -> bytes:
     """One record; line breaks in a url are percent-encoded, as headers are lines."""
     block = b""
     if kind == "response":
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload or b"")
     lines = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(page_id, digest)}",
+        f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {length}",
@@ -93,7 +115,7 @@ def record(page_id, url, kind, refers_to, digest, length, payload: bytes | None)
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines += [f"WARC-Refers-To: {urn(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -121,10 +143,10 @@ class Record:
             if first.startswith(GZIP_HEAD[:4]) and first[12:14] == b"sl":
                 self.stop = at + SKIP_FIELD.unpack_from(first, 10)[3]
                 first = first[: self.stop - at]
-            self.seen = self.inflate.decompress(first, 4096)
+            self.seen = bytearray(self.inflate.decompress(first, 4096))
             grow = lambda: self.inflate.decompress(self.inflate.unconsumed_tail or f.read(8192), 8192)
         else:
-            self.inflate, self.seen = None, first
+            self.inflate, self.seen = None, bytearray(first)
             grow = lambda: f.read(8192)
         while (end := self.seen.find(b"\r\n\r\n")) < 0:
             more = grow()
@@ -146,7 +168,7 @@ class Record:
                 self.seen += self.f.read(need - len(self.seen))
             else:
                 self.seen += self.inflate.decompress(self.inflate.unconsumed_tail or self.f.read(1 << 16), need + 4 - len(self.seen))
-        return self.seen[self.begin : need]
+        return bytes(memoryview(self.seen)[self.begin : need])
 
     def end(self) -> int:
         """Where the next record begins; a member without skip lengths is read to its end."""
@@ -165,8 +187,8 @@ class Files(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, date: str | None):
+        self.uri, self.date = uri, date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator) -> Files:
         store, root = fs.FileSystem.from_uri(self.uri)
@@ -183,7 +205,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 if size - splits[-1][-1] >= SPLIT_BYTES:
                     splits[-1].append(size)
-                data = member(record(*row))
+                data = member(record(self.date, *row))
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -213,8 +235,8 @@ class Range(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, uri: str, with_payload: bool):
-        self.uri, self.with_payload, self.tests = uri, with_payload, []
+    def __init__(self, uri: str, with_payload: bool, headers: dict[str, str]):
+        self.uri, self.with_payload, self.headers, self.tests = uri, with_payload, headers, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -251,6 +273,10 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, row: dict) -> bool:
         """Whether a record passes the pushed predicates; null passes none but IS NULL."""
+        if self.headers:
+            own = {k.lower(): v for k, v in row["headers"]}
+            if any(own.get(k) != v for k, v in self.headers.items()):
+                return False
         for name, test, value in self.tests:
             v = row[name]
             if test == "null":
@@ -270,12 +296,11 @@ class WarcReader(DataSourceReader):
             while at < partition.stop:
                 found = Record(f, at, partition.path)
                 headers = found.headers
-                ident = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:N>
                 row = {
-                    "page_id": ident(headers.get("WARC-Record-ID")),
+                    "page_id": page_of(headers.get("WARC-Record-ID")),
                     "url": headers.get("WARC-Target-URI"),
                     "record_type": headers["WARC-Type"],
-                    "refers_to": ident(headers.get("WARC-Refers-To")),
+                    "refers_to": page_of(headers.get("WARC-Refers-To")),
                     "payload_digest": headers.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
                     "payload_length": int(headers["X-Payload-Length"]) if "X-Payload-Length" in headers else None,
                     "headers": list(headers.items()),
@@ -297,7 +322,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """The format ``warc``; options: path, and payload (``false`` leaves payloads unread)."""
+    """The format ``warc``; options: path, payload (``false`` leaves payloads unread), header.<name>, date."""
 
     @classmethod
     def name(cls) -> str:
@@ -307,10 +332,11 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        headers = {k.lower().removeprefix("header."): v for k, v in self.options.items() if k.lower().startswith("header.")}
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", headers)
 
     def writer(self, schema, overwrite) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], self.options.get("date"))
 
 
 def register(spark: SparkSession) -> None:
@@ -319,50 +345,63 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def with_roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def with_roles(pages: DataFrame, least: int = LEAST_REVISIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows to write: of equal payloads of at least ``least`` bytes, the smallest page_id holds the payload.
 
     Null html counts as empty.  Rows that repeat a page_id and payload are all
-    responses if their page_id is the smallest; a null page_id is never referred to."""
+    responses if their page_id is the smallest; a row with a null page_id is a
+    response and never referred to.  Columns other than page_id, url and
+    html, whatever their names, are ignored; an empty table gives no rows.
+
+    Only ids and digests are shuffled to find the revisits.  These few rows are broadcast
+    to the pages if they are at most ``broadcast_rows``, or else joined."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"))
     digest = F.unhex(F.sha2("payload", 256)).alias("digest")
     narrow = settle(rows.select("page_id", digest, F.length("payload").cast("long").alias("payload_length")), "payloads")
-    first = narrow.filter(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    roles = (
-        narrow.join(first.hint("merge"), "digest", "left")
-        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "payload_length", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
-        .dropDuplicates(["p", "d"])
-    )
-    joined = rows.withColumn("digest", digest).join(roles.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")))
-    held = F.col("refers_to").isNull()
+    first = narrow.filter(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    shared = first.filter("first < last").select("digest", "first")
+    revisits = settle(
+        narrow.join(shared.hint("merge"), "digest").filter("page_id != first")
+        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").dropDuplicates(["p", "d"]),
+        "revisits",
+    )
+    few = revisits.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = F.broadcast(revisits) if few else revisits.hint("merge")
+    own = rows.withColumn("digest", digest)
+    joined = own.join(small, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    held = F.col("first").isNull()
     return joined.select(
         "page_id",
         "url",
         F.when(held, "response").otherwise("revisit").alias("record_type"),
-        "refers_to",
+        F.col("first").alias("refers_to"),
         F.lower(F.hex("digest")).alias("payload_digest"),
-        "payload_length",
+        F.length("payload").cast("long").alias("payload_length"),
         F.lit(None).cast("map<string,string>").alias("headers"),
         F.when(held, F.col("payload")).alias("payload"),
     )
 
 
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of all records of the archives.
+
+    Responses are read with their payloads, which are measured; of revisits, picked by
+    a pushed predicate, only headers are read."""
+    own = spark.read.format("warc").load(folder).filter("record_type = 'response'")
+    payload = F.coalesce("payload", F.lit(b""))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    held = own.withColumn("payload_bytes", F.length(payload).cast("long")).withColumn("payload_digest", F.sha2(payload, 256)).select(columns)
+    other = spark.read.format("warc").option("payload", "false").load(folder).filter("record_type = 'revisit'")
+    return held.unionByName(other.withColumnRenamed("payload_length", "payload_bytes").select(columns))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all of ``pages`` as WARC records, and describe each from the archives."""
     register(spark)
     folder = fresh_path(spark, "warc")
     with_roles(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").load(folder)
-    own = F.col("record_type") == "response"
-    payload = F.coalesce("payload", F.lit(b""))
-    return back.select(
-        "page_id",
-        F.when(own, F.length(payload).cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(own, F.sha2(payload, 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    return described(spark, folder)
 
 
 OP9_SQL = """

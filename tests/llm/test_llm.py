@@ -274,9 +274,20 @@ def test_warc(spark):
     chosen = back.filter((F.col("record_type") == "revisit") & F.col("url").startswith("http://b"))
     assert [r["page_id"] for r in chosen.collect()] == [2]
     assert spark.read.format("warc").option("payload", "false").load(path).filter("payload IS NOT NULL").count() == 0
-    reader = warc.WarcReader(path, True)
+    reader = warc.WarcReader(path, True, {})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")]))
     assert len(left) == 1 and len(reader.tests) == 1
+    assert [r["page_id"] for r in spark.read.format("warc").option("header.warc-target-uri", "http://a/5").load(path).collect()] == [5]
+    heads = {r["page_id"]: r["headers"] for r in back.collect()}
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h) for h in heads.values())
+    assert heads[2]["WARC-Refers-To"] == heads[1]["WARC-Record-ID"] and heads[2]["WARC-Profile"] == warc.PROFILE
+    assert len({h["WARC-Record-ID"] for h in heads.values()}) == 7 and got[None]["record_type"] == "response"
+    # few revisits are broadcast, many are joined; names that clash and repeated rows do no harm
+    odd = pages.unionByName(pages.filter("page_id IN (1, 2)")).withColumns({c: F.lit("x") for c in ("digest", "p", "d", "first", "payload", "payload_length")})
+    told = [sorted(tuple(r) for r in warc.with_roles(odd, broadcast_rows=n).select("page_id", "record_type", "refers_to", "payload_digest").fillna(-1).collect()) for n in (0, 9)]
+    assert told[0] == told[1] and [t[1] for t in told[0] if t[0] in (1, 2)] == ["response", "response", "revisit", "revisit"]
+    want = [(i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, _, t in rows]
+    assert sorted((key(r["page_id"]), r["payload_bytes"], r["payload_digest"]) for r in warc.described(spark, path).collect()) == sorted((key(i), n, d) for i, n, d in want)
     empty = fresh_path(spark, "warc")
     warc.with_roles(pages.limit(0)).write.format("warc").mode("append").save(empty)
     assert spark.read.format("warc").load(empty).count() == 0
@@ -285,11 +296,11 @@ def test_warc(spark):
 def test_plain_warc_and_foreign_gzip(tmp_path):
     import gzip
 
-    plain = b"".join(warc.record(i, "http://x", "response", None, "ab", 5, b"hello" * (i * 3000 + 1)) for i in range(3))
+    plain = b"".join(warc.record("2000-01-01T00:00:00Z", i, "http://x", "response", None, "ab", 5, b"hello" * (i * 3000 + 1)) for i in range(3))
     (tmp_path / "a.warc").write_bytes(plain)
-    parts = [warc.record(i, "http://x", "response", None, "ab", 5, b"hello" * (i * 3000 + 1)) for i in range(3)]
+    parts = [warc.record("2000-01-01T00:00:00Z", i, "http://x", "response", None, "ab", 5, b"hello" * (i * 3000 + 1)) for i in range(3)]
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
-    reader = warc.WarcReader(f"file://{tmp_path}", True)
+    reader = warc.WarcReader(f"file://{tmp_path}", True, {})
     sizes = [len(r["payload"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert sizes == [5, 15005, 30005] * 2
 

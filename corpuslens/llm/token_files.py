@@ -32,6 +32,8 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: A task starts a new file beyond so many tokens, which bounds its memory.
 FILE_TOKENS = 4_000_000
+#: Tokens (of one document at least) and documents read at once.
+WINDOW, WINDOW_DOCUMENTS = 1 << 18, 4096
 
 
 def dac_encode(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -> bytes:
@@ -58,49 +60,74 @@ def dac_encode(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -
 
 
 class DacFile:
-    """A file's contents, addressable token by token."""
+    """A file's contents, addressable token by token through ranged reads.
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    ``read(size, at)`` gives bytes of the file; only the head is read at once."""
+
+    def __init__(self, read):
+        self.read = read
+        head = read(24, 0)
+        if head[:4] != MAGIC:
             raise ValueError("not a token file")
-        n_levels, n_docs, self.tokens = struct.unpack_from("<IQQ", data, 4)
-        at = 24
-        ids = np.frombuffer(data, np.int64, n_docs, at)
-        null = np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs)
-        self.doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
-        at += 9 * n_docs
-        self.starts = np.frombuffer(data, np.uint64, n_docs + 1, at).astype(np.int64)
-        at += 8 * (n_docs + 1)
-        self.levels = []
+        n_levels, self.documents, self.tokens = struct.unpack_from("<IQQ", head, 4)
+        at = 24 + 17 * self.documents + 8
+        self.levels = []  # where chunks, bitmap and directory of each level begin
         for _ in range(n_levels):
-            n = struct.unpack_from("<Q", data, at)[0]
+            n = struct.unpack("<Q", read(8, at))[0]
             blocks = -(-n // BLOCK)
-            chunks = np.frombuffer(data, np.uint8, n, at + 8)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + 8 + n)
-            directory = np.frombuffer(data, np.uint64, blocks, at + 8 + n + len(bits))
-            at += 8 + n + len(bits) + 8 * blocks
-            self.levels.append((chunks, bits, directory))
+            self.levels.append((at + 8, at + 8 + n, at + 8 + n + blocks * BLOCK // 8, n))
+            at += 8 + n + blocks * (BLOCK // 8 + 8)
+
+    @classmethod
+    def of(cls, data: bytes) -> DacFile:
+        return cls(lambda size, at: data[at : at + size])
+
+    def _array(self, kind, count: int, at: int) -> np.ndarray:
+        return np.frombuffer(self.read(count * np.dtype(kind).itemsize, at), kind)
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """Ids of some documents."""
+        ids = self._array(np.int64, last - first, 24 + 8 * first)
+        null = self._array(np.uint8, last - first, 24 + 8 * self.documents + first)
+        return [None if z else int(i) for i, z in zip(ids, null, strict=True)]
+
+    def starts(self, first: int, last: int) -> np.ndarray:
+        """First tokens of some documents, and where the last of them ends."""
+        return self._array(np.uint64, last - first + 1, 24 + 9 * self.documents + 8 * first).astype(np.int64)
+
+    def rank(self, level: int, i: int) -> int:
+        """Set bits before place i of a level: an entry of its directory and part of one block."""
+        _, bits, directory, n = self.levels[level]
+        block, inside = divmod(i, BLOCK)
+        if i == n and not inside:  # the end of a full last block has no entry
+            return self.levels[level + 1][3] if level + 1 < len(self.levels) else 0
+        known = struct.unpack("<Q", self.read(8, directory + 8 * block))[0]
+        head = int.from_bytes(self.read((inside + 7) // 8, bits + block * BLOCK // 8), "little")
+        return known + (head & ((1 << inside) - 1)).bit_count()
 
     def token(self, i: int) -> int:
-        """Token i by rank, touching one block of each level."""
+        """Token i alone: in each level one chunk, its bit, and a rank."""
         value = 0
-        for k, (chunks, bits, directory) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * k)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        for level, (chunks, bits, _, _) in enumerate(self.levels):
+            value |= self.read(1, chunks + i)[0] << (8 * level)
+            if not self.read(1, bits + (i >> 3))[0] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            head = bits[block * (BLOCK // 8) : i >> 3]
-            inside = int(np.bitwise_count(head).sum()) + (int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
-            i = int(directory[block]) + inside
+            i = self.rank(level, i)
         return value
 
-    def all_tokens(self) -> np.ndarray:
-        """Every token, level by level."""
-        out = np.zeros(self.tokens, np.uint32)
-        at = np.arange(self.tokens)
-        for k, (chunks, bits, _) in enumerate(self.levels):
-            out[at] |= chunks.astype(np.uint32) << np.uint32(8 * k)
-            at = at[np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)]
+    def range(self, a: int, b: int) -> np.ndarray:
+        """Tokens a to b: in each level one run of chunks and bits, found by rank."""
+        out = np.zeros(b - a, np.uint32)
+        at = np.arange(b - a)
+        for level, (chunks, bits, _, _) in enumerate(self.levels):
+            if a == b:
+                break
+            out[at] |= self._array(np.uint8, b - a, chunks + a).astype(np.uint32) << np.uint32(8 * level)
+            low = a & ~7
+            more = np.unpackbits(self._array(np.uint8, (b - low + 7) // 8, bits + low // 8), bitorder="little")[a - low : b - low].view(bool)
+            at = at[more]
+            a = self.rank(level, a)
+            b = a + len(at)
         return out
 
 
@@ -155,28 +182,52 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     manifest = settle(ordered.mapInArrow(write, "part int, file_no int, path string, tokens long"), "token-manifest")
-    return manifest.withColumn(
-        "base", F.coalesce(F.sum("tokens").over(Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
+    # tokens before a part (one row a part), and before a file within its part
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    per_part = manifest.groupBy("part").agg(F.sum("tokens").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(before("part")), F.lit(0)))
+    inner = manifest.withColumn("inner", F.coalesce(F.sum("tokens").over(before("part", "file_no")), F.lit(0)))
+    return inner.join(per_part, "part").select("part", "file_no", "path", "tokens", (F.col("ahead") + F.col("inner")).alias("base"))
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Documents of the files: doc_id, start, n_tokens, ids_crc32 over all their ids."""
+    """Documents of the files: doc_id, start, n_tokens, ids_crc32 over all their ids, probe_id, probe_agrees.
+
+    Documents are read through their starts, some WINDOW tokens at a time, so memory does
+    not depend on the size of a file.  probe_id is the token in a document's middle, read
+    alone through the rank directories; probe_agrees tells whether it is the one read with
+    the document."""
 
     def read(batches):
         store, root = fs.FileSystem.from_uri(folder)
         for pdf in batches:
             for name, base in zip(pdf["path"], pdf["base"], strict=True):
-                with store.open_input_stream(f"{root}/{name}") as f:
-                    dac = DacFile(f.read())
-                ids = memoryview(dac.all_tokens().view(np.uint8))
-                s = dac.starts
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(dac.doc_ids, "Int64"), "start": s[:-1] + base, "n_tokens": np.diff(s), "ids_crc32": crc})
+                with store.open_input_file(f"{root}/{name}") as f:
+                    dac = DacFile(f.read_at)
+                    for first in range(0, dac.documents, WINDOW_DOCUMENTS):
+                        last = min(first + WINDOW_DOCUMENTS, dac.documents)
+                        s = dac.starts(first, last)
+                        crc, probe, agrees = [], [], []
+                        i = 0
+                        while i < last - first:
+                            j = max(i + 1, int(np.searchsorted(s, s[i] + WINDOW, "right")) - 1)
+                            ids = dac.range(int(s[i]), int(s[j]))
+                            view = memoryview(ids.view(np.uint8))
+                            for a, b in zip((s[i:j] - s[i]).tolist(), (s[i + 1 : j + 1] - s[i]).tolist(), strict=True):
+                                middle = (a + b) // 2
+                                crc.append(zlib.crc32(view[4 * a : 4 * b]))
+                                probe.append(dac.token(int(s[i]) + middle) if b > a else None)
+                                agrees.append(probe[-1] == int(ids[middle]) if b > a else None)
+                            i = j
+                        yield pd.DataFrame(
+                            {
+                                "doc_id": pd.array(dac.doc_ids(first, last), "Int64"), "start": s[:-1] + base, "n_tokens": np.diff(s), "ids_crc32": crc,
+                                "probe_id": pd.array(probe, "Int64"), "probe_agrees": pd.array(agrees, "boolean"),
+                            }
+                        )
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path", "base").repartition(parts, "path").mapInPandas(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        read, "doc_id long, start long, n_tokens long, ids_crc32 long, probe_id long, probe_agrees boolean"
     )
 
 
@@ -185,7 +236,7 @@ def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 
     A null text counts as empty and is its end id alone; documents with equal
     doc_id follow one another in the order of their text's hash, a null doc_id comes
-    first; an empty table writes no files.
+    first; an empty table writes no files.  Other columns, whatever their names, are ignored.
     """
     folder = folder or fresh_path(docs.sparkSession, "token-files")
     return read_token_files(write_token_files(docs, tokenizer, end_id, folder), folder)

@@ -121,10 +121,17 @@ def test_token_files(docs, none):
 
 
 def test_any_token_alone():
-    ids = np.random.default_rng(4).choice([5, 300, 70000, 255, 256], 3000).astype(np.uint32)
-    dac = token_files.DacFile(token_files.dac_encode(ids, [7, None], np.array([1000, 2000])))
-    assert [dac.token(i) for i in range(0, 3000, 17)] == ids[::17].tolist()
-    assert np.array_equal(dac.all_tokens(), ids) and dac.doc_ids == [7, None]
+    rng = np.random.default_rng(4)
+    for n in (3000, 512 * 4, 1, 0):
+        ids = np.where(rng.random(n) < 0.5, rng.integers(0, 1 << 8, n), rng.integers(0, 1 << 20, n)).astype(np.uint32)
+        if n == 2048:
+            ids |= np.uint32(1 << 17)  # full blocks, all bits set
+        cut = n // 3
+        dac = token_files.DacFile.of(token_files.dac_encode(ids, [7, None], np.array([cut, n - cut])))
+        assert [dac.token(i) for i in range(0, n, 7)] == ids[::7].tolist()
+        assert np.array_equal(dac.range(0, n), ids) and dac.doc_ids(0, 2) == [7, None] and dac.starts(1, 2).tolist() == [cut, n]
+        for a, b in np.sort(rng.integers(0, n + 1, (40, 2)), axis=1).tolist():
+            assert np.array_equal(dac.range(a, b), ids[a:b])
 
 
 def test_simhash(docs, none):

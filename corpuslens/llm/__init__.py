@@ -23,4 +23,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of those that SQL can express."""
-    return {"op5_block_neighbours": neighbours.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op3_secret_ledger": secrets.OP3_SQL, "op5_block_neighbours": neighbours.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_warc": warc.OP9_SQL}

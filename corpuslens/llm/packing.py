@@ -5,8 +5,11 @@ a configuration linear program (each configuration: lengths that fit in one
 sequence together) is solved by multiplicative weights; a knapsack dynamic program
 prices the best configuration for every length at once.  The fractional solution is
 rounded down, what is left goes through the program again and at last through a
-decreasing fit, all on counts by length.  The pieces themselves stay distributed:
-each learns its place from its rank among the pieces of equal length.
+decreasing fit, all on counts by length.  Every vector of weights also bounds the number
+of sequences from below (no sequence is worth more than the best filling); while the plan
+is farther than GAP from the best bound, the weights are multiplied on and the plan is
+rounded anew from their averages.  The pieces themselves stay distributed: each learns its
+place from its rank among the pieces of equal length.
 """
 
 from __future__ import annotations
@@ -25,6 +28,12 @@ from corpuslens.llm.tokens import encoder
 CAPACITY = 2048
 #: Rounds of the linear program, weight updates in each, and the learning rate.
 ROUNDS, STEPS, ETA = 6, 12, 0.35
+#: Share of sequences above the bound at which the plan is good enough; most further updates
+#: (and their product with the number of lengths), first rate.
+GAP, UPDATES, WORK, RATE = 5e-4, 160, 20_000, 0.5
+
+#: Bound on the broadcast table of places.
+MAX_BYTES = 64 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -75,8 +84,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     )
 
 
-def best_fillings(weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: the length taken first at each room 0..capacity (0: none).
+def best_fillings(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the greatest value of each room 0..capacity, and the length taken first (0: none).
 
     ``weights[l]`` is the value of one piece of length l, not above 0 where there is none."""
     best = np.zeros(capacity + 1)
@@ -96,7 +105,16 @@ def best_fillings(weights: np.ndarray, capacity: int) -> np.ndarray:
     for room in range(1, capacity + 1):
         if first[room] < 0:
             first[room] = first[room - 1]
-    return first
+    return best, first
+
+
+def filling(first: np.ndarray, room: int) -> list[int]:
+    """The lengths of the best filling of a room."""
+    out = []
+    while room and first[room] > 0:
+        out.append(int(first[room]))
+        room -= out[-1]
+    return out
 
 
 def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: float = ETA) -> Counter:
@@ -112,15 +130,12 @@ def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: flo
         weights = np.zeros(capacity + 1)
         lag = np.clip((target - covered)[lengths] / need[lengths] * steps, -8, 8)
         weights[lengths] = lengths * np.exp(eta * lag)
-        first = best_fillings(weights, capacity)
+        _, first = best_fillings(weights, capacity)
         for length in lengths[::-1]:
             short = target[length] - covered[length]
             if short <= 0:
                 continue
-            config, room = [int(length)], capacity - int(length)
-            while room and first[room] > 0:
-                config.append(int(first[room]))
-                room -= config[-1]
+            config = [int(length), *filling(first, capacity - int(length))]
             uses = Counter(config)
             share = short / uses[int(length)]
             amount[tuple(sorted(config, reverse=True))] += share
@@ -129,49 +144,130 @@ def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: flo
     return amount
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of sequences by configuration that hold exactly the given pieces."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, count in histogram.items():
-        left[length] += count
-    out: list[tuple[tuple[int, ...], int]] = []
+class Left:
+    """Pieces by length that have no place yet, and the sequences taken so far."""
+
+    def __init__(self, need: np.ndarray):
+        self.left, self.taken = need.copy(), []
 
-    def take(config: tuple[int, ...], most: int) -> int:
+    def take(self, config: tuple[int, ...], most: int) -> int:
         uses = Counter(config)
-        k = min(most, *(int(left[x]) // c for x, c in uses.items()))
+        k = min(most, *(int(self.left[x]) // c for x, c in uses.items()))
         if k > 0:
             for x, c in uses.items():
-                left[x] -= k * c
-            out.append((config, k))
+                self.left[x] -= k * c
+            self.taken.append((config, k))
         return k
 
-    if left[capacity]:
-        take((capacity,), int(left[capacity]))
-    for _ in range(ROUNDS):
-        if not left.any():
-            break
-        found = configurations(left.astype(float), capacity)
-        # the fullest first, so that rounding gives up the worst
-        order = sorted(found.items(), key=lambda x: (capacity - sum(x[0]), -x[1], x[0]))
-        if not sum(take(c, int(x)) for c, x in order if x >= 1):
-            for c, _ in order:
-                if sum(c) == capacity:
-                    take(c, 1)
-            break
-    while left.any():
-        room, config, used = capacity, [], Counter()
-        while room:
-            fits = np.flatnonzero(left[: room + 1])
-            while len(fits) and left[fits[-1]] <= used[int(fits[-1])]:
-                fits = fits[:-1]
-            if not len(fits):
+    def finish(self, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+        """Place all that is left: by the program, rounded down, and at last by a decreasing fit."""
+        left = self.left
+        if left[capacity]:
+            self.take((capacity,), int(left[capacity]))
+        for _ in range(rounds):
+            if not left.any():
                 break
-            x = int(fits[-1])
-            config.append(x)
-            used[x] += 1
-            room -= x
-        take(tuple(config), int(left.max()))
-    return out
+            found = configurations(left.astype(float), capacity)
+            # the fullest first, so that rounding gives up the worst
+            order = sorted(found.items(), key=lambda x: (capacity - sum(x[0]), -x[1], x[0]))
+            if not sum(self.take(c, int(x)) for c, x in order if x >= 1):
+                for c, _ in order:
+                    if sum(c) == capacity:
+                        self.take(c, 1)
+                break
+        while left.any():
+            room, config, used = capacity, [], Counter()
+            while room:
+                fits = np.flatnonzero(left[: room + 1])
+                while len(fits) and left[fits[-1]] <= used[int(fits[-1])]:
+                    fits = fits[:-1]
+                if not len(fits):
+                    break
+                x = int(fits[-1])
+                config.append(x)
+                used[x] += 1
+                room -= x
+            self.take(tuple(config), int(left.max()))
+        return self.taken
+
+
+def sequences_of(taken: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(k for _, k in taken)
+
+
+def simple_bound(need: np.ndarray, capacity: int) -> int:
+    """Sequences needed at least: pieces of more than half a sequence stand apart, and those with
+    no room for a length of ``k`` are of no use to pieces of ``k`` and more."""
+    size = np.arange(capacity + 1)
+    room, count = np.cumsum(need * size), np.cumsum(need)
+    half = capacity // 2
+    k = np.arange(half + 1)
+    apart = count[-1] - count[half]
+    small = room[half] - np.where(k > 0, room[np.maximum(k - 1, 0)], 0)  # lengths k .. half
+    wide = room[capacity - k] - room[half]  # lengths over half, with room for k
+    spare = (count[capacity - k] - count[half]) * capacity - wide
+    return int((apart + np.maximum(0, -(-(small - spare) // capacity))).max())
+
+
+def refined(need: np.ndarray, capacity: int, taken: list, bound: float):
+    """Better plans by multiplicative weights: the best plan and bound found.
+
+    A length's weight is multiplied by how much it was short in the last step's
+    configurations, those within a thousandth of the best.  From time to time the plan is
+    rounded from the averages so far: by the amounts, and by the weights' order."""
+    lengths = np.flatnonzero(need)
+    weights, sums, covered = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1)
+    weights[lengths] = lengths / capacity
+    amount: Counter = Counter()
+    updates = min(UPDATES, max(8, WORK // len(lengths)))
+    for step in range(1, updates + 1):
+        best, first = best_fillings(weights, capacity)
+        bound = max(bound, float(need @ weights) / best[capacity])
+        sums += weights / best[capacity]
+        near = [x for x in lengths.tolist() if weights[x] + best[capacity - x] >= 0.999 * best[capacity]]
+        configs = {tuple(sorted([x, *filling(first, capacity - x)], reverse=True)) for x in near}
+        uses = {c: Counter(c) for c in configs}
+        most = {c: min(need[x] / k for x, k in uses[c].items()) for c in configs}
+        scale = bound / sum(most.values())
+        now = np.zeros(capacity + 1)
+        for c in configs:
+            amount[c] += most[c] * scale
+            for x, k in uses[c].items():
+                now[x] += most[c] * scale * k
+        covered += now
+        weights[lengths] *= np.exp(np.clip(RATE / np.sqrt(step) * (1 - now[lengths] / need[lengths]), -1, 1))
+        if step & (step - 1) and step != updates:
+            continue
+        value, _ = best_fillings(sums, capacity)
+        bound = max(bound, float(need @ sums) / value[capacity])
+        worth = {c: sum(sums[x] for x in c) for c in amount}
+        by_worth = sorted(amount, key=lambda c: (-worth[c], c))
+        for share in (1 / step, None):
+            plan_ = Left(need)
+            for c in by_worth:
+                plan_.take(c, int(amount[c] * share) if share else int(need.max()))
+            new = plan_.finish(capacity, 2)
+            taken = min(taken, new, key=sequences_of)
+        if sequences_of(taken) <= max(np.ceil(bound - 1e-6), bound * (1 + GAP)):
+            break
+    return taken, bound
+
+
+def bounded_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Whole numbers of sequences by configuration that hold exactly the given pieces, and a lower bound on any plan's sequences."""
+    need = np.zeros(capacity + 1, np.int64)
+    for length, count in histogram.items():
+        need[length] += count
+    bound = float(simple_bound(need, capacity))
+    taken = Left(need).finish(capacity)
+    if sequences_of(taken) > max(np.ceil(bound - 1e-6), bound * (1 + GAP)):
+        taken, bound = refined(need, capacity, taken, bound)
+    return taken, int(np.ceil(bound - 1e-6))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of :func:`bounded_plan`."""
+    return bounded_plan(histogram, capacity)[0]
 
 
 def slots(packed: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,15 +286,19 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nda
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to settled pieces (doc_id, piece, length, ...).
+    """Add sequence_id and offset to settled pieces (doc_id, piece, length, ...), n_sequences and least_sequences (the bound).
 
     Ranks are counted within (length, bucket), so a length that a third of all
     pieces share is spread over all buckets."""
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    packed = plan(histogram, capacity)
+    packed, least = bounded_plan(histogram, capacity)
+    total = sequences_of(packed)
     # bounded by rounds * steps * capacity configurations, whatever the number of documents
-    places = spark.sparkContext.broadcast(slots(packed))
+    table_ = slots(packed)
+    if sum(x.nbytes for x in table_) > MAX_BYTES:
+        raise ValueError("more configurations than the program can have")
+    places = spark.sparkContext.broadcast(table_)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     offsets = (
@@ -229,18 +329,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 low, high = np.where(go & up, mid, low), np.where(go & ~up, mid, high)
             out = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "rank"]
             names = [n for n in batch.schema.names if n != "rank"]
-            out += [pa.array(sequence[low] + rank - first[low]), pa.array(offset[low])]
-            yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset"])
+            out += [pa.array(sequence[low] + rank - first[low]), pa.array(offset[low]), *(pa.array(np.full(batch.num_rows, x)) for x in (total, least))]
+            yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset", "n_sequences", "least_sequences"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long, n_sequences long, least_sequences long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pack whole documents: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
+    """Pack whole documents: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset, n_sequences, least_sequences.
 
-    A null text counts as empty and packs as its end id alone.  Repeated rows are
-    packed once each; an empty table gives no rows.  Other columns are ignored.
+    The last two are the number of sequences in all, and a lower bound on it that the
+    weights of the program prove.  A null text counts as empty and packs as its end id
+    alone.  Repeated rows are packed once each, a null doc_id is a key like others; an
+    empty table gives no rows.  Other columns, whatever their names, are ignored.
     """
     return pack(settle(tokenised_pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)
 

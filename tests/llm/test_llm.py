@@ -93,6 +93,41 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, BYTES).count() == 0
 
 
+def test_plan_near_its_bound():
+    for histogram, most in (
+        ({1025: 600, 527: 600, 496: 600, 522: 1200, 504: 1200}, 1267),
+        ({1500: 100, 700: 300, 400: 50}, 250),
+        ({1025: 10, 1030: 7}, 17),
+        ({512: 4, 1024: 2}, 2),
+        ({}, 0),
+    ):
+        taken, bound = packing.bounded_plan(histogram)
+        used = {}
+        for config, k in taken:
+            assert sum(config) <= 2048 and k > 0
+            for x in config:
+                used[x] = used.get(x, 0) + k
+        assert used == histogram and bound <= packing.sequences_of(taken) <= most, histogram
+    rng = np.random.default_rng(2)
+    for high in (8, 12):  # against the least number of sequences, by search over all partitions
+
+        def least(items, bins, best, room):
+            if len(bins) >= best:
+                return best
+            if not items:
+                return len(bins)
+            for i in range(len(bins)):
+                if bins[i] + items[0] <= room and bins[i] not in bins[:i]:
+                    best = least(items[1:], [*bins[:i], bins[i] + items[0], *bins[i + 1 :]], best, room)
+            return least(items[1:], [*bins, items[0]], best, room)
+
+        for _ in range(12):
+            items = sorted(rng.integers(1, high + 1, 9).tolist(), reverse=True)
+            taken, bound = packing.bounded_plan({x: items.count(x) for x in items}, 12)
+            best = least(items, [], len(items) + 1, 12)
+            assert bound <= best <= packing.sequences_of(taken) <= best + 1
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(3)
     h = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 2049, 5000), return_counts=True), strict=True)}

@@ -74,8 +74,8 @@ def truncated(loc: np.ndarray, top: np.ndarray, counter: np.ndarray) -> np.ndarr
 class Grown:
     """An array that grows at its end."""
 
-    def __init__(self, kind):
-        self.held, self.size = np.zeros(1024, kind), 0
+    def __init__(self, kind, room: int = 1024):
+        self.held, self.size = np.zeros(room, kind), 0  # pages never written take no memory
 
     def append(self, x: np.ndarray) -> None:
         need = self.size + len(x)
@@ -125,6 +125,8 @@ class WordLattice:
         self.bytes_of = {b: chr(ALONE + byte.get(b, m.unk_id())) for b in range(256)}
         # pieces that stand alone are single characters of a private plane
         self._trie(self.ids | {chr(ALONE + i): i for i in [*byte.values(), m.unk_id()]})
+        self.surface_size = np.fromiter(map(len, self.surface), np.int64, n)
+        self.surface_at, self.surface_all = np.cumsum(self.surface_size) - self.surface_size, np.frombuffer(b"".join(self.surface), np.uint8)
         self.cache_edges = cache_edges
         self.clear()
 
@@ -143,30 +145,31 @@ class WordLattice:
         self.spells = np.full(len(nodes), -1, np.int32)
         for s, i in spelt.items():
             self.spells[nodes[s]] = i
+        self.root = np.array([nodes.get(c, -1) for c in ("", *chars)])
         steps = sorted((nodes[s[:-1]] * self.chars + chars[s[-1]], v) for s, v in nodes.items() if s)
         self.step_key, self.step_to = np.array([k for k, _ in steps]), np.array([v for _, v in steps])
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
         self.nodes = 0
-        self.start, self.piece, self.to, self.logq, self.cum = (Grown(t) for t in (np.int64, np.int32, np.int32, np.int64, np.float32))
+        self.start, self.piece, self.to, self.logq, self.cum = (Grown(t, 5 * self.cache_edges // 4) for t in (np.int64, np.int32, np.int32, np.int64, np.float32))
         self.segment, self.first = Grown(np.int64), Grown(np.int64)  # nodes where segments begin; first segment of each word
 
     def _trace(self, cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, piece, length) of every piece found in words laid end to end, by place, longest first."""
         own = self.char[cps]
-        at, state, size = np.arange(len(cps)), np.zeros(len(cps), np.int64), 0
+        at, state, size = np.arange(len(cps)), self.root[own], 1
         found = []
         while len(at):
-            key = state * self.chars + own[at + size]
-            step = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            hit = self.step_key[step] == key
-            at, state, size = at[hit], self.step_to[step[hit]], size + 1
             piece = self.spells[state]
             whole = piece >= 0
             found.append((at[whole], piece[whole], size))
-            more = at + size < ends[at]
-            at, state = at[more], state[more]
+            more = np.flatnonzero(at + size < ends[at])
+            at = at[more]
+            key = state[more] * self.chars + own[at + size]
+            step = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            hit = np.flatnonzero(self.step_key[step] == key)
+            at, state, size = at[hit], self.step_to[step[hit]], size + 1
         counts = np.zeros(len(cps), np.int64)
         for at, _, _ in found:
             counts[at] += 1
@@ -257,10 +260,13 @@ class WordLattice:
         cuts = np.flatnonzero(new)
         words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.words]
+        known = list(map(self.words.get, distinct))
+        fresh = [w for w, k in zip(distinct, known, strict=True) if k is None]
         if fresh:
-            self._add(fresh)
-        no = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+            self._add(fresh)  # they are numbered in this order
+            after = iter(range(len(self.words) - len(fresh), len(self.words)))
+            known = [next(after) if k is None else k for k in known]
+        no = np.array(known, np.int64)[words.indices.to_numpy()]
         first = self.first.held[no]
         times = np.append(self.first.held[: self.first.size], self.segment.size)[no + 1] - first
         word, place = spread(times)
@@ -418,9 +424,13 @@ def lattice(path: str) -> WordLattice:
     return _LATTICES[path]
 
 
-def decode(lat: WordLattice, ids: list[int]) -> bytes:
-    """The text that pieces spell, without the blank that the model puts first."""
-    return b"".join(map(lat.surface.__getitem__, ids)).removeprefix(b" ")
+def decode(lat: WordLattice, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The texts that pieces spell, without the blank that the model puts first; ``at``: where texts begin, and the end."""
+    size = lat.surface_size[ids]
+    ends = offsets(size)
+    spelt = lat.surface_all[np.repeat(lat.surface_at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    cut = ends[at].tolist()
+    return [spelt[a:b].removeprefix(b" ") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def row_keys(keys: list, texts: list[str], seed: int) -> np.ndarray:
@@ -464,10 +474,10 @@ def sampled_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, s
                     log_prob = path.total * UNIT
                     with np.errstate(over="ignore"):
                         inclusion = np.where(out_of > -np.inf, -np.expm1(-np.exp(np.minimum(log_prob - out_of, 700.0))), 1.0)
-                    at, view, ids = path.at.tolist(), memoryview(pieces.view(np.uint8)), pieces.tolist()
+                    at, view, texts_ = path.at.tolist(), memoryview(pieces.view(np.uint8)), decode(lat, pieces, path.at)
                     for t in np.flatnonzero(path.has).tolist():
                         a, b = at[t], at[t + 1]
-                        row = (keys[t], no, b - a, zlib.crc32(view[4 * a : 4 * b]), log_prob[t], path.top[t], inclusion[t], zlib.crc32(decode(lat, ids[a:b])), pieces[a:b] if with_ids else None)
+                        row = (keys[t], no, b - a, zlib.crc32(view[4 * a : 4 * b]), log_prob[t], path.top[t], inclusion[t], zlib.crc32(texts_[t]), pieces[a:b] if with_ids else None)
                         for column, v in zip(out, row, strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:width], kinds[:width], strict=True)], names[:width])
@@ -485,7 +495,9 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         lat = lattice(model)
         for batch in batches:
-            texts = [decode(lat, x or []).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
+            ids = [x or [] for x in batch.column(at).to_pylist()]
+            found = decode(lat, np.array([i for x in ids for i in x], np.int64), offsets(np.fromiter(map(len, ids), np.int64, len(ids))))
+            texts = [x.decode("utf-8", "replace") for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -549,7 +549,7 @@ def test_samples_of_short_texts_are_all_segmentations():
         assert sorted(g for g, _, _ in got) == sorted(p) and out_of[0] == -np.inf, text
         assert all(abs(np.exp(lp) - p[g]) < 1e-8 for g, lp, _ in got)
         assert [x for *_, x in got] == sorted((x for *_, x in got), reverse=True)
-        assert all(pieces.decode(lat, g).decode() == lat.model.decode(list(g)) == text for g, _, _ in got)
+        assert all(pieces.decode(lat, np.array(g, int), np.array([0, len(g)]))[0].decode() == lat.model.decode(list(g)) == text for g, _, _ in got)
     # first and second draws have the probabilities of sampling without replacement
     p, n = segmentations("of it"), 6000
     first, pairs = {}, {}

@@ -92,6 +92,14 @@ def best_fillings(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
     first = np.zeros(capacity + 1, np.int64)
     present = np.flatnonzero(weights > 0)
     value = weights[present]
+    if (capacity // present).sum() < capacity:  # few lengths: one after the other, in runs as long as the length
+        for x in present.tolist():
+            for at in range(x, capacity + 1, x):
+                run = slice(at, min(at + x, capacity + 1))
+                gain = weights[x] + best[at - x : run.stop - x]
+                more = gain > best[run]
+                best[run], first[run] = np.where(more, gain, best[run]), np.where(more, x, first[run])
+        return best, first
     for room in range(1, capacity + 1):
         k = np.searchsorted(present, room, "right")
         best[room] = best[room - 1]

@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses.  Small transducers read a clause's words: a lexicon
-transducer writes insult and threat marks with weights, others write target,
-negation and reported-speech marks.  Their composition is one automaton whose
-state says whether a negation or a reporting verb still governs what follows; it
-returns the clause's evidence by kind (plain, negated, reported, threat), so that
-"not an idiot" or "he said they were idiots" counts otherwise than an insult.
-
-The lexicon (whole words, and stems of inflected words) and the weights of the four
-kinds of evidence are learned from labelled rows.
+A text is cut into clauses, and a clause into symbols: a lexicon transducer writes each
+word as insult, threat, target, negation, report or other.  Small transducers read the
+symbols, each a table of arcs (state, symbol) -> (state, marks): one marks what a negation
+governs, one what is reported speech, one what stands near a target, one what stands near
+a threat, one passes on insults and threats themselves.  They are composed once into a
+single table; its outputs give every matched step a kind of evidence (plain, negated,
+reported, threat) and a weight, so that "not an idiot" or "he said they were idiots"
+counts otherwise than an insult.  A document's evidence is summed over matched clauses.
+
+The lexicon (whole words, and stems of inflected words) and the weights of the four kinds
+of evidence are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -27,23 +29,24 @@ from corpuslens.llm.store import settle, table
 
 #: Bound on labelled rows used for fitting, drawn evenly by a hash of doc_id.
 MAX_ROWS = 20_000
-#: Bounds on the lexicon and on the features considered for it.
-MAX_LEXICON, MAX_CANDIDATES = 1_000, 20_000
 #: A feature enters if its G statistic is at least this, and its weight is.
 LEAST_G, LEAST_WEIGHT = 15.0, 2.0
 STEM_LENGTHS = range(3, 9)
 
-#: Closed word classes of the grammar.
-THREATS = "kill hurt destroy stab shoot beat burn strangle töten umbringen tuer frapper matar golpear".split()
-TARGETS = "you your yours they them their he she him her du dich ihr euch tu toi vous te ti usted".split()
+#: Closed word classes of the grammar; threats are stems.
+THREATS = "kill hurt destroy stab shoot shot beat burn strangl murder töte erschieß umbring umgebracht tuer frapper matar golpe".split()
+TARGETS = "you your yours they them their he she him her du dich dir ihr euch tu toi vous te ti usted".split()
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't nicht kein keine ne pas jamais nunca sin".split()
 REPORTS = "said says say wrote writes claimed quoted called reported alleged sagte schrieb dit écrit dijo escribió".split()
-#: Words that a negation or a reporting verb governs.
+#: Words that a negation, a reporting verb, and a target or threat reach.
 NEGATION_REACH, REPORT_REACH, TARGET_REACH = 3, 12, 4
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 KINDS = ("plain", "negated", "reported", "threat")
+SYMBOLS = ("other", "insult", "threat", "insult threat", "target", "negation", "report")
+#: What an insult near a target weighs more than another.
+NEAR = 1.25
 #: Prior of the intercept and of each kind's weight, and its strength.
 PRIOR, PRECISION = np.array([-3.0, 6.0, 2.5, 3.0, 6.0]), 0.05
 
@@ -111,54 +114,112 @@ def choose_lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
                 best.pop(f)
             elif toxic[f] >= 0.6 * toxic[stem]:  # a vague stem gives way to the word that it was found by
                 best.pop(stem)
-    top = sorted(best, key=lambda f: (-best[f] * math.sqrt(toxic[f]), f))[:MAX_LEXICON]
-    return {f: best[f] for f in top}
+    return best
+
+
+class Transducer:
+    """Arcs (state, symbol) -> (state, marks) from a start state; ``quoted`` is where a quoted clause starts."""
+
+    def __init__(self, arcs: dict, start, quoted=None):
+        self.arcs, self.start, self.quoted = arcs, start, start if quoted is None else quoted
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Both on the same symbols: pairs of states that can be reached, and the marks of both."""
+        arcs, seen, ahead = {}, set(), [(self.start, other.start), (self.quoted, other.quoted)]
+        while ahead:
+            state = ahead.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            for symbol in SYMBOLS:
+                (a, marks), (b, more) = self.arcs[state[0], symbol], other.arcs[state[1], symbol]
+                arcs[state, symbol] = (a, b), marks | more
+                ahead.append((a, b))
+        return Transducer(arcs, (self.start, other.start), (self.quoted, other.quoted))
+
+
+def reaching(trigger: str, reach: int, mark: str, in_quotes: bool = False) -> Transducer:
+    """Marks the ``reach`` words after a trigger; the state is the number of words still reached."""
+    arcs = {}
+    for left in range(reach + 1):
+        for symbol in SYMBOLS:
+            arcs[left, symbol] = reach if trigger in symbol.split() else max(0, left - 1), frozenset([mark] if left else [])
+    return Transducer(arcs, 0, reach if in_quotes else 0)
+
+
+def passing(symbols: tuple[str, ...]) -> Transducer:
+    """One state; passes on which of the symbols a word is."""
+    return Transducer({(0, symbol): (0, frozenset(x for x in symbols if x in symbol.split())) for symbol in SYMBOLS}, 0)
+
+
+def grammar_table() -> tuple[list[list[tuple[int, int, float, int]]], int, int]:
+    """The composed transducer by number of state and symbol: (next state, kind of an insult or -1, its weight, kind of a threat or -1); its two starts."""
+    composed = (
+        passing(("insult", "threat", "target"))
+        @ reaching("negation", NEGATION_REACH, "negated")
+        @ reaching("report", REPORT_REACH, "reported", True)
+        @ reaching("target", TARGET_REACH, "after target")
+        @ reaching("threat", TARGET_REACH, "after threat")
+    )
+    number = {state: i for i, state in enumerate(dict.fromkeys(s for s, _ in composed.arcs))}
+    table = []
+    for state in number:
+        row = []
+        for symbol in SYMBOLS:
+            after, marks = composed.arcs[state, symbol]
+            governed = 2 if "reported" in marks else 1 if "negated" in marks else None
+            insult = -1 if "insult" not in marks else 0 if governed is None else governed
+            # a threat and its target, in either order
+            met = "threat" in marks and "after target" in marks or "target" in marks and "after threat" in marks
+            row.append((number[after], insult, NEAR if "after target" in marks else 1.0, -1 if not met else 3 if governed is None else governed))
+        table.append(row)
+    return table, number[composed.start], number[composed.quoted]
+
+
+TABLE, START, QUOTED = grammar_table()
 
 
 class Grammar:
-    """The composed transducers for one lexicon."""
+    """The composed transducer with the lexicon transducer of one lexicon before it."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.words = {f: w / 10 for f, w in lexicon.items() if not f.endswith("*")}
         self.stems = {f[:-1]: w / 10 for f, w in lexicon.items() if f.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.classes = {w: "threat" for w in THREATS} | {w: "target" for w in TARGETS}
-        self.classes |= {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
+        self.threats = set(THREATS)
+        self.threat_lengths = sorted(set(map(len, THREATS)))
+        self.closed = {w: 4 for w in TARGETS} | {w: 5 for w in NEGATIONS} | {w: 6 for w in REPORTS}
+        self.known: dict[str, tuple[int, float]] = {}
         self.finder = ahocorasick.Automaton()
         for f in [*self.words, *self.stems, *THREATS]:
             self.finder.add_word(f, len(f))
         self.finder.make_automaton()
 
-    def insult(self, word: str) -> float:
-        """Weight that the lexicon transducer writes for a word."""
-        found = self.words.get(word, 0.0)
+    def symbol(self, word: str) -> tuple[int, float]:
+        """The lexicon transducer: a word's symbol and weight.  What the lexicon holds is an insult, whatever else it is."""
+        weight = self.words.get(word, 0.0)
         for k in self.lengths:
-            found = max(found, self.stems.get(word[:k], 0.0))
-        return found
+            weight = max(weight, self.stems.get(word[:k], 0.0))
+        threat = any(word[:k] in self.threats for k in self.threat_lengths)
+        if weight or threat:
+            return 1 * (weight > 0) + 2 * threat, weight
+        return self.closed.get(word, 0), 0.0
 
     def clause(self, words: list[str], quoted: bool = False) -> list[float]:
-        """Evidence of one clause by kind, from the composed automaton."""
+        """Evidence of one clause by kind."""
         out = [0.0] * len(KINDS)
-        negated = reported = target = threat = 0  # words for which each state still holds
-        if quoted:
-            reported = REPORT_REACH
+        state = QUOTED if quoted else START
         for word in words:
-            kind = self.classes.get(word)
-            weight = self.insult(word)
-            near = 1.25 if target else 1.0
-            if weight:
-                out[2 if reported else 1 if negated else 0] += weight * near
-            if kind == "threat":
-                threat = TARGET_REACH
-            elif kind == "target":
-                if threat and not negated and not reported:
-                    out[3] += 1.0
-                target = TARGET_REACH
-            if kind == "negation":
-                negated = NEGATION_REACH + 1
-            elif kind == "report":
-                reported = REPORT_REACH + 1
-            negated, reported, target, threat = (max(0, x - 1) for x in (negated, reported, target, threat))
+            found = self.known.get(word)
+            if found is None:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                found = self.known[word] = self.symbol(word)
+            state, insult, times, threat = TABLE[state][found[0]]
+            if insult >= 0:
+                out[insult] += found[1] * times
+            if threat >= 0:
+                out[threat] += 1.0
         return out
 
     def evidence(self, text: str | None) -> list[float]:
@@ -203,10 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
     n = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     least = max(3, n_toxic // 200)
-    # a document has a bounded share of features above the support threshold; the
-    # candidates are bounded besides
-    found = document_counts(rows.filter("toxic = 1")).filter(F.col("n") >= least)
-    toxic = {r[0]: r[1] for r in found.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()}
+    # bounded: each is in one in 200 of at most max_rows texts, so there are at most 200 times
+    # as many as a text has on average
+    toxic = {r[0]: r[1] for r in document_counts(rows.filter("toxic = 1")).filter(F.col("n") >= least).collect()}
     clean = {r[0]: r[1] for r in document_counts(rows.filter("toxic = 0"), set(toxic)).collect()}
     lexicon = choose_lexicon(toxic, clean, n_toxic, n_clean)
 
@@ -228,7 +288,8 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> Da
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) of every whole text.
 
     A null text counts as empty and gets the score of a text without matches.
-    Repeated rows are scored once each; other columns are ignored."""
+    Repeated rows are scored once each, a null doc_id is kept; other columns, whatever
+    their names, are ignored; an empty table gives no rows."""
 
     def run(batches):
         grammar = Grammar(lexicon)
@@ -241,7 +302,9 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> Da
 
 
 def clean_rows(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below 0.5."""
+    """The rows of ``docs``, with all their columns, whose score is below 0.5.
+
+    Null and empty texts have no matches; repeated rows and null ids are judged one by one."""
     at = docs.columns.index("text")
 
     def run(batches):

@@ -387,6 +387,52 @@ def test_toxicity_grammar():
     assert g.evidence("nothing here. idiotic words") == [0.0] * 4 and g.evidence(None) == [0.0] * 4
 
 
+def test_grammar_table_as_a_plain_reading(spark):
+    """The composed table against a reading of each clause that looks back word by word."""
+    lexicon = {"idiot": 6.0, "moro*": 4.0, "shoot": 3.0, "kill*": 2.5}
+    g = toxicity.Grammar(lexicon)
+    vocabulary = "idiot moron shoot killer kill strangled you he them not never says wrote a the of töten".split()
+    starts = tuple(toxicity.THREATS)
+
+    def plain(words, quoted):
+        out = [0.0] * 4
+        within = lambda i, reach, group: any(group(w) for w in words[max(0, i - reach) : i])
+        symbol = {}
+        for w in words:
+            weight = max([v / 10 for f, v in lexicon.items() if w == f or f.endswith("*") and w.startswith(f[:-1])], default=0.0)
+            threat = w.startswith(starts)
+            symbol[w] = weight, threat, not (weight or threat) and w in toxicity.TARGETS, not (weight or threat) and w in toxicity.NEGATIONS, not (weight or threat) and w in toxicity.REPORTS
+        for i, w in enumerate(words):
+            weight, threat, target, *_ = symbol[w]
+            reported = within(i, 12, lambda x: symbol[x][4]) or quoted and i < 12
+            governed = 2 if reported else 1 if within(i, 3, lambda x: symbol[x][3]) else None
+            near = within(i, 4, lambda x: symbol[x][2])
+            if weight:
+                out[governed or 0] += weight * (1.25 if near else 1)
+            if threat and near or target and within(i, 4, lambda x: symbol[x][1]):
+                out[3 if governed is None else governed] += 1
+        return out
+
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        words = rng.choice(vocabulary, rng.integers(1, 25)).tolist()
+        for quoted in (False, True):
+            assert np.allclose(g.clause(words, quoted), plain(words, quoted)), words
+    for t in ("ich werde dich töten", "you I will kill", "you must be shot"):
+        assert g.evidence(t)[3] > 0 and g.evidence("not " * 3 + t.split()[-1])[3] == 0
+    # a whole table: evidence is the sum over clauses, scores are a function of evidence
+    weights = np.array([-3.0, 6.0, 2.5, 3.0, 6.0])
+    texts = [(1, "You idiot! He is not a moron.\nWho says idiot; kill them"), (None, ""), (1, None), (2, "x " * 60_000 + "you idiot"), (2, "x " * 60_000 + "you idiot")]
+    rows = spark.createDataFrame([(i, t, "k", 0.5) for i, t in texts], "doc_id long, text string, score string, predicted double")
+    got = sorted((key(r["doc_id"]), r["score"]) for r in toxicity.score(rows, lexicon, weights).collect())
+    want = []
+    for i, t in texts:
+        total = np.sum([plain(toxicity.WORD.findall(c), False) for c in toxicity.CLAUSE_END.split((t or "").lower())], axis=0)
+        want.append((key(i), 1 / (1 + np.exp(-(weights[0] + np.log1p(total) @ weights[1:])))))
+    assert np.allclose(got, sorted(want))
+    assert toxicity.clean_rows(rows, lexicon, weights).count() == sum(p < 0.5 for _, p in want)
+
+
 def test_toxicity_learns(spark, none):
     clean = ["the quiet river ran past the old stone mill", "bread and butter on the table", "a long road to the town"]
     rows = [(i, clean[i % 3] + (" such a snorkwad here" if i % 5 == 0 else "")) for i in range(400)]

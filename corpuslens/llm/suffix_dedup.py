@@ -7,6 +7,8 @@ document with a smaller doc_id.  Not every suffix has to be sorted for that:
    smallest hash, a choice that depends on the window's bytes alone, so equal windows
    have equal anchors at equal offsets.  Some six in a hundred positions are anchors.
 2. Grams that occur in one document only are set aside; only hashes travel for that.
+   Of a gram that a task meets in several documents only two are sent to the others; the
+   rest are known to be shared, so a gram that every document holds is no hot key.
 3. The suffixes at the other anchors (the bytes a window can reach from its anchor, to
    the right and then to the left) are sorted within a bucket of documents, front-coded
    as runs, and exchanged by gram.
@@ -33,6 +35,8 @@ from corpuslens.llm.store import settle, table
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors are found at once, and anchors held before they are sent.
 CHUNK_BYTES, HELD_ANCHORS = 1 << 20, 2_000_000
+#: Bytes of text for each bucket of documents, and for each receiver of suffixes.
+BUCKET_BYTES, RECEIVER_BYTES = 24 << 20, 12 << 20
 
 #: Odd multipliers of the mixing function.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -112,15 +116,23 @@ def text_chunks(sizes: np.ndarray):
         i = j
 
 
-def gram_rows(ranges: int):
-    """Anchors of texts as rows (r, docs, sizes, grams): by range of the hash, runs of documents."""
+def gram_rows(ranges: int, buckets: int):
+    """Anchors of texts as rows (r, docs, sizes, grams), each with its runs of documents.
+
+    r is a range of the hash; or, for grams known to be shared, ranges + a bucket of documents."""
 
     def send(docs, grams):
         doc, h = np.concatenate(docs), np.concatenate(grams)
-        r = ((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+        r = (((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(h)
+        new = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+        times = np.diff(np.append(new, len(h)))
+        low, high = (np.repeat(pick.reduceat(doc[order], new), times) for pick in (np.minimum, np.maximum))
+        settled = order[(low < doc[order]) & (doc[order] < high)]
+        r[settled] = ranges + bucket_of(doc[settled], buckets)
         order = np.argsort(r, kind="stable")
         doc, h, r = doc[order], h[order], r[order]
-        cuts = np.append(np.flatnonzero(np.diff(r, prepend=r[0] + np.uint64(1))), len(r)) if len(r) else [0]
+        cuts = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
         out = [[], [], [], []]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             new = np.flatnonzero(np.diff(doc[a:b], prepend=~doc[a]))
@@ -150,8 +162,10 @@ def gram_rows(ranges: int):
     return run
 
 
-def shared_grams(buckets: int):
-    """Of one range of hashes: (document, gram) pairs whose gram is in several documents, by bucket."""
+def shared_grams(ranges: int, buckets: int):
+    """Of one range of hashes: (document, gram) pairs whose gram is in several documents, by bucket.
+
+    Pairs known to be so pass through."""
 
     def run(rows: pa.Table) -> pa.Table:
         docs, grams = [], []
@@ -159,12 +173,13 @@ def shared_grams(buckets: int):
             docs.append(np.repeat(undelta(d.as_py(), np.int64), expand(s.as_py(), np.uint32)))
             grams.append(unsix(g.as_py()))
         doc, h = np.concatenate(docs), np.concatenate(grams)
-        order = np.argsort(h)
-        doc, h = doc[order], h[order]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        several = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new)
-        keep = np.repeat(several, np.diff(np.append(new, len(h))))
-        doc, h = doc[keep], h[keep]
+        if rows["r"][0].as_py() < ranges:
+            order = np.argsort(h)
+            doc, h = doc[order], h[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            several = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new)
+            keep = np.repeat(several, np.diff(np.append(new, len(h))))
+            doc, h = doc[keep], h[keep]
         b = bucket_of(doc, buckets)
         order = np.lexsort((h, doc, b))
         doc, h, b = doc[order], h[order], b[order]
@@ -229,10 +244,9 @@ def loser_merge(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[
 
     def lower(a: int, b: int, same: int) -> tuple[bool, int]:
         """Whether a goes before b, which share ``same`` bytes at least, and what they share."""
-        x, y = current[a], current[b]
+        x, y = current[a][same:], current[b][same:]
         if x == y:
-            return a < b, len(x)
-        x, y = x[same:], y[same:]
+            return a < b, same + len(x)
         if x[0] != y[0]:
             return x < y, same
         differ = int.from_bytes(x) ^ int.from_bytes(y)
@@ -509,18 +523,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     Strings are judged on the input; matches never cross documents.  A null text counts
     as empty; texts shorter than ``length`` bytes lose nothing.  Rows that repeat a
     doc_id are judged one by one, and neither is smaller than the other; rows with a
-    null doc_id lose nothing and take nothing from others.  An empty table gives no rows.
+    null doc_id lose nothing and take nothing from others.  Other columns, whatever their
+    names, are ignored; an empty table gives no rows.
+
+    Buckets of documents and receivers of suffixes are as many as the measured bytes of
+    text ask for, so what a task holds at once does not grow with the table.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
-    grams = known.mapInArrow(gram_rows(parts), "r int, docs binary, sizes binary, grams binary")
-    wanted = grams.groupBy("r").applyInArrow(shared_grams(buckets), "bucket int, docs binary, grams binary")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * parts, size // BUCKET_BYTES)
+    receivers = max(4 * parts, size // RECEIVER_BYTES)
+    grams = known.mapInArrow(gram_rows(receivers, buckets), "r int, docs binary, sizes binary, grams binary")
+    wanted = grams.groupBy("r").applyInArrow(shared_grams(receivers, buckets), "bucket int, docs binary, grams binary")
     packed = packed_texts(known, buckets)
     runs = packed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(
-        suffix_runs(parts, length, gram), "receiver int, behind boolean, bucket int, first long, shared binary, rest binary, docs binary"
+        suffix_runs(receivers, length, gram), "receiver int, behind boolean, bucket int, first long, shared binary, rest binary, docs binary"
     )
     found = settle(
         runs.groupBy("receiver").applyInArrow(merge_runs(length, gram), "bucket int, behind boolean, number binary, back binary, docs binary"), "suffix-hits"

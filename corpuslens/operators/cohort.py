@@ -14,7 +14,9 @@ def seed_summary(records: DataFrame, roster: DataFrame) -> DataFrame:
     """Per model and metric: n, mean, sample std (0 for one), min, max, values by seed, and missing seeds of the roster (model, seed)."""
     held = records.filter(F.col("value").isNotNull())
     s = held.groupBy("model", "metric").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("std"), r6(F.min("value")).alias("lowest"), r6(F.max("value")).alias("highest")
+        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("std"), r6(F.min("value")).alias("lowest"), r6(F.max("value")).alias("highest"),
+        # millionths, as text is the same in every engine
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seed", F.round(F.col("value") * 1e6).cast("long").alias("v")))), lambda x: F.concat_ws(":", x["seed"], x["v"])), ",").alias("values_e6"),
     )
     wanted = roster.crossJoin(F.broadcast(held.select("metric").distinct()))  # one row per metric
     missing = wanted.join(held, ["model", "seed", "metric"], "left_anti").groupBy("model", "metric").agg(F.array_join(F.sort_array(F.collect_list("seed")), ",").alias("missing_seeds"))
@@ -28,14 +30,21 @@ def prefer(primary: DataFrame, fallback: DataFrame, keys: list[str], value: str
 
 
 def cohort_delta(a: DataFrame, b: DataFrame, keys: list[str], threshold: float = 0.005) -> DataFrame:
-    """Change of mean and std between two summaries; MATERIAL from the threshold on."""
+    """Mean and std of the first summary less those of the second; MATERIAL from the threshold on, else NEGLIGIBLE."""
     x, y = a.select(*keys, F.col("mean").alias("ma"), F.col("std").alias("sa")), b.select(*keys, F.col("mean").alias("mb"), F.col("std").alias("sb"))
-    d = F.col("mb") - F.col("ma")
+    d = F.col("ma") - F.col("mb")
     return x.join(y, keys).select(
-        *keys, r6(d).alias("d_mean"), r6(F.abs(d)).alias("abs_d"), r6(F.col("sb") - F.col("sa")).alias("d_std"), F.when(F.round(F.abs(d), 6) >= threshold, "MATERIAL").otherwise("OK").alias("status")
+        *keys, r6(d).alias("d_mean"), r6(F.abs(d)).alias("abs_d"), r6(F.col("sa") - F.col("sb")).alias("d_std"), F.when(F.round(F.abs(d), 6) >= threshold, "MATERIAL").otherwise("NEGLIGIBLE").alias("status")
     )
 
 
+def materiality(deltas: DataFrame, by: list[str], metric: str = "metric") -> DataFrame:
+    """by, verdict over all metrics (MATERIAL if any is), number of metrics, and the metrics that are, as reason."""
+    over = F.array_sort(F.collect_list(F.when(F.col("status") == "MATERIAL", F.col(metric))))
+    out = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("n_metrics"), F.array_join(over, ", ").alias("reason"))
+    return out.withColumn("verdict", F.when(F.col("reason") == "", "NEGLIGIBLE").otherwise("MATERIAL"))
+
+
 def noise_floor(summary: DataFrame) -> DataFrame:
     """Mean over the std between seeds; null if there is no spread."""
     return summary.select("model", "metric", "mean", "std", r6(F.when(F.col("std") > 0, F.col("mean") / F.col("std"))).alias("n_sigma"))
@@ -54,11 +63,35 @@ def sign_tally(records: DataFrame, by: str, test) -> DataFrame:
     return t.withColumn("tally", F.format_string("%d/%d", "k", "n"))
 
 
-def grid_summary(cells: DataFrame, baseline: DataFrame) -> DataFrame:
-    """criterion, depth: mean and largest deviation from the seed's own baseline, with a verdict."""
-    d = cells.join(baseline, "seed").withColumn("dev", F.col("value") - F.col("base"))
+def prior_comparison(summary: DataFrame, prior: DataFrame, keys: list[str], sigmas: float = 2.0) -> DataFrame:
+    """Mean of a cohort against that of a prior one, in the cohort's deviations; outside beyond ``sigmas`` of them."""
+    j = summary.join(prior.select(*keys, F.col("mean").alias("prior_mean")), keys)
+    d = F.col("mean") - F.col("prior_mean")
+    return j.select(*keys, "mean", "prior_mean", r6(d).alias("d_mean"), r6(F.when(F.col("std") > 0, d / F.col("std"))).alias("n_sigma"), F.coalesce(F.abs(d) > sigmas * F.col("std"), F.lit(False)).alias("outside"))
+
+
+def grid_summary(cells: DataFrame, baseline: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """criterion, depth: mean and largest deviation from the seed's own baseline; stable if that stays below the tolerance."""
+    d = cells.join(baseline.select("seed", "base"), "seed").withColumn("dev", F.col("value") - F.col("base"))
     out = d.groupBy("criterion", "depth").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dev")).alias("mean_dev"), r6(F.max(F.abs("dev"))).alias("max_dev"))
-    return out.withColumn("verdict", F.when(F.col("max_dev") <= 0.02, "STABLE").when(F.col("max_dev") <= 0.1, "MINOR").otherwise("MAJOR"))
+    return out.withColumn("stable", F.col("max_dev") < tolerance)
+
+
+def grid_verdict(grid: DataFrame, baseline: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """One row: largest deviation over the grid, and what the probes of the seeds (``probe`` of the baseline) say.
+
+    ABSENT if all seeds are within [.45, .55], WEAK if none exceeds .60, else MIXED."""
+    top = grid.agg(r6(F.max("max_dev")).alias("max_dev"))
+    p = baseline.agg(F.min("probe").alias("probe_min"), F.avg("probe").alias("probe_mean"), F.max("probe").alias("probe_max"))
+    verdict = F.when((F.col("probe_max") <= 0.55) & (F.col("probe_min") >= 0.45), "ABSENT").when(F.col("probe_max") <= 0.60, "WEAK").otherwise("MIXED")
+    return top.crossJoin(p).select("max_dev", (F.col("max_dev") < tolerance).alias("stable"), r6("probe_min").alias("probe_min"), r6("probe_mean").alias("probe_mean"), r6("probe_max").alias("probe_max"), verdict.alias("verdict"))
+
+
+def grid_flags(baseline: DataFrame) -> DataFrame:
+    """seed, flags: probes outside [.45, .65], and reconstructions that separate better than the vectors."""
+    odd = F.when((F.col("probe") < 0.45) | (F.col("probe") > 0.65), "probe out of range")
+    rise = F.when(F.col("original") - F.col("recon") < 0, "reconstruction above original")
+    return baseline.select("seed", F.concat_ws("; ", odd, rise).alias("flags")).filter("flags <> ''")
 
 
 def quality_tier(records: DataFrame, value: str = "value") -> DataFrame:
@@ -82,7 +115,7 @@ def verify_claims(claims: DataFrame, metrics: DataFrame, tolerance: float = 0.00
     j = claims.join(metrics.select("path", F.col("value").alias("actual")), "path", "left")
     diff = F.abs(F.col("actual") - F.col("expected"))
     ok = F.round(diff, 9) <= F.coalesce(F.col("tol"), F.lit(tolerance))
-    return j.select("label", r6("actual").alias("actual"), r6(diff).alias("diff"), F.when(F.col("actual").isNull(), "MISSING").when(ok, "PASS").otherwise("FAIL").alias("status"))
+    return j.select("label", r6("actual").alias("actual"), r6(diff).alias("diff"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("status"))
 
 
 def claims_summary(checked: DataFrame) -> DataFrame:
@@ -121,3 +154,35 @@ def gate_cells(cells: DataFrame, gates: dict) -> DataFrame:
     """cell, passed, reasons: every gate (name: condition) that does not hold is named."""
     failed = F.concat_ws("; ", *[F.when(~F.coalesce(test, F.lit(False)), name) for name, test in gates.items()])
     return cells.select("cell", (failed == "").alias("passed"), failed.alias("reasons"))
+
+
+#: The bounds of the gates of an ablation cell.
+MIN_COSINE, ERROR_RATIO, MIN_ALIVE, PRIMARY_RANK, MIN_VARIANCE = 0.85, (0.01, 0.30), 100, 50, 0.10
+
+
+def ablation_gates(cells: DataFrame, min_alive: int = MIN_ALIVE) -> DataFrame:
+    """cell, passed, reasons of ablation cells (cell, recon_cos, err_ratio, alive, rank_eff, k, var_50).
+
+    The share of variance in 50 directions counts at the primary rank only."""
+    c = F.col
+    gates = {
+        "recon_cos": c("recon_cos") >= MIN_COSINE,
+        "err_ratio": c("err_ratio").between(*ERROR_RATIO),
+        "alive": c("alive") >= min_alive,
+        "rank": c("rank_eff") > c("k"),
+        "variance": (c("k") != PRIMARY_RANK) | (c("var_50") >= MIN_VARIANCE),
+    }
+    return gate_cells(cells, gates)
+
+
+def decisive(cells: DataFrame) -> DataFrame:
+    """cell, beats_random, beats_noise, beats_mask, passes: a drop (``delta``) against the controls.
+
+    It must exceed those of 95 of 100 random bases and noises (auroc_h less their 5th
+    percentile), and that of the masks by three deviations."""
+    d, h = F.col("delta"), F.col("auroc_h")
+    out = cells.select(
+        "cell", (d > h - F.col("random_pct05")).alias("beats_random"), (d > h - F.col("noise_pct05")).alias("beats_noise"),
+        (d > h - F.col("mask_mean") + 3 * F.col("mask_std")).alias("beats_mask"),
+    )
+    return out.withColumn("passes", F.col("beats_random") & F.col("beats_noise") & F.col("beats_mask"))

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.vectors import cosine, minus, norm
+from corpuslens.functions.draws import u01
+from corpuslens.functions.vectors import cosine, minus, norm, scaled
 from corpuslens.operators import metrics as M
 from corpuslens.operators.vectors import mean_vector, project
 
@@ -24,9 +25,9 @@ class Dictionary:
     """The matrices of a dictionary table, and its encode and decode rules."""
 
     def __init__(self, table: DataFrame, b_dec: np.ndarray, kind: str = "relu", k: int | None = None):
-        rows = table.orderBy("feature_id").collect()  # a model, not data
-        if len(rows) * len(b_dec) > MAX_NUMBERS:
+        if table.count() * len(b_dec) > MAX_NUMBERS:
             raise ValueError("the dictionary is too large to broadcast")
+        rows = table.orderBy("feature_id").collect()  # a model, not data; its size is checked
         self.ids = np.array([r["feature_id"] for r in rows], np.int32)
         self.w = np.array([r["w"] for r in rows], float)
         self.dec = np.array([r["w_dec"] for r in rows], float) if "w_dec" in table.columns else self.w
@@ -63,7 +64,7 @@ def encode(acts: DataFrame, dictionary: Dictionary, keys=("doc_id", "label"), ve
             if not batch.num_rows:
                 continue
             own = shared.value
-            z = own.encode(np.array(batch.column(n).to_pylist(), float))
+            z = own.encode(np.asarray(batch.column(n).flatten(), float).reshape(batch.num_rows, -1))
             row, col = np.nonzero(z > 0)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -84,7 +85,7 @@ def decompose(acts: DataFrame, dictionary: Dictionary, keys=("doc_id", "label"),
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(n).to_pylist(), float)
+            x = np.asarray(batch.column(n).flatten(), float).reshape(batch.num_rows, -1)
             z = shared.value.encode(x)
             r = shared.value.decode(z)
             arrays = [pa.array(list(v), doubles) for v in (x, r, x - r)]
@@ -120,11 +121,11 @@ def decomposition_audit(parts: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def recon_quality(parts: DataFrame, size: int) -> DataFrame:
-    """Squared error (summed over dimensions), row cosine, active features, sparsity, error ratio; means over rows."""
+    """Squared error (summed over dimensions), row cosine, active features, their share (sparsity), error ratio; means over rows."""
     err = norm(F.col("resid"))
     return parts.agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.avg(cosine(F.col("h"), F.col("recon"))).alias("cosine"), F.avg("l0").alias("l0"),
-        F.avg(1 - F.col("l0") / size).alias("sparsity"), F.avg(err / (norm(F.col("h")) + 1e-12)).alias("error_ratio"),
+        F.avg(F.col("l0") / size).alias("sparsity"), F.avg(err / (norm(F.col("h")) + 1e-12)).alias("error_ratio"),
     )
 
 
@@ -137,6 +138,17 @@ def eval_summary(parts: DataFrame, codes: DataFrame, size: int) -> DataFrame:
     return a.crossJoin(c).select("n", "fvu", "mse", (F.col("l1") / F.col("n")).alias("l1_mean"), F.col("l1").alias("l1_sum"), (1 - F.col("alive") / size).alias("dead_fraction"))
 
 
+def random_dictionary(spark, n: int, dim: int, seed: int, kind: str = "gaussian") -> DataFrame:
+    """feature_id, w: unit rows of hash-seeded normals, or of uniform numbers in (-1, 1)."""
+    draw = lambda i, k: u01(F.lit(seed), F.col("feature_id"), i, F.lit(k))
+    if kind == "gaussian":
+        x = lambda i: F.sqrt(-2 * F.log(1 - draw(i, 0))) * F.cos(2 * F.pi() * draw(i, 1))
+    else:
+        x = lambda i: 2 * draw(i, 0) - 1
+    rows = spark.range(n).select(F.col("id").cast("int").alias("feature_id")).withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), x))
+    return rows.select("feature_id", scaled(F.col("w"), 1.0 / norm(F.col("w"))).alias("w"))
+
+
 def feature_alignment(dictionary: DataFrame, d: DataFrame) -> DataFrame:
     """feature_id, cosine of the decoder row with the direction (one row)."""
     return dictionary.crossJoin(F.broadcast(d.select("d"))).select("feature_id", cosine(F.col("w"), F.col("d")).alias("cos"))
@@ -211,7 +223,7 @@ def health_summary(stats: DataFrame) -> DataFrame:
         F.count_if(f >= 1e-3).alias("healthy"), F.count_if(f > 0.5).alias("always_on"), *[F.count_if(f >= t).alias(f"at_least_{n}") for n, t in (("1e5", 1e-5), ("1e4", 1e-4), ("1e3", 1e-3), ("1e2", 1e-2))],
     )
     share = F.col("dead") / F.col("n_features")
-    return c.withColumn("verdict", F.when(share < 0.3, "HEALTHY").when(share < 0.5, "DEGRADED").otherwise("POOR"))
+    return c.withColumn("verdict", F.when(share > 0.5, "COLLAPSED").when(share > 0.3, "MANY_DEAD").otherwise("ACCEPTABLE"))
 
 
 def freq_histogram(stats: DataFrame) -> DataFrame:

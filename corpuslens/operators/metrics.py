@@ -42,19 +42,20 @@ def _keyed(scores: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (scores, list(by)) if by else (scores.withColumn("all_rows", F.lit(0)), ["all_rows"])
 
 
-def value_counts(scores: DataFrame, by: list[str], label: str = "label", value: str = "value") -> DataFrame:
-    """(by, value, n_pos, n_neg) of rows with a label and a score."""
+def value_counts(scores: DataFrame, by: list[str], label: str = "label", value: str = "value", weight: str | None = None) -> DataFrame:
+    """(by, value, n_pos, n_neg) of rows with a label and a score; ``weight`` counts a row so many times."""
+    one = F.col(weight) if weight else F.lit(1)
     return (
         scores.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
         .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n_neg"))
+        .agg(F.sum(F.when(F.col(label) == 1, one).otherwise(0)).alias("n_pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).alias("n_neg"))
     )
 
 
-def auroc(scores: DataFrame, by=(), label: str = "label", value: str = "value") -> DataFrame:
+def auroc(scores: DataFrame, by=(), label: str = "label", value: str = "value", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve with ties as one half; 0.5 if a class is absent: by, n_pos, n_neg, auroc."""
     scores, keys = _keyed(scores, by)
-    counts = cumulated(value_counts(scores, keys, label, value), keys, "value", {"below": "n_neg"})
+    counts = cumulated(value_counts(scores, keys, label, value, weight), keys, "value", {"below": "n_neg"})
     area = F.sum(F.col("n_pos") * (2 * F.col("below") + F.col("n_neg")))
     out = counts.groupBy(*keys).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), area.alias("u2"))
     both = F.col("n_pos") * F.col("n_neg")
@@ -68,10 +69,10 @@ def oriented(df: DataFrame, a: str = "auroc") -> DataFrame:
     return df.withColumn("auroc_bi", F.greatest(F.col(a), 1 - F.col(a))).withColumn("sign", F.when(1 - F.col(a) > F.col(a), -1).otherwise(1))
 
 
-def roc_points(scores: DataFrame, by=(), label: str = "label", value: str = "value") -> DataFrame:
+def roc_points(scores: DataFrame, by=(), label: str = "label", value: str = "value", weight: str | None = None) -> DataFrame:
     """One row per distinct score: threshold, tpr and fpr of "score >= threshold"."""
     scores, keys = _keyed(scores, by)
-    counts = cumulated(value_counts(scores, keys, label, value), keys, "value", {"tp": "n_pos", "fp": "n_neg"}, descending=True)
+    counts = cumulated(value_counts(scores, keys, label, value, weight), keys, "value", {"tp": "n_pos", "fp": "n_neg"}, descending=True)
     totals = counts.groupBy(*keys).agg(F.sum("n_pos").alias("p"), F.sum("n_neg").alias("n"))
     share = lambda x, t: F.when(F.col(t) > 0, x.cast("double") / F.col(t)).otherwise(0.0)
     return counts.join(totals, keys).select(
@@ -96,6 +97,22 @@ def tpr_at_fpr(scores: DataFrame, by=(), fprs=(0.001, 0.01, 0.05), label: str =
     return points.groupBy(*by).agg(*[tpr_at(points, f).alias(n) for f, n in zip(fprs, names, strict=True)])
 
 
+def _area(scores: DataFrame, by, weight: str | None = None) -> DataFrame:
+    return auroc(scores, by, weight=weight).withColumnRenamed("auroc", "metric")
+
+
+def _rate(fpr: float):
+    def metric(scores: DataFrame, by, weight: str | None = None) -> DataFrame:
+        points = roc_points(scores, by, weight=weight)
+        return points.groupBy(*by).agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"), tpr_at(points, fpr).alias("metric"))
+
+    return metric
+
+
+#: Metrics by name, for the bootstraps: (scores, by, weight) -> by, n_pos, n_neg, metric.
+METRICS = {"auroc": _area, "tpr_at_0.1%": _rate(0.001), "tpr_at_1%": _rate(0.01), "tpr_at_5%": _rate(0.05)}
+
+
 def youden(scores: DataFrame, by=(), label: str = "label", value: str = "value") -> DataFrame:
     """Threshold with the largest tpr - fpr; of equals the largest threshold."""
     points = roc_points(scores, by, label, value)

@@ -1,43 +1,57 @@
 """Bootstraps, permutation nulls and tests.
 
-Two forms of the bootstrap share their metrics.  The relational form draws rows with
-hash draws, so SQL can repeat it; its cost is rows times replicates.  The kernel is for
-many replicates of score vectors that fit in a task: scores are sorted once, every
-replicate is a count of draws over the sorted order, and blocks of replicates are tasks.
+The relational bootstrap gives every row of every replicate a Poisson(1) weight from a
+hash draw: no row is numbered, joined or moved for that, and rows of equal score are added
+up before they are shuffled.  SQL can repeat it.  Where class sizes must stay, rows are
+drawn with replacement from numbered groups.  The kernel is for many replicates of score
+vectors that fit in a task: scores are sorted once, every replicate is a count of draws
+over the sorted order, and blocks of replicates are tasks.
 """
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import u01
+from corpuslens.functions.vectors import cosine
 from corpuslens.operators import metrics as M
+from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import exact_rank
 
 #: Longest score vector that is broadcast to the kernel's tasks.
 MAX_BROADCAST_SCORES = 2_000_000
 
 
-def numbered(scores: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
-    """Add idx (from 0, by key) and n, the group's size; for groups that are drawn from."""
-    w = Window.partitionBy(*by)
-    return scores.withColumn("idx", F.row_number().over(w.orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+#: Chances that a Poisson(1) number is at most 0, 1, ...; a draw's weight is how many of them it reaches.
+POISSON = [round(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)), 12) for k in range(12)]
+#: What to do with a replicate that holds one class only: leave it out, take the metric's value for it, or draw again.
+SINGLE_CLASS, REDRAWS = ("skip", "keep", "redraw"), 10
 
 
-def draws(sizes: DataFrame, replicates: int, seed: int, by: list[str]) -> DataFrame:
-    """by, b, idx: n draws with replacement for each replicate b of each group (columns by, n)."""
-    grid = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return grid.select(*by, "b", F.floor(u01(F.lit(seed), F.col("b"), F.col("j")) * F.col("n")).cast("int").alias("idx"))
+def weighted(scores: DataFrame, replicates: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """Rows of every replicate b with their weight; rows of weight 0 are left out."""
+    rows = scores.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draw = u01(F.lit(seed), F.col("b"), F.col(key))
+    weight = sum((draw >= F.lit(c)).cast("int") for c in POISSON)
+    return rows.withColumn("weight", weight).filter("weight > 0")
 
 
 def resampled(scores: DataFrame, replicates: int, seed: int, by: list[str], key: str = "doc_id") -> DataFrame:
-    """Rows of every replicate: the columns of ``scores`` and b."""
-    own = numbered(scores, by, key)
-    sizes = own.groupBy(*by).agg(F.max("n").alias("n"))
-    return draws(sizes, replicates, seed, by).join(own.drop("n"), [*by, "idx"]).drop("idx")
+    """Rows of every replicate, as many from each group as it has: the columns of ``scores`` and b.
+
+    Rows are numbered in slices of a hash draw, so a large group is not sorted by one task."""
+    own = exact_rank(scores, by, seed, key).withColumnRenamed("place", "idx")
+    sizes = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = sizes.repartition(parts, *by, "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    drawn = grid.select(*by, "b", F.floor(u01(F.lit(seed), F.col("b"), F.col("j")) * F.col("n")).cast("int").alias("idx"))
+    return drawn.join(own, [*by, "idx"]).drop("idx")
 
 
 def interval(values: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -47,13 +61,27 @@ def interval(values: DataFrame, by: list[str], column: str) -> DataFrame:
     return out.select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "std", "n_valid")
 
 
-def both_classes(area: DataFrame) -> DataFrame:
-    return area.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+def replicates_of(scores: DataFrame, by: list[str], groups: list[str], replicates: int, seed: int, metric: str = "auroc", single_class: str = "skip", key: str = "doc_id") -> DataFrame:
+    """by, groups, b, metric of every replicate; rows of a key get the same weight in all ``groups`` of a replicate."""
+    if single_class not in SINGLE_CLASS:
+        raise ValueError(f"single_class is one of {SINGLE_CLASS}")
+    of, keys = M.METRICS[metric], [*by, *groups, "b"]
+    values = of(weighted(scores, replicates, seed, key), keys, "weight")
+    lost = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
+    if single_class == "skip":
+        values = values.filter(~lost)
+    for attempt in range(1, REDRAWS + 1 if single_class == "redraw" else 1):
+        missing = values.filter(lost).select(*by, "b").distinct()
+        if missing.isEmpty():
+            break
+        again = weighted(scores, replicates, seed + 1_000_003 * attempt, key).join(missing, [*by, "b"], "left_semi")
+        values = values.join(missing, [*by, "b"], "left_anti").unionByName(of(again, keys, "weight"))
+    return values.select(*keys, "metric")
 
 
-def bootstrap_ci(scores: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """Interval of the AUROC by group; replicates with one class only are skipped."""
-    return interval(both_classes(M.auroc(resampled(scores, replicates, seed, by), [*by, "b"])), by, "auroc")
+def bootstrap_ci(scores: DataFrame, by: list[str], replicates: int, seed: int, metric: str = "auroc", single_class: str = "skip") -> DataFrame:
+    """Interval of a metric by group."""
+    return interval(replicates_of(scores, by, [], replicates, seed, metric, single_class), by, "metric")
 
 
 def long_scores(wide: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
@@ -62,21 +90,43 @@ def long_scores(wide: DataFrame, names: list[str], keep: list[str]) -> DataFrame
     return wide.select(*keep, F.explode(pairs).alias("s")).select(*keep, "s.score", "s.value")
 
 
-def paired_difference(wide: DataFrame, a: str, b: str, replicates: int, seed: int, by: list[str], signed: bool = False) -> DataFrame:
-    """Difference of the AUROCs of scores a and b over the same draws: by, b, delta.
+def full_signs(wide: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, sign_a, sign_b, margin: how each score is oriented on the full sample, and the difference of the oriented AUROCs."""
+    full = M.oriented(M.auroc(long_scores(wide, [a, b], [*by, "label"]), [*by, "score"]))
+    pick = lambda n, c: F.max(F.when(F.col("score") == n, F.col(c)))
+    return full.groupBy(*by).agg(pick(a, "sign").alias("sign_a"), pick(b, "sign").alias("sign_b"), (pick(a, "auroc_bi") - pick(b, "auroc_bi")).alias("margin"))
+
+
+def paired_difference(wide: DataFrame, a: str, b: str, replicates: int, seed: int, by: list[str], signed: bool = False, metric: str = "auroc", single_class: str = "skip") -> DataFrame:
+    """Difference of the metrics of scores a and b over the same draws: by, b, delta.
 
     With ``signed`` each score is first oriented as on the full sample, once for all replicates."""
     rows = wide
     if signed:
-        full = M.oriented(M.auroc(long_scores(wide, [a, b], [*by, "label"]), [*by, "score"]))
-        signs = full.groupBy(*by).pivot("score", [a, b]).agg(F.max("sign"))
-        signs = signs.withColumnsRenamed({a: "sign_a", b: "sign_b"})
-        rows = wide.join(F.broadcast(signs), by) if by else wide.crossJoin(F.broadcast(signs))  # one row per group
+        rows = wide.join(F.broadcast(full_signs(wide, a, b, by).drop("margin")), by)  # one row per group
         rows = rows.withColumn(a, F.col(a) * F.col("sign_a")).withColumn(b, F.col(b) * F.col("sign_b")).drop("sign_a", "sign_b")
-    drawn = resampled(rows, replicates, seed, by)
-    area = both_classes(M.auroc(long_scores(drawn, [a, b], [*by, "b", "label"]), [*by, "b", "score"]))
-    wide_area = area.groupBy(*by, "b").pivot("score", [a, b]).agg(F.max("auroc"))
-    return wide_area.select(*by, "b", (F.col(a) - F.col(b)).alias("delta"))
+    own = replicates_of(long_scores(rows, [a, b], [*by, "doc_id", "label"]), by, ["score"], replicates, seed, metric, single_class)
+    pick = lambda n: F.max(F.when(F.col("score") == n, F.col("metric")))
+    return own.groupBy(*by, "b").agg((pick(a) - pick(b)).alias("delta")).filter("delta IS NOT NULL")
+
+
+def margin_table(wide: DataFrame, a: str, b: str, replicates: int, seed: int, by: list[str]) -> DataFrame:
+    """by, margin of the full sample, its interval with locked signs, and whether that excludes zero."""
+    ci = interval(paired_difference(wide, a, b, replicates, seed, by, signed=True), by, "delta")
+    excludes = (F.col("low") > 0) | (F.col("high") < 0)
+    return full_signs(wide, a, b, by).select(*by, "margin").join(ci, by).withColumn("excludes_zero", excludes)
+
+
+def refresh_intervals(scores: DataFrame, old: DataFrame, by: list[str], replicates: int, seed: int, metric: str = "auroc") -> DataFrame:
+    """Intervals computed anew beside the recorded ones (by, low, high of ``old``), with their differences; groups never recorded have null."""
+    new = bootstrap_ci(scores, by, replicates, seed, metric)
+    was = old.select(*by, F.col("low").alias("old_low"), F.col("high").alias("old_high"))
+    return new.join(was, by, "left").withColumn("d_low", F.col("low") - F.col("old_low")).withColumn("d_high", F.col("high") - F.col("old_high"))
+
+
+def append_history(history: DataFrame, refreshed: DataFrame, by: list[str], run: int) -> DataFrame:
+    """The history (by, run, low, high) with the refreshed intervals as a further run."""
+    return history.unionByName(refreshed.select(*by, F.lit(run).alias("run"), "low", "high"))
 
 
 def stratified_draws(scores: DataFrame, replicates: int, seed: int, fold: str, label: str = "label") -> DataFrame:
@@ -92,24 +142,137 @@ def permuted_labels(rows: DataFrame, permutations: int, seed: int, key: str = "d
     return ranked.crossJoin(F.broadcast(p)).withColumn("permuted", (F.col("place") < F.col("p")).cast("int")).drop("place", "p")
 
 
-def sign_test(rows: DataFrame, margin: str) -> DataFrame:
-    """Exact one-sided sign test of positive margins, and a decision."""
-    c = rows.filter(F.col(margin) != 0).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(margin) > 0).alias("k"))
+def sign_test(rows: DataFrame, margin: str, excludes: str = "excludes_zero") -> DataFrame:
+    """Exact one-sided sign test of positive margins, and a decision.
+
+    ACCEPT: p < .05 and at least three rows whose interval excludes zero; NUANCED: p < .05
+    and at least two; else NULL."""
+    c = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(margin) > 0).alias("k"), F.count_if(excludes).alias("n_excluding"))
     # C(n, i) by the product of (n - j) / (j + 1)
     comb = lambda i: F.aggregate(F.sequence(F.lit(1), i), F.lit(1.0), lambda a, j: a * (F.col("n") - i + j) / j)
     terms = F.transform(F.sequence(F.col("k"), F.col("n")), lambda i: F.when(i == 0, 1.0).otherwise(comb(F.greatest(i, F.lit(1)))))
     p = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), F.col("n"))
-    decision = F.when((F.col("p_value") < 0.05) & (F.col("k") == F.col("n")), "ACCEPT").when(F.col("p_value") < 0.5, "NUANCED").otherwise("NULL")
+    small = F.col("p_value") < 0.05
+    decision = F.when(small & (F.col("n_excluding") >= 3), "ACCEPT").when(small & (F.col("n_excluding") >= 2), "NUANCED").otherwise("NULL")
     return c.withColumn("p_value", F.round(p, 9)).withColumn("decision", decision)
 
 
+def permuted_directions(acts: DataFrame, d_r, permutations: int, seed: int, alpha: float = 1.0) -> DataFrame:
+    """m, c: cosine of the first contrastive direction under permuted labels with a fixed direction ``d_r``.
+
+    The places of every permutation's ones are gathered per row; each task adds up the
+    outer products of its ones for all permutations by one block product each, and one
+    small matrix a permutation is solved where its sums meet."""
+    ones = permuted_labels(acts.select("doc_id", "label"), permutations, seed).filter("permuted = 1")
+    held = ones.groupBy("doc_id").agg(F.collect_list("m").alias("ms"))  # at most `permutations` numbers
+    rows = acts.select("doc_id", "h").join(held, "doc_id", "left").select("h", "ms")
+    d_r = np.asarray(d_r, float)
+
+    def partial(batches):
+        sums = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+            x = np.hstack([x, np.ones((len(x), 1))])  # the last row and column hold sums and counts
+            mask = np.zeros((permutations + 1, len(x)), bool)
+            mask[permutations] = True
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                mask[own or [], i] = True
+            for m in range(permutations + 1):
+                own = x[mask[m]]
+                sums[m] = sums.get(m, 0.0) + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel().tolist() for g in sums.values()], pa.list_(pa.float64()))], ["m", "g"])
+
+    parts = rows.mapInArrow(partial, "m int, g array<double>")
+    whole = parts.filter(F.col("m") == permutations).select(F.col("g").alias("whole"))
+
+    def covariance(g: np.ndarray) -> np.ndarray:
+        n = g[-1, -1]
+        return (g[:-1, :-1] - np.outer(g[-1, :-1], g[-1, :-1]) / n) / (n - 1)
+
+    total = sum(np.array(r["whole"]) for r in whole.collect())  # one d-by-d matrix a task
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        size = len(d_r) + 1
+        one = np.sum(np.stack(own["g"]), axis=0).reshape(size, size)
+        values, vectors = np.linalg.eigh(covariance(one) - alpha * covariance(total.reshape(size, size) - one))
+        v = vectors[:, int(np.argmax(np.abs(values)))]
+        return pd.DataFrame({"m": [int(own["m"].iloc[0])], "c": [float(v @ d_r / (np.linalg.norm(v) * np.linalg.norm(d_r) + 1e-12))]})
+
+    return parts.filter(F.col("m") < permutations).groupBy("m").applyInPandas(solve, "m int, c double")
+
+
+def null_summary(null: DataFrame, observed: float) -> DataFrame:
+    """Two-sided p-value (#{|c| >= |observed|} + 1) / (M + 1), mean, sample std and 2.5 and 97.5 percentiles of a null (column c)."""
+    q = F.percentile("c", F.array(F.lit(0.025), F.lit(0.975)))
+    p = (F.count_if(F.abs("c") >= abs(observed)) + 1) / (F.count(F.lit(1)) + 1.0)
+    out = null.agg(F.avg("c").alias("mean"), F.stddev_samp("c").alias("std"), q.alias("q"), p.alias("p_value"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.lit(float(observed)).alias("observed"), "mean", "std", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_value", "n")
+
+
+def heldout_streams(parts: DataFrame, splits: int, frac: float, seed: int) -> DataFrame:
+    """split, doc_id, label, stream, value: scores of held-out rows along the mean difference fitted on the others.
+
+    ``parts``: doc_id, label, h, recon, resid.  Each class is cut at round(frac * n) places of
+    its own order in every split.  The AUROC does not depend on centring, so none is done."""
+    grid = parts.select("doc_id", "label").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    sizes = parts.groupBy("label").agg(F.count(F.lit(1)).alias("n_class"))
+    ranked = exact_rank(grid, ["split", "label"], seed, also=("split",)).join(F.broadcast(sizes), "label")  # one row per class
+    cut = ranked.select("doc_id", "split", (F.col("place") < F.bround(F.col("n_class") * frac)).alias("in_a"))
+    rows = parts.join(cut, "doc_id")
+    d = V.mean_diff(rows.filter("in_a"), ["split"]).select("split", "d")
+    b = rows.filter("NOT in_a").join(F.broadcast(d), "split")  # one direction a split
+    pairs = [F.struct(F.lit(s).alias("stream"), F.round(V.project(F.col(s), F.col("d")), 9).alias("value")) for s in ("h", "recon", "resid")]
+    cosine_ = F.round(cosine(F.col("h"), F.col("recon")), 9)
+    return b.select("split", "doc_id", "label", cosine_.alias("recon_cos"), F.explode(F.array(*pairs)).alias("s")).select("split", "doc_id", "label", "recon_cos", "s.stream", "s.value")
+
+
+def heldout_splits(streams: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per split: class sizes, AUROC of the three streams, row cosine, and the drop (vector less reconstruction) with its interval."""
+    area = M.auroc(streams, ["split", "stream"])
+    pick = lambda n: F.max(F.when(F.col("stream") == n, F.col("auroc")))
+    wide = area.groupBy("split").agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), *[pick(n).alias(f"auroc_{n}") for n in ("h", "recon", "resid")])
+    cos = streams.filter("stream = 'h'").groupBy("split").agg(F.avg("recon_cos").alias("recon_cos"))
+    two = streams.filter("stream <> 'resid'").groupBy("split", "doc_id", "label").agg(*[F.max(F.when(F.col("stream") == n, F.col("value"))).alias(n) for n in ("h", "recon")])
+    ci = interval(paired_difference(two, "h", "recon", replicates, seed, ["split"]), ["split"], "delta")
+    return wide.join(cos, "split").join(ci.withColumnsRenamed({"mean": "drop", "low": "drop_low", "high": "drop_high", "std": "drop_std"}).drop("n_valid"), "split")
+
+
+def heldout_decision(splits: DataFrame, inside: DataFrame, least_resid: float = 0.70) -> DataFrame:
+    """Summary over splits against the drop within the partition (``inside``: one row mean, std), the 2-sigma check and the decision.
+
+    ACCEPT: the mean drop is within one sigma and the mean residual AUROC at least
+    ``least_resid``; MARGINAL: within two sigma; else NULL."""
+    names = ("auroc_h", "auroc_recon", "auroc_resid", "recon_cos", "drop")
+    q = F.percentile("drop", F.array(F.lit(0.025), F.lit(0.975)))
+    s = splits.agg(*[F.avg(n).alias(f"{n}_mean") for n in names], *[F.stddev_pop(n).alias(f"{n}_std") for n in names], q.alias("q"), F.count(F.lit(1)).alias("n_splits"))
+    j = s.crossJoin(F.broadcast(inside.select(F.col("mean").alias("inside_drop"), F.col("std").alias("inside_sigma"))))
+    off, sigma = F.abs(F.col("drop_mean") - F.col("inside_drop")), F.col("inside_sigma")
+    decision = F.when((off <= sigma) & (F.col("auroc_resid_mean") >= least_resid), "ACCEPT").when(off <= 2 * sigma, "MARGINAL").otherwise("NULL")
+    return (
+        j.withColumn("drop_low", F.col("q")[0]).withColumn("drop_high", F.col("q")[1]).drop("q")
+        .withColumn("drop_difference", F.col("drop_mean") - F.col("inside_drop")).withColumn("threshold", F.col("inside_drop") - 2 * sigma)
+        .withColumn("check_passed", F.col("drop_mean") > F.col("threshold")).withColumn("decision", decision)
+    )
+
+
 def holm(df: DataFrame, p: str, by: list[str], key: str) -> DataFrame:
-    """Holm-Bonferroni adjusted p-values within each family."""
-    w = Window.partitionBy(*by)
-    order = w.orderBy(p, key)
-    scaled = (F.count(F.lit(1)).over(w) - F.row_number().over(order) + 1) * F.col(p)
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("scaled", scaled).withColumn("p_adjusted", F.least(F.max("scaled").over(run), F.lit(1.0))).drop("scaled")
+    """Holm-Bonferroni adjusted p-values within each family.
+
+    Places and running maxima are taken in buckets of p, so a large family is not sorted
+    by one task; of equal p-values the first in order has the largest factor, so all get its value."""
+    counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n_same"))
+    sizes = counts.groupBy(*by).agg(F.sum("n_same").alias("n_all"))
+    placed = M.cumulated(counts, by, p, {"n_before": "n_same"}).join(sizes, by)
+    scaled = M.bucketed(placed.withColumn("scaled", (F.col("n_all") - F.col("n_before")) * F.col(p)), p)
+    inner = Window.partitionBy(*by, "bucket").orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = scaled.groupBy(*by, "bucket").agg(F.max("scaled").alias("top"))
+    outer = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*by, "bucket", F.max("top").over(outer).alias("top_before"))
+    run = scaled.withColumn("run", F.max("scaled").over(inner)).join(before, [*by, "bucket"])
+    adjusted = run.select(*by, p, F.least(F.greatest("run", F.coalesce("top_before", "run")), F.lit(1.0)).alias("p_adjusted"))
+    return df.join(adjusted, [*by, p])
 
 
 # -- kernel -----------------------------------------------------------------------------

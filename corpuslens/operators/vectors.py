@@ -81,7 +81,7 @@ def gram_rows(acts: DataFrame, by: list[str], vector: str = "h") -> DataFrame:
         for batch in batches:
             kinds_ = [batch.column(k).type for k in range(len(by))]
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
-            x = np.array(batch.column(len(by)).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.asarray(batch.column(len(by)).flatten(), float).reshape(batch.num_rows, -1)
             if x.shape[1] > MAX_DIM:
                 raise ValueError(f"vectors of {x.shape[1]} dimensions; the limit is {MAX_DIM}")
             for key in set(keys):
@@ -149,7 +149,7 @@ def direction_scores(acts: DataFrame, directions: np.ndarray, vector: str = "h")
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
             if not len(x):
                 continue
             s = x @ shared.value.T
@@ -161,6 +161,11 @@ def direction_scores(acts: DataFrame, directions: np.ndarray, vector: str = "h")
     return acts.select("label", vector).mapInArrow(run, "direction int, label int, value double")
 
 
+def spaced_layers(n_layers: int, k: int) -> list[int]:
+    """``k`` layers evenly spaced from the first to the last, each once."""
+    return sorted({int(x) for x in np.linspace(0, n_layers - 1, k).round()}) if n_layers and k else []
+
+
 def layer_angles(bases: pd.DataFrame) -> pd.DataFrame:
     """For applyInPandas by layer: rows (layer, name, v) of two bases to min, mean and max angle."""
     parts = [np.stack(g["v"]) for _, g in bases.groupby("name")]

@@ -59,7 +59,11 @@ def a5(spark, d):
     return spark.read.schema("event_id BIGINT, value DOUBLE").json(path)
 
 
-@query("a6_vector_manifest")
+@query(
+    "a6_vector_manifest",
+    """WITH m AS (SELECT layer, label, len(h) AS d, md5(concat_ws('|', doc_id, array_to_string(list_transform(h, lambda x: CAST(round(x * 1e6) AS BIGINT)), ','))) AS m FROM layers_t)
+    SELECT layer, label, count(*) AS n, CAST(max(d) AS INTEGER) AS d_model, CAST(sum(CAST(('0x' || m[1:15]) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || m[17:31]) AS HUGEINT)) AS VARCHAR) AS digest FROM m GROUP BY ALL""",
+)
 def a6(spark, d):
     return S.vector_manifest(layers(spark, d), ["layer", "label"])
 

@@ -10,7 +10,7 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
 from corpuslens.plans.base import CTE, acts, query, scratch, table, u
-from corpuslens.plans.vector_queries import DOT, area_sql
+from corpuslens.plans.vector_queries import DOT, area_sql, warea_sql
 from corpuslens.sources.texts import read_records
 
 CTE["ev_t"] = "SELECT user_id % 7 AS grp, event_id, CAST(event_type = (SELECT min(event_type) FROM events) AS INTEGER) AS label, round(value, 1) AS value FROM events"
@@ -152,125 +152,173 @@ def scores(spark, d):
 
 
 def named(s):
-    """The scores as first and second, as b is the replicate's number in draws."""
-    return s.withColumnsRenamed({"a": "first", "b": "second"}).withColumn("grp", F.lit(0))
+    """The scores as first and second, as b is the replicate's number in draws; grp: seven groups."""
+    return s.withColumnsRenamed({"a": "first", "b": "second"}).withColumn("grp", (F.col("doc_id") % 7).cast("int"))
 
 
-CTE["two_t"] = "SELECT doc_id, label, round(h[1], 3) AS a, round(h[2] - h[3], 3) AS b, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM acts_t"
+CTE["two_t"] = "SELECT doc_id, label, CAST(doc_id % 7 AS INTEGER) AS grp, round(h[1], 3) AS a, round(h[2] - h[3], 3) AS b FROM acts_t"
+CTE["lng_t"] = "SELECT doc_id, label, grp, unnest(['a', 'b']) AS s, unnest([a, b]) AS value FROM two_t"
+REPLICATES = 1000
+Q = "round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.025), 6) AS low, round(quantile_cont({c}, 0.975), 6) AS high, round(stddev_samp({c}), 6) AS std, count(*) AS n_valid"
 
 
-def _draw_sql(b: int, seed: int) -> str:
-    return f"SELECT b, CAST(floor({u(str(seed), 'b', 'j')} * n) AS BIGINT) AS idx FROM (SELECT b, n, unnest(range(n)) AS j FROM (SELECT count(*) AS n FROM acts_t), (SELECT unnest(range({b})) AS b))"
+def weights_sql(rows: str, replicates: int, seed: int, key: str = "doc_id") -> str:
+    """The SQL form of resample.weighted; the replicate is r."""
+    return f"SELECT * FROM (SELECT *, len(list_filter({R.POISSON}, lambda c: x >= c)) AS w FROM (SELECT *, {u(str(seed), 'r', key)} AS x FROM (SELECT *, unnest(range({replicates})) AS r FROM ({rows})))) WHERE w > 0"
 
 
-@query(
-    "g1_bootstrap_ci",
-    f"""WITH dr AS ({_draw_sql(10, 1)}) SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high, round(stddev_samp(auroc), 6) AS std, count(*) AS n_valid
-    FROM ({area_sql('SELECT dr.b, label, a AS value FROM dr JOIN two_t USING (idx)', 'b')}) WHERE n_pos > 0 AND n_neg > 0""",
-)
+def _ci(out):
+    return [r6(c).alias(c) for c in ("mean", "low", "high", "std")] + [out["n_valid"]]
+
+
+G1 = f"SELECT grp, r, n_pos, n_neg, auroc FROM ({warea_sql(weights_sql('SELECT doc_id, grp, label, a AS value FROM two_t', REPLICATES, 1), 'grp, r')})"
+
+
+@query("g1_bootstrap_ci", f"SELECT grp, {Q.format(c='auroc')} FROM ({G1}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY grp")
 def g1(spark, d):
-    s = scores(spark, d).select(F.lit(0).alias("grp"), "doc_id", "label", F.col("a").alias("value"))
-    out = R.bootstrap_ci(s, ["grp"], 10, 1)
-    return out.select(*[r6(c).alias(c) for c in ("mean", "low", "high", "std")], "n_valid")
+    out = R.bootstrap_ci(named(scores(spark, d)).select("grp", "doc_id", "label", F.col("first").alias("value")), ["grp"], REPLICATES, 1)
+    return out.select("grp", *_ci(out))
+
+
+RATE_SQL = """SELECT r, max(tp) AS n_pos, max(fp) AS n_neg, coalesce(max(CASE WHEN fp <= {t} * nf AND tpr IS NOT NULL AND fp / nullif(nf, 0) <= {t} THEN tpr END), 0) AS rate FROM (
+    SELECT *, tp / nullif(max(tp) OVER (PARTITION BY r), 0) AS tpr, max(fp) OVER (PARTITION BY r) AS nf FROM (
+    SELECT r, value, sum(p) OVER o AS tp, sum(n) OVER o AS fp FROM (
+    SELECT r, value, CAST(coalesce(sum(w) FILTER (label = 1), 0) AS DOUBLE) AS p, CAST(coalesce(sum(w) FILTER (label = 0), 0) AS DOUBLE) AS n FROM ({rows}) GROUP BY ALL)
+    WINDOW o AS (PARTITION BY r ORDER BY value DESC ROWS UNBOUNDED PRECEDING))) GROUP BY r"""
+
+
+@query("g1_bootstrap_tpr", f"SELECT {Q.format(c='rate')} FROM ({RATE_SQL.format(t=0.05, rows=weights_sql('SELECT doc_id, label, a AS value FROM two_t', 200, 9))})")
+def g1t(spark, d):
+    """True-positive rate at 5 % false positives; replicates of one class keep the metric's value for it."""
+    s = named(scores(spark, d)).select(F.lit(0).alias("all"), "doc_id", "label", F.col("first").alias("value"))
+    out = R.bootstrap_ci(s, ["all"], 200, 9, "tpr_at_5%", "keep")
+    return out.select(*_ci(out))
 
 
 @query("g1_bootstrap_kernel")
 def g1k(spark, d):
-    """2,000 replicates of two scores by layer-like group, from the kernel."""
-    s = named(scores(spark, d)).withColumn("grp", (F.col("doc_id") % 3).cast("int"))
-    out = R.bootstrap_kernel(s, ["first", "second"], "grp", 2000, 7)
-    return R.interval(out.select("grp", (F.col("first") - F.col("second")).alias("delta")), ["grp"], "delta").select("grp", *[r6(c).alias(c) for c in ("mean", "low", "high", "std")], "n_valid")
+    """10,000 replicates of two scores by group, from the kernel."""
+    out = R.bootstrap_kernel(named(scores(spark, d)), ["first", "second"], "grp", 10_000, 7)
+    out = R.interval(out.select("grp", (F.col("first") - F.col("second")).alias("delta")), ["grp"], "delta")
+    return out.select("grp", *_ci(out))
 
 
-def _paired_sql(b: int, seed: int, sign: bool) -> str:
-    own = f"SELECT s, CASE WHEN 1 - auroc > auroc THEN -1 ELSE 1 END AS sign FROM ({area_sql('SELECT s, label, value FROM lng', 's')})"
-    value = "value * sign" if sign else "value"
-    return f"""WITH dr AS ({_draw_sql(b, seed)}), lng AS (SELECT idx, label, unnest(['a', 'b']) AS s, unnest([a, b]) AS value FROM two_t), sg AS ({own}),
-    ar AS ({area_sql(f"SELECT b || '-' || s AS k, label, {value} AS value FROM dr JOIN lng USING (idx) JOIN sg USING (s)", 'k')}),
-    dl AS (SELECT split_part(k, '-', 1) AS b, max(auroc) FILTER (k LIKE '%-a') - max(auroc) FILTER (k LIKE '%-b') AS delta FROM ar GROUP BY 1)
-    SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(stddev_samp(delta), 6) AS std, count(*) AS n_valid"""
+SIGN = f"SELECT grp, s, CASE WHEN 1 - auroc > auroc THEN -1 ELSE 1 END AS sign, greatest(auroc, 1 - auroc) AS bi FROM ({area_sql('SELECT grp, s, label, value FROM lng_t', 'grp, s')})"
 
 
-@query("g2_paired_bootstrap", _paired_sql(10, 2, False) + " FROM dl")
+def _delta_sql(replicates: int, seed: int, sign: bool) -> str:
+    """grp, r, delta."""
+    value = f"SELECT doc_id, grp, s, label, value * sign AS value FROM lng_t JOIN ({SIGN}) USING (grp, s)" if sign else "SELECT doc_id, grp, s, label, value FROM lng_t"
+    area = warea_sql(weights_sql(value, replicates, seed), "grp, s, r")
+    return f"SELECT grp, r, max(auroc) FILTER (s = 'a') - max(auroc) FILTER (s = 'b') AS delta FROM ({area}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY grp, r"
+
+
+@query("g2_paired_bootstrap", f"SELECT grp, {Q.format(c='delta')} FROM ({_delta_sql(REPLICATES, 2, False)}) GROUP BY grp")
 def g2(spark, d):
-    out = R.interval(R.paired_difference(named(scores(spark, d)), "first", "second", 10, 2, ["grp"]), ["grp"], "delta")
-    return out.select(*[r6(c).alias(c) for c in ("mean", "low", "high", "std")], "n_valid")
+    out = R.interval(R.paired_difference(named(scores(spark, d)), "first", "second", REPLICATES, 2, ["grp"]), ["grp"], "delta")
+    return out.select("grp", *_ci(out))
+
+
+CTE["margin_t"] = f"""SELECT grp, margin, low, high, (low > 0 OR high < 0) AS excludes_zero, mean, std, n_valid FROM (SELECT grp, max(bi) FILTER (s = 'a') - max(bi) FILTER (s = 'b') AS margin FROM ({SIGN}) GROUP BY grp)
+    JOIN (SELECT grp, avg(delta) AS mean, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high, stddev_samp(delta) AS std, count(*) AS n_valid FROM ({_delta_sql(REPLICATES, 3, True)}) GROUP BY grp) USING (grp)"""
+
 
+def _margins(spark, d):
+    return R.margin_table(named(scores(spark, d)), "first", "second", REPLICATES, 3, ["grp"])
 
-@query("g3_margin_bootstrap", _paired_sql(10, 3, True) + ", (quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0) AS excludes_zero FROM dl")
+
+@query("g3_margin_bootstrap", "SELECT grp, round(margin, 6) AS margin, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(std, 6) AS std, n_valid, excludes_zero FROM margin_t")
 def g3(spark, d):
-    out = R.interval(R.paired_difference(named(scores(spark, d)), "first", "second", 10, 3, ["grp"], signed=True), ["grp"], "delta")
-    return out.select(*[r6(c).alias(c) for c in ("mean", "low", "high", "std")], "n_valid", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+    out = _margins(spark, d)
+    return out.select("grp", r6("margin").alias("margin"), *_ci(out), "excludes_zero")
 
 
 @query(
     "g4_stratified_bootstrap",
-    f"""WITH own AS (SELECT doc_id % 3 AS fold, label, a, b, row_number() OVER (PARTITION BY doc_id % 3, label ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY doc_id % 3, label) AS n FROM two_t),
-    dr AS (SELECT fold, label, r, CAST(floor({u('4', 'r', 'j')} * n) AS BIGINT) AS idx FROM (SELECT fold, label, n, r, unnest(range(n)) AS j FROM (SELECT DISTINCT fold, label, n FROM own), (SELECT unnest(range(8)) AS r))),
+    f"""WITH own AS (SELECT doc_id % 3 AS fold, label, a, b, row_number() OVER (PARTITION BY doc_id % 3, label ORDER BY {u('4', 'doc_id')}, doc_id) - 1 AS idx, count(*) OVER (PARTITION BY doc_id % 3, label) AS n FROM two_t),
+    dr AS (SELECT fold, label, r, CAST(floor({u('4', 'r', 'j')} * n) AS BIGINT) AS idx FROM (SELECT fold, label, n, r, unnest(range(n)) AS j FROM (SELECT DISTINCT fold, label, n FROM own), (SELECT unnest(range(500)) AS r))),
     lng AS (SELECT fold, r, label, unnest(['a', 'b']) AS s, unnest([a, b]) AS value FROM dr JOIN own USING (fold, label, idx)),
-    ar AS ({area_sql("SELECT fold || '-' || r || '-' || s AS k, label, value FROM lng", 'k')}),
-    dl AS (SELECT split_part(k, '-', 2) AS r, avg(auroc) FILTER (k LIKE '%-a') - avg(auroc) FILTER (k LIKE '%-b') AS delta FROM ar GROUP BY 1)
-    SELECT round(avg(delta), 6) AS mean, round(avg(CAST(delta <= 0 AS INTEGER)), 6) AS p_value, count(*) AS n_valid FROM dl""",
+    dl AS (SELECT r, avg(auroc) FILTER (s = 'a') - avg(auroc) FILTER (s = 'b') AS delta FROM ({area_sql("SELECT fold, r, s, label, value FROM lng", 'fold, r, s')}) GROUP BY r)
+    SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg(CAST(delta <= 0 AS INTEGER)), 6) AS p_value, count(*) AS n_valid FROM dl""",
 )
 def g4(spark, d):
-    s = scores(spark, d).withColumn("fold", F.col("doc_id") % 3)
-    return _stratified(s)
-
-
-def _stratified(s):
-    named = s.withColumnsRenamed({"a": "first", "b": "second"})
-    drawn = R.stratified_draws(named, 8, 4, "fold")
+    s = scores(spark, d).withColumnsRenamed({"a": "first", "b": "second"}).withColumn("fold", F.col("doc_id") % 3)
+    drawn = R.stratified_draws(s, 500, 4, "fold")
     area = M.auroc(R.long_scores(drawn, ["first", "second"], ["fold", "b", "label"]), ["fold", "b", "score"])
     w = area.groupBy("b").pivot("score", ["first", "second"]).agg(F.avg("auroc"))
     delta = w.withColumn("delta", F.col("first") - F.col("second"))
-    return delta.agg(r6(F.avg("delta")).alias("mean"), r6(F.avg((F.col("delta") <= 0).cast("int"))).alias("p_value"), F.count(F.lit(1)).alias("n_valid"))
+    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
+    out = delta.agg(r6(F.avg("delta")).alias("mean"), q.alias("q"), r6(F.avg((F.col("delta") <= 0).cast("int"))).alias("p_value"), F.count(F.lit(1)).alias("n_valid"))
+    return out.select("mean", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"), "p_value", "n_valid")
+
+
+def _recall_direction(a):
+    from corpuslens.plans.vector_queries import _recall
+
+    return V.mean_diff(_recall(a), label="recall").select(F.col("d").alias("dr"))
+
+
+@query("g5_permutation_null")
+def g5(spark, d):
+    """Cosine of the first contrastive direction with d_R, refitted for 1,000 permutations of the labels."""
+    import numpy as np
+
+    from corpuslens.plans.base import settled
+
+    a = acts(spark, d)
+    dr = np.array(_recall_direction(a).first()["dr"])
+    own = np.array(V.contrastive_pca(a, 1)[0][2])
+    seen = float(own @ dr / (np.linalg.norm(own) * np.linalg.norm(dr) + 1e-12))
+    null = settled(R.permuted_directions(a, dr, 1000, 5).withColumn("c", F.abs("c")), "null")  # an eigenvector has no sign
+    out = R.null_summary(null, abs(seen))
+    return out.select(*[r6(c).alias(c) for c in out.columns if c != "n"], "n")
 
 
 @query(
-    "g5_permutation_null",
-    f"""WITH pm AS (SELECT m, h, row_number() OVER (PARTITION BY m ORDER BY {u('5', 'm', 'doc_id')}, doc_id) <= (SELECT sum(label) FROM acts_t) AS y FROM acts_t, (SELECT unnest(range(20)) AS m)),
+    "g5_mean_diff_null",
+    f"""WITH pm AS (SELECT m, h, row_number() OVER (PARTITION BY m ORDER BY {u('5', 'm', 'doc_id')}, doc_id) <= (SELECT sum(label) FROM acts_t) AS y FROM acts_t, (SELECT unnest(range(100)) AS m)),
     dd AS (SELECT m, list(x ORDER BY i) AS v FROM (SELECT m, i, avg(x) FILTER (y) - avg(x) FILTER (NOT y) AS x FROM (SELECT m, y, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM pm) GROUP BY ALL) GROUP BY m),
     c AS (SELECT {DOT}(d.v, r.v) / (sqrt({DOT}(d.v, d.v)) * sqrt({DOT}(r.v, r.v)) + 1e-12) AS c FROM dd d, dr_t r), o AS (SELECT {DOT}(d.v, r.v) / (sqrt({DOT}(d.v, d.v)) * sqrt({DOT}(r.v, r.v)) + 1e-12) AS o FROM dk_t d, dr_t r)
-    SELECT round(max(o), 6) AS observed, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round((count(*) FILTER (abs(c) >= abs(o)) + 1) / (count(*) + 1.0), 6) AS p_value FROM c, o""",
+    SELECT round(max(o), 6) AS observed, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round(quantile_cont(c, 0.025), 6) AS low, round(quantile_cont(c, 0.975), 6) AS high, round((count(*) FILTER (abs(c) >= abs(o)) + 1) / (count(*) + 1.0), 6) AS p_value FROM c, o""",
 )
-def g5(spark, d):
+def g5m(spark, d):
+    """The same for the mean difference, 100 permutations."""
     from corpuslens.functions.vectors import cosine
-    from corpuslens.plans.vector_queries import _recall
 
     a = acts(spark, d)
-    dr = V.mean_diff(_recall(a), label="recall").select(F.col("d").alias("dr"))
-    null = V.mean_diff(R.permuted_labels(a, 20, 5), ["m"], "permuted").crossJoin(F.broadcast(dr)).select(cosine(F.col("d"), F.col("dr")).alias("c"))
-    seen = V.mean_diff(a).crossJoin(F.broadcast(dr)).select(cosine(F.col("d"), F.col("dr")).alias("o"))
-    n = null.crossJoin(F.broadcast(seen))
-    return n.agg(
-        r6(F.max("o")).alias("observed"), r6(F.avg("c")).alias("mean"), r6(F.stddev_samp("c")).alias("std"), r6((F.count_if(F.abs("c") >= F.abs("o")) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p_value")
-    )
+    dr = _recall_direction(a)
+    null = V.mean_diff(R.permuted_labels(a, 100, 5), ["m"], "permuted").crossJoin(F.broadcast(dr)).select(cosine(F.col("d"), F.col("dr")).alias("c"))
+    seen = V.mean_diff(a).crossJoin(F.broadcast(dr)).select(cosine(F.col("d"), F.col("dr")).alias("o")).first()["o"]
+    out = R.null_summary(null, seen)
+    return out.select(*[r6(c).alias(c) for c in ("observed", "mean", "std", "low", "high", "p_value")])
 
 
 @query(
     "g7_random_directions",
-    f"""WITH g AS (SELECT k, list(x ORDER BY i) AS v FROM (SELECT k, i, sqrt(-2 * ln(1 - {u('7', 'k', 'i', '0')})) * cos(2 * pi() * {u('7', 'k', 'i', '1')}) AS x FROM (SELECT unnest(range(20)) AS k), (SELECT unnest(range(64)) AS i)) GROUP BY k),
+    f"""WITH g AS (SELECT k, list(x ORDER BY i) AS v FROM (SELECT k, i, sqrt(-2 * ln(1 - {u('7', 'k', 'i', '0')})) * cos(2 * pi() * {u('7', 'k', 'i', '1')}) AS x FROM (SELECT unnest(range(100)) AS k), (SELECT unnest(range(64)) AS i)) GROUP BY k),
     a AS ({area_sql(f"SELECT k, label, round({DOT}(h, v) / sqrt({DOT}(v, v)), 9) AS value FROM acts_t, g", 'k')})
-    SELECT round(avg(auroc), 6) AS mean, round(stddev_pop(auroc), 6) AS std, round(min(auroc), 6) AS lowest, round(max(auroc), 6) AS highest, round(avg(greatest(auroc, 1 - auroc)), 6) AS mean_bi, count(*) AS n FROM a""",
+    SELECT round(avg(auroc), 6) AS mean, round(stddev_pop(auroc), 6) AS std, round(min(auroc), 6) AS lowest, round(max(auroc), 6) AS highest, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high,
+    round(avg(greatest(auroc, 1 - auroc)), 6) AS mean_bi, count(*) AS n FROM a""",
 )
 def g7(spark, d):
-    s = V.direction_scores(acts(spark, d), V.random_directions(20, 64, 7)).withColumn("value", F.round("value", 9))
+    s = V.direction_scores(acts(spark, d), V.random_directions(100, 64, 7)).withColumn("value", F.round("value", 9))
     a = M.oriented(M.auroc(s, ["direction"]))
-    return a.agg(
-        r6(F.avg("auroc")).alias("mean"), r6(F.stddev_pop("auroc")).alias("std"), r6(F.min("auroc")).alias("lowest"), r6(F.max("auroc")).alias("highest"), r6(F.avg("auroc_bi")).alias("mean_bi"), F.count(F.lit(1)).alias("n")
-    )
-
-
-CTE["marg_t"] = f"SELECT grp, auroc - 0.5 AS margin FROM ({area_sql('SELECT grp, label, value FROM ev_t', 'grp')})"
+    q = F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975)))
+    out = a.agg(
+        r6(F.avg("auroc")).alias("mean"), r6(F.stddev_pop("auroc")).alias("std"), r6(F.min("auroc")).alias("lowest"), r6(F.max("auroc")).alias("highest"), q.alias("q"),
+        r6(F.avg("auroc_bi")).alias("mean_bi"), F.count(F.lit(1)).alias("n"),
+    )
+    return out.withColumn("low", r6(F.col("q")[0])).withColumn("high", r6(F.col("q")[1])).drop("q")
 
 
 @query(
     "g9_sign_test",
-    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (margin > 0) AS k FROM marg_t WHERE margin <> 0), p AS (SELECT n, k, round((SELECT sum(gamma(n + 1) / (gamma(i + 1) * gamma(n - i + 1))) FROM (SELECT unnest(range(k, n + 1)) AS i)) / pow(2, n), 9) AS p_value FROM c)
-    SELECT *, CASE WHEN p_value < 0.05 AND k = n THEN 'ACCEPT' WHEN p_value < 0.5 THEN 'NUANCED' ELSE 'NULL' END AS decision FROM p""",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (margin > 0) AS k, count(*) FILTER (excludes_zero) AS n_excluding FROM margin_t), p AS (SELECT n, k, n_excluding, round((SELECT sum(gamma(n + 1) / (gamma(i + 1) * gamma(n - i + 1))) FROM (SELECT unnest(range(k, n + 1)) AS i)) / pow(2, n), 9) AS p_value FROM c)
+    SELECT *, CASE WHEN p_value < 0.05 AND n_excluding >= 3 THEN 'ACCEPT' WHEN p_value < 0.05 AND n_excluding >= 2 THEN 'NUANCED' ELSE 'NULL' END AS decision FROM p""",
 )
 def g9(spark, d):
-    return R.sign_test(M.auroc(events(spark, d), ["grp"]).select("grp", (F.col("auroc") - 0.5).alias("margin")), "margin")
+    """Over the margins of seven groups, with their intervals."""
+    return R.sign_test(_margins(spark, d), "margin")
 
 
 @query(
@@ -283,30 +331,77 @@ def g10(spark, d):
     return R.holm(p, "p", ["lang"], "doc_id").select("lang", "doc_id", r6("p_adjusted").alias("p_adjusted"))
 
 
+SPLITS, HELD_REPLICATES = 10, 200
+CTE["held_t"] = f"""SELECT s AS split, doc_id, label, {DOT}(h, r) / (sqrt({DOT}(h, h)) * sqrt({DOT}(r, r)) + 1e-12) AS c, round({DOT}(h, v) / sqrt({DOT}(v, v)), 9) AS h, round({DOT}(r, v) / sqrt({DOT}(v, v)), 9) AS recon, round({DOT}(e, v) / sqrt({DOT}(v, v)), 9) AS resid
+    FROM cut_t JOIN res_t USING (doc_id, label) JOIN (SELECT s, list(x ORDER BY i) AS v FROM (SELECT s, i, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS x FROM (SELECT s, label, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM cut_t JOIN acts_t USING (doc_id, label) WHERE a) GROUP BY ALL) GROUP BY s) USING (s) WHERE NOT a"""
+CTE["cut_t"] = f"SELECT s, doc_id, label, row_number() OVER (PARTITION BY s, label ORDER BY {u('100', 's', 'doc_id')}, doc_id) <= round_even(0.7 * count(*) OVER (PARTITION BY s, label), 0) AS a FROM acts_t, (SELECT CAST(unnest(range({SPLITS})) AS INTEGER) AS s)"
+_HELD = "SELECT split, doc_id, label, unnest(['h', 'recon', 'resid']) AS stream, unnest([h, recon, resid]) AS value FROM held_t"
+CTE["splits_t"] = f"""SELECT split, n_pos, n_neg, auroc_h, auroc_recon, auroc_resid, recon_cos, drop, drop_low, drop_high, drop_std FROM
+    (SELECT split, max(n_pos) AS n_pos, max(n_neg) AS n_neg, max(auroc) FILTER (stream = 'h') AS auroc_h, max(auroc) FILTER (stream = 'recon') AS auroc_recon, max(auroc) FILTER (stream = 'resid') AS auroc_resid FROM ({area_sql(_HELD, 'split, stream')}) GROUP BY split)
+    JOIN (SELECT split, avg(c) AS recon_cos FROM held_t GROUP BY split) USING (split)
+    JOIN (SELECT split, avg(d) AS drop, quantile_cont(d, 0.025) AS drop_low, quantile_cont(d, 0.975) AS drop_high, stddev_samp(d) AS drop_std FROM (SELECT split, r, max(auroc) FILTER (stream = 'h') - max(auroc) FILTER (stream = 'recon') AS d
+    FROM ({warea_sql(weights_sql(_HELD, HELD_REPLICATES, 6), 'split, stream, r')}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY split, r) GROUP BY split) USING (split)"""
+HELD = ("auroc_h", "auroc_recon", "auroc_resid", "recon_cos", "drop")
+
+
+def _heldout(spark, d):
+    """Settled splits of the held-out audit, and the decomposed vectors."""
+    from corpuslens.operators import dictionary as D
+    from corpuslens.plans.base import settled
+    from corpuslens.plans.vector_queries import _dict
+
+    a, w = _dict(spark, d)
+    parts = settled(D.decompose(a, w), "decomposed")
+    return settled(R.heldout_splits(settled(R.heldout_streams(parts, SPLITS, 0.7, 100), "streams"), HELD_REPLICATES, 6), "splits"), parts
+
+
+@query("g11_heldout_direction", "SELECT split, n_pos, n_neg, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*HELD, "drop_low", "drop_high", "drop_std")) + " FROM splits_t")
+def g11(spark, d):
+    """Direction fitted on 70 % of each class, ten times; the three streams of the rest, and the drop with its interval."""
+    s = _heldout(spark, d)[0]
+    return s.select("split", "n_pos", "n_neg", *[r6(c).alias(c) for c in (*HELD, "drop_low", "drop_high", "drop_std")])
+
+
+_IN = f"SELECT doc_id, label, unnest(['h', 'recon']) AS stream, unnest([round({DOT}(h, v) / sqrt({DOT}(v, v)), 9), round({DOT}(r, v) / sqrt({DOT}(v, v)), 9)]) AS value FROM res_t, dk_t"
+
+
 @query(
-    "g11_heldout_direction",
-    f"""WITH s AS (SELECT s, doc_id, label, h, {u('100 + s', 'doc_id')} < 0.7 AS a FROM acts_t, (SELECT unnest(range(5)) AS s)),
-    dd AS (SELECT s, list(x ORDER BY i) AS v FROM (SELECT s, i, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS x FROM (SELECT s, label, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM s WHERE a) GROUP BY ALL) GROUP BY s)
-    SELECT CAST(s AS INTEGER) AS split, n_pos, n_neg, round(auroc, 6) AS auroc FROM ({area_sql(f"SELECT s, label, round({DOT}(h, v) / sqrt({DOT}(v, v)), 9) AS value FROM s JOIN dd USING (s) WHERE NOT a", 's')})""",
+    "g11_heldout_summary",
+    f"""WITH ins AS (SELECT avg(d) AS inside_drop, stddev_samp(d) AS inside_sigma FROM (SELECT r, max(auroc) FILTER (stream = 'h') - max(auroc) FILTER (stream = 'recon') AS d FROM ({warea_sql(weights_sql(_IN, REPLICATES, 8), 'stream, r')}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY r)),
+    s AS (SELECT {", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std" for c in HELD)}, quantile_cont(drop, 0.025) AS drop_low, quantile_cont(drop, 0.975) AS drop_high, count(*) AS n_splits FROM splits_t)
+    SELECT {", ".join(f"round({c}_mean, 6) AS {c}_mean, round({c}_std, 6) AS {c}_std" for c in HELD)}, round(drop_low, 6) AS drop_low, round(drop_high, 6) AS drop_high, n_splits, round(inside_drop, 6) AS inside_drop, round(inside_sigma, 6) AS inside_sigma,
+    round(drop_mean - inside_drop, 6) AS drop_difference, round(inside_drop - 2 * inside_sigma, 6) AS threshold, drop_mean > inside_drop - 2 * inside_sigma AS check_passed,
+    CASE WHEN abs(drop_mean - inside_drop) <= inside_sigma AND auroc_resid_mean >= 0.70 THEN 'ACCEPT' WHEN abs(drop_mean - inside_drop) <= 2 * inside_sigma THEN 'MARGINAL' ELSE 'NULL' END AS decision FROM s, ins""",
 )
-def g11(spark, d):
-    """Direction fitted on 70 % of the vectors, scored on the rest, for five splits at once."""
-    a = acts(spark, d).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("in_a", u01(F.lit(100) + F.col("split"), F.col("doc_id")) < 0.7)
-    dd = V.mean_diff(a.filter("in_a"), ["split"])
-    s = a.filter("NOT in_a").join(F.broadcast(dd), "split").select("split", "label", F.round(V.project(F.col("h"), F.col("d")), 9).alias("value"))  # one direction per split
-    return M.auroc(s, ["split"]).select("split", "n_pos", "n_neg", r6("auroc").alias("auroc"))
+def g11s(spark, d):
+    """The drop on held-out rows against that within the partition."""
+    from corpuslens.operators import dictionary as D
+
+    splits, parts = _heldout(spark, d)
+    wide = parts.crossJoin(F.broadcast(V.mean_diff(parts).select("d"))).select(F.lit(0).alias("all"), "doc_id", "label", *[F.round(V.project(F.col(c), F.col("d")), 9).alias(c) for c in D.STREAMS[:2]])
+    inside = R.interval(R.paired_difference(wide, "h", "recon", REPLICATES, 8, ["all"]), ["all"], "delta")
+    out = R.heldout_decision(splits, inside)
+    plain = ("n_splits", "check_passed", "decision")
+    return out.select(*[r6(c).alias(c) for c in out.columns if c not in plain], *plain)
+
+
+G12 = f"SELECT grp, quantile_cont(auroc, 0.025) AS low, quantile_cont(auroc, 0.975) AS high FROM ({warea_sql(weights_sql('SELECT doc_id, grp, label, a AS value FROM two_t', 100, 12), 'grp, r')}) WHERE n_pos > 0 AND n_neg > 0 AND grp < 5 GROUP BY grp"
 
 
 @query(
     "g12_refresh_intervals",
-    f"""WITH dr AS ({_draw_sql(10, 1)}), nw AS (SELECT quantile_cont(auroc, 0.025) AS low, quantile_cont(auroc, 0.975) AS high FROM ({area_sql('SELECT dr.b, label, a AS value FROM dr JOIN two_t USING (idx)', 'b')}))
-    SELECT 0.4::DOUBLE AS old_low, 0.6::DOUBLE AS old_high, round(low, 6) AS low, round(high, 6) AS high, round(low - 0.4, 6) AS d_low, round(high - 0.6, 6) AS d_high FROM nw""",
+    f"""WITH old AS ({G12}), nw AS (SELECT grp, quantile_cont(auroc, 0.025) AS low, quantile_cont(auroc, 0.975) AS high FROM ({G1}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY grp)
+    SELECT grp, round(o.low, 6) AS old_low, round(o.high, 6) AS old_high, round(n.low, 6) AS low, round(n.high, 6) AS high, round(n.low - o.low, 6) AS d_low, round(n.high - o.high, 6) AS d_high, CASE WHEN o.low IS NULL THEN 1 ELSE 2 END AS n_runs FROM nw n LEFT JOIN old o USING (grp)""",
 )
 def g12(spark, d):
-    s = scores(spark, d).select(F.lit(0).alias("grp"), "doc_id", "label", F.col("a").alias("value"))
-    new = R.bootstrap_ci(s, ["grp"], 10, 1)
-    old = s.select("grp", F.lit(0.4).alias("old_low"), F.lit(0.6).alias("old_high")).distinct()
-    return old.join(new, "grp").select("old_low", "old_high", r6("low").alias("low"), r6("high").alias("high"), r6(F.col("low") - F.col("old_low")).alias("d_low"), r6(F.col("high") - F.col("old_high")).alias("d_high"))
+    """Records of an earlier run (100 replicates, five groups) read back, refreshed with 1,000 replicates, and appended to the history."""
+    s = named(scores(spark, d)).select("grp", "doc_id", "label", F.col("first").alias("value"))
+    path = scratch(spark, "intervals")
+    R.bootstrap_ci(s.filter("grp < 5"), ["grp"], 100, 12).select("grp", F.lit(0).alias("run"), "low", "high").write.parquet(path)
+    history = spark.read.parquet(path)
+    new = R.refresh_intervals(s, history, ["grp"], REPLICATES, 1)
+    runs = R.append_history(history, new, ["grp"], 1).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("n_runs"))
+    return new.join(runs, "grp").select("grp", *[r6(c).alias(c) for c in ("old_low", "old_high", "low", "high", "d_low", "d_high")], "n_runs")
 
 
 # -- cohort -----------------------------------------------------------------------------
@@ -326,7 +421,7 @@ def records(spark, d):
     return long.withColumn("value", F.when(~gap, F.col("value")))
 
 
-CTE["sum_t"] = "SELECT model, metric, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS lowest, round(max(value), 6) AS highest FROM rec_t WHERE value IS NOT NULL GROUP BY model, metric"
+CTE["sum_t"] = "SELECT model, metric, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS lowest, round(max(value), 6) AS highest, string_agg(seed || ':' || CAST(round(value * 1e6) AS BIGINT), ',' ORDER BY seed) AS values_e6 FROM rec_t WHERE value IS NOT NULL GROUP BY model, metric"
 
 
 def _roster(spark, d):
@@ -348,16 +443,26 @@ def k2(spark, d):
     return K.prefer(r.filter("seed < 4"), r.filter("seed > 1").withColumn("value", F.round(F.col("value") + 1, 6)), ["model", "seed", "metric"])
 
 
-@query(
-    "k3_cohort_delta",
-    """WITH a AS (SELECT model, metric, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM rec_t WHERE seed < 5 AND value IS NOT NULL GROUP BY ALL), b AS (SELECT model, metric, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM rec_t WHERE value IS NOT NULL GROUP BY ALL)
-    SELECT model, metric, round(round(b.m, 6) - round(a.m, 6), 6) AS d_mean, round(abs(round(b.m, 6) - round(a.m, 6)), 6) AS abs_d, round(round(b.s, 6) - round(a.s, 6), 6) AS d_std, CASE WHEN round(abs(round(b.m, 6) - round(a.m, 6)), 6) >= 0.005 THEN 'MATERIAL' ELSE 'OK' END AS status FROM a JOIN b USING (model, metric)""",
-)
-def k3(spark, d):
+CTE["delta_t"] = """SELECT model, metric, round(round(a.m, 6) - round(b.m, 6), 6) AS d_mean, round(abs(round(a.m, 6) - round(b.m, 6)), 6) AS abs_d, round(round(a.s, 6) - round(b.s, 6), 6) AS d_std, CASE WHEN round(abs(round(a.m, 6) - round(b.m, 6)), 6) >= 0.005 THEN 'MATERIAL' ELSE 'NEGLIGIBLE' END AS status
+    FROM (SELECT model, metric, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM rec_t WHERE seed < 5 AND value IS NOT NULL GROUP BY ALL) a JOIN (SELECT model, metric, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM rec_t WHERE value IS NOT NULL GROUP BY ALL) b USING (model, metric)"""
+
+
+def _deltas(spark, d):
     r, ro = records(spark, d), _roster(spark, d)
     return K.cohort_delta(K.seed_summary(r.filter("seed < 5"), ro), K.seed_summary(r, ro), ["model", "metric"])
 
 
+@query("k3_cohort_delta", "SELECT * FROM delta_t")
+def k3(spark, d):
+    """Five seeds against six."""
+    return _deltas(spark, d)
+
+
+@query("k3_materiality", "SELECT model, count(*) AS n_metrics, coalesce(string_agg(metric, ', ' ORDER BY metric) FILTER (status = 'MATERIAL'), '') AS reason, CASE WHEN count(*) FILTER (status = 'MATERIAL') > 0 THEN 'MATERIAL' ELSE 'NEGLIGIBLE' END AS verdict FROM delta_t GROUP BY model")
+def k3m(spark, d):
+    return K.materiality(_deltas(spark, d), ["model"])
+
+
 @query("k4_noise_floor", "SELECT model, metric, mean, std, round(CASE WHEN std > 0 THEN mean / std END, 6) AS n_sigma FROM sum_t")
 def k4(spark, d):
     return K.noise_floor(K.seed_summary(records(spark, d), _roster(spark, d)))
@@ -368,20 +473,54 @@ def k5(spark, d):
     return K.outliers(records(spark, d), 1.5)
 
 
+@query(
+    "k5_prior_comparison",
+    """WITH p AS (SELECT model, metric, round(avg(value), 6) AS prior_mean FROM rec_t WHERE seed < 3 AND value IS NOT NULL GROUP BY ALL)
+    SELECT model, metric, mean, prior_mean, round(mean - prior_mean, 6) AS d_mean, round(CASE WHEN std > 0 THEN (mean - prior_mean) / std END, 6) AS n_sigma, abs(mean - prior_mean) > 2 * std AS outside FROM sum_t JOIN p USING (model, metric)""",
+)
+def k5p(spark, d):
+    r, ro = records(spark, d), _roster(spark, d)
+    return K.prior_comparison(K.seed_summary(r, ro), K.seed_summary(r.filter("seed < 3"), ro), ["model", "metric"])
+
+
 @query("k6_sign_tally", "SELECT metric, count(*) FILTER (value > 0.5) AS k, count(*) AS n, count(*) FILTER (value > 0.5) || '/' || count(*) AS tally FROM rec_t GROUP BY ROLLUP (metric)")
 def k6(spark, d):
     return K.sign_tally(records(spark, d), "metric", F.col("value") > 0.5)
 
 
+_BASE = "SELECT seed, max(value) FILTER (metric = 'quality') AS base, max(value) FILTER (metric = 'toxic') AS probe, max(value) FILTER (metric = 'quality') AS original, max(value) FILTER (metric = 'chars') AS recon FROM rec_t WHERE model = 'en' GROUP BY seed"
+CTE["grid_t"] = f"""SELECT criterion, depth, count(*) AS n, round(avg(dev), 6) AS mean_dev, round(max(abs(dev)), 6) AS max_dev, round(max(abs(dev)), 6) < 0.05 AS stable FROM (SELECT model AS criterion, metric AS depth, value - base AS dev FROM rec_t JOIN ({_BASE}) USING (seed)) WHERE dev IS NOT NULL GROUP BY ALL"""
+
+
+def _grid(spark, d):
+    """Cells and baseline of a selection grid, made of the run records."""
+    r = records(spark, d)
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    base = r.filter("model = 'en'").groupBy("seed").agg(pick("quality").alias("base"), pick("toxic").alias("probe"), pick("quality").alias("original"), pick("chars").alias("recon"))
+    return r.filter("value IS NOT NULL").select(F.col("model").alias("criterion"), F.col("metric").alias("depth"), "seed", "value"), base
+
+
+@query("k7_grid_summary", "SELECT * FROM grid_t")
+def k7(spark, d):
+    return K.grid_summary(*_grid(spark, d))
+
+
 @query(
-    "k7_grid_summary",
-    """WITH d AS (SELECT model AS criterion, metric AS depth, value - base AS dev FROM rec_t JOIN (SELECT seed, value AS base FROM rec_t WHERE model = 'en' AND metric = 'quality') USING (seed)),
-    s AS (SELECT criterion, depth, count(*) AS n, round(avg(dev), 6) AS mean_dev, round(max(abs(dev)), 6) AS max_dev FROM d GROUP BY ALL) SELECT *, CASE WHEN max_dev <= 0.02 THEN 'STABLE' WHEN max_dev <= 0.1 THEN 'MINOR' ELSE 'MAJOR' END AS verdict FROM s""",
+    "k7_grid_verdict",
+    f"""SELECT round(m, 6) AS max_dev, m < 0.05 AS stable, round(lo, 6) AS probe_min, round(av, 6) AS probe_mean, round(hi, 6) AS probe_max, CASE WHEN hi <= 0.55 AND lo >= 0.45 THEN 'ABSENT' WHEN hi <= 0.60 THEN 'WEAK' ELSE 'MIXED' END AS verdict
+    FROM (SELECT max(max_dev) AS m FROM grid_t), (SELECT min(probe) AS lo, avg(probe) AS av, max(probe) AS hi FROM ({_BASE}))""",
 )
-def k7(spark, d):
-    r = records(spark, d)
-    base = r.filter("model = 'en' AND metric = 'quality'").select("seed", F.col("value").alias("base"))
-    return K.grid_summary(r.select(F.col("model").alias("criterion"), F.col("metric").alias("depth"), "seed", "value"), base)
+def k7v(spark, d):
+    cells, base = _grid(spark, d)
+    return K.grid_verdict(K.grid_summary(cells, base), base)
+
+
+@query(
+    "k7_grid_flags",
+    f"SELECT seed, flags FROM (SELECT seed, concat_ws('; ', CASE WHEN probe < 0.45 OR probe > 0.65 THEN 'probe out of range' END, CASE WHEN original - recon < 0 THEN 'reconstruction above original' END) AS flags FROM ({_BASE})) WHERE flags <> ''",
+)
+def k7f(spark, d):
+    return K.grid_flags(_grid(spark, d)[1])
 
 
 @query("k8_quality_tier", "SELECT model, seed, value, CASE WHEN value >= 0.90 THEN 'strict' WHEN value >= 0.85 THEN 'permissive' ELSE 'excluded' END AS tier FROM rec_t WHERE metric = 'quality'")
@@ -395,7 +534,7 @@ def k9(spark, d):
 
 
 CTE["claims_t"] = "SELECT model || '/' || metric AS path, model || '/' || metric AS label, round(mean, 3) + CASE WHEN model = 'fr' THEN 0.01 ELSE 0 END AS expected FROM sum_t UNION ALL SELECT 'none/none', 'none/none', 1.0"
-CHECK = "SELECT label, round(mean, 6) AS actual, round(abs(mean - expected), 6) AS diff, CASE WHEN mean IS NULL THEN 'MISSING' WHEN round(abs(mean - expected), 9) <= 0.002 THEN 'PASS' ELSE 'FAIL' END AS status FROM claims_t LEFT JOIN sum_t ON path = model || '/' || metric"
+CHECK = "SELECT label, round(mean, 6) AS actual, round(abs(mean - expected), 6) AS diff, CASE WHEN round(abs(mean - expected), 9) <= 0.002 THEN 'PASS' ELSE 'FAIL' END AS status FROM claims_t LEFT JOIN sum_t ON path = model || '/' || metric"
 
 
 def _checked(spark, d):
@@ -457,10 +596,29 @@ def k14(spark, d):
     return K.latest_run(runs, ["lang", "source"])
 
 
+CTE["cells_t"] = f"""SELECT grp AS cell, recon_cos, err_ratio, alive, least(n - 1, 64) AS rank_eff, 10 * (grp + 1) AS k, var_50 FROM
+    (SELECT CAST(doc_id % 5 AS INTEGER) AS grp, count(*) AS n, avg({DOT}(h, r) / (sqrt({DOT}(h, h)) * sqrt({DOT}(r, r)) + 1e-12)) AS recon_cos, avg(sqrt({DOT}(e, e)) / (sqrt({DOT}(h, h)) + 1e-12)) AS err_ratio,
+    avg({DOT}(e[1:50], e[1:50])) / avg({DOT}(e, e)) AS var_50 FROM res_t GROUP BY 1) JOIN (SELECT CAST(doc_id % 5 AS INTEGER) AS grp, count(DISTINCT feature_id) AS alive FROM codes_t GROUP BY 1) USING (grp)"""
+
+
 @query(
     "i9_gate_cells",
-    "SELECT model || '/' || metric AS cell, n >= 6 AND std <= 0.05 AS passed, concat_ws('; ', CASE WHEN NOT n >= 6 THEN 'seeds' END, CASE WHEN NOT std <= 0.05 THEN 'spread' END) AS reasons FROM sum_t",
+    """SELECT cell, reasons = '' AS passed, reasons FROM (SELECT cell, concat_ws('; ', CASE WHEN recon_cos < 0.85 THEN 'recon_cos' END, CASE WHEN err_ratio NOT BETWEEN 0.01 AND 0.30 THEN 'err_ratio' END, CASE WHEN alive < 100 THEN 'alive' END,
+    CASE WHEN rank_eff <= k THEN 'rank' END, CASE WHEN k = 50 AND var_50 < 0.10 THEN 'variance' END) AS reasons FROM cells_t)""",
 )
 def i9(spark, d):
-    s = K.seed_summary(records(spark, d), _roster(spark, d)).withColumn("cell", F.concat_ws("/", "model", "metric"))
-    return K.gate_cells(s, {"seeds": F.col("n") >= 6, "spread": F.col("std") <= 0.05})
+    """Named gates on the cells of five groups of vectors at ranks 10 to 50."""
+    from corpuslens.functions.vectors import cosine, dot, norm
+    from corpuslens.operators import dictionary as D
+    from corpuslens.plans.vector_queries import _dict
+
+    a, w = _dict(spark, d)
+    grp = (F.col("doc_id") % 5).cast("int").alias("cell")
+    e = F.col("resid")
+    parts = D.decompose(a, w).groupBy(grp).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(cosine(F.col("h"), F.col("recon"))).alias("recon_cos"), F.avg(norm(e) / (norm(F.col("h")) + 1e-12)).alias("err_ratio"),
+        (F.avg(dot(F.slice(e, 1, 50), F.slice(e, 1, 50))) / F.avg(dot(e, e))).alias("var_50"),
+    )
+    alive = D.encode(a, w).groupBy(grp).agg(F.count_distinct("feature_id").alias("alive"))
+    cells = parts.join(alive, "cell").withColumn("rank_eff", F.least(F.col("n") - 1, F.lit(64))).withColumn("k", 10 * (F.col("cell") + 1))
+    return K.ablation_gates(cells)

@@ -23,6 +23,14 @@ def area_sql(rows: str, by: str) -> str:
     SELECT {by}, value, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM ({rows}) WHERE value IS NOT NULL GROUP BY ALL)) GROUP BY {by}"""
 
 
+def warea_sql(rows: str, by: str) -> str:
+    """The same over rows (by, label, value, w) that count w times."""
+    return f"""SELECT {by}, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg,
+    CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (2 * below + n)) / (2.0 * sum(p) * sum(n)) ELSE 0.5 END AS auroc FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+    SELECT {by}, value, CAST(coalesce(sum(w) FILTER (label = 1), 0) AS BIGINT) AS p, CAST(coalesce(sum(w) FILTER (label = 0), 0) AS BIGINT) AS n FROM ({rows}) WHERE value IS NOT NULL GROUP BY ALL)) GROUP BY {by}"""
+
+
 CTE["ldk_t"] = "SELECT layer, list(m ORDER BY i) AS v FROM (SELECT layer, i, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS m FROM (SELECT layer, label, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM layers_t) GROUP BY ALL) GROUP BY layer"
 CTE["lscore_t"] = f"SELECT layer, label, round({DOT}(h, v) / sqrt({DOT}(v, v)), 9) AS value FROM layers_t JOIN ldk_t USING (layer)"
 
@@ -179,7 +187,7 @@ def e11(spark, d):
 @query(
     "e12_recon_quality",
     f"""WITH l AS (SELECT doc_id, count(*) AS l0 FROM codes_t GROUP BY doc_id) SELECT count(*) AS n, round(avg({DOT}(e, e)), 6) AS mse, round(avg({DOT}(h, r) / (sqrt({DOT}(h, h)) * sqrt({DOT}(r, r)) + 1e-12)), 6) AS cosine,
-    round(avg(coalesce(l0, 0)), 6) AS l0, round(avg(1 - coalesce(l0, 0) / 128.0), 6) AS sparsity, round(avg(sqrt({DOT}(e, e)) / (sqrt({DOT}(h, h)) + 1e-12)), 6) AS error_ratio FROM res_t LEFT JOIN l USING (doc_id)""",
+    round(avg(coalesce(l0, 0)), 6) AS l0, round(avg(coalesce(l0, 0) / 128.0), 6) AS sparsity, round(avg(sqrt({DOT}(e, e)) / (sqrt({DOT}(h, h)) + 1e-12)), 6) AS error_ratio FROM res_t LEFT JOIN l USING (doc_id)""",
 )
 def e12(spark, d):
     a, w = _dict(spark, d)
@@ -199,7 +207,13 @@ def e13(spark, d):
     return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
 
 
-@query("e14_direction_coverage")
+@query(
+    "e14_direction_coverage",
+    f"""WITH z AS (SELECT feature_id, greatest(0, {DOT}(w, list_transform(list_zip(k.v, b.b), lambda p: p[1] - p[2])) + b_enc) AS z FROM dict_t, dk_t k, bdec_t b),
+    r AS (SELECT list(coalesce(s, 0) + b.b[i] ORDER BY i) AS r FROM (SELECT i, sum(z * x) AS s FROM (SELECT feature_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM dict_t) JOIN z USING (feature_id) GROUP BY i), bdec_t b),
+    e AS (SELECT v, r, list_transform(list_zip(v, r), lambda p: p[1] - p[2]) AS e FROM r, dk_t)
+    SELECT round({DOT}(v, r) / (sqrt({DOT}(v, v)) * sqrt({DOT}(r, r)) + 1e-12), 6) AS cosine, round(sqrt({DOT}(e, e)) / sqrt({DOT}(v, v)), 6) AS residual_fraction FROM e""",
+)
 def e14(spark, d):
     """Cosine of d_K with its own reconstruction, and the part left over."""
     a, w = _dict(spark, d)
@@ -267,17 +281,26 @@ def e19(spark, d):
     )
 
 
-@query(
-    "e20_random_dictionary",
-    f"""WITH g AS (SELECT feature_id, i, sqrt(-2 * ln(1 - {u('21', 'feature_id', 'i', '0')})) * cos(2 * pi() * {u('21', 'feature_id', 'i', '1')}) AS x FROM (SELECT feature_id, unnest(range(16)) AS i FROM dict_t))
-    SELECT feature_id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY feature_id)), 6) AS x FROM g""",
-)
+def _random_sql(x: str) -> str:
+    return f"""WITH g AS (SELECT feature_id, i, {x} AS x FROM (SELECT feature_id, unnest(range(64)) AS i FROM dict_t))
+    SELECT feature_id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY feature_id)), 6) AS x FROM g"""
+
+
+def _random_rows(spark, d, kind: str):
+    """As many unit rows as the dictionary has features, of its dimension."""
+    a, w = _dict(spark, d)
+    out = D.random_dictionary(spark, len(w.ids), w.w.shape[1], 21, kind)
+    return out.select("feature_id", F.posexplode("w").alias("i", "x")).select("feature_id", "i", r6("x").alias("x"))
+
+
+@query("e20_random_dictionary", _random_sql(f"sqrt(-2 * ln(1 - {u('21', 'feature_id', 'i', '0')})) * cos(2 * pi() * {u('21', 'feature_id', 'i', '1')})"))
 def e20(spark, d):
-    """Unit rows of hash-seeded normals, as many as the dictionary has features."""
-    f = dictionary(spark, d).select("feature_id")
-    x = lambda i: F.sqrt(-2 * F.log(1 - u01(F.lit(21), F.col("feature_id"), i, F.lit(0)))) * F.cos(2 * F.pi() * u01(F.lit(21), F.col("feature_id"), i, F.lit(1)))
-    rows = f.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(15)), x))
-    return rows.select("feature_id", F.posexplode(scaled(F.col("w"), 1.0 / norm(F.col("w")))).alias("i", "x")).select("feature_id", "i", r6("x").alias("x"))
+    return _random_rows(spark, d, "gaussian")
+
+
+@query("e20_uniform_dictionary", _random_sql(f"2 * {u('21', 'feature_id', 'i', '0')} - 1"))
+def e20u(spark, d):
+    return _random_rows(spark, d, "uniform")
 
 
 # -- ablation ---------------------------------------------------------------------------
@@ -419,7 +442,7 @@ def j1(spark, d):
     "j2_health_summary",
     """WITH c AS (SELECT count(*) AS n_features, count(*) FILTER (freq = 0) AS dead, count(*) FILTER (freq > 0 AND freq < 1e-4) AS rare, count(*) FILTER (freq > 0) AS alive, count(*) FILTER (freq >= 1e-3) AS healthy,
     count(*) FILTER (freq > 0.5) AS always_on, count(*) FILTER (freq >= 1e-5) AS at_least_1e5, count(*) FILTER (freq >= 1e-4) AS at_least_1e4, count(*) FILTER (freq >= 1e-3) AS at_least_1e3, count(*) FILTER (freq >= 1e-2) AS at_least_1e2 FROM stats_f)
-    SELECT *, CASE WHEN dead / n_features < 0.3 THEN 'HEALTHY' WHEN dead / n_features < 0.5 THEN 'DEGRADED' ELSE 'POOR' END AS verdict FROM c""",
+    SELECT *, CASE WHEN dead / n_features > 0.5 THEN 'COLLAPSED' WHEN dead / n_features > 0.3 THEN 'MANY_DEAD' ELSE 'ACCEPTABLE' END AS verdict FROM c""",
 )
 def j2(spark, d):
     return D.health_summary(_stats(spark, d)[3])

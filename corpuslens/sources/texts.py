@@ -50,10 +50,13 @@ def read_records(spark: SparkSession, path: str, schema: str, fields: dict[str,
 
 
 def vector_manifest(acts: DataFrame, by: list[str], vector: str = "h") -> DataFrame:
-    """Rows, length and an order-free digest of the vectors of each group."""
-    return acts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d_model"), F.expr(f"bit_xor(xxhash64(doc_id, {vector}))").alias("digest")
-    )
+    """Rows, length and an order-free digest of the vectors of each group.
+
+    The digest adds up two halves of each row's MD5 (of doc_id and the components in
+    millionths), so rows that repeat do not cancel out and any engine can compute it."""
+    own = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.array_join(F.transform(vector, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")))
+    part = lambda at: F.sum(F.conv(F.substring(own, at, 15), 16, 10).cast("decimal(38,0)"))
+    return acts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d_model"), F.concat_ws("-", part(1).cast("string"), part(17).cast("string")).alias("digest"))
 
 
 def pattern_scan(files: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -16,7 +16,9 @@ at least ``similarity``.  Candidates come from three sources, one after the othe
    out, and pairs that are not alike are never written out.
 
 Every candidate is verified on the whole sets before components are formed.  Documents
-with equal sets are one node.
+with equal sets are one node, named by 64 bits of a digest (of 10**10 different sets some
+three would share a name).  Sets are made again only of the documents that stand for nodes
+in candidates, picked by a Bloom filter of bounded size where the texts are read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 #: Least share of equal minima (last bytes of them) for a pair to be verified.
 LEAST_AGREE = 0.66
+#: Bits of the Bloom filter (at most), bits a document, and bits of a piece of it.
+BLOOM_BITS, BLOOM_LOAD, BLOOM_PIECE = 1 << 26, 16, 1 << 18
 #: Sketches in a chunk, and compared at once.
 CHUNK, AT_ONCE = 512, 2048
 
@@ -65,8 +70,8 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(raw)], np.uint64).view(np.int64)
 
 
-def _node(found: np.ndarray) -> bytes:
-    return hashlib.md5(found.tobytes(), usedforsecurity=False).digest()
+def _node(found: np.ndarray) -> int:
+    return int.from_bytes(hashlib.md5(found.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -81,23 +86,62 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             rows = [bands(m) if m is not None else [] for m in low]
             brief = [(m & np.uint32(255)).astype(np.uint8).tobytes() if m is not None else b"" for m in low]
             columns = [
-                batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array(prints.view(np.int64)),
+                batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prints.view(np.int64)),
                 pa.array(rows, pa.list_(pa.int64())), pa.array(brief, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, fp long, bands array<long>, sketch binary, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node long, fp long, bands array<long>, sketch binary, size long")
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node and its sorted shingles as bytes, for every document."""
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Three places of the Bloom filter for each id."""
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.stack([(x >> np.uint64(k)) & np.uint64(bits - 1) for k in (4, 20, 36)]).astype(np.int64)
+
+
+def bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of a column of longs: tasks set bits, pieces of equal place are united, ``bits`` bits reach the driver."""
+
+    def part(batches):
+        held = np.zeros(bits, bool)
+        for batch in batches:
+            held[_places(np.asarray(batch.column(0)), bits).ravel()] = True
+        packed = np.packbits(held).reshape(-1, min(BLOOM_PIECE, bits) // 8)
+        own = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([packed[i].tobytes() for i in own], pa.binary())], ["piece", "bits"])
+
+    def unite(t: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in t["bits"]])
+        return pa.table({"piece": t["piece"].slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
+
+    out = np.zeros((-(-bits // BLOOM_PIECE), min(BLOOM_PIECE, bits) // 8), np.uint8)
+    for r in ids.mapInArrow(part, "piece int, bits binary").groupBy("piece").applyInArrow(unite, "piece int, bits binary").collect():  # bounded by `bits`
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def shingle_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
+    """node and its sorted shingles (48 bits each) of documents whose id is in the Bloom filter, or null."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(wanted)  # at most BLOOM_BITS bits
 
     def make(batches):
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            ids = pc.fill_null(batch.column(0), 0).to_numpy()
+            at = _places(ids, 8 * len(filter_.value))
+            near = (filter_.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            sets = [shingles(t, words) for t in batch.column(1).filter(pa.array(near)).to_pylist()]
+            brief = [np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(brief, pa.binary())], ["node", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "node long, shingles binary")
+
 
-    return docs.select("text").mapInArrow(make, "node binary, shingles binary")
+def _set(shingles: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(shingles.as_buffer(), np.uint8).reshape(-1, 6)
+    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").ravel()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -111,14 +155,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                x, y = _set(x), _set(y)
                 if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
                     continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
 def _pairs(left: str, right: str):
@@ -132,10 +176,10 @@ def open_bands(held: DataFrame, found: DataFrame) -> DataFrame:
     return settle(rooted.join(mixed.hint("merge"), "band"), "open-bands")
 
 
-def across(open_: DataFrame, sketches_: DataFrame, similarity: float) -> DataFrame:
+def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of a band value that are in different components and may be similar enough."""
     members = open_.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-    brief = sketches_.select("node", "sketch", "size").dropDuplicates(["node"])
+    brief = nodes.select("node", "sketch", "size")
     rows = open_.join(members.hint("merge"), "band").join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
     keys = ["band", "i", "j"]
 
@@ -161,7 +205,7 @@ def across(open_: DataFrame, sketches_: DataFrame, similarity: float) -> DataFra
                 yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
     least = LEAST_AGREE / SIMILARITY * similarity * BANDS * ROWS
-    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a binary, b binary")
+    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a long, b long")
     return near.select(*_pairs("a", "b")).distinct()
 
 
@@ -173,7 +217,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     unless no other member has an id.  Other columns, whatever their names, are
     ignored; an empty table gives no rows."""
     sketched = settle(sketches(docs, words), "sketches")
-    filed = sketched.select(F.explode("bands").alias("band"), "node").distinct()
+    of_node = [F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")]
+    nodes = settle(sketched.groupBy("node").agg(*of_node, *[F.any_value(c).alias(c) for c in ("bands", "sketch", "size")]), "nodes")
+    filed = nodes.select(F.explode("bands").alias("band"), "node")
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     held = settle(filed.join(shared.hint("merge"), "band"), "bands")
 
@@ -187,7 +233,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     first = settle(equal.unionByName(ends.select(*_pairs("lead_a", "lead_b"))).filter("a != b").distinct(), "pairs")
 
     wanted = held.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    sets = settle(shingle_sets(docs, words).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    wanted = settle(nodes.select("node", "first").join(wanted.hint("merge"), "node"), "wanted")
+    n = max(1, wanted.count())
+    picked = bloom(wanted.select(F.coalesce("first", F.lit(0))), min(BLOOM_BITS, 1 << (BLOOM_LOAD * n - 1).bit_length()))
+    sets = settle(shingle_sets(docs, words, picked).join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
     as_edges = lambda df: df.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = components(verified(first, sets, similarity))
 
@@ -199,9 +248,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     found = components(as_edges(found).unionByName(verified(second, sets, similarity)))
 
     now = open_bands(held, found)
-    third = across(now, sketched, similarity).join(second.unionByName(first).hint("merge"), ["a", "b"], "left_anti")
+    third = across(now, nodes, similarity).join(second.unionByName(first).hint("merge"), ["a", "b"], "left_anti")
     found = components(as_edges(found).unionByName(verified(third, sets, similarity)))
 
-    nodes = settle(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    classes = settle(named_classes(nodes, found, "node"), "classes")
+    classes = settle(named_classes(nodes.select("node", "first", "n"), found, "node"), "classes")
     return join_hot(sketched.select("doc_id", "node"), classes, "node", "n", sketched.count()).select("doc_id", "component_id")

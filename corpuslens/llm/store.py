@@ -51,15 +51,18 @@ def settled_path(df: DataFrame) -> str:
     return df.settled_at
 
 
-#: At most so many groups are taken for hot.
-HOT = 512
+#: At most so many groups are taken for hot, in tables of so many rows at least.
+HOT, HOT_ROWS = 512, 100_000
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Join rows to groups (one row for each value of ``key``; ``size`` counts the group's rows).
 
     Groups with more than one row in HOT of ``total``, so at most HOT of them, are broadcast
-    and their rows stay where they are; only rows of other groups are shuffled."""
+    and their rows stay where they are; only rows of other groups are shuffled.  A table
+    of few rows is joined as it is, since any of its groups fits in a task."""
+    if total < HOT_ROWS:
+        return rows.join(groups.hint("merge"), key)
     least = max(1, total // HOT)
     hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
     kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)

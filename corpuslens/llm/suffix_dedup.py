@@ -35,8 +35,9 @@ from corpuslens.llm.store import settle, table
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors are found at once, and anchors held before they are sent.
 CHUNK_BYTES, HELD_ANCHORS = 1 << 20, 2_000_000
-#: Bytes of text for each bucket of documents, and for each receiver of suffixes.
-BUCKET_BYTES, RECEIVER_BYTES = 24 << 20, 12 << 20
+#: Bytes of text for each bucket of documents, for each of the first receivers of suffixes
+#: (a bucket sends a row to each receiver, so there are not too many), and for further ones.
+BUCKET_BYTES, RECEIVER_BYTES, RECEIVERS, FURTHER_BYTES = 24 << 20, 4 << 20, 4096, 64 << 20
 
 #: Odd multipliers of the mixing function.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -535,7 +536,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     known = rows.filter(F.col("doc_id").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * parts, size // BUCKET_BYTES)
-    receivers = max(4 * parts, size // RECEIVER_BYTES)
+    receivers = max(parts, min(size // RECEIVER_BYTES, RECEIVERS), size // FURTHER_BYTES)
     grams = known.mapInArrow(gram_rows(receivers, buckets), "r int, docs binary, sizes binary, grams binary")
     wanted = grams.groupBy("r").applyInArrow(shared_grams(receivers, buckets), "bucket int, docs binary, grams binary")
     packed = packed_texts(known, buckets)

@@ -41,7 +41,7 @@ def rule_version(rules) -> str:
 RULE_VERSION = rule_version(RULES)
 
 #: Up to so many unseen blobs, or versions with findings (of SPANS spans in all), are broadcast.
-BROADCAST_ROWS, SPANS = 50_000, 100_000
+BROADCAST_ROWS, SPANS = 10_000, 100_000
 
 LEDGER = "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>"
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")

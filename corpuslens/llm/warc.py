@@ -69,7 +69,7 @@ FILE_BYTES, SPLIT_BYTES, BATCH_BYTES = 256 << 20, 16 << 20, 4 << 20
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
 #: Up to so many revisits (some 48 bytes each) are broadcast to the rows; more are joined.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 10_000
 #: Fixed value: the profile of revisits with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TESTS = {

@@ -5,18 +5,27 @@ Every fit is Spark ML on a DataFrame; feature steps are fitted on the training f
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.ml import Pipeline
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import terms_of, u01, words_of
+from corpuslens.functions.vectors import dot
 from corpuslens.operators import metrics as M
+from corpuslens.operators import resample as R
+from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import stratified_folds
 from corpuslens.operators.textfeat import grams
+from corpuslens.sources.scratch import settled
 
 
 def logistic(features: str, c: float = 1.0, n: int = 1000) -> LogisticRegression:
@@ -28,15 +37,48 @@ def scaled_logistic(c: float = 1.0, n: int = 1000) -> list:
     return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), logistic("scaled", c, n)]
 
 
+class SmoothIdf(Estimator):
+    """Weights ln((1 + N) / (1 + df)) + 1, so that a term of all documents still counts."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self.columns = inputCol, outputCol
+
+    def _fit(self, dataset):
+        own, out = self.columns
+        idf = IDF(inputCol=own, outputCol=out).fit(dataset).idf.toArray()
+        return ElementwiseProduct(inputCol=own, outputCol=out, scalingVec=DenseVector(idf + 1.0))
+
+
+class Sublinear(Transformer):
+    """1 + ln of the counts of a sparse vector; vectors of ML reach Python row by row only."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self.columns = inputCol, outputCol
+
+    def _transform(self, dataset):
+        own, out = self.columns
+        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn(out, damped(own))
+
+
 def scores_of(model, test: DataFrame, keep: list[str]) -> DataFrame:
     """keep, value: the fitted model's score for class 1."""
     column = "rawPrediction" if "rawPrediction" in model.transform(test.limit(0)).columns else "probability"
     return model.transform(test).select(*keep, F.round(vector_to_array(column)[1], 9).alias("value"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Rows of a fit, computed once; Spark drops the blocks when the table is no longer used."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def out_of_fold(df: DataFrame, stages: list, k: int, seed: int) -> DataFrame:
     """doc_id, label, fold, value: each row scored by the model fitted on the other folds."""
-    dealt = stratified_folds(df, "label", k, seed).cache()
+    dealt = _settled(stratified_folds(df, "label", k, seed))
     out = None
     for fold in range(k):
         model = Pipeline(stages=stages).fit(dealt.filter(F.col("fold") != fold))
@@ -66,30 +108,35 @@ def text_terms(pool: DataFrame, n: int = 2) -> DataFrame:
     return pool.select("doc_id", "label", grams(terms_of(F.col("text")), n).alias("terms"))
 
 
-def bow_audit(pool: DataFrame, k: int = 5, seed: int = 0, tfidf: bool = True, vocab: int = 5000, min_df: float = 2.0) -> DataFrame:
+def bow_audit(pool: DataFrame, k: int = 5, seed: int = 0, tfidf: bool = True, vocab: int = 50_000, min_df: float = 2.0) -> DataFrame:
     """Vocabulary confound: can words tell the labels apart?  The vocabulary is the training folds' own."""
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocab, minDF=min_df)
-    stages = [counts, IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features")] if tfidf else [counts.copy({counts.outputCol: "features"})]
+    stages = [counts, SmoothIdf("counts", "weighted"), Normalizer(inputCol="weighted", outputCol="features")] if tfidf else [counts.copy({counts.outputCol: "features"})]
     return summary(out_of_fold(text_terms(pool), [*stages, logistic("features")], k, seed))
 
 
-def length_features_vector(pool: DataFrame) -> DataFrame:
-    size = F.array(F.length("text").cast("double"), F.size(words_of(F.col("text"))).cast("double"))
-    return pool.select("doc_id", "label", array_to_vector(size).alias("features"))
+def length_features_vector(pool: DataFrame, feature: str) -> DataFrame:
+    size = F.length("text") if feature == "chars" else F.size(words_of(F.col("text")))
+    return pool.select("doc_id", "label", array_to_vector(F.array(size.cast("double"))).alias("features"))
 
 
 def length_audit(pool: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """Length confound: the same with characters and words of the text."""
-    return summary(out_of_fold(length_features_vector(pool), scaled_logistic(), k, seed))
+    """Length confound: a classifier on each length alone (feature: chars, words), and the worst level as headline."""
+    out = None
+    for feature in ("chars", "words"):
+        row = summary(out_of_fold(length_features_vector(pool, feature), scaled_logistic(), k, seed)).withColumn("feature", F.lit(feature))
+        out = row if out is None else out.unionByName(row)
+    worst = out.agg(F.max("auroc_bi").alias("worst")).select(confound_level(F.col("worst")).alias("headline"))
+    return out.crossJoin(F.broadcast(worst))
 
 
 def train_test(train: DataFrame, test: DataFrame, stages: list) -> DataFrame:
     """AUROC on the test rows of a model fitted on the training rows."""
-    train, test = train.cache(), test.cache()
+    train, test = _settled(train), _settled(test)
     return M.oriented(M.auroc(scores_of(Pipeline(stages=stages).fit(train), test, ["doc_id", "label"])))
 
 
-def bow_forest(train: DataFrame, test: DataFrame, trees: int = 100, depth: int = 2, seed: int = 0) -> DataFrame:
+def bow_forest(train: DataFrame, test: DataFrame, trees: int = 500, depth: int = 2, seed: int = 0) -> DataFrame:
     stages = [
         CountVectorizer(inputCol="terms", outputCol="features", minDF=0.05),
         RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, seed=seed),
@@ -98,7 +145,7 @@ def bow_forest(train: DataFrame, test: DataFrame, trees: int = 100, depth: int =
 
 
 def tfidf_logistic(train: DataFrame, test: DataFrame) -> DataFrame:
-    stages = [CountVectorizer(inputCol="terms", outputCol="counts", minDF=0.02), IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"), logistic("features")]
+    stages = [CountVectorizer(inputCol="terms", outputCol="counts", minDF=0.02), Sublinear("counts", "damped"), SmoothIdf("damped", "weighted"), Normalizer(inputCol="weighted", outputCol="features"), logistic("features")]
     return train_test(text_terms(train), text_terms(test), stages)
 
 
@@ -106,13 +153,93 @@ def vectors_of(acts: DataFrame, column: str = "h") -> DataFrame:
     return acts.select("doc_id", "label", array_to_vector(F.col(column)).alias("features"))
 
 
-def linear_probe(acts: DataFrame, k: int = 5, seed: int = 0, column: str = "h") -> DataFrame:
-    return summary(out_of_fold(vectors_of(acts, column), scaled_logistic(), k, seed))
+def linear_scores(acts: DataFrame, k: int = 5, seed: int = 0, column: str = "h", standardised: bool = True) -> DataFrame:
+    return out_of_fold(vectors_of(acts, column), scaled_logistic() if standardised else [logistic("features")], k, seed)
+
+
+def linear_probe(acts: DataFrame, k: int = 5, seed: int = 0, column: str = "h", standardised: bool = True) -> DataFrame:
+    return summary(linear_scores(acts, k, seed, column, standardised))
 
 
-def mlp_probe(acts: DataFrame, dim: int, hidden: int = 32, k: int = 3, seed: int = 0) -> DataFrame:
+def mlp_scores(acts: DataFrame, dim: int, hidden: int = 256, k: int = 5, seed: int = 0) -> DataFrame:
     net = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[dim, hidden, 2], maxIter=50, seed=seed)
-    return summary(out_of_fold(vectors_of(acts), [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), net], k, seed))
+    return out_of_fold(vectors_of(acts), [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), net], k, seed)
+
+
+def mlp_against_linear(acts: DataFrame, dim: int, hidden: int = 256, k: int = 5, seed: int = 0, replicates: int = 1000) -> DataFrame:
+    """probe (mlp, linear): pooled out-of-fold AUROC and rates, the AUROC's interval, and the interval of mlp less linear over the same draws."""
+    names = ["doc_id", "label", "fold", "value"]
+    both = {n: settled(x.select(names), n) for n, x in (("mlp", mlp_scores(acts, dim, hidden, k, seed)), ("linear", linear_scores(acts, k, seed)))}
+    out = None
+    for n, x in both.items():
+        ci = R.bootstrap_ci(x.withColumn("probe", F.lit(n)), ["probe"], replicates, seed)
+        row = summary(x).withColumn("probe", F.lit(n)).join(ci.select("probe", "low", "high"), "probe")
+        out = row if out is None else out.unionByName(row)
+    pair = both["mlp"].select("doc_id", "label", F.col("value").alias("mlp")).join(both["linear"].select("doc_id", F.col("value").alias("linear")), "doc_id").withColumn("all", F.lit(0))
+    gap = R.interval(R.paired_difference(pair, "mlp", "linear", replicates, seed, ["all"]), ["all"], "delta")
+    return out.crossJoin(F.broadcast(gap.select(F.col("mean").alias("gap"), F.col("low").alias("gap_low"), F.col("high").alias("gap_high"))))
+
+
+def component_table(parts: DataFrame, d: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """stream (vector, reconstruction, residual, and each scaled to unit length): AUROC along d, a fresh probe's, and probe less direction.
+
+    That gap is the circularity gap: what a direction fitted on whole vectors misses of a stream."""
+    out = None
+    for column in ("h", "recon", "resid"):
+        for kind in ("raw", "l2"):
+            own = parts.select("doc_id", "label", F.col(column).alias("h"))
+            own = own if kind == "raw" else V.l2_normalised(own)
+            along = own.crossJoin(F.broadcast(d.select("d"))).select("label", F.round(V.project(F.col("h"), F.col("d")), 9).alias("value"))
+            direction = M.oriented(M.auroc(along)).select(F.col("auroc_bi").alias("direction_auroc"))
+            probe = linear_probe(own, k, seed).select(F.col("auroc_bi").alias("probe_auroc"), "fold_mean", "fold_std")
+            row = direction.crossJoin(probe).withColumn("stream", F.lit(column if kind == "raw" else f"{column}_l2"))
+            out = row if out is None else out.unionByName(row)
+    return out.withColumn("gap", F.col("probe_auroc") - F.col("direction_auroc"))
+
+
+def permutation_probe(acts: DataFrame, permutations: int, folds: int, seed: int, ridge: float = 1.0) -> DataFrame:
+    """m, auroc of ridge probes refitted on permuted labels with fresh folds, over all rows.
+
+    A ridge probe needs only sums of outer products: those of a permutation's folds are
+    added up by tasks, each small system is solved once, and every row is scored by the
+    probe that did not see it."""
+    rows = settled(R.permuted_labels(acts.select("doc_id", "label", "h"), permutations, seed).withColumn("fold", F.floor(u01(F.lit(seed + 1), F.col("m"), F.col("doc_id")) * folds).cast("int")), "permuted")
+
+    def sums(batches):
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, fold, y = (np.asarray(batch.column(c)) for c in (0, 1, 2))
+            x = np.asarray(batch.column(3).flatten(), float).reshape(batch.num_rows, -1)
+            z = np.hstack([x, np.ones((len(x), 1)), (2.0 * y - 1)[:, None]])
+            for key in set(zip(m.tolist(), fold.tolist(), strict=True)):
+                own = z[(m == key[0]) & (fold == key[1])]
+                held[key] = held.get(key, 0.0) + own.T @ own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int32()), pa.array([g.ravel().tolist() for g in held.values()], pa.list_(pa.float64()))], ["m", "fold", "g"]
+        )
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        size = int(round(np.sqrt(len(own["g"].iloc[0]))))
+        total = np.sum(np.stack(own["g"]), axis=0).reshape(size, size)
+        out = []
+        for fold in range(folds):
+            mine = [g for f, g in zip(own["fold"], own["g"], strict=True) if f == fold]
+            g = total - (np.sum(mine, axis=0).reshape(size, size) if mine else 0.0)
+            n, mean = g[-2, -2], g[-2, :-2] / max(g[-2, -2], 1)
+            std = np.sqrt(np.maximum(np.diag(g)[:-2] / max(n, 1) - mean**2, 0)) + 1e-12
+            # sums of standardised vectors, from sums of plain ones
+            zz = (g[:-2, :-2] - n * np.outer(mean, mean)) / np.outer(std, std)
+            zy = (g[:-2, -1] - mean * g[-2, -1]) / std
+            w = np.linalg.solve(zz + ridge * np.eye(len(zz)), zy) / std
+            out.append((int(own["m"].iloc[0]), fold, w.tolist(), float(g[-2, -1] / max(n + ridge, 1) - w @ mean)))
+        return pd.DataFrame(out, columns=["m", "fold", "w", "b"])
+
+    grams_ = rows.select("m", "fold", "permuted", "h").mapInArrow(sums, "m int, fold int, g array<double>")
+    fits = settled(grams_.groupBy("m").applyInPandas(solve, "m int, fold int, w array<double>, b double"), "fits")  # permutations * folds rows
+    scored = rows.join(F.broadcast(fits), ["m", "fold"]).select("m", F.col("permuted").alias("label"), F.round(dot(F.col("h"), F.col("w")) + F.col("b"), 9).alias("value"))
+    return M.auroc(scored, ["m"]).select("m", "auroc")
 
 
 def code_vectors(codes: DataFrame, n_features: int, drop: list[int] = (), docs: DataFrame | None = None) -> DataFrame:
@@ -140,9 +267,37 @@ def rank_by_probe(codes: DataFrame, docs: DataFrame, n_features: int) -> DataFra
     return codes.sparkSession.createDataFrame([(i, abs(float(w))) for i, w in enumerate(weights)], "feature_id int, score double")  # one row a feature
 
 
+def fold_bank(acts: DataFrame, seeds: list[int], folds: int = 5) -> tuple[list[tuple[int, int, np.ndarray, float]], str]:
+    """One probe per seed and fold, fitted on the other folds: (seed, fold, weights, bias), and a digest of all weights.
+
+    The bank is frozen: altered vectors are scored by the probe of their own fold."""
+    out = []
+    for s in seeds:
+        rows = _settled(stratified_folds(vectors_of(acts), "label", folds, s))
+        for f in range(folds):
+            scaler, model = Pipeline(stages=scaled_logistic()).fit(rows.filter(F.col("fold") != f)).stages
+            std = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
+            w = model.coefficients.toArray() / std
+            out.append((s, f, w, float(model.intercept - w @ scaler.mean.toArray())))
+        rows.unpersist()
+    digest = hashlib.sha256(b"".join(np.round(np.append(w, b), 12).tobytes() for *_, w, b in out)).hexdigest()
+    return out, digest
+
+
+def fold_scores(acts: DataFrame, bank: list, seeds: list[int], folds: int = 5, column: str = "h") -> DataFrame:
+    """doc_id, label, seed, fold, value of a frozen bank; the folds are those of the fit."""
+    spark = acts.sparkSession
+    table = F.broadcast(spark.createDataFrame([(s, f, w.tolist(), b) for s, f, w, b in bank], "seed int, fold int, w array<double>, b double"))  # seeds * folds rows
+    out = None
+    for s in seeds:
+        part = stratified_folds(acts.select("doc_id", "label", column), "label", folds, s).withColumn("seed", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out.join(table, ["seed", "fold"]).select("doc_id", "label", "seed", "fold", F.round(dot(F.col(column), F.col("w")) + F.col("b"), 9).alias("value"))
+
+
 def probe_bank(acts: DataFrame, seeds: list[int]) -> list[tuple[int, np.ndarray, float]]:
     """One probe per seed, fitted on a drawn 70 %: (seed, weights, bias) for unscaled vectors."""
-    rows = vectors_of(acts).cache()
+    rows = _settled(vectors_of(acts))
     out = []
     for s in seeds:
         scaler, model = Pipeline(stages=scaled_logistic()).fit(rows.filter(u01(F.lit(s), F.col("doc_id")) < 0.7)).stages

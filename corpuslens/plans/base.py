@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.scratch import scratch, settled  # noqa: F401  shared by all plans
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,21 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that what follows does not compute it again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pool(spark, sf_dir, label: str = "quality") -> DataFrame:
     """Labelled documents: doc_id, text, label."""
     own = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))

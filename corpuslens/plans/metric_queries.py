@@ -9,7 +9,7 @@ from corpuslens.operators import cohort as K
 from corpuslens.operators import metrics as M
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
-from corpuslens.plans.base import CTE, acts, query, scratch, table, u
+from corpuslens.plans.base import CTE, acts, query, scratch, settled, table, u
 from corpuslens.plans.vector_queries import DOT, area_sql, warea_sql
 from corpuslens.sources.texts import read_records
 
@@ -263,8 +263,6 @@ def g5(spark, d):
     """Cosine of the first contrastive direction with d_R, refitted for 1,000 permutations of the labels."""
     import numpy as np
 
-    from corpuslens.plans.base import settled
-
     a = acts(spark, d)
     dr = np.array(_recall_direction(a).first()["dr"])
     own = np.array(V.contrastive_pca(a, 1)[0][2])
@@ -347,7 +345,6 @@ HELD = ("auroc_h", "auroc_recon", "auroc_resid", "recon_cos", "drop")
 def _heldout(spark, d):
     """Settled splits of the held-out audit, and the decomposed vectors."""
     from corpuslens.operators import dictionary as D
-    from corpuslens.plans.base import settled
     from corpuslens.plans.vector_queries import _dict
 
     a, w = _dict(spark, d)

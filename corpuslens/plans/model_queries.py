@@ -17,7 +17,7 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import probes as P
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
-from corpuslens.plans.base import acts, pool, query, scratch, table
+from corpuslens.plans.base import acts, pool, query, scratch, settled, table
 from corpuslens.plans.corpus_queries import KEY, STRIP
 from corpuslens.plans.metric_queries import _pairs
 from corpuslens.plans.vector_queries import TOP, _dict, _token_codes
@@ -32,12 +32,12 @@ def _card(out):
 
 @query("c6_bow_audit")
 def c6(spark, d):
-    return _card(P.bow_audit(pool(spark, d, "toxic"), 3))
+    return _card(P.bow_audit(pool(spark, d, "toxic")))
 
 
 @query("c7_length_audit")
 def c7(spark, d):
-    return _card(P.length_audit(pool(spark, d), 3))
+    return _card(P.length_audit(pool(spark, d)))
 
 
 def _halves(spark, d):
@@ -47,7 +47,7 @@ def _halves(spark, d):
 
 @query("c8_bow_forest")
 def c8(spark, d):
-    return _card(P.bow_forest(*_halves(spark, d), trees=50))
+    return _card(P.bow_forest(*_halves(spark, d)))
 
 
 @query("c9_tfidf_logistic")
@@ -57,23 +57,27 @@ def c9(spark, d):
 
 @query("h1_linear_probe")
 def h1(spark, d):
-    return _card(P.linear_probe(acts(spark, d), 3))
+    """Standardised on the training folds, and as they are."""
+    own, plain = (_card(P.linear_probe(acts(spark, d), standardised=s)).withColumn("standardised", F.lit(s)) for s in (True, False))
+    return own.unionByName(plain)
 
 
 @query("h2_probe_bank")
 def h2(spark, d):
-    """Probes fitted on raw vectors, scored on vectors without d_K."""
-    a = acts(spark, d)
-    bank = P.probe_bank(a, [0, 1])
+    """A frozen bank over seeds and folds, fitted on raw vectors, scored on vectors with and without d_K."""
+    a, seeds = acts(spark, d), [0, 1, 2]
+    bank, digest = P.fold_bank(a, seeds)
     w = a.crossJoin(F.broadcast(V.mean_diff(a)))
     cut = w.withColumn("h", F.zip_with("h", scaled(scaled(F.col("d"), 1.0 / F.col("d_norm")), V.project(F.col("h"), F.col("d"))), lambda x, y: x - y))
-    both = P.bank_scores(a, bank).withColumn("kind", F.lit("raw")).unionByName(P.bank_scores(cut, bank).withColumn("kind", F.lit("erased")))
-    return M.auroc(both, ["kind", "seed"]).select("kind", "seed", r6("auroc").alias("auroc"))
+    both = P.fold_scores(a, bank, seeds).withColumn("kind", F.lit("raw")).unionByName(P.fold_scores(cut, bank, seeds).withColumn("kind", F.lit("erased")))
+    return M.auroc(both, ["kind", "seed", "fold"]).select("kind", "seed", "fold", r6("auroc").alias("auroc"), F.lit(digest).alias("bank_sha256"))
 
 
 @query("h3_mlp_probe")
 def h3(spark, d):
-    return _card(P.mlp_probe(acts(spark, d), 64, 16, 2))
+    """256 hidden units against a linear probe, with intervals."""
+    out = _card(P.mlp_against_linear(acts(spark, d), 64))
+    return out.select("probe", *[r6(c).alias(c) if c in ("low", "high", "gap", "gap_low", "gap_high") else c for c in out.columns if c != "probe"])
 
 
 @query("h4_code_probe")
@@ -83,46 +87,22 @@ def h4(spark, d):
     codes = D.encode(a, w)
     n = a.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     top = [r[0] for r in D.ranked(D.feature_label_corr(codes, n), "r").filter("place <= 16").select("feature_id").collect()]  # 16 ids
-    before = _card(P.code_probe(codes, len(w.ids), k=2, docs=a)).withColumn("dropped", F.lit(0))
-    return before.unionByName(_card(P.code_probe(codes, len(w.ids), top, k=2, docs=a)).withColumn("dropped", F.lit(len(top))))
+    before = _card(P.code_probe(codes, len(w.ids), k=5, docs=a)).withColumn("dropped", F.lit(0))
+    return before.unionByName(_card(P.code_probe(codes, len(w.ids), top, k=5, docs=a)).withColumn("dropped", F.lit(len(top))))
 
 
 @query("h5_probe_components")
 def h5(spark, d):
-    """Fresh probes on vector, reconstruction and residual."""
+    """Direction score against a fresh probe on vector, reconstruction and residual, also at unit length."""
     a, w = _dict(spark, d)
-    parts = D.decompose(a, w)
-    out = None
-    for s in D.STREAMS:
-        row = _card(P.linear_probe(parts, 2, column=s)).withColumn("stream", F.lit(s))
-        out = row if out is None else out.unionByName(row)
-    return out
+    out = P.component_table(settled(D.decompose(a, w), "decomposed"), V.mean_diff(a))
+    return out.select("stream", *[r6(c).alias(c) for c in ("direction_auroc", "probe_auroc", "fold_mean", "fold_std", "gap")])
 
 
 @query("g6_permutation_probe")
 def g6(spark, d):
-    """AUROC of probes refitted on permuted labels, one permutation to a task group.
-
-    The labelled sample is bounded (at most 2,000 vectors), so each group holds it whole."""
-    n = table(spark, d, "embeddings").count()
-    a = acts(spark, d).filter(u01(F.lit(23), F.col("doc_id")) < 2000 / n)
-    rows = R.permuted_labels(a, 20, 6)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["h"]), pdf["permuted"].to_numpy(float)
-        fold = np.random.Generator(np.random.Philox(int(pdf["m"].iloc[0]))).integers(0, 3, len(x))
-        score = np.zeros(len(x))
-        for f in range(3):
-            own = fold != f
-            mean, std = x[own].mean(0), x[own].std(0) + 1e-12
-            z = np.hstack([(x - mean) / std, np.ones((len(x), 1))])
-            score[~own] = z[~own] @ np.linalg.solve(z[own].T @ z[own] + np.eye(z.shape[1]), z[own].T @ (2 * y[own] - 1))
-        order = pd.Series(score).rank().to_numpy()
-        p = y.sum()
-        area = (order[y == 1].sum() - p * (p + 1) / 2) / max(p * (len(y) - p), 1)
-        return pd.DataFrame({"m": [int(pdf["m"].iloc[0])], "auroc": [area]})
-
-    null = rows.select("m", "h", "permuted").groupBy("m").applyInPandas(fit, "m int, auroc double")
+    """AUROC of probes refitted on permuted labels with fresh folds, over all vectors."""
+    null = P.permutation_probe(acts(spark, d), 100, 5, 6)
     return null.agg(r6(F.avg("auroc")).alias("mean"), r6(F.stddev_samp("auroc")).alias("std"), r6(F.max("auroc")).alias("highest"), F.count(F.lit(1)).alias("n"))
 
 
@@ -143,25 +123,34 @@ def g8(spark, d):
                 out.append((size, D.feature_sufficiency(s, dec[pick])))
             yield pd.DataFrame(out, columns=["size", "value"])
 
-    return spark.range(300).repartition(8).mapInPandas(run, "size int, value double").groupBy("size").agg(
-        r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), r6(F.max("value")).alias("highest"), F.count(F.lit(1)).alias("n")
-    )
+    # the features that follow d_K most, against 1,000 random subsets of each size
+    dk = np.array(V.mean_diff(a).first()["d"])
+    order = np.argsort(-np.abs(w.dec @ dk) / np.linalg.norm(w.dec, axis=1), kind="stable")
+    seen = spark.createDataFrame([(k, D.feature_sufficiency(basis, w.dec[order[:k]])) for k in (8, 16, 32)], "size int, observed double")  # three rows
+    null = spark.range(3000).repartition(8).mapInPandas(run, "size int, value double").join(F.broadcast(seen), "size")
+    return null.groupBy("size").agg(
+        r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), r6(F.max("value")).alias("highest"), F.count(F.lit(1)).alias("n"),
+        r6(F.max("observed")).alias("observed"), F.count_if(F.col("value") >= F.col("observed")).alias("n_at_least"), r6((F.count_if(F.col("value") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p_value"),
+    )
 
 
 @query("i8_ablation_controls")
 def i8(spark, d):
-    """AUROC of a frozen probe after erasing d_K, random directions, or nothing."""
+    """AUROC of a frozen probe after erasing d_K, each of 100 random directions, or nothing.
+
+    Erasing u changes a score by (h.u)(u.w), so one pass scores all directions."""
     a = acts(spark, d)
-    bank = P.probe_bank(a, [0])
+    (_, weights, bias), = P.probe_bank(a, [0])
     dk = np.array(V.mean_diff(a).first()["d"])
-    directions = [("identity", np.zeros_like(dk)), ("d_k", dk / np.linalg.norm(dk)), *((f"random_{i}", v) for i, v in enumerate(V.random_directions(10, len(dk), 31)))]
-    out = None
-    for name, v in directions:
-        lit = F.array(*[F.lit(float(x)) for x in v])
-        along = F.aggregate(F.zip_with("h", lit, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-        part = P.bank_scores(a.withColumn("h", F.zip_with("h", scaled(lit, along), lambda p, q: p - q)), bank).withColumn("control", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return M.auroc(out, ["control"]).select("control", r6("auroc").alias("auroc"))
+    names = ["identity", "d_k", *(f"random_{i}" for i in range(100))]
+    u = np.vstack([np.zeros_like(dk), dk / np.linalg.norm(dk), V.random_directions(100, len(dk), 31)])
+    along = u @ weights
+    table_ = spark.createDataFrame([(i, n, float(along[i])) for i, n in enumerate(names)], "direction int, control string, c double")  # a row a direction
+    own = a.select("label", F.concat("h", F.array(F.aggregate(F.zip_with("h", F.array(*[F.lit(float(x)) for x in weights]), lambda p, q: p * q), F.lit(float(bias)), lambda s, x: s + x))).alias("h"))
+    # the last component carries the plain score; directions read it with a unit weight
+    whole = np.hstack([-u * along[:, None], np.ones((len(u), 1))])
+    scored = V.direction_scores(own, whole).join(F.broadcast(table_), "direction").select("control", "label", F.round("value", 9).alias("value"))
+    return M.auroc(scored, ["control"]).select("control", r6("auroc").alias("auroc"))
 
 
 @query("i8_residual_controls")
@@ -172,6 +161,25 @@ def i8_residual(spark, d):
     return out.select("control", "n_seeds", *[r6(c).alias(c) for c in ("mean", "std", "pct05", "pct50", "pct95")])
 
 
+@query("i9_decisive_rule")
+def i9_decisive(spark, d):
+    """Whether the drop from erasing the residual's leading directions beats its controls, at three ranks."""
+    from corpuslens.operators import cohort
+
+    a, w = _dict(spark, d)
+    bank, rows = P.probe_bank(a, [0]), None
+    for rank in (2, 5, 10):
+        own = K.ablation_controls(K.control_scores(a, w, bank, rank=rank))
+        own = own.withColumn("cell", F.lit(rank))
+        rows = own if rows is None else rows.unionByName(own)
+    pick = lambda n, c: F.max(F.when(F.col("control") == n, F.col(c)))
+    cells = rows.groupBy("cell").agg(
+        pick("identity", "mean").alias("auroc_h"), (pick("identity", "mean") - pick("primary", "mean")).alias("delta"),
+        pick("random", "pct05").alias("random_pct05"), pick("noise", "pct05").alias("noise_pct05"), pick("mask", "mean").alias("mask_mean"), pick("mask", "std").alias("mask_std"),
+    )
+    return cells.select("cell", r6("delta").alias("delta")).join(cohort.decisive(cells), "cell")
+
+
 @query("i2_rank_by_probe")
 def i2_probe(spark, d):
     """Features by their weight in a probe on scaled codes."""

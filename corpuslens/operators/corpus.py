@@ -43,7 +43,7 @@ def dedupe_exact(df: DataFrame, order: str = "doc_id", **key) -> DataFrame:
     return digests.groupBy("digest").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_copies"))
 
 
-def dedupe_window(df: DataFrame, window: int, shards: int = 8, order: str = "doc_id") -> DataFrame:
+def dedupe_window(df: DataFrame, window: int, shards: int = 200, order: str = "doc_id") -> DataFrame:
     """Rows whose key was not accepted among the last ``window`` accepted rows of their shard.
 
     Each shard is one ordered stream with a bounded queue; shards are hash draws."""
@@ -108,14 +108,18 @@ def disjoint_candidates(stream: DataFrame, min_chars: int, low: int, high: int)
     return rows.withColumn("in_window", F.length("text").between(low, high)).withColumn("sha256", sha())
 
 
-def disjoint_partition(stream: DataFrame, pool: DataFrame, n_docs: int, min_chars: int = 200, low: int = 620, high: int = 1024, seed: int = 0) -> DataFrame:
+def disjoint_partition(stream: DataFrame, pool: DataFrame, n_docs: int, min_chars: int = 200, low: int = 620, high: int = 1024, seed: int = 0, strict: bool = False) -> DataFrame:
     """n_docs texts whose digests are not in the pool, without own duplicates, in seeded order.
 
-    Digests, not texts, meet in the joins; a text is read for the winners only."""
+    Digests, not texts, meet in the joins; a text is read for the winners only.  With
+    ``strict`` too few texts are an error."""
     rows = disjoint_candidates(stream, min_chars, low, high).filter("in_window").select("doc_id", "sha256")
     own = pool.select(sha().alias("sha256")).distinct()
     fresh = rows.join(own, "sha256", "left_anti").groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
-    return fresh.orderBy(u01(F.lit(seed), F.col("doc_id")), "doc_id").limit(n_docs)
+    picked = fresh.orderBy(u01(F.lit(seed), F.col("doc_id")), "doc_id").limit(n_docs)
+    if strict and (found := picked.count()) < n_docs:
+        raise ValueError(f"{n_docs} texts were asked for and {found} are left")
+    return picked
 
 
 def disjointness_proof(selected: DataFrame, pool: DataFrame, stream: DataFrame, min_chars: int = 200, low: int = 620, high: int = 1024) -> DataFrame:
@@ -129,7 +133,9 @@ def disjointness_proof(selected: DataFrame, pool: DataFrame, stream: DataFrame,
         F.count_if(F.col("in_window") & F.col("hit").isNotNull()).alias("n_collisions"),
     )
     chosen = selected.select("sha256").distinct()
-    both = chosen.join(own, "sha256", "left_semi").agg(F.count(F.lit(1)).alias("n_intersection"))
+    shared = chosen.join(own, "sha256", "left_semi")
+    few = shared.orderBy("sha256").limit(10).agg(F.array_join(F.array_sort(F.collect_list("sha256")), ",").alias("examples"))
+    both = shared.agg(F.count(F.lit(1)).alias("n_intersection")).crossJoin(few)
     sizes = own.agg(F.count(F.lit(1)).alias("n_pool")).crossJoin(chosen.agg(F.count(F.lit(1)).alias("n_selected")))
     return counts.crossJoin(both).crossJoin(sizes)  # rows of one
 

@@ -268,6 +268,21 @@ def top_contexts(codes: DataFrame, k: int, salts: int = 16) -> DataFrame:
     return last.select("feature_id", "rank", "doc_id", "pos", "activation")
 
 
+def with_windows(contexts: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
+    """Contexts with ``window``: the tokens (doc_id, pos, token) up to ``width`` places round the maximum, joined by blanks.
+
+    Only the kept contexts, few a feature, meet the tokens, each at 2 * width + 1 places."""
+    at = contexts.withColumn("at", F.explode(F.sequence(F.col("pos") - width, F.col("pos") + width)))
+    near = at.join(tokens.select("doc_id", F.col("pos").alias("at"), "token"), ["doc_id", "at"])
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
+    return near.groupBy(*contexts.columns).agg(words.alias("window"))
+
+
+def random_summary(areas: DataFrame) -> DataFrame:
+    """stream: mean, sample std and number over the seeds of random ablations."""
+    return areas.groupBy("stream").agg(F.avg("auroc").alias("mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("std"), F.count(F.lit(1)).alias("n_seeds"))
+
+
 def usage_balance(stats: DataFrame, target: float) -> DataFrame:
     return stats.agg(F.avg(F.pow(F.col("freq") - target, 2)).alias("usage_balance"), F.avg("freq").alias("mean_rate"))
 

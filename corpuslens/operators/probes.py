@@ -6,10 +6,12 @@ Every fit is Spark ML on a DataFrame; feature steps are fitted on the training f
 from __future__ import annotations
 
 import hashlib
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
@@ -77,11 +79,19 @@ def _settled(df: DataFrame) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, stages: list, k: int, seed: int) -> DataFrame:
-    """doc_id, label, fold, value: each row scored by the model fitted on the other folds."""
+    """doc_id, label, fold, value: each row scored by the model fitted on the other folds.
+
+    The folds' fits are independent jobs, started side by side."""
     dealt = _settled(stratified_folds(df, "label", k, seed))
+
+    @inheritable_thread_target(df.sparkSession)
+    def fit(fold: int):
+        return Pipeline(stages=[s.copy() for s in stages]).fit(dealt.filter(F.col("fold") != fold))
+
+    with ThreadPool(k) as pool:
+        models = pool.map(fit, range(k))
     out = None
-    for fold in range(k):
-        model = Pipeline(stages=stages).fit(dealt.filter(F.col("fold") != fold))
+    for fold, model in enumerate(models):
         part = scores_of(model, dealt.filter(F.col("fold") == fold), ["doc_id", "label", "fold"])
         out = part if out is None else out.unionByName(part)
     return out
@@ -99,6 +109,7 @@ def confound_level(area):
 
 def summary(scores: DataFrame) -> DataFrame:
     """Pooled AUROC and low-rate TPR, fold mean and population std, and the confound level."""
+    scores = settled(scores, "scores")  # models run once
     pooled = M.metric_card(scores.select("label", "value"))
     folds = M.auroc(scores, ["fold"]).agg(F.avg("auroc").alias("fold_mean"), F.stddev_pop("auroc").alias("fold_std"), F.count(F.lit(1)).alias("n_folds"))
     return pooled.crossJoin(folds).withColumn("level", confound_level(F.col("auroc_bi")))

@@ -39,13 +39,21 @@ def min_k_pp(token_lp: DataFrame, k: float = 0.2, by=("doc_id",)) -> DataFrame:
     return token_lp.groupBy(*by).agg(F.collect_list(z).alias("z")).select(*by, lowest_mean(F.col("z"), k).alias(f"min_k_pp_{round(100 * k)}"))
 
 
-def position_stats(vocab_lp: DataFrame, weighted: bool) -> DataFrame:
-    """mu and sigma over the vocabulary at each place: probability-weighted, or plain with sample deviation."""
+def position_stats(vocab_lp: DataFrame, weighted: bool, by=("doc_id", "pos")) -> DataFrame:
+    """mu and sigma over the vocabulary at each place (or other key): probability-weighted, or plain with sample deviation."""
     if not weighted:
-        return vocab_lp.groupBy("doc_id", "pos").agg(F.avg("logp").alias("mu"), F.stddev_samp("logp").alias("sigma"))
+        return vocab_lp.groupBy(*by).agg(F.avg("logp").alias("mu"), F.stddev_samp("logp").alias("sigma"))
     p = F.exp("logp")
-    s = vocab_lp.groupBy("doc_id", "pos").agg(F.sum(p * F.col("logp")).alias("mu"), F.sum(p * F.col("logp") * F.col("logp")).alias("m2"))
-    return s.select("doc_id", "pos", "mu", F.sqrt(F.greatest(F.col("m2") - F.col("mu") * F.col("mu"), F.lit(0.0)) + 1e-12).alias("sigma"))
+    s = vocab_lp.groupBy(*by).agg(F.sum(p * F.col("logp")).alias("mu"), F.sum(p * F.col("logp") * F.col("logp")).alias("m2"))
+    return s.select(*by, "mu", F.sqrt(F.greatest(F.col("m2") - F.col("mu") * F.col("mu"), F.lit(0.0)) + 1e-12).alias("sigma"))
+
+
+def probe_scores(token_lp: DataFrame, k: float = 0.2) -> DataFrame:
+    """cond, doc_id, probe (loss, min_k), value of every text under every condition."""
+    by = ("cond", "doc_id")
+    loss = mean_logp(token_lp, by).select(*by, F.lit("loss").alias("probe"), F.col("loss_score").alias("value"))
+    name = f"min_k_{round(100 * k)}"
+    return loss.unionByName(min_k(token_lp, (k,), by).select(*by, F.lit(name).alias("probe"), F.col(name).alias("value")))
 
 
 def by_condition(token_lp: DataFrame, conds: list[str]) -> DataFrame:
@@ -91,9 +99,9 @@ def best_by_ppl(runs: DataFrame, by=()) -> DataFrame:
     return runs.groupBy(*by).agg(F.min_by("key", F.struct(F.abs("delta"), "key")).alias("key"), F.min(F.abs("delta")).alias("delta"))
 
 
-def greedy_tokens(vocab_lp: DataFrame) -> DataFrame:
-    """The likeliest token of each place; of equals the smallest."""
-    return vocab_lp.groupBy("doc_id", "pos").agg(F.min_by("token", F.struct((-F.col("logp")).alias("l"), "token")).alias("token"))
+def greedy_tokens(vocab_lp: DataFrame, by=("doc_id", "pos")) -> DataFrame:
+    """The likeliest token of each place (or other key); of equals the smallest."""
+    return vocab_lp.groupBy(*by).agg(F.min_by("token", F.struct((-F.round("logp", 9)).alias("l"), "token")).alias("token"))
 
 
 @F.pandas_udf(IntegerType())

@@ -59,6 +59,16 @@ def a5(spark, d):
     return spark.read.schema("event_id BIGINT, value DOUBLE").json(path)
 
 
+@query("a5_write_summary", "SELECT lang, count(*) AS n_docs, round(avg(n_chars), 3) AS mean_chars, CAST(NULL AS DOUBLE) AS odd FROM documents GROUP BY lang")
+def a5s(spark, d):
+    """A summary table as one JSON document, read back."""
+    path = scratch(spark, "summary")
+    own = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_chars"), 3).alias("mean_chars"), F.lit(float("nan")).alias("odd"))
+    S.write_summary(own, path)
+    back = spark.read.schema("rows ARRAY<STRUCT<lang: STRING, n_docs: BIGINT, mean_chars: DOUBLE, odd: DOUBLE>>").json(path)
+    return back.select(F.explode("rows").alias("r")).select("r.*")
+
+
 @query(
     "a6_vector_manifest",
     """WITH m AS (SELECT layer, label, len(h) AS d, md5(concat_ws('|', doc_id, array_to_string(list_transform(h, lambda x: CAST(round(x * 1e6) AS BIGINT)), ','))) AS m FROM layers_t)
@@ -147,7 +157,7 @@ def b9(spark, d):
     "b10_disjointness_proof",
     f"""WITH {CAND} SELECT count(*) AS n_stream, count(*) FILTER (NOT in_window) AS n_length_rejects,
     count(*) FILTER (in_window AND sha256 IN (SELECT sha256 FROM own)) AS n_collisions,
-    (SELECT count(*) FROM picked WHERE sha256 IN (SELECT sha256 FROM own)) AS n_intersection,
+    (SELECT count(*) FROM picked WHERE sha256 IN (SELECT sha256 FROM own)) AS n_intersection, '' AS examples,
     (SELECT count(*) FROM own) AS n_pool, (SELECT count(*) FROM picked) AS n_selected FROM cand""",
 )
 def b10(spark, d):

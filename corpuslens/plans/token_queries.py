@@ -57,14 +57,21 @@ def with_stats(spark, d, lp):
     return lp.crossJoin(F.broadcast(s))
 
 
-def vocab_lp(spark, d):
-    """The 20 most frequent words at 8 places of 50 documents, with normalised random log-probabilities."""
-    top = tokens(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "token").limit(20).select("token")
-    docs = table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(50)
-    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos")).crossJoin(F.broadcast(top))
-    raw = rows.withColumn("raw", F.log(u01(F.col("doc_id"), F.col("pos"), F.col("token"))))
-    z = raw.groupBy("doc_id", "pos").agg(F.log(F.sum(F.exp("raw"))).alias("z"))
-    return raw.join(z, ["doc_id", "pos"]).select("doc_id", "pos", "token", (F.col("raw") - F.col("z")).alias("logp"))
+def contexts(spark, d):
+    """Words with the word before them (empty at a text's start): doc_id, pos, token, prev."""
+    w = tokens(spark, d)
+    before = w.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("token").alias("prev"))
+    return w.join(before, ["doc_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit("")))
+
+
+def context_lp(places):
+    """prev, token, logp of a bigram model: the vocabulary of a place is what follows its preceding word anywhere.
+
+    A place's distribution depends on that word only, so statistics are taken once a word
+    and then joined to the places; successors are never listed for each place."""
+    pairs = places.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c"))
+    total = pairs.groupBy("prev").agg(F.sum("c").alias("total"))
+    return pairs.join(total, "prev").select("prev", "token", F.log(F.col("c") / F.col("total")).alias("logp"))
 
 
 def _model(words: str, smooth: bool = False) -> str:
@@ -88,9 +95,8 @@ CTE["lp_ref"] = f"SELECT doc_id, 'ref' AS cond, pos, coalesce(logp, {_floor('en_
 CTE["lp_non"] = f"SELECT doc_id, 'prefix_non' AS cond, pos, coalesce(logp, {_floor('non_t')}) AS logp FROM tokens_t LEFT JOIN m_non USING (token)"
 CTE["lp_mem"] = f"SELECT doc_id, 'prefix_mem' AS cond, pos, coalesce(logp, {_floor('mem_t')}) AS logp FROM tokens_t LEFT JOIN m_mem USING (token)"
 CTE["stats_t"] = "SELECT mu, sqrt(m2 - mu * mu) AS sigma FROM (SELECT sum(exp(logp) * logp) AS mu, sum(exp(logp) * logp * logp) AS m2 FROM m_orig)"
-CTE["vocab_t"] = f"""SELECT doc_id, pos, token, raw - ln(sum(exp(raw)) OVER (PARTITION BY doc_id, pos)) AS logp FROM (
-    SELECT doc_id, pos, token, ln({u('doc_id', 'pos', 'token')}) AS raw FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50),
-    (SELECT unnest(range(8)) AS pos), (SELECT token FROM tokens_t GROUP BY token ORDER BY count(*) DESC, token LIMIT 20))"""
+CTE["ctx_t"] = "SELECT doc_id, pos, token, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM tokens_t"
+CTE["bi_t"] = "SELECT prev, token, ln(c / CAST(sum(c) OVER (PARTITION BY prev) AS DOUBLE)) AS logp FROM (SELECT prev, token, count(*) AS c FROM ctx_t GROUP BY ALL)"
 
 
 @query("d1_loss", "SELECT doc_id, round(avg(logp), 6) AS loss_score, count(*) AS n_tokens FROM lp_orig GROUP BY doc_id")
@@ -120,13 +126,17 @@ def d4(spark, d):
 
 @query(
     "d5_position_stats",
-    """SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(avg(logp), 6) AS mu, round(stddev_samp(logp), 6) AS sigma, round(sum(exp(logp) * logp), 6) AS mu_w,
-    round(sqrt(greatest(sum(exp(logp) * logp * logp) - sum(exp(logp) * logp) * sum(exp(logp) * logp), 0) + 1e-12), 6) AS sigma_w FROM vocab_t GROUP BY doc_id, pos""",
+    """WITH s AS (SELECT prev, avg(logp) AS mu, stddev_samp(logp) AS sigma, sum(exp(logp) * logp) AS mu_w,
+    sqrt(greatest(sum(exp(logp) * logp * logp) - sum(exp(logp) * logp) * sum(exp(logp) * logp), 0) + 1e-12) AS sigma_w FROM bi_t GROUP BY prev)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(mu_w, 6) AS mu_w, round(sigma_w, 5) AS sigma_w FROM ctx_t JOIN s USING (prev)""",
 )
 def d5(spark, d):
-    v = vocab_lp(spark, d)
-    w = T.position_stats(v, True).select("doc_id", "pos", r6("mu").alias("mu_w"), r6("sigma").alias("sigma_w"))
-    return T.position_stats(v, False).select("doc_id", "pos", r6("mu").alias("mu"), r6("sigma").alias("sigma")).join(w, ["doc_id", "pos"])
+    """Every place of every document."""
+    places = contexts(spark, d)
+    v = context_lp(places)
+    w = T.position_stats(v, True, ["prev"]).withColumnsRenamed({"mu": "mu_w", "sigma": "sigma_w"})
+    own = T.position_stats(v, False, ["prev"]).join(w, "prev")
+    return places.join(own, "prev").select("doc_id", F.col("pos").cast("int").alias("pos"), r6("mu").alias("mu"), r6("sigma").alias("sigma"), r6("mu_w").alias("mu_w"), (F.round("sigma_w", 5) + F.lit(0.0)).alias("sigma_w"))
 
 
 def _wide(*conds: str) -> str:
@@ -212,25 +222,46 @@ def d12(spark, d):
     return T.rouge_l(turns.withColumnRenamed("w", "pred").join(gold, ["conv_id", "turn"])).select("conv_id", "turn", "n", "lcs", r6("rouge_l").alias("rouge_l"), "exact")
 
 
+_LONG = "SELECT cond, doc_id, probe, value FROM (SELECT cond, doc_id, unnest(['loss', 'min_k_20']) AS probe, unnest([avg(logp), list_avg(list_sort(list(logp))[1:greatest(1, CAST(floor(0.2 * count(*)) AS BIGINT))])]) AS value FROM (SELECT * FROM lp_orig UNION ALL SELECT * FROM lp_lower UNION ALL SELECT * FROM lp_ref) GROUP BY cond, doc_id)"
+
+
 @query(
     "d13_probe_by_condition",
-    """WITH s AS (SELECT cond, doc_id, avg(logp) AS value FROM (SELECT * FROM lp_orig UNION ALL SELECT * FROM lp_lower UNION ALL SELECT * FROM lp_ref) GROUP BY ALL),
-    g AS (SELECT cond, value, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s JOIN pool_t USING (doc_id) GROUP BY ALL),
-    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cond ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
-    a AS (SELECT cond, sum(p * (2 * below + n)) / (2.0 * sum(p) * sum(n)) AS auroc FROM c GROUP BY cond)
-    SELECT round(o, 6) AS auroc_orig, round(l, 6) AS auroc_lower, round(r, 6) AS auroc_ref, round(o - l, 6) AS drop, (o - l > 0.05 AND r > 0.55) AS replicates
-    FROM (SELECT max(auroc) FILTER (cond = 'orig') AS o, max(auroc) FILTER (cond = 'lower') AS l, max(auroc) FILTER (cond = 'ref') AS r FROM a)""",
+    f"""WITH s AS ({_LONG}),
+    g AS (SELECT cond, probe, round(value, 9) AS value, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s JOIN pool_t USING (doc_id) GROUP BY ALL),
+    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cond, probe ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+    a AS (SELECT cond, probe, sum(p * (2 * below + n)) / (2.0 * sum(p) * sum(n)) AS auroc FROM c GROUP BY cond, probe)
+    SELECT probe, round(o, 6) AS auroc_orig, round(l, 6) AS auroc_lower, round(r, 6) AS auroc_ref, round(o - l, 6) AS drop, round((r - l) / nullif(o - l, 0), 6) AS recovery, (o - l > 0.05 AND r > 0.55) AS replicates
+    FROM (SELECT probe, max(auroc) FILTER (cond = 'orig') AS o, max(auroc) FILTER (cond = 'lower') AS l, max(auroc) FILTER (cond = 'ref') AS r FROM a GROUP BY probe)""",
 )
 def d13(spark, d):
-    lp = token_lp(spark, d, ("orig", "lower", "ref"))
-    s = T.mean_logp(lp, ("cond", "doc_id")).join(pool(spark, d).select("doc_id", "label"), "doc_id").withColumnRenamed("loss_score", "value")
-    w = M.auroc(s, ["cond"]).groupBy().pivot("cond", ["orig", "lower", "ref"]).agg(F.max("auroc"))
+    """Loss and min-k by condition; drop from the first to the second, and the share of it the third recovers."""
+    return _probe_table(T.probe_scores(token_lp(spark, d, ("orig", "lower", "ref"))), pool(spark, d))
+
+
+@query("d13_zlib_probe")
+def d13z(spark, d):
+    """The same with the loss over the text's compressed size; compression has no SQL form."""
+    size = table(spark, d, "documents").select("doc_id", F.greatest(zlib_len("text"), F.lit(1)).alias("z"))
+    s = T.mean_logp(token_lp(spark, d, ("orig", "lower", "ref")), ("cond", "doc_id")).join(size, "doc_id")
+    return _probe_table(s.select("cond", "doc_id", F.lit("zlib").alias("probe"), (F.col("loss_score") / F.col("z")).alias("value")), pool(spark, d))
+
+
+def _probe_table(scores, labels):
+    s = scores.join(labels.select("doc_id", "label"), "doc_id").withColumn("value", F.round("value", 9))
+    w = M.auroc(s, ["cond", "probe"]).groupBy("probe").pivot("cond", ["orig", "lower", "ref"]).agg(F.max("auroc"))
     drop = F.col("orig") - F.col("lower")
+    recovery = (F.col("ref") - F.col("lower")) / F.nullif(drop, F.lit(0.0))
     return w.select(
-        r6("orig").alias("auroc_orig"), r6("lower").alias("auroc_lower"), r6("ref").alias("auroc_ref"), r6(drop).alias("drop"), ((drop > 0.05) & (F.col("ref") > 0.55)).alias("replicates")
+        "probe", r6("orig").alias("auroc_orig"), r6("lower").alias("auroc_lower"), r6("ref").alias("auroc_ref"), r6(drop).alias("drop"), r6(recovery).alias("recovery"), ((drop > 0.05) & (F.col("ref") > 0.55)).alias("replicates")
     )
 
 
-@query("d14_greedy_tokens", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, arg_max(token, logp) AS token FROM vocab_t GROUP BY doc_id, pos")
+@query(
+    "d14_greedy_tokens",
+    "WITH g AS (SELECT prev, first(token ORDER BY round(logp, 9) DESC, token) AS best FROM bi_t GROUP BY prev) SELECT doc_id, CAST(pos AS INTEGER) AS pos, best AS token FROM ctx_t JOIN g USING (prev)",
+)
 def d14(spark, d):
-    return T.greedy_tokens(vocab_lp(spark, d))
+    """The likeliest word at every place of every document."""
+    places = contexts(spark, d)
+    return places.drop("token").join(T.greedy_tokens(context_lp(places), ["prev"]), "prev").select("doc_id", F.col("pos").cast("int").alias("pos"), "token")

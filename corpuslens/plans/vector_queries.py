@@ -10,7 +10,7 @@ from corpuslens.functions.vectors import cosine, norm, scaled
 from corpuslens.operators import dictionary as D
 from corpuslens.operators import metrics as M
 from corpuslens.operators import vectors as V
-from corpuslens.plans.base import CTE, acts, dictionary, layers, query, u
+from corpuslens.plans.base import CTE, acts, dictionary, layers, query, table, u
 
 DOT = "list_dot_product"
 
@@ -357,27 +357,38 @@ def _ablate_sql(chosen: str, by: str) -> str:
 
 @query(
     "i3_ablate_topk",
-    _ablate_sql("SELECT k, feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY round(r, 9) DESC, feature_id) AS place FROM corr_t), (SELECT unnest([4, 16, 64]) AS k) WHERE place <= k", "k"),
+    _ablate_sql("SELECT k, feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY round(r, 9) DESC, feature_id) AS place FROM corr_t), (SELECT unnest([4, 16, 64, -1]) AS k) WHERE place <= k OR k = -1", "k"),
 )
 def i3(spark, d):
     a, codes, base, weights = _base(spark, d)
     places = D.ranked(D.feature_label_corr(codes, _counts(a)), "r")
-    chosen = places.withColumn("k", F.explode(F.array(F.lit(4), F.lit(16), F.lit(64)))).filter(F.col("place") <= F.col("k")).select("k", "feature_id")
+    chosen = places.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (4, 16, 64, -1)]))).filter("place <= k OR k = -1").select("k", "feature_id")  # -1: all that are ever active
     return _areas(D.ablated_scores(codes, base, weights, chosen, ["k"]), ["k"]).select("k", "stream", r6("auroc").alias("auroc"))
 
 
-@query(
-    "i4_ablate_random",
-    _ablate_sql(f"SELECT seed, feature_id FROM (SELECT seed, feature_id, row_number() OVER (PARTITION BY seed ORDER BY {u('seed', 'feature_id')}, feature_id) AS place FROM (SELECT DISTINCT feature_id FROM codes_t), (SELECT unnest([0, 1, 2]) AS seed)) WHERE place <= 16", "seed"),
-)
-def i4(spark, d):
+RANDOM = f"SELECT seed, feature_id FROM (SELECT seed, feature_id, row_number() OVER (PARTITION BY seed ORDER BY {u('seed', 'feature_id')}, feature_id) AS place FROM (SELECT DISTINCT feature_id FROM codes_t), (SELECT unnest(range(10)) AS seed)) WHERE place <= 16"
+
+
+def _random_areas(spark, d):
     from pyspark.sql import Window
 
     _, codes, base, weights = _base(spark, d)
-    ever = codes.select("feature_id").distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in range(3)])))
+    ever = codes.select("feature_id").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
     place = F.row_number().over(Window.partitionBy("seed").orderBy(u01(F.col("seed"), F.col("feature_id")), "feature_id"))
     chosen = ever.withColumn("place", place).filter("place <= 16").select("seed", "feature_id")
-    return _areas(D.ablated_scores(codes, base, weights, chosen, ["seed"]), ["seed"]).select("seed", "stream", r6("auroc").alias("auroc"))
+    return _areas(D.ablated_scores(codes, base, weights, chosen, ["seed"]), ["seed"])
+
+
+@query("i4_ablate_random", _ablate_sql(RANDOM, "seed"))
+def i4(spark, d):
+    """Ten seeds of 16 features that are ever active."""
+    return _random_areas(spark, d).select("seed", "stream", r6("auroc").alias("auroc"))
+
+
+@query("i4_random_summary", f"SELECT stream, round(avg(auroc), 5) AS mean, round(stddev_samp(auroc), 5) AS std, count(*) AS n_seeds FROM ({_ablate_sql(RANDOM, 'seed')}) GROUP BY stream")
+def i4s(spark, d):
+    out = D.random_summary(_random_areas(spark, d).withColumn("auroc", r6("auroc")))
+    return out.select("stream", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n_seeds")
 
 
 @query(
@@ -483,9 +494,15 @@ TOP = """SELECT feature_id, CAST(rank AS INTEGER) AS rank, doc_id, pos, round(z,
     SELECT *, row_number() OVER (PARTITION BY feature_id, doc_id ORDER BY z DESC, pos) AS r FROM tcodes_t) WHERE r = 1) WHERE rank <= 5"""
 
 
-@query("j7_top_contexts", TOP)
+CTE["word_t"] = "SELECT vec_id // 20 AS doc_id, CAST(vec_id % 20 AS INTEGER) AS pos, 'w' || label AS token FROM embeddings"
+
+
+@query("j7_top_contexts", f"SELECT feature_id, rank, doc_id, t.pos, activation, string_agg(token, ' ' ORDER BY w.pos) AS \"window\" FROM ({TOP}) t JOIN word_t w USING (doc_id) WHERE w.pos BETWEEN t.pos - 3 AND t.pos + 3 GROUP BY feature_id, rank, doc_id, t.pos, activation")
 def j7(spark, d):
-    return D.top_contexts(_token_codes(spark, d), 5).select("feature_id", "rank", "doc_id", "pos", r6("activation").alias("activation"))
+    """With the tokens (here named by the vector's label) three places round the maximum."""
+    top = D.top_contexts(_token_codes(spark, d), 5).select("feature_id", "rank", "doc_id", "pos", r6("activation").alias("activation"))
+    words = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), (F.col("vec_id") % 20).cast("int").alias("pos"), F.concat(F.lit("w"), F.col("label")).alias("token"))
+    return D.with_windows(top, words, 3)
 
 
 @query("j8_usage_balance", "SELECT round(avg((freq - 0.05) * (freq - 0.05)), 6) AS usage_balance, round(avg(freq), 6) AS mean_rate FROM stats_f")

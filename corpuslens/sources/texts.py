@@ -43,6 +43,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary (few rows) as one JSON document ``{"rows": [...]}``; non-finite doubles become null."""
+    cols = [finite(n).alias(n) if t in ("double", "float") else F.col(n) for n, t in summary.dtypes]
+    one = summary.select(F.struct(*cols).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    one.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_records(spark: SparkSession, path: str, schema: str, fields: dict[str, str], multi_line: bool = False) -> DataFrame:
     """One row per nested record with the named dotted paths; missing values are null."""
     raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)

@@ -1,5 +1,6 @@
 """Hand-computed tables and properties of the operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -18,6 +19,7 @@ from corpuslens.operators import textfeat as X
 from corpuslens.operators import tokenscores as T
 from corpuslens.operators import vectors as V
 from corpuslens.plans.model_queries import beta_p
+from corpuslens.sources.texts import vector_manifest
 
 
 def one(df):
@@ -137,10 +139,148 @@ def test_kernel_agrees_with_plain_weights():
         assert got[k] == pytest.approx(np.mean((p[:, None] > n) + 0.5 * (p[:, None] == n)))
 
 
-@pytest.mark.parametrize(("n", "p"), [(7, 0.0078125), (5, 0.03125)])
-def test_sign_test(spark, n, p):
-    r = one(R.sign_test(spark.range(n).select((F.col("id") + 1.0).alias("m")), "m"))
-    assert (r["k"], r["n"], r["p_value"]) == (n, n, p)
+@pytest.mark.parametrize(
+    ("margins", "excluding", "p", "decision"),
+    [
+        ([1.0] * 7, 7, 0.0078125, "ACCEPT"),
+        ([1.0] * 5, 4, 0.03125, "ACCEPT"),
+        ([1.0] * 5, 2, 0.03125, "NUANCED"),  # two intervals exclude zero
+        ([1.0] * 5, 1, 0.03125, "NULL"),
+        ([1.0] * 4, 4, 0.0625, "NULL"),  # p is not below .05, whatever the intervals
+        ([1.0] * 6 + [-1.0], 7, 0.0625, "NULL"),
+        ([1.0] * 7 + [0.0], 8, 0.03515625, "ACCEPT"),  # a zero margin is a row, not a positive one
+    ],
+)
+def test_sign_test(spark, margins, excluding, p, decision):
+    rows = spark.createDataFrame([(m, i < excluding) for i, m in enumerate(margins)], "m double, excludes_zero boolean")
+    r = one(R.sign_test(rows, "m"))
+    assert (r["n"], r["k"], r["p_value"], r["decision"]) == (len(margins), sum(m > 0 for m in margins), p, decision)
+
+
+def test_published_rules(spark):
+    """Expected values are worked out from the rules' text."""
+    # sparsity is the share of active features
+    parts = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], [0.0, 0.0], 3), ([0.0, 2.0], [0.0, 1.0], [0.0, 1.0], 1)], "h array<double>, recon array<double>, resid array<double>, l0 int")
+    q = one(D.recon_quality(parts, 8))
+    assert (q["sparsity"], q["l0"], q["mse"]) == (0.25, 2.0, 0.5)
+    # exactly .3 of dead features is acceptable, exactly .5 no collapse
+    for dead, verdict in ((3, "ACCEPTABLE"), (4, "MANY_DEAD"), (5, "MANY_DEAD"), (6, "COLLAPSED")):
+        stats = spark.createDataFrame([(0.0 if i < dead else 0.2,) for i in range(10)], "freq double")
+        assert one(D.health_summary(stats))["verdict"] == verdict
+    # first cohort less second; one material metric makes the whole material
+    five, six = (spark.createDataFrame([("m", "a", x, 0.02), ("m", "b", 0.5, 0.01)], "model string, metric string, mean double, std double") for x in (0.60, 0.61))
+    delta = {r["metric"]: r for r in K.cohort_delta(five, six, ["model", "metric"]).collect()}
+    assert (delta["a"]["d_mean"], delta["a"]["status"], delta["b"]["status"]) == (-0.01, "MATERIAL", "NEGLIGIBLE")
+    total = one(K.materiality(K.cohort_delta(five, six, ["model", "metric"]), ["model"]))
+    assert (total["verdict"], total["reason"], total["n_metrics"]) == ("MATERIAL", "a", 2)
+    # grids: stable below .05, verdict by the seeds' probes, flags outside [.45, .65]
+    cells = spark.createDataFrame([("c", "4", s, 0.70 + 0.01 * s) for s in range(3)], "criterion string, depth string, seed int, value double")
+    for probes, verdict, flagged in (((0.45, 0.50, 0.55), "ABSENT", []), ((0.44, 0.50, 0.55), "WEAK", [0]), ((0.50, 0.56, 0.60), "WEAK", []), ((0.50, 0.50, 0.66), "MIXED", [2])):
+        base = spark.createDataFrame([(s, 0.70, p, 0.8, 0.6) for s, p in enumerate(probes)], "seed int, base double, probe double, original double, recon double")
+        grid = K.grid_summary(cells, base)
+        assert one(grid)["stable"] and one(grid)["max_dev"] == 0.02 and one(K.grid_verdict(grid, base))["verdict"] == verdict
+        assert [r["seed"] for r in K.grid_flags(base).collect()] == flagged
+    above = spark.createDataFrame([(1, 0.7, 0.5, 0.60, 0.61)], "seed int, base double, probe double, original double, recon double")
+    assert one(K.grid_flags(above))["flags"] == "reconstruction above original"
+    # a missing metric fails its claim
+    claims = spark.createDataFrame([("x", "x", 1.0, None), ("y", "y", 1.0, None), ("z", "z", 1.0, 0.1)], "path string, label string, expected double, tol double")
+    held = spark.createDataFrame([("x", 1.002), ("z", 1.2)], "path string, value double")
+    assert {r["label"]: r["status"] for r in K.verify_claims(claims, held).collect()} == {"x": "PASS", "y": "FAIL", "z": "FAIL"}
+    # gates by name; the variance gate counts at rank 50 only
+    gates = spark.createDataFrame(
+        [(1, 0.85, 0.01, 100, 60, 50, 0.10), (2, 0.84, 0.31, 99, 50, 50, 0.09), (3, 0.9, 0.30, 100, 11, 10, 0.0)],
+        "cell int, recon_cos double, err_ratio double, alive int, rank_eff int, k int, var_50 double",
+    )
+    assert {r["cell"]: (r["passed"], r["reasons"]) for r in K.ablation_gates(gates).collect()} == {1: (True, ""), 2: (False, "recon_cos; err_ratio; alive; rank; variance"), 3: (True, "")}
+    rule = spark.createDataFrame([(1, 0.2, 0.73, 0.70, 0.69, 0.05, 0.04), (2, 0.2, 0.73, 0.50, 0.69, 0.05, 0.04)], "cell int, delta double, auroc_h double, random_pct05 double, noise_pct05 double, mask_mean double, mask_std double")
+    got = {r["cell"]: r for r in K.decisive(rule).collect()}
+    # masks: .2 must exceed .73 - .05 + 3 * .04
+    assert got[1]["beats_random"] and got[1]["beats_noise"] and not got[1]["beats_mask"] and not got[1]["passes"] and not got[2]["beats_random"]
+
+
+def test_heldout_decision(spark):
+    splits = spark.createDataFrame([(0.8, 0.6, 0.7, 0.9, 0.15), (0.8, 0.6, 0.8, 0.9, 0.25)], "auroc_h double, auroc_recon double, auroc_resid double, recon_cos double, drop double")
+    for mean, sigma, decision, passed in ((0.21, 0.02, "ACCEPT", True), (0.23, 0.02, "MARGINAL", True), (0.25, 0.02, "NULL", False)):
+        r = one(R.heldout_decision(splits, spark.createDataFrame([(mean, sigma)], "mean double, std double")))
+        assert (r["decision"], r["check_passed"]) == (decision, passed) and r["drop_mean"] == pytest.approx(0.2) and r["drop_std"] == pytest.approx(0.05)
+    low = splits.withColumn("auroc_resid", F.lit(0.69))
+    assert one(R.heldout_decision(low, spark.createDataFrame([(0.2, 0.02)], "mean double, std double")))["decision"] == "MARGINAL"
+
+
+def test_poisson_bootstrap_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n, b = 40, 30
+    rows = [(i, int(y), float(v)) for i, (y, v) in enumerate(zip(rng.integers(0, 2, n), rng.integers(0, 6, n), strict=True))]
+    s = spark.createDataFrame([(0, *r) for r in rows], "grp int, doc_id long, label int, value double")
+
+    def u(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+    want = []
+    for k in range(b):
+        w = [sum(u(4, k, i) >= c for c in R.POISSON) for i in range(n)]
+        p, q = ([v for (i, y, v), m in zip(rows, w, strict=True) if y == c for _ in range(m)] for c in (1, 0))
+        want.append(np.mean([[(x > z) + 0.5 * (x == z) for z in q] for x in p]))
+    got = [r["metric"] for r in R.replicates_of(s, ["grp"], [], b, 4).orderBy("b").collect()]
+    assert got == pytest.approx(want)
+    assert abs(np.mean([sum(u(4, k, i) >= c for c in R.POISSON) for k in range(b) for i in range(n)]) - 1) < 0.1
+    # conventions for replicates of one class: left out, kept, or drawn again
+    few = spark.createDataFrame([(0, 0, 1, 0.5), (0, 1, 0, 0.25)], "grp int, doc_id long, label int, value double")
+    skip, keep, redraw = (R.replicates_of(few, ["grp"], [], 60, 4, single_class=c).collect() for c in R.SINGLE_CLASS)
+    assert len(skip) < len(keep) <= len(redraw) <= 60 and {r["metric"] for r in skip} == {1.0} and {r["metric"] for r in keep} == {0.5, 1.0}
+    assert sum(r["metric"] == 0.5 for r in redraw) < sum(r["metric"] == 0.5 for r in keep)
+    rate = R.replicates_of(s, ["grp"], [], 5, 4, "tpr_at_5%").collect()
+    assert len(rate) == 5 and all(0 <= r["metric"] <= 1 for r in rate)
+    with pytest.raises(ValueError):
+        R.replicates_of(s, ["grp"], [], 5, 4, single_class="other")
+
+
+def test_permuted_directions_by_numpy(spark):
+    x, labels, acts, *_ = _small_model(spark)
+    d_r = np.arange(6) - 2.0
+    got = {r["m"]: r["c"] for r in R.permuted_directions(acts.repartition(3), d_r, 4, 11).collect()}
+    marks = {(r["m"], r["doc_id"]) for r in R.permuted_labels(acts.select("doc_id", "label"), 4, 11).filter("permuted = 1").collect()}
+    for m in range(4):
+        y = np.array([(m, i) in marks for i in range(len(x))])
+        assert y.sum() == labels.sum()
+        values, vectors = np.linalg.eigh(np.cov(x[y].T) - np.cov(x[~y].T))
+        v = vectors[:, np.argmax(np.abs(values))]
+        assert abs(got[m]) == pytest.approx(abs(v @ d_r) / np.linalg.norm(d_r))
+
+
+def test_permutation_probe_by_numpy(spark):
+    x, labels, acts, *_ = _small_model(spark)
+    got = {r["m"]: r["auroc"] for r in P.permutation_probe(acts.repartition(3), 2, 3, 13).collect()}
+    marks = {(r["m"], r["doc_id"]) for r in R.permuted_labels(acts.select("doc_id", "label"), 2, 13).filter("permuted = 1").collect()}
+    for m in range(2):
+        y = np.array([(m, i) in marks for i in range(len(x))])
+        fold = np.array([int(3 * (int(hashlib.md5(f"14|{m}|{i}".encode()).hexdigest()[:8], 16) / 2**32)) for i in range(len(x))])
+        score = np.zeros(len(x))
+        for f in range(3):
+            own = fold != f
+            mean, std = x[own].mean(0), x[own].std(0)
+            z, t = (x[own] - mean) / std, 2.0 * y[own] - 1
+            w = np.linalg.solve(z.T @ z + np.eye(6), z.T @ t)
+            score[~own] = (x[~own] - mean) / std @ w + t.sum() / (own.sum() + 1)
+        p, q = score[y], score[~y]
+        assert got[m] == pytest.approx(np.mean((p[:, None] > q) + 0.5 * (p[:, None] == q)), abs=1e-6)
+
+
+def test_repeated_rows_change_the_digest(spark):
+    rows = spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.25, 2.0])], "doc_id long, h array<double>").withColumn("g", F.lit(0))
+    of = lambda df: one(vector_manifest(df, ["g"]))["digest"]
+    doubled = rows.unionByName(rows)
+    other = doubled.withColumn("doc_id", F.col("doc_id") + 5)
+    assert len({of(rows), of(doubled), of(other)}) == 3 and of(doubled) == of(doubled.repartition(3))
+
+
+def test_short_partition_is_an_error(spark):
+    texts = spark.createDataFrame([(i, f"{i} " + "x" * 700) for i in range(4)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        C.disjoint_partition(texts, texts.filter("doc_id = 0"), 4, strict=True)
+    assert C.disjoint_partition(texts, texts.filter("doc_id = 0"), 3, strict=True).count() == 3
+    proof = one(C.disjointness_proof(texts.filter("doc_id < 2").select(C.sha().alias("sha256")), texts.filter("doc_id = 0"), texts))
+    assert proof["n_intersection"] == 1 and len(proof["examples"]) == 64
 
 
 def test_holm(spark):

@@ -23,6 +23,7 @@ from corpuslens.functions.vectors import cosine
 from corpuslens.operators import metrics as M
 from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import exact_rank
+from corpuslens.sources.scratch import settled
 
 #: Longest score vector that is broadcast to the kernel's tasks.
 MAX_BROADCAST_SCORES = 2_000_000
@@ -71,11 +72,13 @@ def replicates_of(scores: DataFrame, by: list[str], groups: list[str], replicate
     if single_class == "skip":
         values = values.filter(~lost)
     for attempt in range(1, REDRAWS + 1 if single_class == "redraw" else 1):
+        values = settled(values, "replicates")  # each attempt reads it several times
         missing = values.filter(lost).select(*by, "b").distinct()
         if missing.isEmpty():
             break
-        again = weighted(scores, replicates, seed + 1_000_003 * attempt, key).join(missing, [*by, "b"], "left_semi")
-        values = values.join(missing, [*by, "b"], "left_anti").unionByName(of(again, keys, "weight"))
+        drawn = weighted(scores, replicates, seed + 1_000_003 * attempt, key).join(missing, [*by, "b"], "left_semi")
+        again = settled(of(drawn, keys, "weight"), "redrawn")  # a draw may also leave no row
+        values = values.join(again.select(*by, "b").distinct(), [*by, "b"], "left_anti").unionByName(again)
     return values.select(*keys, "metric")
 
 

@@ -12,8 +12,9 @@ at least ``similarity``.  Candidates come from three sources, one after the othe
    Members of a band value are first compared with one leader.
 3. Pairs of a band value that are still in different components, compared within tasks
    by their whole sketches; a pair goes on if at least LEAST_AGREE of the 240 minima agree
-   (a pair at similarity 0.8 fails that with probability below 1e-7).  So no link is left
-   out, and pairs that are not alike are never written out.
+   (a pair at similarity 0.8 fails that with probability below 1e-7).  Sets of at most
+   CARRIED shingles travel with their sketches, and such pairs are verified on the spot.
+   So no link is left out, and pairs that are not alike are not written out.
 
 Every candidate is verified on the whole sets before components are formed.  Documents
 with equal sets are one node, named by 64 bits of a digest (of 10**10 different sets some
@@ -42,6 +43,8 @@ BANDS, ROWS = 40, 6
 LEAST_AGREE = 0.66
 #: Bits of the Bloom filter (at most), bits a document, and bits of a piece of it.
 BLOOM_BITS, BLOOM_LOAD, BLOOM_PIECE = 1 << 26, 16, 1 << 18
+#: Shingles of a set that travels with its sketch (at most).
+CARRIED = 128
 #: Sketches in a chunk, and compared at once.
 CHUNK, AT_ONCE = 512, 2048
 
@@ -74,6 +77,23 @@ def _node(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(found.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
 
 
+def _packed(found: np.ndarray) -> bytes:
+    """A set's shingles as 48 bits each."""
+    return np.unique(found >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _set(shingles: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(shingles.as_buffer(), np.uint8).reshape(-1, 6)
+    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").ravel()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, node (digest of the set of shingles), SimHash fingerprint, bands, sketch and number of shingles of every document."""
 
@@ -88,10 +108,11 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = [
                 batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prints.view(np.int64)),
                 pa.array(rows, pa.list_(pa.int64())), pa.array(brief, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_packed(s) if len(s) <= CARRIED else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size", "carried"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node long, fp long, bands array<long>, sketch binary, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node long, fp long, bands array<long>, sketch binary, size long, carried binary")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -133,15 +154,12 @@ def shingle_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
             at = _places(ids, 8 * len(filter_.value))
             near = (filter_.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             sets = [shingles(t, words) for t in batch.column(1).filter(pa.array(near)).to_pylist()]
-            brief = [np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            brief = [_packed(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(brief, pa.binary())], ["node", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "node long, shingles binary")
 
 
-def _set(shingles: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(shingles.as_buffer(), np.uint8).reshape(-1, 6)
-    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").ravel()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -155,11 +173,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = _set(x), _set(y)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+                keep[i] = _alike(_set(x), _set(y), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
@@ -179,7 +193,7 @@ def open_bands(held: DataFrame, found: DataFrame) -> DataFrame:
 def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of a band value that are in different components and may be similar enough."""
     members = open_.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-    brief = nodes.select("node", "sketch", "size")
+    brief = nodes.select("node", "sketch", "size", "carried")
     rows = open_.join(members.hint("merge"), "band").join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
     keys = ["band", "i", "j"]
 
@@ -188,6 +202,7 @@ def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
             begin = np.append(np.append(0, np.flatnonzero(changes(t, keys)) + 1), t.num_rows)
             side, root, size = (np.asarray(t.column(c)) for c in ("side", "root", "size"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            carried = [_set(v) if v.is_valid else () for v in t.column("carried")]
             left, right = [], []
             for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 second = lo + int(np.searchsorted(side[lo:hi], 1))
@@ -197,6 +212,8 @@ def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
                     y = y[(root[y] != root[x]) & (small >= similarity * large - 1e-9)]
                     if len(y):
                         y = y[(sketch[y] == sketch[x]).sum(1) >= least]
+                        if len(own := carried[x]):
+                            y = np.array([j for j in y.tolist() if not len(carried[j]) or _alike(own, carried[j], similarity)], np.int64)
                         left.append(np.full(len(y), x))
                         right.append(y)
             if left:
@@ -218,7 +235,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     ignored; an empty table gives no rows."""
     sketched = settle(sketches(docs, words), "sketches")
     of_node = [F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")]
-    nodes = settle(sketched.groupBy("node").agg(*of_node, *[F.any_value(c).alias(c) for c in ("bands", "sketch", "size")]), "nodes")
+    nodes = settle(sketched.groupBy("node").agg(*of_node, *[F.any_value(c).alias(c) for c in ("bands", "sketch", "size", "carried")]), "nodes")
     filed = nodes.select(F.explode("bands").alias("band"), "node")
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     held = settle(filed.join(shared.hint("merge"), "band"), "bands")

@@ -46,6 +46,11 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    spark._jvm.System.gc()
+
+
 def settled_path(df: DataFrame) -> str:
     """Folder of a table returned by :func:`settle`."""
     return df.settled_at

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.store import settle, table
+from corpuslens.llm.store import release, settle, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors are found at once, and anchors held before they are sent.
@@ -546,6 +546,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = settle(
         runs.groupBy("receiver").applyInArrow(merge_runs(length, gram), "bucket int, behind boolean, number binary, back binary, docs binary"), "suffix-hits"
     )
+    release(spark)  # what was exchanged so far is of no further use
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut_out(length, gram, with_text), schema)
     body = F.encode("text", "UTF-8")

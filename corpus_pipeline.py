@@ -25,19 +25,26 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject.
 
-    The score is a function of the text, so it is applied where the rows are read."""
+    The score is a function of the text, so it is applied where the rows are read.  Null and
+    empty texts have no matches and stay; repeated rows are judged one by one."""
     lexicon, weights = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean_rows(docs, lexicon, weights)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal normalised texts: the smallest doc_id."""
+    """One document of each group of equal normalised texts: the smallest doc_id.
+
+    Null and empty texts are one group; rows that repeat the doc_id that stays all stay."""
     return _keep(docs, exact_dedup.exact_dedup(docs).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard similarity
-    of at least 0.8): the smallest doc_id."""
+    of at least 0.8): the smallest doc_id.
+
+    SimHash links come first, MinHash bands add what they cannot reach; all pairs are
+    verified.  Null, empty and blank texts are one component; rows that repeat the doc_id
+    that stays all stay."""
     classes = nearcopies.near_copies(docs)
     return _keep(docs, classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
@@ -45,14 +52,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by ``[kind]``; n_chars follows the text.
 
-    Findings are joined back to documents through the ledger's blobs."""
+    Findings are joined back to documents through the ledger's blobs.  Null and empty texts
+    and repeated rows pass through."""
     versions = docs.select(F.col("doc_id").alias("version_id"), "text")
     findings = secrets.scan_versions(versions)[0].filter(F.size("kinds") > 0)
     return secrets.masked(docs, findings)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed once each."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,13 +1,12 @@
 """Shared storage for intermediate tables.
 
-Lineage is cut by writing a table below the folder named by
-``spark.checkpoint.dir``, which the driver and all executors share.  Only when
-that setting is absent (tests, a laptop) is a temporary folder used.
+Lineage is cut by writing a table below the folder named by ``spark.checkpoint.dir``,
+which the driver and all executors share; the warehouse, shared as well, where it is unset.
 """
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Base URI for intermediate tables, read from the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """Base URI for intermediate tables: the session's setting, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return base.rstrip("/")
 
 
@@ -47,8 +43,12 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage.
+
+    Listeners hold the last plan until they have handled its end, which takes a moment."""
+    for _ in range(2):
+        time.sleep(1)
+        spark._jvm.System.gc()
 
 
 def settled_path(df: DataFrame) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, neighbours, packing, pieces, secrets, simhash, suffix_dedup, token_files, toxicity, warc
+from corpuslens.llm import exact_dedup, neighbours, packing, pieces, runs, secrets, simhash, suffix_dedup, token_counts, token_files, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_warc": warc.op9_warc,
         "op10_token_files": token_files.op10_token_files,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 

@@ -6,13 +6,15 @@ partitioning; choices of a share of rows are thresholds on draws, not sorts.
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import stripped, u01, words_of
+from corpuslens.operators.ordered import SEGMENT, accepted_in_window, earliest, numbered
+from corpuslens.sources.scratch import settled
+
+#: Times that one task writes out a row of a source that begins anew.
+CYCLES_A_TASK = 1024
 
 
 def clean_texts(df: DataFrame, min_chars: int = 1, max_chars: int | None = None) -> DataFrame:
@@ -43,49 +45,41 @@ def dedupe_exact(df: DataFrame, order: str = "doc_id", **key) -> DataFrame:
     return digests.groupBy("digest").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_copies"))
 
 
-def dedupe_window(df: DataFrame, window: int, shards: int = 200, order: str = "doc_id") -> DataFrame:
-    """Rows whose key was not accepted among the last ``window`` accepted rows of their shard.
-
-    Each shard is one ordered stream with a bounded queue; shards are hash draws."""
-    keyed = df.select(order, F.md5(dedupe_key()).alias("digest"), F.floor(u01(F.lit("shard"), F.col(order)) * shards).cast("int").alias("shard"))
+def dedupe_window(df: DataFrame, window: int, order: str = "doc_id", reset: Column | None = None, segment: int = SEGMENT, **key) -> DataFrame:
+    """Rows of the stream in ``order`` whose key was not accepted among the last ``window`` accepted rows, with their ``place``.
 
-    def run(batches):
-        shard, queue, held = None, deque(), set()
-        for pdf in batches:
-            keep = []
-            for s, d in zip(pdf["shard"], pdf["digest"], strict=True):
-                if s != shard:
-                    shard, queue, held = s, deque(), set()
-                new = d not in held
-                keep.append(new)
-                if new:
-                    queue.append(d)
-                    held.add(d)
-                    if len(queue) > window:
-                        held.discard(queue.popleft())
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)][[order, "shard"]]
+    ``reset`` marks rows before which the memory is cleared, as at the start of a new cycle."""
+    digest = F.md5(dedupe_key(**key))
+    return accepted_in_window(df, digest, window, [F.col(order), digest], reset, segment)
 
-    return keyed.repartition("shard").sortWithinPartitions("shard", order).mapInPandas(run, f"{order} long, shard int")
 
-
-def mix_sources(df: DataFrame, weights: dict[str, float], n: int, seed: int, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict[str, float], n: int, seed: int, source: str = "source", key: str = "doc_id", cycle=()) -> DataFrame:
     """n rows drawn from sources by weight, each source without replacement until it is used up.
 
     A row's virtual time is its draw times the source's size over the weight, the time
     at which it would be drawn; the n earliest stay.  Negative weights count as 0; if
-    all are 0, all sources count alike."""
+    all are 0, all sources count alike.  Sources in ``cycle`` begin anew when used up, in a new
+    order: cycle c takes the time from c to c + 1 sizes over the weight (column ``cycle``)."""
     w = {k: max(v, 0.0) for k, v in weights.items()}
     if not any(w.values()):
         w = dict.fromkeys(w, 1.0)
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n_source"))
-    weight = F.create_map(*[F.lit(x) for kv in w.items() for x in kv])[F.col(source)]
-    timed = (
-        df.withColumn("weight", weight)
-        .filter("weight > 0")
-        .join(F.broadcast(sizes.filter(F.col(source).isin([k for k, v in w.items() if v > 0]))), source)  # one row per weighted source
-        .withColumn("time", u01(F.lit(seed), F.col(key)) * F.col("n_source") / F.col("weight"))
-    )
-    return timed.orderBy("time", key).limit(n).drop("weight", "n_source")
+    w = {k: v for k, v in w.items() if v > 0}
+    rows = df.filter(F.col(source).isin(list(w)))
+    sizes = {r[0]: r[1] for r in rows.groupBy(source).count().collect()}  # one row per weighted source
+    again = [k for k in sizes if k in cycle]
+    # until this time the cycling sources alone give n rows, as each has all its whole cycles by then
+    until = (n + sum(sizes[k] for k in again)) / sum(w[k] for k in again) if again else float("inf")
+    times = {k: -int(-until * w[k] // sizes[k]) if k in again else 1 for k in sizes}
+    of = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(source)] if table else F.lit(None)
+    if max(times.values(), default=1) > CYCLES_A_TASK:  # rows that come back very often are written out by many tasks
+        first = F.explode(F.sequence(F.lit(0), F.floor((of(times) - 1) / CYCLES_A_TASK).cast("int"))).alias("turn")
+        rows = rows.select("*", first).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        one = F.sequence(F.col("turn") * CYCLES_A_TASK, F.least((F.col("turn") + 1) * CYCLES_A_TASK, of(times)).cast("int") - 1)
+        rows = rows.withColumn("cycle", F.explode(one)).drop("turn")
+    else:
+        rows = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), of(times).cast("int") - 1)))
+    time = (F.col("cycle") + u01(F.lit(seed) + F.col("cycle"), F.col(key))) * of(sizes) / of(w)
+    return earliest(rows.withColumn("time", time).filter(F.col("time") <= until), ["time", key, "cycle"], n)
 
 
 def seeded_shuffle(df: DataFrame, seed: int, epoch: int = 0, key: str = "doc_id") -> DataFrame:
@@ -94,8 +88,8 @@ def seeded_shuffle(df: DataFrame, seed: int, epoch: int = 0, key: str = "doc_id"
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """n rows without replacement: those with the smallest draws."""
-    return seeded_shuffle(df, seed, 0, key).limit(n)
+    """n rows without replacement: those with the smallest draws, in the order of the key."""
+    return earliest(df, [u01(F.lit(seed), F.col(key)), F.col(key)], n).orderBy(key)
 
 
 def sha(c: str = "text") -> Column:
@@ -214,6 +208,37 @@ def make_neighbours(df: DataFrame, n: int, p: float, seed: int, key: str = "doc_
 def token_budget(tokens: DataFrame, budget: int, batch: int, seed: int) -> DataFrame:
     """The ``budget`` tokens with the smallest draws, in numbered batches: batch_no, doc_id, pos."""
     drawn = tokens.select("doc_id", "pos").withColumn("draw", u01(F.lit(seed), F.col("doc_id"), F.col("pos")))
-    chosen = drawn.orderBy("draw", "doc_id", "pos").limit(budget)
-    place = F.row_number().over(Window.orderBy("draw", "doc_id", "pos")) - 1  # over the bounded budget only
-    return chosen.select(F.floor(place / batch).cast("int").alias("batch_no"), "doc_id", "pos")
+    chosen = numbered(earliest(drawn, ["draw", "doc_id", "pos"], budget), ["draw", "doc_id", "pos"])
+    return chosen.select(F.floor(F.col("place") / batch).cast("int").alias("batch_no"), "doc_id", "pos")
+
+
+#: What a training step does with a buffer of texts: fill the step from it alone, or carry what is left to the next.
+STEP_MODES = ("repeat", "accumulate")
+
+
+def token_steps(docs: DataFrame, tokens: DataFrame, texts: int, step: int, budget: int, seed: int, mode: str) -> DataFrame:
+    """Training steps of ``step`` tokens until ``budget`` is reached: batch_no, slot, doc_id, pos.
+
+    Documents come in the order of their ids, ``texts`` of them are a buffer, and a buffer's tokens come
+    in drawn order.  ``repeat``: every buffer with tokens makes one step; of more tokens the first are
+    taken, fewer are repeated in reading order until the step is full.  ``accumulate``: buffers
+    follow each other, and what does not fill a step is carried to the next; a last
+    unfinished step is left out.  Places are counted by ranges, in no single task."""
+    if mode not in STEP_MODES:
+        raise ValueError(f"mode is one of {STEP_MODES}")
+    steps = -(-budget // step)
+    # repeated ids are one document, as tokens know ids only
+    buffers = numbered(docs.select("doc_id").distinct(), ["doc_id"]).select("doc_id", F.floor(F.col("place") / texts).alias("buffer"))
+    own = tokens.select("doc_id", "pos").join(buffers, "doc_id").withColumn("draw", u01(F.lit(seed), F.col("doc_id"), F.col("pos")))
+    if mode == "accumulate":
+        whole = numbered(own, ["buffer", "draw", "doc_id", "pos"])
+        full = F.floor(F.lit(whole.count()) / step)
+        out = whole.withColumn("batch_no", F.floor(F.col("place") / step)).filter((F.col("batch_no") < full) & (F.col("batch_no") < steps))
+        return out.select(F.col("batch_no").cast("int").alias("batch_no"), (F.col("place") % step).cast("int").alias("slot"), "doc_id", "pos")
+    sizes = numbered(own.groupBy("buffer").agg(F.count(F.lit(1)).alias("n")), ["buffer"], "batch_no").filter(F.col("batch_no") < steps)
+    sized = own.join(sizes, "buffer").withColumn("draw", F.when(F.col("n") >= step, F.col("draw")).otherwise(0.0))
+    placed = settled(numbered(sized, ["buffer", "draw", "doc_id", "pos"]), "steps")
+    first = placed.groupBy("buffer").agg(F.min("place").alias("first"))
+    ranked = placed.join(first, "buffer").withColumn("rank", F.col("place") - F.col("first")).filter(F.col("rank") < step)
+    slots = F.explode(F.sequence(F.col("rank"), F.lit(step - 1).cast("long"), F.greatest(F.col("n"), F.lit(1).cast("long")))).alias("slot")
+    return ranked.select(F.col("batch_no").cast("int").alias("batch_no"), slots, "doc_id", "pos").withColumn("slot", F.col("slot").cast("int"))

@@ -1,17 +1,14 @@
 """Bootstraps, permutation nulls and tests.
 
-The relational bootstrap gives every row of every replicate a Poisson(1) weight from a
-hash draw: no row is numbered, joined or moved for that, and rows of equal score are added
-up before they are shuffled.  SQL can repeat it.  Where class sizes must stay, rows are
-drawn with replacement from numbered groups.  The kernel is for many replicates of score
-vectors that fit in a task: scores are sorted once, every replicate is a count of draws
-over the sorted order, and blocks of replicates are tasks.
+Every row has a Poisson(1) weight in every replicate, from a hash draw.  AUROCs of all
+replicates come from ``replicates.auroc_replicates``, which draws the weights inside the tasks.
+Rates at a false-positive rate need the whole curve of a replicate; for them rows are written
+out with their weights.  Where class sizes must stay, rows are drawn with replacement from
+numbered groups.
 """
 
 from __future__ import annotations
 
-from math import exp, factorial
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,14 +20,9 @@ from corpuslens.functions.vectors import cosine
 from corpuslens.operators import metrics as M
 from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import exact_rank
+from corpuslens.operators.replicates import POISSON, SHARED, auroc_replicates
 from corpuslens.sources.scratch import settled
 
-#: Longest score vector that is broadcast to the kernel's tasks.
-MAX_BROADCAST_SCORES = 2_000_000
-
-
-#: Chances that a Poisson(1) number is at most 0, 1, ...; a draw's weight is how many of them it reaches.
-POISSON = [round(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)), 12) for k in range(12)]
 #: What to do with a replicate that holds one class only: leave it out, take the metric's value for it, or draw again.
 SINGLE_CLASS, REDRAWS = ("skip", "keep", "redraw"), 10
 
@@ -38,7 +30,8 @@ SINGLE_CLASS, REDRAWS = ("skip", "keep", "redraw"), 10
 def weighted(scores: DataFrame, replicates: int, seed: int, key: str = "doc_id") -> DataFrame:
     """Rows of every replicate b with their weight; rows of weight 0 are left out."""
     rows = scores.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = u01(F.lit(seed), F.col("b"), F.col(key))
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.floor(F.col("b") / SHARED).cast("string"), F.col(key).cast("string")))
+    draw = F.conv(F.substr(hashed, 8 * (F.col("b") % SHARED) + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
     weight = sum((draw >= F.lit(c)).cast("int") for c in POISSON)
     return rows.withColumn("weight", weight).filter("weight > 0")
 
@@ -66,18 +59,25 @@ def replicates_of(scores: DataFrame, by: list[str], groups: list[str], replicate
     """by, groups, b, metric of every replicate; rows of a key get the same weight in all ``groups`` of a replicate."""
     if single_class not in SINGLE_CLASS:
         raise ValueError(f"single_class is one of {SINGLE_CLASS}")
-    of, keys = M.METRICS[metric], [*by, *groups, "b"]
-    values = of(weighted(scores, replicates, seed, key), keys, "weight")
+    keys = [*by, *groups, "b"]
+
+    def of(numbers: int | list[int], seed: int) -> DataFrame:
+        if metric == "auroc":
+            return auroc_replicates(scores, keys[:-1], numbers, seed, key).withColumnRenamed("auroc", "metric")
+        rows = weighted(scores, replicates, seed, key)
+        return M.METRICS[metric](rows if isinstance(numbers, int) else rows.filter(F.col("b").isin(numbers)), keys, "weight")
+
+    values = of(replicates, seed)
     lost = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
     if single_class == "skip":
         values = values.filter(~lost)
     for attempt in range(1, REDRAWS + 1 if single_class == "redraw" else 1):
         values = settled(values, "replicates")  # each attempt reads it several times
-        missing = values.filter(lost).select(*by, "b").distinct()
-        if missing.isEmpty():
+        missing = settled(values.filter(lost).select(*by, "b").distinct(), "missing")
+        numbers = [r["b"] for r in missing.select("b").distinct().collect()]  # at most `replicates`
+        if not numbers:
             break
-        drawn = weighted(scores, replicates, seed + 1_000_003 * attempt, key).join(missing, [*by, "b"], "left_semi")
-        again = settled(of(drawn, keys, "weight"), "redrawn")  # a draw may also leave no row
+        again = settled(of(numbers, seed + 1_000_003 * attempt).join(missing, [*by, "b"], "left_semi"), "redrawn")  # a draw may also leave no row
         values = values.join(again.select(*by, "b").distinct(), [*by, "b"], "left_anti").unionByName(again)
     return values.select(*keys, "metric")
 
@@ -278,51 +278,10 @@ def holm(df: DataFrame, p: str, by: list[str], key: str) -> DataFrame:
     return df.join(adjusted, [*by, p])
 
 
-# -- kernel -----------------------------------------------------------------------------
-def weighted_aurocs(order: np.ndarray, new: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """AUROC of each row of weights over rows sorted by score; ``new`` marks distinct scores. Also which are valid."""
-    w = weights[:, order]
-    pos, neg = np.add.reduceat(w * y, new, 1), np.add.reduceat(w * (1 - y), new, 1)
-    below = np.cumsum(neg, 1) - neg
-    p, n = pos.sum(1), neg.sum(1)
-    valid = (p > 0) & (n > 0)
-    return (pos * (2 * below + neg)).sum(1) / np.maximum(2.0 * p * n, 1), valid
-
-
-def bootstrap_kernel(wide: DataFrame, names: list[str], group: str, replicates: int, seed: int, block: int = 250) -> DataFrame:
-    """AUROCs of every replicate: group, b, one column per score, same draws for all scores of a group.
-
-    The scores of all groups are broadcast after a check of their size; (group, block) pairs
-    are dealt over tasks, and a replicate's draws depend on seed, group and number only."""
-    spark = wide.sparkSession
-    n = wide.count()
-    if n * (len(names) + 1) > MAX_BROADCAST_SCORES * 2:
-        raise ValueError(f"{n} rows are too many for the kernel; use the relational form")
-    pdf = wide.select(group, "doc_id", "label", *names).toPandas().sort_values([group, "doc_id"])  # checked above
-    data = {g: (p["label"].to_numpy(), {s: p[s].to_numpy() for s in names}) for g, p in pdf.groupby(group)}
-    shared = spark.sparkContext.broadcast(data)
-    keys = sorted(data)
-    blocks = -(-replicates // block)
-    grid = spark.range(len(keys) * blocks).repartition(min(len(keys) * blocks, 4 * spark.sparkContext.defaultParallelism))
-
-    def run(batches):
-        for ids in batches:
-            for i in ids["id"]:
-                g = keys[int(i) // blocks]
-                first = int(i) % blocks * block
-                count = min(block, replicates - first)
-                y, scores = shared.value[g]
-                m = len(y)
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(i)]))
-                drawn = rng.integers(0, m, (count, m)) + np.arange(count)[:, None] * m
-                weights = np.bincount(drawn.ravel(), minlength=count * m).reshape(count, m)
-                out = {group: [g] * count, "b": np.arange(first, first + count)}
-                for s, v in scores.items():
-                    order = np.argsort(v, kind="stable")
-                    new = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
-                    area, valid = weighted_aurocs(order, new, y[order], weights)
-                    out[s] = np.where(valid, area, np.nan)
-                yield pd.DataFrame(out)
-
-    kind = dict(wide.dtypes)[group]
-    return grid.mapInPandas(run, f"{group} {kind}, b long, " + ", ".join(f"{s} double" for s in names))
+def bootstrap_kernel(wide: DataFrame, names: list[str], group: str, replicates: int, seed: int) -> DataFrame:
+    """AUROCs of every replicate: group, b, one column per score (null for a replicate of one class); the same draws for all scores.
+
+    For many replicates: draws come from a counter-based generator."""
+    long_ = long_scores(wide, names, [group, "doc_id", "label"])
+    values = auroc_replicates(long_, [group, "score"], replicates, seed, draws="philox").filter("n_pos > 0 AND n_neg > 0")
+    return values.groupBy(group, "b").agg(*[F.max(F.when(F.col("score") == n, F.col("auroc"))).alias(n) for n in names])

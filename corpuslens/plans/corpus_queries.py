@@ -109,9 +109,23 @@ def b4(spark, d):
     return C.dedupe_exact(table(spark, d, "documents"))
 
 
-@query("b5_dedupe_window")
+def window_sql(stream: str, window: int) -> str:
+    """Rows of ``stream`` (k from 1, doc_id, d, reset) that are accepted, one after the other."""
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({stream}), f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS doc_id, false AS fresh, CAST([] AS VARCHAR[]) AS q UNION ALL
+    SELECT k, doc_id, fresh, CASE WHEN fresh THEN list_slice(list_append(q, d), greatest(1, len(q) + 2 - {window}), len(q) + 1) ELSE q END FROM (
+    SELECT k, doc_id, d, q, NOT list_contains(q, d) AS fresh FROM (SELECT s.k, s.doc_id, s.d, CASE WHEN s.reset THEN [] ELSE f.q END AS q FROM f JOIN s ON s.k = f.k + 1)))
+    SELECT doc_id, k - 1 AS place FROM f WHERE fresh"""
+
+
+@query("b5_dedupe_window", window_sql(f"SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, md5({KEY}) AS d, false AS reset FROM documents", 100))
 def b5(spark, d):
-    return C.dedupe_window(table(spark, d, "documents"), 100)
+    return C.dedupe_window(table(spark, d, "documents").select("doc_id", "text"), 100).select("doc_id", "place")
+
+
+@query("b5_dedupe_window_reset", window_sql(f"SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, md5({KEY}) AS d, doc_id % 400 = 0 AS reset FROM documents", 1000))
+def b5r(spark, d):
+    """A long memory that is cleared before every 400th document, as at the start of a cycle."""
+    return C.dedupe_window(table(spark, d, "documents").select("doc_id", "text"), 1000, reset=F.col("doc_id") % 400 == 0).select("doc_id", "place")
 
 
 WEIGHTS = {"en": 0.5, "fr": 0.3, "de": 0.2, "es": 0.0}
@@ -126,6 +140,19 @@ def b6(spark, d):
     return C.mix_sources(table(spark, d, "documents").select("doc_id", "lang"), WEIGHTS, 200, 3, "lang").select("doc_id", "lang", r6("time").alias("time"))
 
 
+@query(
+    "b6_mix_cycle",
+    f"""WITH c AS (SELECT 2 * count(*) AS n FROM documents), s AS (SELECT lang, count(*) AS n_s, w, lang <> 'en' AS again FROM documents JOIN (SELECT * FROM (VALUES ('en', 0.5::DOUBLE), ('fr', 0.3::DOUBLE), ('de', 0.2::DOUBLE)) v(lang, w)) USING (lang) GROUP BY lang, w),
+    t AS (SELECT (max(c.n) + sum(n_s) FILTER (again)) / sum(w) FILTER (again) AS until FROM s, c), r AS (SELECT *, unnest(range(CASE WHEN again THEN CAST(ceil(until * w / n_s) AS BIGINT) ELSE 1 END)) AS cycle FROM s, t),
+    e AS (SELECT doc_id, lang, CAST(cycle AS INTEGER) AS cycle, (cycle + {u('3 + cycle', 'doc_id')}) * n_s / w AS time, until FROM documents JOIN r USING (lang))
+    SELECT doc_id, lang, cycle, round(time, 6) AS time FROM (SELECT * FROM e WHERE time <= until ORDER BY time, doc_id, cycle LIMIT (SELECT n FROM c))""",
+)
+def b6c(spark, d):
+    """Twice as many rows as there are documents: two sources begin anew as often as needed, the third is used up."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return C.mix_sources(docs, WEIGHTS, 2 * docs.count(), 3, "lang", cycle=("fr", "de")).select("doc_id", "lang", "cycle", r6("time").alias("time"))
+
+
 @query("b7_seeded_shuffle", f"SELECT doc_id, {u('6', 'doc_id')} AS place FROM documents")
 def b7(spark, d):
     return C.seeded_shuffle(table(spark, d, "documents").select("doc_id"), 5, 1).select("doc_id", u01(F.lit(6), F.col("doc_id")).alias("place"))
@@ -228,6 +255,31 @@ def b15(spark, d):
     return C.token_budget(tokens(spark, d), 1000, 100, 5)
 
 
+BUFFERS = f"""b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS buffer FROM (SELECT DISTINCT doc_id FROM documents)), o AS (SELECT buffer, doc_id, pos, {u('5', 'doc_id', 'pos')} AS draw FROM tokens_t JOIN b USING (doc_id))"""
+STEP, BUDGET = 1500, 60_000
+
+
+@query(
+    "b15_token_steps_accumulate",
+    f"""WITH {BUFFERS} SELECT CAST((k - 1) // {STEP} AS INTEGER) AS batch_no, CAST((k - 1) % {STEP} AS INTEGER) AS slot, doc_id, CAST(pos AS INTEGER) AS pos FROM (
+    SELECT *, row_number() OVER (ORDER BY buffer, draw, doc_id, pos) AS k, count(*) OVER () AS n FROM o) WHERE (k - 1) // {STEP} < least(n // {STEP}, {BUDGET // STEP})""",
+)
+def b15a(spark, d):
+    """Steps that carry what is left of a buffer of eight documents."""
+    return C.token_steps(table(spark, d, "documents"), tokens(spark, d), 8, STEP, BUDGET, 5, "accumulate")
+
+
+@query(
+    "b15_token_steps_repeat",
+    f"""WITH {BUFFERS}, z AS (SELECT buffer, count(*) AS n, row_number() OVER (ORDER BY buffer) - 1 AS batch_no FROM o GROUP BY buffer),
+    k AS (SELECT *, row_number() OVER (PARTITION BY buffer ORDER BY CASE WHEN n >= {STEP} THEN draw ELSE 0 END, doc_id, pos) - 1 AS j FROM o JOIN z USING (buffer) WHERE batch_no < {BUDGET // STEP})
+    SELECT CAST(batch_no AS INTEGER) AS batch_no, CAST(slot AS INTEGER) AS slot, doc_id, CAST(pos AS INTEGER) AS pos FROM (SELECT *, unnest(range(j, {STEP}, n)) AS slot FROM k WHERE j < {STEP})""",
+)
+def b15r(spark, d):
+    """Steps of one buffer of eight documents each; too few tokens are repeated."""
+    return C.token_steps(table(spark, d, "documents"), tokens(spark, d), 8, STEP, BUDGET, 5, "repeat")
+
+
 @query("c1_length_features", f"SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len({WORDS}) AS INTEGER) AS word_count, CAST(len({TERMS}) AS INTEGER) AS term_count FROM documents")
 def c1(spark, d):
     return X.length_features(table(spark, d, "documents"))

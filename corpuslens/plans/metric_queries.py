@@ -9,6 +9,7 @@ from corpuslens.operators import cohort as K
 from corpuslens.operators import metrics as M
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
+from corpuslens.operators.replicates import POISSON, SHARED
 from corpuslens.plans.base import CTE, acts, query, scratch, settled, table, u
 from corpuslens.plans.vector_queries import DOT, area_sql, warea_sql
 from corpuslens.sources.texts import read_records
@@ -158,13 +159,15 @@ def named(s):
 
 CTE["two_t"] = "SELECT doc_id, label, CAST(doc_id % 7 AS INTEGER) AS grp, round(h[1], 3) AS a, round(h[2] - h[3], 3) AS b FROM acts_t"
 CTE["lng_t"] = "SELECT doc_id, label, grp, unnest(['a', 'b']) AS s, unnest([a, b]) AS value FROM two_t"
-REPLICATES = 1000
+REPLICATES = 10_000
 Q = "round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.025), 6) AS low, round(quantile_cont({c}, 0.975), 6) AS high, round(stddev_samp({c}), 6) AS std, count(*) AS n_valid"
 
 
 def weights_sql(rows: str, replicates: int, seed: int, key: str = "doc_id") -> str:
-    """The SQL form of resample.weighted; the replicate is r."""
-    return f"SELECT * FROM (SELECT *, len(list_filter({R.POISSON}, lambda c: x >= c)) AS w FROM (SELECT *, {u(str(seed), 'r', key)} AS x FROM (SELECT *, unnest(range({replicates})) AS r FROM ({rows})))) WHERE w > 0"
+    """The SQL form of resample.weighted; the replicate is r.  Weights are drawn once a key."""
+    x = f"(CAST(('0x' || substr(md5(concat_ws('|', {seed}, r // {SHARED}, {key})), 8 * (r % {SHARED}) + 1, 8)) AS UBIGINT) / 4294967296.0)"
+    drawn = f"SELECT {key}, r, len(list_filter({POISSON}, lambda c: x >= c)) AS w FROM (SELECT *, {x} AS x FROM (SELECT {key}, unnest(range({replicates})) AS r FROM (SELECT DISTINCT {key} FROM ({rows}))))"
+    return f"SELECT * FROM ({rows}) JOIN (SELECT * FROM ({drawn}) WHERE w > 0) USING ({key})"
 
 
 def _ci(out):
@@ -329,16 +332,17 @@ def g10(spark, d):
     return R.holm(p, "p", ["lang"], "doc_id").select("lang", "doc_id", r6("p_adjusted").alias("p_adjusted"))
 
 
-SPLITS, HELD_REPLICATES = 10, 200
+SPLITS, HELD_REPLICATES = 10, 10_000
 CTE["held_t"] = f"""SELECT s AS split, doc_id, label, {DOT}(h, r) / (sqrt({DOT}(h, h)) * sqrt({DOT}(r, r)) + 1e-12) AS c, round({DOT}(h, v) / sqrt({DOT}(v, v)), 9) AS h, round({DOT}(r, v) / sqrt({DOT}(v, v)), 9) AS recon, round({DOT}(e, v) / sqrt({DOT}(v, v)), 9) AS resid
     FROM cut_t JOIN res_t USING (doc_id, label) JOIN (SELECT s, list(x ORDER BY i) AS v FROM (SELECT s, i, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS x FROM (SELECT s, label, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM cut_t JOIN acts_t USING (doc_id, label) WHERE a) GROUP BY ALL) GROUP BY s) USING (s) WHERE NOT a"""
 CTE["cut_t"] = f"SELECT s, doc_id, label, row_number() OVER (PARTITION BY s, label ORDER BY {u('100', 's', 'doc_id')}, doc_id) <= round_even(0.7 * count(*) OVER (PARTITION BY s, label), 0) AS a FROM acts_t, (SELECT CAST(unnest(range({SPLITS})) AS INTEGER) AS s)"
+_HELD_TWO = "SELECT split, doc_id, label, unnest(['h', 'recon']) AS stream, unnest([h, recon]) AS value FROM held_t"
 _HELD = "SELECT split, doc_id, label, unnest(['h', 'recon', 'resid']) AS stream, unnest([h, recon, resid]) AS value FROM held_t"
 CTE["splits_t"] = f"""SELECT split, n_pos, n_neg, auroc_h, auroc_recon, auroc_resid, recon_cos, drop, drop_low, drop_high, drop_std FROM
     (SELECT split, max(n_pos) AS n_pos, max(n_neg) AS n_neg, max(auroc) FILTER (stream = 'h') AS auroc_h, max(auroc) FILTER (stream = 'recon') AS auroc_recon, max(auroc) FILTER (stream = 'resid') AS auroc_resid FROM ({area_sql(_HELD, 'split, stream')}) GROUP BY split)
     JOIN (SELECT split, avg(c) AS recon_cos FROM held_t GROUP BY split) USING (split)
     JOIN (SELECT split, avg(d) AS drop, quantile_cont(d, 0.025) AS drop_low, quantile_cont(d, 0.975) AS drop_high, stddev_samp(d) AS drop_std FROM (SELECT split, r, max(auroc) FILTER (stream = 'h') - max(auroc) FILTER (stream = 'recon') AS d
-    FROM ({warea_sql(weights_sql(_HELD, HELD_REPLICATES, 6), 'split, stream, r')}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY split, r) GROUP BY split) USING (split)"""
+    FROM ({warea_sql(weights_sql(_HELD_TWO, HELD_REPLICATES, 6), 'split, stream, r')}) WHERE n_pos > 0 AND n_neg > 0 GROUP BY split, r) GROUP BY split) USING (split)"""
 HELD = ("auroc_h", "auroc_recon", "auroc_resid", "recon_cos", "drop")
 
 
@@ -391,7 +395,7 @@ G12 = f"SELECT grp, quantile_cont(auroc, 0.025) AS low, quantile_cont(auroc, 0.9
     SELECT grp, round(o.low, 6) AS old_low, round(o.high, 6) AS old_high, round(n.low, 6) AS low, round(n.high, 6) AS high, round(n.low - o.low, 6) AS d_low, round(n.high - o.high, 6) AS d_high, CASE WHEN o.low IS NULL THEN 1 ELSE 2 END AS n_runs FROM nw n LEFT JOIN old o USING (grp)""",
 )
 def g12(spark, d):
-    """Records of an earlier run (100 replicates, five groups) read back, refreshed with 1,000 replicates, and appended to the history."""
+    """Records of an earlier run (100 replicates, five groups) read back, refreshed with 10,000 replicates, and appended to the history."""
     s = named(scores(spark, d)).select("grp", "doc_id", "label", F.col("first").alias("value"))
     path = scratch(spark, "intervals")
     R.bootstrap_ci(s.filter("grp < 5"), ["grp"], 100, 12).select("grp", F.lit(0).alias("run"), "low", "high").write.parquet(path)

@@ -14,6 +14,7 @@ from corpuslens.operators import corpus as C
 from corpuslens.operators import dictionary as D
 from corpuslens.operators import metrics as M
 from corpuslens.operators import probes as P
+from corpuslens.operators import replicates as B
 from corpuslens.operators import resample as R
 from corpuslens.operators import textfeat as X
 from corpuslens.operators import tokenscores as T
@@ -58,9 +59,9 @@ def test_dedupe_key_and_window(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     groups = sorted(r["n_copies"] for r in C.dedupe_exact(df).collect())
     assert groups == [1, 1, 2, 2]
-    kept = C.dedupe_window(df, 1000, shards=1).count()
+    kept = C.dedupe_window(df, 1000).count()
     assert kept == len(groups)
-    assert C.dedupe_window(df.limit(3).select(F.col("doc_id"), F.when(F.col("doc_id") == 1, "z").otherwise("q").alias("text")), 1, shards=1).count() == 3
+    assert C.dedupe_window(df.limit(3).select(F.col("doc_id"), F.when(F.col("doc_id") == 1, "z").otherwise("q").alias("text")), 1).count() == 3
 
 
 def test_short_texts(spark):
@@ -127,16 +128,48 @@ def test_principal_angles():
     assert np.allclose(V.principal_angles(e[:2], e[1:3]), [0, 90])
 
 
-def test_kernel_agrees_with_plain_weights():
+def plain_auroc(v, y, w):
+    p, n = ((np.repeat(v[y == c], w[y == c])) for c in (1, 0))
+    return np.mean((p[:, None] > n) + 0.5 * (p[:, None] == n)) if len(p) and len(n) else 0.5
+
+
+def test_summaries_of_ranges_merge_to_the_whole():
+    """Ranges of any size, also of one score that goes on in the next, give the AUROC of all rows."""
     rng = np.random.default_rng(2)
-    v, y, w = rng.integers(0, 5, 60).astype(float), rng.integers(0, 2, 60), rng.integers(0, 3, (4, 60))
-    order = np.argsort(v, kind="stable")
-    new = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
-    got, _ = R.weighted_aurocs(order, new, y[order], w)
-    for k in range(4):
-        rep = np.repeat(np.arange(60), w[k])
-        p, n = v[rep][y[rep] == 1], v[rep][y[rep] == 0]
-        assert got[k] == pytest.approx(np.mean((p[:, None] > n) + 0.5 * (p[:, None] == n)))
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        v, y, w = np.sort(rng.integers(0, 4, n)).astype(float), rng.integers(0, 2, n), rng.integers(0, 3, (n, 5))
+        v[v == 3] = np.nan
+        cuts = [0, *sorted(rng.choice(np.arange(1, n), min(n - 1, 4), replace=False).tolist()), n] if n > 1 else [0, 1]
+        whole = None
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            own = B.Summary.of(v[a:z], y[a:z], w[a:z])
+            whole = own if whole is None else whole.before(own)
+        for k in range(5):
+            assert whole.pos[k] == w[y == 1, k].sum() and whole.neg[k] == w[y == 0, k].sum()
+            both = int(whole.pos[k] * whole.neg[k])
+            assert (whole.pairs[k] / (2 * both) if both else 0.5) == pytest.approx(plain_auroc(np.nan_to_num(v, nan=9.0), y, w[:, k]))
+
+
+@pytest.mark.parametrize("draws", ["md5", "philox"])
+def test_auroc_replicates(spark, draws):
+    """Groups over many tasks, a score that a third of the rows share, null scores, labels and keys."""
+    rng = np.random.default_rng(5)
+    rows = [(int(g), i if i % 50 else None, int(y), 0.5 if i % 3 == 0 else float(round(x, 1))) for i, (g, y, x) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.normal(size=400), strict=True))]
+    s = spark.createDataFrame([*rows, (0, 1, None, 0.5), (1, 1, 1, None)], "grp int, doc_id long, label int, value double").repartition(5)
+    numbers = [0, 3, 6, 7, 301]
+    got = {(r["grp"], r["b"]): r for r in B.auroc_replicates(s, ["grp"], numbers, 9, draws=draws).collect()}
+    assert len(got) == 3 * len(numbers)
+    for g in range(3):
+        own = [r for r in rows if r[0] == g]
+        v, y = np.array([r[3] for r in own]), np.array([r[2] for r in own])
+        w = B.poisson_weights([r[1] for r in own], np.array(numbers), 9, draws)
+        for k, b in enumerate(numbers):
+            assert got[g, b]["auroc"] == pytest.approx(plain_auroc(v, y, w[:, k])) and got[g, b]["n_pos"] == w[y == 1, k].sum()
+    wide = B.poisson_weights(list(range(300)), np.arange(64), 1, draws)
+    assert abs(wide.mean() - 1) < 0.03 and abs(wide.var() - 1) < 0.06
+    assert B.auroc_replicates(s.limit(0), ["grp"], 3, 1).count() == 0
+
 
 
 @pytest.mark.parametrize(
@@ -213,8 +246,8 @@ def test_poisson_bootstrap_by_brute_force(spark):
     rows = [(i, int(y), float(v)) for i, (y, v) in enumerate(zip(rng.integers(0, 2, n), rng.integers(0, 6, n), strict=True))]
     s = spark.createDataFrame([(0, *r) for r in rows], "grp int, doc_id long, label int, value double")
 
-    def u(*parts):
-        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    def u(seed, k, i):
+        return int(hashlib.md5(f"{seed}|{k // 4}|{i}".encode()).hexdigest()[8 * (k % 4) :][:8], 16) / 2**32
 
     want = []
     for k in range(b):

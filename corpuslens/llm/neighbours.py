@@ -4,7 +4,9 @@ Vectors are reduced where they are read to int8 codes with a scale and the exact
 what rounding lost; only codes travel.  Queries and candidates are dealt into blocks, and
 each pair of blocks is one task group.  Products of int8 tiles give every distance up to a
 known error; a pair survives if its lower bound does not exceed the k-th smallest upper
-bound of its query, first within its block and then over all blocks.  Survivors fetch
+bound of its query, first within its block and then over all blocks.  Of candidates with
+equal vectors a block keeps as many as can be among the nearest, so a vector that many
+rows share does not answer with all of them.  Survivors fetch
 their original vectors and are computed again in double precision; heaps keep the k
 nearest of each query.
 """
@@ -16,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from corpuslens.llm.store import settle, table
 
 #: Codes in a block of queries, in a block of candidates (at least the second number), and in a tile.
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK, TILE = 16384, 65536, 4096, 1024
-CODES = "vec_id long, dim int, code binary, scale double, norm double, lost double"
+CODES = "vec_id long, dim int, code binary, scale double, norm double, lost double, digest binary"
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +40,7 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def coded(vectors: DataFrame) -> DataFrame:
-    """int8 codes of vectors (columns vec_id, embedding)."""
+    """int8 codes of vectors (columns vec_id, embedding), with a digest of the vector itself."""
 
     def run(batches):
         for batch in batches:
@@ -47,9 +50,11 @@ def coded(vectors: DataFrame) -> DataFrame:
             at = np.cumsum(sizes) - sizes
             for n in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == n)
-                codes, scale, norm, lost = quantised(values[at[own][:, None] + np.arange(n)])
-                columns = [pa.array(ids[own]), pa.array(np.full(len(own), n, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (scale, norm, lost))]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "code", "scale", "norm", "lost"])
+                own_values = values[at[own][:, None] + np.arange(n)] + 0.0  # zeros have one sign
+                codes, scale, norm, lost = quantised(own_values)
+                digest = pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in own_values], pa.binary())
+                columns = [pa.array(ids[own]), pa.array(np.full(len(own), n, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (scale, norm, lost)), digest]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "code", "scale", "norm", "lost", "digest"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, CODES)
 
@@ -59,6 +64,15 @@ def exact_distances(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum((rows - q) ** 2, axis=1)[:, -1])
 
 
+def first_of_equals(t: pa.Table, k: int) -> pa.Table:
+    """Of rows with equal vectors the k with the smallest ids: of equal distances no others can be among the k nearest."""
+    equal = np.unique(np.frombuffer(b"".join(t["digest"].to_pylist()), "V16"), return_inverse=True)[1] if t.num_rows else np.zeros(0, np.int64)
+    order = np.lexsort((np.asarray(t["vec_id"]), equal))
+    new = np.flatnonzero(np.append(True, np.diff(equal[order]) != 0))[: len(order)]
+    place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+    return t.take(pa.array(np.sort(order[place < k])))
+
+
 class Codes:
     """Codes of one length, as arrays."""
 
@@ -100,7 +114,7 @@ def block(k: int):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
         for dim in set(np.asarray(a["dim"]).tolist()) & set(np.asarray(b["dim"]).tolist()):
-            q, c = Codes(a, dim), Codes(b, dim)
+            q, c = Codes(a, dim), Codes(first_of_equals(b, k + 1), dim)  # one of them may be the query's own
             for x, y, low, high in bounded_pairs(q, c, k):
                 for column, v in zip(out, (q.ids[x], c.ids[y], low, high), strict=True):
                     column.append(v)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ BLOCK = 512
 FILE_TOKENS = 4_000_000
 #: Tokens (of one document at least) and documents read at once.
 WINDOW, WINDOW_DOCUMENTS = 1 << 18, 4096
+#: Bytes read from a file at once, and how many such blocks are kept.
+READ_BLOCK, READ_BLOCKS = 1 << 18, 64
 
 
 def dac_encode(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -> bytes:
@@ -131,6 +134,27 @@ class DacFile:
         return out
 
 
+def buffered(read, size: int, block: int = READ_BLOCK, held: int = READ_BLOCKS):
+    """``read`` (count, offset) by way of whole blocks of a file, of which the last used are kept.
+
+    Small reads near each other, as of bits and directory entries, become few large ones, which a remote store needs."""
+
+    @lru_cache(held)
+    def blocked(i: int) -> bytes:
+        return bytes(read(min(block, size - i * block), i * block))
+
+    def small(count: int, offset: int) -> bytes:
+        if count > block:
+            return bytes(read(count, offset))
+        if not count or offset >= size:
+            return b""
+        first, last = offset // block, (min(offset + count, size) - 1) // block
+        raw = blocked(first) if first == last else blocked(first) + blocked(last)
+        return raw[offset - first * block :][:count]
+
+    return small
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order below ``folder``.
 
@@ -202,7 +226,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         for pdf in batches:
             for name, base in zip(pdf["path"], pdf["base"], strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
-                    dac = DacFile(f.read_at)
+                    dac = DacFile(buffered(f.read_at, f.size()))
                     for first in range(0, dac.documents, WINDOW_DOCUMENTS):
                         last = min(first + WINDOW_DOCUMENTS, dac.documents)
                         s = dac.starts(first, last)

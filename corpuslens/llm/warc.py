@@ -51,7 +51,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from corpuslens.llm.store import fresh_path, settle, table
+from corpuslens.llm.store import fresh_path, join_hot, settle, table
 
 SCHEMA = (
     "page_id long, url string, record_type string, refers_to long, payload_digest string, "
@@ -359,10 +359,10 @@ def with_roles(pages: DataFrame, least: int = LEAST_REVISIT, broadcast_rows: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"))
     digest = F.unhex(F.sha2("payload", 256)).alias("digest")
     narrow = settle(rows.select("page_id", digest, F.length("payload").cast("long").alias("payload_length")), "payloads")
-    first = narrow.filter(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    shared = first.filter("first < last").select("digest", "first")
+    first = narrow.filter(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n_same"))
+    shared = settle(first.filter("first < last").select("digest", "first", "n_same"), "shared-payloads")
     revisits = settle(
-        narrow.join(shared.hint("merge"), "digest").filter("page_id != first")
+        join_hot(narrow, shared, "digest", "n_same", shared.agg(F.sum("n_same")).first()[0] or 0).filter("page_id != first")
         .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").dropDuplicates(["p", "d"]),
         "revisits",
     )

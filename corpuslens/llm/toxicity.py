@@ -69,7 +69,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     n = own.count()
     if n > max_rows:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    return docs.select("doc_id", "text").join(own, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # about max_rows ids at most; texts stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def document_counts(rows: DataFrame, wanted: set[str] | None = None) -> DataFrame:
@@ -263,9 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
     rows = settle(training_rows(docs, labels, max_rows), "toxicity-training")
     n = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    least = max(3, n_toxic // 200)
-    # bounded: each is in one in 200 of at most max_rows texts, so there are at most 200 times
-    # as many as a text has on average
+    # a feature of fewer texts cannot be significant, even if all of them are toxic; of at most max_rows texts
+    least = max(1, math.ceil(LEAST_G / (2 * math.log((n_toxic + n_clean) / n_toxic)))) if n_toxic and n_clean else 1
     toxic = {r[0]: r[1] for r in document_counts(rows.filter("toxic = 1")).filter(F.col("n") >= least).collect()}
     clean = {r[0]: r[1] for r in document_counts(rows.filter("toxic = 0"), set(toxic)).collect()}
     lexicon = choose_lexicon(toxic, clean, n_toxic, n_clean)

@@ -17,8 +17,7 @@ at least ``similarity``.  Candidates come from three sources, one after the othe
    So no link is left out, and pairs that are not alike are not written out.
 
 Every candidate is verified on the whole sets before components are formed.  Documents
-with equal sets are one node, named by 64 bits of a digest (of 10**10 different sets some
-three would share a name).  Sets are made again only of the documents that stand for nodes
+with equal sets are one node, named by a digest of 128 bits.  Sets are made again only of the documents that stand for nodes
 in candidates, picked by a Bloom filter of bounded size where the texts are read.
 """
 
@@ -73,8 +72,8 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(raw)], np.uint64).view(np.int64)
 
 
-def _node(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(found.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
+def _node(found: np.ndarray) -> bytes:
+    return hashlib.md5(found.tobytes(), usedforsecurity=False).digest()
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -106,13 +105,13 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             rows = [bands(m) if m is not None else [] for m in low]
             brief = [(m & np.uint32(255)).astype(np.uint8).tobytes() if m is not None else b"" for m in low]
             columns = [
-                batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prints.view(np.int64)),
+                batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array(prints.view(np.int64)),
                 pa.array(rows, pa.list_(pa.int64())), pa.array(brief, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_packed(s) if len(s) <= CARRIED else None for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size", "carried"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node long, fp long, bands array<long>, sketch binary, size long, carried binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, fp long, bands array<long>, sketch binary, size long, carried binary")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -155,10 +154,9 @@ def shingle_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
             near = (filter_.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             sets = [shingles(t, words) for t in batch.column(1).filter(pa.array(near)).to_pylist()]
             brief = [_packed(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(brief, pa.binary())], ["node", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "node long, shingles binary")
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array(brief, pa.binary())], ["node", "shingles"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "node binary, shingles binary")
 
 
 
@@ -176,7 +174,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
                 keep[i] = _alike(_set(x), _set(y), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
 
 
 def _pairs(left: str, right: str):
@@ -184,17 +182,17 @@ def _pairs(left: str, right: str):
 
 
 def open_bands(held: DataFrame, found: DataFrame) -> DataFrame:
-    """band, node, root of band values whose nodes are in different components, settled."""
+    """band, node, root, members (nodes of the band value) of band values whose nodes are in different components, settled."""
     rooted = held.join(found.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    return settle(rooted.join(mixed.hint("merge"), "band"), "open-bands")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low != high")
+    mixed = settle(mixed.select("band", "members"), "mixed-bands")
+    return settle(join_hot(rooted, mixed, "band", "members", mixed.agg(F.sum("members")).first()[0] or 0), "open-bands")
 
 
 def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of a band value that are in different components and may be similar enough."""
-    members = open_.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
     brief = nodes.select("node", "sketch", "size", "carried")
-    rows = open_.join(members.hint("merge"), "band").join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
+    rows = open_.join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
     keys = ["band", "i", "j"]
 
     def compare(batches):
@@ -222,7 +220,7 @@ def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
     least = LEAST_AGREE / SIMILARITY * similarity * BANDS * ROWS
-    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a long, b long")
+    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a binary, b binary")
     return near.select(*_pairs("a", "b")).distinct()
 
 
@@ -259,8 +257,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     now = open_bands(held, found)
     draw = F.min(F.struct(F.xxhash64("band", "node").alias("draw"), "node", "root")).alias("lead")
-    leaders = now.groupBy("band").agg(draw).select("band", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
-    led = now.join(leaders.hint("merge"), "band").filter("root != lead_root").select(*_pairs("node", "lead")).distinct()
+    leaders = now.groupBy("band").agg(draw, F.count(F.lit(1)).alias("n_led")).select("band", "n_led", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+    led = join_hot(now, settle(leaders, "leaders"), "band", "n_led", now.count()).filter("root != lead_root").select(*_pairs("node", "lead")).distinct()
     second = settle(led.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     found = components(as_edges(found).unionByName(verified(second, sets, similarity)))
 

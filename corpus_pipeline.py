@@ -6,20 +6,27 @@ all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import exact_dedup, nearcopies, packing, secrets, toxicity
 from corpuslens.llm.store import settle, table
 
+#: Ids that are broadcast.
+DROPPED = 200_000
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id is a key like others.
+
+def _keep(docs: DataFrame, judged: DataFrame, kept: Column) -> DataFrame:
+    """Rows of ``docs`` without those whose doc_id is only in rows of ``judged`` that are not ``kept``.
 
     All rows of a doc_id stay if one of them does, so repeated rows and rows without an
-    id are never lost.  Other columns may have any names."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    id (a key like others) are never lost.  Other columns may have any names.  Only ids are
+    shuffled; the ids to drop are sent to the texts if they are at most DROPPED (of 8 bytes
+    each), and joined else."""
+    ids = judged.groupBy("doc_id").agg(F.max(kept).alias("stays")).filter(~F.col("stays")).select(F.col("doc_id").alias("dropped_id"))
+    ids = settle(ids, "dropped")
+    ids = F.broadcast(ids) if ids.limit(DROPPED + 1).count() <= DROPPED else ids.hint("merge")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts: the smallest doc_id.
 
     Null and empty texts are one group; rows that repeat the doc_id that stays all stay."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    return _keep(docs, exact_dedup.exact_dedup(docs), F.col("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     verified.  Null, empty and blank texts are one component; rows that repeat the doc_id
     that stays all stay."""
     classes = nearcopies.near_copies(docs)
-    return _keep(docs, classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    return _keep(docs, classes, F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ at least ``similarity``.  Candidates come from three sources, one after the othe
 3. Pairs of a band value that are still in different components, compared within tasks
    by their whole sketches; a pair goes on if at least LEAST_AGREE of the 240 minima agree
    (a pair at similarity 0.8 fails that with probability below 1e-7).  Sets of at most
-   CARRIED shingles travel with their sketches, and such pairs are verified on the spot.
+   CARRIED shingles travel with their sketches: such pairs are verified on the spot, and
+   those in components that a task has already found to be one are passed over.
    So no link is left out, and pairs that are not alike are not written out.
 
 Every candidate is verified on the whole sets before components are formed.  Documents
@@ -43,7 +44,7 @@ LEAST_AGREE = 0.66
 #: Bits of the Bloom filter (at most), bits a document, and bits of a piece of it.
 BLOOM_BITS, BLOOM_LOAD, BLOOM_PIECE = 1 << 26, 16, 1 << 18
 #: Shingles of a set that travels with its sketch (at most).
-CARRIED = 128
+CARRIED = 1024
 #: Sketches in a chunk, and compared at once.
 CHUNK, AT_ONCE = 512, 2048
 
@@ -107,11 +108,10 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = [
                 batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array(prints.view(np.int64)),
                 pa.array(rows, pa.list_(pa.int64())), pa.array(brief, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_packed(s) if len(s) <= CARRIED else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size", "carried"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "sketch", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, fp long, bands array<long>, sketch binary, size long, carried binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, node binary, fp long, bands array<long>, sketch binary, size long")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -189,39 +189,49 @@ def open_bands(held: DataFrame, found: DataFrame) -> DataFrame:
     return settle(join_hot(rooted, mixed, "band", "members", mixed.agg(F.sum("members")).first()[0] or 0), "open-bands")
 
 
-def across(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of a band value that are in different components and may be similar enough."""
-    brief = nodes.select("node", "sketch", "size", "carried")
+def across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, sure) of nodes of a band value that are in different components and similar enough, or, if not sure, may be.
+
+    Sure pairs of a task are as many as join what they join."""
+    short = F.when(F.length("shingles") <= 6 * CARRIED, F.col("shingles"))
+    brief = nodes.select("node", "sketch", "size").join(sets.select("node", short.alias("carried")).hint("merge"), "node", "left")
     rows = open_.join(brief.hint("merge"), "node").withColumn("root", F.xxhash64("root"))
     keys = ["band", "i", "j"]
 
     def compare(batches):
         for t in whole_groups(batches, keys, AT_ONCE):
             begin = np.append(np.append(0, np.flatnonzero(changes(t, keys)) + 1), t.num_rows)
-            side, root, size = (np.asarray(t.column(c)) for c in ("side", "root", "size"))
+            side, root, size = (np.array(t.column(c)) for c in ("side", "root", "size"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             carried = [_set(v) if v.is_valid else () for v in t.column("carried")]
-            left, right = [], []
+            left, right, sure = [], [], []
             for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 second = lo + int(np.searchsorted(side[lo:hi], 1))
                 for x in range(lo, second):
                     y = np.arange(second if second < hi else x + 1, hi)
                     small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
                     y = y[(root[y] != root[x]) & (small >= similarity * large - 1e-9)]
-                    if len(y):
-                        y = y[(sketch[y] == sketch[x]).sum(1) >= least]
-                        if len(own := carried[x]):
-                            y = np.array([j for j in y.tolist() if not len(carried[j]) or _alike(own, carried[j], similarity)], np.int64)
-                        left.append(np.full(len(y), x))
-                        right.append(y)
+                    if not len(y):
+                        continue
+                    for j in y[(sketch[y] == sketch[x]).sum(1) >= least].tolist():
+                        if root[j] == root[x]:
+                            continue
+                        both = len(carried[x]) > 0 and len(carried[j]) > 0
+                        if both and not _alike(carried[x], carried[j], similarity):
+                            continue
+                        left.append(x)
+                        right.append(j)
+                        sure.append(both)
+                        if both:
+                            root[root == root[j]] = root[x]
             if left:
                 node = t.column("node")
-                pairs = [node.take(pa.array(np.concatenate(k))).combine_chunks() for k in (left, right)]
-                yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
+                pairs = [node.take(pa.array(k, pa.int64())).combine_chunks() for k in (left, right)]
+                yield pa.RecordBatch.from_arrays([*pairs, pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     least = LEAST_AGREE / SIMILARITY * similarity * BANDS * ROWS
-    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a binary, b binary")
-    return near.select(*_pairs("a", "b")).distinct()
+    near = chunk_pairs(rows, ["band"], "members", F.col("node"), CHUNK, ["node"]).mapInArrow(compare, "a binary, b binary, sure boolean")
+    return near.select(*_pairs("a", "b"), "sure").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
@@ -233,7 +243,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     ignored; an empty table gives no rows."""
     sketched = settle(sketches(docs, words), "sketches")
     of_node = [F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")]
-    nodes = settle(sketched.groupBy("node").agg(*of_node, *[F.any_value(c).alias(c) for c in ("bands", "sketch", "size", "carried")]), "nodes")
+    nodes = settle(sketched.groupBy("node").agg(*of_node, *[F.any_value(c).alias(c) for c in ("bands", "sketch", "size")]), "nodes")
     filed = nodes.select(F.explode("bands").alias("band"), "node")
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     held = settle(filed.join(shared.hint("merge"), "band"), "bands")
@@ -263,8 +273,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     found = components(as_edges(found).unionByName(verified(second, sets, similarity)))
 
     now = open_bands(held, found)
-    third = across(now, nodes, similarity).join(second.unionByName(first).hint("merge"), ["a", "b"], "left_anti")
-    found = components(as_edges(found).unionByName(verified(third, sets, similarity)))
+    third = settle(across(now, nodes, sets, similarity), "pairs")
+    open_ = third.filter("NOT sure").select("a", "b").join(second.unionByName(first).hint("merge"), ["a", "b"], "left_anti")
+    found = components(as_edges(found).unionByName(third.filter("sure").select("a", "b")).unionByName(verified(open_, sets, similarity)))
 
     classes = settle(named_classes(nodes.select("node", "first", "n"), found, "node"), "classes")
     return join_hot(sketched.select("doc_id", "node"), classes, "node", "n", sketched.count()).select("doc_id", "component_id")

@@ -104,9 +104,17 @@ def wide_table(records: DataFrame, row: str, column: str, columns: list, value:
     return records.groupBy(row).pivot(column, columns).agg(r6(F.first(value, ignorenulls=True)))
 
 
-def markdown(table: DataFrame) -> DataFrame:
-    """Each row as a line of a Markdown table; null shows as a dash."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in table.columns]
+def wide_fields(records: DataFrame, row: str, column: str, columns: list, fields: list[str], final: str | None = None) -> DataFrame:
+    """One row per ``row`` with a column ``field_value`` for each field and ``column`` value; only rows whose ``final`` is null count, if that is given."""
+    own = records.filter(F.col(final).isNull()) if final else records
+    of = lambda f, v: F.first(F.when(F.col(column) == v, F.col(f)), ignorenulls=True).alias(f"{f}_{v}")
+    return own.groupBy(row).agg(*[of(f, v) for f in fields for v in columns])
+
+
+def markdown(table: DataFrame, places: int = 4) -> DataFrame:
+    """Each row as a line of a Markdown table, numbers with so many places; null shows as a dash."""
+    shown = lambda c, t: F.format_string(f"%.{places}f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string")
+    cells = [F.when(F.col(c).isNull(), "-").otherwise(shown(c, t)) for c, t in table.dtypes]
     return table.select(F.col(table.columns[0]).alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
@@ -138,11 +146,14 @@ def merge_intervals(old: DataFrame, new: DataFrame, key: str = "key") -> DataFra
     return o.join(m, key, "full").select(key, "label", r6(F.coalesce("nl", "ol")).alias("low"), r6(F.coalesce("nh", "oh")).alias("high"))
 
 
-def drop_interval(a, b) -> tuple:
-    """Conservative interval of a difference: half widths add up.  Columns (low, high) each."""
-    mid = (a[0] + a[1]) / 2 - (b[0] + b[1]) / 2
-    half = (a[1] - a[0]) / 2 + (b[1] - b[0]) / 2
-    return r6(mid - half), r6(mid + half)
+def drop_intervals(intervals: DataFrame, by: list[str], kind: str, first: str, second: str) -> DataFrame:
+    """by, drop, low, high: value of kind ``first`` less that of ``second``, with a conservative interval, as half widths add up.
+
+    ``intervals``: by, kind, value, low, high.  Rows that lack one of the kinds are left out."""
+    of = lambda k, c: F.max(F.when(F.col(kind) == k, F.col(c)))
+    half = lambda k: (of(k, "high") - of(k, "low")) / 2
+    out = intervals.groupBy(*by).agg((of(first, "value") - of(second, "value")).alias("drop"), (half(first) + half(second)).alias("half")).filter("drop IS NOT NULL AND half IS NOT NULL")
+    return out.select(*by, r6("drop").alias("drop"), r6(F.col("drop") - F.col("half")).alias("low"), r6(F.col("drop") + F.col("half")).alias("high"))
 
 
 def latest_run(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -150,6 +161,33 @@ def latest_run(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.max_by("path", "name").alias("path"), F.max("name").alias("name"))
 
 
+#: Which checkpoint of a run with several is taken: the first by key, or that which changes perplexity least.
+SELECT = ("first", "best_ppl")
+
+
+def latest_checkpoint(checkpoints: DataFrame, by: list[str], select: str = "first", key: str | None = None) -> DataFrame:
+    """by, name, key, path: a checkpoint of the run with the last name.
+
+    ``checkpoints``: by, name, key (null: the run's only one), path, delta (change of
+    perplexity, may be null).  A checkpoint without a key is taken if there is one, else the
+    named ``key``, else by ``select``; a run without the key, or without any delta for ``best_ppl``,
+    has a null path."""
+    if select not in SELECT:
+        raise ValueError(f"select is one of {SELECT}")
+    last = checkpoints.groupBy(*by).agg(F.max("name").alias("name"))
+    own = checkpoints.join(last, [*by, "name"])
+    one = F.struct("key", "path")
+    if key is not None:
+        best = F.max(F.when(F.col("key") == key, one))
+    elif select == "first":
+        best = F.min_by(F.when(F.col("key").isNotNull(), one), F.col("key"))
+    else:
+        best = F.min(F.when(F.col("key").isNotNull() & F.col("delta").isNotNull(), F.struct(F.abs("delta").alias("size"), "key", "path")))
+    chosen = own.groupBy(*by, "name").agg(F.max(F.when(F.col("key").isNull(), one)).alias("single"), best.alias("best"))
+    pick = lambda c: F.when(F.col("single").isNotNull(), F.col(f"single.{c}")).otherwise(F.col(f"best.{c}"))
+    return chosen.select(*by, "name", pick("key").alias("key"), pick("path").alias("path"))
+
+
 def gate_cells(cells: DataFrame, gates: dict) -> DataFrame:
     """cell, passed, reasons: every gate (name: condition) that does not hold is named."""
     failed = F.concat_ws("; ", *[F.when(~F.coalesce(test, F.lit(False)), name) for name, test in gates.items()])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.draws import u01
 from corpuslens.functions.vectors import cosine, minus, norm, scaled
 from corpuslens.operators import metrics as M
-from corpuslens.operators.vectors import mean_vector, project
+from corpuslens.operators.vectors import gram_rows, mean_vector, project
 
 #: Largest dictionary that is broadcast, in numbers.
 MAX_NUMBERS = 1 << 28
@@ -154,10 +154,58 @@ def feature_alignment(dictionary: DataFrame, d: DataFrame) -> DataFrame:
     return dictionary.crossJoin(F.broadcast(d.select("d"))).select("feature_id", cosine(F.col("w"), F.col("d")).alias("cos"))
 
 
-def feature_sufficiency(basis: np.ndarray, features: np.ndarray) -> float:
-    """Share of an orthonormal basis (rows) that lies in the span of the feature rows."""
-    q = np.linalg.qr(features.T)[0]
-    return float(np.linalg.norm(q.T @ basis.T) ** 2 / len(basis))
+#: Added to the diagonal of a Gram matrix of features; feature subsets drawn at once.
+RIDGE, DRAWS_AT_ONCE = 1e-8, 50
+
+
+def feature_sufficiency(basis: np.ndarray, features: np.ndarray) -> np.ndarray | float:
+    """Share of an orthonormal basis (rows) that lies in the span of the feature rows; sets of equal size (one axis more) at once.
+
+    From the Gram matrix of the features with a ridge, by Cholesky factors: features may be
+    dependent, or more than there are dimensions."""
+    gram = features @ np.swapaxes(features, -1, -2) + RIDGE * np.eye(features.shape[-2])
+    along = features @ basis.T
+    half = np.linalg.solve(np.linalg.cholesky(gram), along)
+    share = (half**2).sum((-1, -2)) / len(basis)
+    return float(share) if features.ndim == 2 else share
+
+
+def sufficiency_of_all(dictionary: DataFrame, basis: np.ndarray) -> float:
+    """The same for a whole dictionary (column w), from the sums of outer products of its rows: d x d numbers reach the driver."""
+    rows = gram_rows(dictionary.select("w"), [], "w").filter("i >= 0").orderBy("i").collect()
+    gram = np.array([r["row"] for r in rows])
+    return float(np.trace(basis @ gram @ np.linalg.solve(gram + RIDGE * np.eye(len(gram)), basis.T)) / len(basis))
+
+
+def sufficiency_null(spark, basis: np.ndarray, features: np.ndarray, sizes: list[int], n_random: int, seed: int) -> DataFrame:
+    """size, draw, value: sufficiency of drawn feature subsets of each size, many at once in each task.
+
+    Draw i of a size depends on seed, size and i only.  Sizes above the number of features are left out."""
+    sizes = sorted({s for s in sizes if s <= len(features)})
+    shared = spark.sparkContext.broadcast((basis, features))  # a dictionary that the caller has checked
+    at_once = max(1, min(DRAWS_AT_ONCE, n_random))
+    blocks = -(-n_random // at_once)
+
+    def run(batches):
+        s, w = shared.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                size, first = sizes[i // blocks], i % blocks * at_once
+                draws = range(first, min(first + at_once, n_random))
+                pick = np.stack([np.random.Generator(np.random.Philox(key=[seed, size << 32 | k])).permutation(len(w))[:size] for k in draws])
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(pick), pa.int32()), pa.array(draws, pa.int64()), pa.array(feature_sufficiency(s, w[pick]))], ["size", "draw", "value"])
+
+    tasks = len(sizes) * blocks
+    return spark.range(tasks).repartition(max(1, min(tasks, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "size int, draw long, value double")
+
+
+def null_table(null: DataFrame, observed: DataFrame) -> DataFrame:
+    """Per size: mean, population std, percentiles, extremes, and the observed value (size, observed) with its percentile rank."""
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    joined = null.join(F.broadcast(observed), "size", "left")  # a row for each size
+    rank = 100.0 * F.avg((F.col("value") <= F.col("observed")).cast("int"))
+    out = joined.groupBy("size").agg(F.count(F.lit(1)).alias("n_random"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.max("observed").alias("observed"), rank.alias("percentile_rank"))
+    return out.select("size", "n_random", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "lowest", "highest", "observed", "percentile_rank")
 
 
 # -- ablation ---------------------------------------------------------------------------
@@ -189,6 +237,33 @@ def ranked(scores: DataFrame, column: str) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round(column, 9)), "feature_id")))
 
 
+#: Least drop of the reconstruction's AUROC, and most change of the probe's, for features to carry the direction alone.
+EXTRACTION_DROP, PROBE_CHANGE = 0.05, 0.02
+
+
+def selection_grid(codes: DataFrame, base: DataFrame, weights: DataFrame, ranked_: DataFrame, depths: list[int], probe) -> DataFrame:
+    """criterion, k, recon_auroc, extraction_drop, probe_auroc, probe_delta, passes_extraction, preserves_probe, verdict.
+
+    ``ranked_``: criterion, feature_id, place.  ``probe`` gives the AUROCs of fresh probes on
+    codes without the features of each of some named lists: of none, and of each cell's.  The verdict, at the deepest k of a criterion only: whether the AUROC of the reconstruction
+    drops by EXTRACTION_DROP at least and the probe's changes by PROBE_CHANGE at most."""
+    spark = codes.sparkSession
+    cells = ranked_.withColumn("k", F.explode(F.array(*map(F.lit, depths)))).filter(F.col("place") <= F.col("k")).select("criterion", "k", "feature_id")
+    area = M.auroc(ablated_scores(codes, base, weights, cells, ["criterion", "k"]).withColumn("value", F.round("recon", 9)), ["criterion", "k"])
+    whole = M.auroc(base.withColumn("value", F.round("k_recon", 9)).select("label", "value")).first()["auroc"]
+    names = cells.groupBy("criterion", "k").agg(F.sort_array(F.collect_list("feature_id")).alias("ids")).collect()  # a row for each cell, k ids each
+    found = probe({"all": []} | {f"{r['criterion']}-{r['k']}": r["ids"] for r in names})
+    before = found["all"]
+    probes = spark.createDataFrame([(r["criterion"], r["k"], float(found[f"{r['criterion']}-{r['k']}"])) for r in names], "criterion string, k int, probe_auroc double")
+    deep = spark.createDataFrame([(c, max(r["k"] for r in names if r["criterion"] == c)) for c in {r["criterion"] for r in names}], "criterion string, last int")
+    out = area.join(F.broadcast(probes), ["criterion", "k"]).join(F.broadcast(deep), "criterion").withColumn("extraction_drop", whole - F.col("auroc")).withColumn("probe_delta", F.col("probe_auroc") - before)
+    good, kept = F.round("extraction_drop", 9) >= EXTRACTION_DROP, F.round(F.abs("probe_delta"), 9) <= PROBE_CHANGE
+    return out.select(
+        "criterion", "k", F.col("auroc").alias("recon_auroc"), "extraction_drop", "probe_auroc", "probe_delta",
+        good.alias("passes_extraction"), kept.alias("preserves_probe"), F.when(F.col("k") == F.col("last"), good & kept).alias("verdict"),
+    )
+
+
 def ablated_scores(codes: DataFrame, base: DataFrame, weights: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
     """Direction scores of reconstruction and residual after features are removed, by linearity.
 

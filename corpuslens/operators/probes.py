@@ -1,6 +1,7 @@
 """Out-of-fold classifiers: probes on vectors and codes, and confound checks on texts.
 
-Every fit is Spark ML on a DataFrame; feature steps are fitted on the training folds only.
+Probes on vectors and codes are fitted together by ``irls``; other fits are Spark ML on a
+DataFrame.  Feature steps are fitted on the training folds only.
 """
 
 from __future__ import annotations
@@ -12,21 +13,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import terms_of, u01, words_of
 from corpuslens.functions.vectors import dot
+from corpuslens.operators import irls
 from corpuslens.operators import metrics as M
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import stratified_folds
-from corpuslens.operators.textfeat import grams
+from corpuslens.operators.ordered import numbered
+from corpuslens.operators.textfeat import grams, ngram_counts, tfidf, vocabulary
 from corpuslens.sources.scratch import settled
 
 
@@ -52,37 +55,17 @@ class SmoothIdf(Estimator):
         return ElementwiseProduct(inputCol=own, outputCol=out, scalingVec=DenseVector(idf + 1.0))
 
 
-class Sublinear(Transformer):
-    """1 + ln of the counts of a sparse vector; vectors of ML reach Python row by row only."""
-
-    def __init__(self, inputCol: str, outputCol: str):
-        super().__init__()
-        self.columns = inputCol, outputCol
-
-    def _transform(self, dataset):
-        own, out = self.columns
-        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
-        return dataset.withColumn(out, damped(own))
-
-
 def scores_of(model, test: DataFrame, keep: list[str]) -> DataFrame:
     """keep, value: the fitted model's score for class 1."""
     column = "rawPrediction" if "rawPrediction" in model.transform(test.limit(0)).columns else "probability"
     return model.transform(test).select(*keep, F.round(vector_to_array(column)[1], 9).alias("value"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Rows of a fit, computed once; Spark drops the blocks when the table is no longer used."""
-    from pyspark import StorageLevel
-
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def out_of_fold(df: DataFrame, stages: list, k: int, seed: int) -> DataFrame:
     """doc_id, label, fold, value: each row scored by the model fitted on the other folds.
 
     The folds' fits are independent jobs, started side by side."""
-    dealt = _settled(stratified_folds(df, "label", k, seed))
+    dealt = settled(stratified_folds(df, "label", k, seed), "folds")
 
     @inheritable_thread_target(df.sparkSession)
     def fit(fold: int):
@@ -143,7 +126,7 @@ def length_audit(pool: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
 
 def train_test(train: DataFrame, test: DataFrame, stages: list) -> DataFrame:
     """AUROC on the test rows of a model fitted on the training rows."""
-    train, test = _settled(train), _settled(test)
+    train, test = settled(train, "train"), settled(test, "test")
     return M.oriented(M.auroc(scores_of(Pipeline(stages=stages).fit(train), test, ["doc_id", "label"])))
 
 
@@ -155,17 +138,46 @@ def bow_forest(train: DataFrame, test: DataFrame, trees: int = 500, depth: int =
     return train_test(text_terms(train, 1), text_terms(test, 1), stages)
 
 
-def tfidf_logistic(train: DataFrame, test: DataFrame) -> DataFrame:
-    stages = [CountVectorizer(inputCol="terms", outputCol="counts", minDF=0.02), Sublinear("counts", "damped"), SmoothIdf("damped", "weighted"), Normalizer(inputCol="weighted", outputCol="features"), logistic("features")]
-    return train_test(text_terms(train), text_terms(test), stages)
+def tfidf_logistic(train: DataFrame, test: DataFrame, min_df: float = 0.02) -> DataFrame:
+    """AUROC on the test texts of a logistic fit on sublinear TF-IDF of the training texts' vocabulary.
+
+    Weights are made from tables of grams, before they become vectors."""
+    own, other = (settled(ngram_counts(x), "grams") for x in (train, test))
+    n = train.count()
+    words = vocabulary(own, min_df, n_docs=n)
+    places = settled(numbered(words, ["gram"], "at"), "vocabulary")
+    size = max(1, places.count())
+    docs = train.sparkSession.createDataFrame([(n,)], "n long")
+
+    def vectors(counts: DataFrame, texts: DataFrame) -> DataFrame:
+        w = tfidf(counts, places, docs, sublinear=True).join(F.broadcast(places.select("gram", "at")), "gram")  # grams in one text of fifty at least
+        held = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), "w"))).alias("m"))
+        rows = texts.select("doc_id", "label").join(held, "doc_id", "left")
+        x = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+        return rows.select("doc_id", "label", array_to_vector(x).alias("features"))
+
+    return train_test(vectors(own, train), vectors(other, test), [logistic("features")])
 
 
 def vectors_of(acts: DataFrame, column: str = "h") -> DataFrame:
     return acts.select("doc_id", "label", array_to_vector(F.col(column)).alias("features"))
 
 
+def stream_rows(streams: dict[str, DataFrame], k: int, seeds: list[int]) -> DataFrame:
+    """Settled rows of named streams (doc_id, label, h each) with their folds, for irls."""
+    out = None
+    for name, own in streams.items():
+        part = own.select(F.lit(name).alias("stream"), "doc_id", "label", "h")
+        out = part if out is None else out.unionByName(part)
+    first = next(iter(streams.values())).select("doc_id", "label")
+    folds = irls.with_folds(first, k, seeds).select("doc_id", "folds")
+    return settled(out.join(folds, "doc_id"), "probe-rows")
+
+
 def linear_scores(acts: DataFrame, k: int = 5, seed: int = 0, column: str = "h", standardised: bool = True) -> DataFrame:
-    return out_of_fold(vectors_of(acts, column), scaled_logistic() if standardised else [logistic("features")], k, seed)
+    """doc_id, label, fold, value of every row by the probe fitted on the other folds."""
+    rows = stream_rows({column: acts.select("doc_id", "label", F.col(column).alias("h"))}, k, [seed])
+    return irls.out_of_fold(rows, [seed], irls.fit(rows, [seed], list(range(k)), standardised=standardised)).select("doc_id", "label", "fold", "value")
 
 
 def linear_probe(acts: DataFrame, k: int = 5, seed: int = 0, column: str = "h", standardised: bool = True) -> DataFrame:
@@ -194,18 +206,19 @@ def mlp_against_linear(acts: DataFrame, dim: int, hidden: int = 256, k: int = 5,
 def component_table(parts: DataFrame, d: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """stream (vector, reconstruction, residual, and each scaled to unit length): AUROC along d, a fresh probe's, and probe less direction.
 
-    That gap is the circularity gap: what a direction fitted on whole vectors misses of a stream."""
-    out = None
+    That gap is the circularity gap: what a direction fitted on whole vectors misses of a stream.
+    The probes of all streams are fitted together."""
+    streams = {}
     for column in ("h", "recon", "resid"):
-        for kind in ("raw", "l2"):
-            own = parts.select("doc_id", "label", F.col(column).alias("h"))
-            own = own if kind == "raw" else V.l2_normalised(own)
-            along = own.crossJoin(F.broadcast(d.select("d"))).select("label", F.round(V.project(F.col("h"), F.col("d")), 9).alias("value"))
-            direction = M.oriented(M.auroc(along)).select(F.col("auroc_bi").alias("direction_auroc"))
-            probe = linear_probe(own, k, seed).select(F.col("auroc_bi").alias("probe_auroc"), "fold_mean", "fold_std")
-            row = direction.crossJoin(probe).withColumn("stream", F.lit(column if kind == "raw" else f"{column}_l2"))
-            out = row if out is None else out.unionByName(row)
-    return out.withColumn("gap", F.col("probe_auroc") - F.col("direction_auroc"))
+        own = parts.select("doc_id", "label", F.col(column).alias("h"))
+        streams[column], streams[f"{column}_l2"] = own, V.l2_normalised(own)
+    rows = stream_rows(streams, k, [seed])
+    along = rows.crossJoin(F.broadcast(d.select("d"))).select("stream", "label", F.round(V.project(F.col("h"), F.col("d")), 9).alias("value"))  # one direction
+    direction = M.oriented(M.auroc(along, ["stream"])).select("stream", F.col("auroc_bi").alias("direction_auroc"))
+    scored = settled(irls.out_of_fold(rows, [seed], irls.fit(rows, [seed], list(range(k)))), "scores")
+    probe = M.oriented(M.auroc(scored, ["stream"])).select("stream", F.col("auroc_bi").alias("probe_auroc"))
+    folds = M.auroc(scored, ["stream", "fold"]).groupBy("stream").agg(F.avg("auroc").alias("fold_mean"), F.stddev_pop("auroc").alias("fold_std"))
+    return direction.join(probe, "stream").join(folds, "stream").withColumn("gap", F.col("probe_auroc") - F.col("direction_auroc"))
 
 
 def permutation_probe(acts: DataFrame, permutations: int, folds: int, seed: int, ridge: float = 1.0) -> DataFrame:
@@ -253,69 +266,53 @@ def permutation_probe(acts: DataFrame, permutations: int, folds: int, seed: int,
     return M.auroc(scored, ["m"]).select("m", "auroc")
 
 
-def code_vectors(codes: DataFrame, n_features: int, drop: list[int] = (), docs: DataFrame | None = None) -> DataFrame:
-    """Dense vectors of a document's codes, without the dropped features.
-
-    ``docs`` (doc_id, label): documents of which no code is left are zero vectors, else they are missing."""
-    kept = codes.filter(~F.col("feature_id").isin(list(drop))) if drop else codes
-    m = kept.groupBy("doc_id", "label").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("m"))
-    if docs is not None:
-        m = docs.select("doc_id", "label").join(m.drop("label"), "doc_id", "left")
+def code_arrays(codes: DataFrame, n_features: int, docs: DataFrame) -> DataFrame:
+    """doc_id, label, h: a document's codes as a dense array; documents (doc_id, label) without codes are zero."""
+    m = codes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("m"))  # at most n_features
     x = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return m.select("doc_id", "label", array_to_vector(x).alias("features"))
+    return docs.select("doc_id", "label").join(m, "doc_id", "left").select("doc_id", "label", x.alias("h"))
+
 
+def code_probes(codes: DataFrame, n_features: int, drops: dict[str, list[int]], docs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """stream, doc_id, label, fold, value: probes on codes without the features of each named list, all fitted together."""
+    dense = settled(code_arrays(codes, n_features, docs), "codes")
+    without = lambda ids: F.transform("h", lambda x, i: F.when(i.isin(ids), 0.0).otherwise(x)) if ids else F.col("h")
+    rows = stream_rows({n: dense.select("doc_id", "label", without(list(ids)).alias("h")) for n, ids in drops.items()}, k, [seed])
+    return settled(irls.out_of_fold(rows, [seed], irls.fit(rows, [seed], list(range(k)))), "scores").select("stream", "doc_id", "label", "fold", "value")
 
-def code_probe(codes: DataFrame, n_features: int, drop: list[int] = (), k: int = 3, seed: int = 0, docs: DataFrame | None = None) -> DataFrame:
-    return summary(out_of_fold(code_vectors(codes, n_features, drop, docs), scaled_logistic(), k, seed))
+
+def code_probe(codes: DataFrame, n_features: int, docs: DataFrame, drop: list[int] = (), k: int = 5, seed: int = 0) -> DataFrame:
+    return summary(code_probes(codes, n_features, {"codes": drop}, docs, k, seed))
 
 
 def rank_by_probe(codes: DataFrame, docs: DataFrame, n_features: int) -> DataFrame:
     """feature_id, score: absolute weight in a ridge probe on codes scaled to unit deviation (not centred)."""
-    rows = code_vectors(codes, n_features, docs=docs).cache()
+    rows = settled(code_arrays(codes, n_features, docs).select("label", array_to_vector("h").alias("features")), "codes")
     stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=False), logistic("scaled", 1.0, max(rows.count(), 1))]
     weights = Pipeline(stages=stages).fit(rows).stages[-1].coefficients.toArray()
-    rows.unpersist()
     return codes.sparkSession.createDataFrame([(i, abs(float(w))) for i, w in enumerate(weights)], "feature_id int, score double")  # one row a feature
 
 
-def fold_bank(acts: DataFrame, seeds: list[int], folds: int = 5) -> tuple[list[tuple[int, int, np.ndarray, float]], str]:
-    """One probe per seed and fold, fitted on the other folds: (seed, fold, weights, bias), and a digest of all weights.
+def fold_bank(acts: DataFrame, seeds: list[int], folds: int = 5) -> tuple[dict, str]:
+    """One probe per seed and fold, fitted on the other folds, all together: weights by (stream, seed, fold), and a digest of all weights.
 
     The bank is frozen: altered vectors are scored by the probe of their own fold."""
-    out = []
-    for s in seeds:
-        rows = _settled(stratified_folds(vectors_of(acts), "label", folds, s))
-        for f in range(folds):
-            scaler, model = Pipeline(stages=scaled_logistic()).fit(rows.filter(F.col("fold") != f)).stages
-            std = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
-            w = model.coefficients.toArray() / std
-            out.append((s, f, w, float(model.intercept - w @ scaler.mean.toArray())))
-        rows.unpersist()
-    digest = hashlib.sha256(b"".join(np.round(np.append(w, b), 12).tobytes() for *_, w, b in out)).hexdigest()
-    return out, digest
-
-
-def fold_scores(acts: DataFrame, bank: list, seeds: list[int], folds: int = 5, column: str = "h") -> DataFrame:
+    bank = irls.fit(stream_rows({"h": acts}, folds, seeds), seeds, list(range(folds)))
+    digest = hashlib.sha256(b"".join(np.round(bank[k] + 0.0, 9).tobytes() for k in sorted(bank))).hexdigest()
+    return bank, digest
+
+
+def fold_scores(acts: DataFrame, bank: dict, seeds: list[int], folds: int = 5) -> DataFrame:
     """doc_id, label, seed, fold, value of a frozen bank; the folds are those of the fit."""
-    spark = acts.sparkSession
-    table = F.broadcast(spark.createDataFrame([(s, f, w.tolist(), b) for s, f, w, b in bank], "seed int, fold int, w array<double>, b double"))  # seeds * folds rows
-    out = None
-    for s in seeds:
-        part = stratified_folds(acts.select("doc_id", "label", column), "label", folds, s).withColumn("seed", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out.join(table, ["seed", "fold"]).select("doc_id", "label", "seed", "fold", F.round(dot(F.col(column), F.col("w")) + F.col("b"), 9).alias("value"))
+    return irls.out_of_fold(stream_rows({"h": acts}, folds, seeds), seeds, bank).drop("stream")
 
 
 def probe_bank(acts: DataFrame, seeds: list[int]) -> list[tuple[int, np.ndarray, float]]:
     """One probe per seed, fitted on a drawn 70 %: (seed, weights, bias) for unscaled vectors."""
-    rows = _settled(vectors_of(acts))
-    out = []
-    for s in seeds:
-        scaler, model = Pipeline(stages=scaled_logistic()).fit(rows.filter(u01(F.lit(s), F.col("doc_id")) < 0.7)).stages
-        std = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
-        w = model.coefficients.toArray() / std
-        out.append((s, w, float(model.intercept - w @ scaler.mean.toArray())))
-    return out
+    drawn = [(u01(F.lit(s), F.col("doc_id")) >= 0.7).cast("int") for s in seeds]
+    rows = settled(acts.select(F.lit("h").alias("stream"), "doc_id", "label", "h", F.array(*drawn).alias("folds")), "probe-rows")
+    bank = irls.fit(rows, seeds, [1])
+    return [(s, bank["h", s, 1][:-1], float(bank["h", s, 1][-1])) for s in seeds]
 
 
 def bank_scores(acts: DataFrame, bank: list, column: str = "h") -> DataFrame:

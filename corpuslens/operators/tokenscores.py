@@ -106,17 +106,23 @@ def greedy_tokens(vocab_lp: DataFrame, by=("doc_id", "pos")) -> DataFrame:
 
 @F.pandas_udf(IntegerType())
 def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two arrays, row by row of the table."""
+    """Length of the longest common subsequence of two arrays, a whole row of the table at once.
+
+    Bit j of ``row`` is clear where the table's row steps up at column j; one addition on a whole
+    number of as many bits as the second array has items carries a step to the next match."""
 
     def one(x, y):
         if x is None or y is None or not len(x) or not len(y):
             return 0
-        y = np.asarray(y)
-        best = np.zeros(len(y) + 1, np.int32)
+        at: dict = {}
+        for j, v in enumerate(y):
+            at[v] = at.get(v, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        row = full
         for v in x:
-            step = np.where(y == v, best[:-1] + 1, 0)
-            best[1:] = np.maximum.accumulate(np.maximum(step, best[1:]))
-        return int(best[-1])
+            if hit := row & at.get(v, 0):
+                row = (row + hit | row - hit) & full
+        return len(y) - row.bit_count()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 

@@ -161,9 +161,12 @@ def direction_scores(acts: DataFrame, directions: np.ndarray, vector: str = "h")
     return acts.select("label", vector).mapInArrow(run, "direction int, label int, value double")
 
 
-def spaced_layers(n_layers: int, k: int) -> list[int]:
-    """``k`` layers evenly spaced from the first to the last, each once."""
-    return sorted({int(x) for x in np.linspace(0, n_layers - 1, k).round()}) if n_layers and k else []
+def spaced_layers(n_layers: int, about: int = 9, also: int | None = None) -> list[int]:
+    """The first, every (n / about)-th and the last layer, and one more that is wanted in any case."""
+    if n_layers < 1:
+        return []
+    found = {0, *range(0, n_layers, max(1, n_layers // about)), n_layers - 1}
+    return sorted(found if also is None else found | {also})
 
 
 def layer_angles(bases: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,7 @@ from corpuslens.operators import corpus as C
 from corpuslens.operators import textfeat as X
 from corpuslens.plans.base import acts, layers, pool, query, scratch, table, tokens, u
 from corpuslens.sources import texts as S
+from corpuslens.sources.trees import tree_scan
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 KEY = rf"substr(regexp_replace({STRIP}, '\s+', ' ', 'g'), 1, 4096)"
@@ -89,6 +90,26 @@ def a7(spark, d):
     return S.pattern_scan(table(spark, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("body")), PATTERNS)
 
 
+EXTENSIONS, VENDOR = ["txt"], "area=vendor"
+
+
+@query(
+    "a7_tree_scan",
+    "WITH f AS (SELECT page_id // 50 AS folder, string_agg(coalesce(html, ''), chr(10) ORDER BY page_id) AS body FROM pages WHERE page_id % 5 <> 0 GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT * FROM (SELECT 'area=site/folder=' || folder AS place, '{n}' AS label, regexp_extract(body, '{p}') AS match FROM f) WHERE match <> ''" for n, p in PATTERNS.items()),
+)
+def a7t(spark, d):
+    """Pages written as a tree of text files, one folder excluded and one extension left out, and scanned."""
+    root = scratch(spark, "tree")
+    area = F.when(F.col("page_id") % 5 == 0, "vendor").otherwise("site").alias("area")
+    pages = table(spark, d, "pages").select(area, F.floor(F.col("page_id") / 50).alias("folder"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    dealt = pages.repartition("area", "folder").sortWithinPartitions("area", "folder", "page_id").drop("page_id")
+    dealt.write.partitionBy("area", "folder").text(root)
+    dealt.select("area", "folder", F.col("value").alias("other")).write.mode("append").partitionBy("area", "folder").json(root)
+    found = tree_scan(spark, root, PATTERNS, EXTENSIONS, [VENDOR])
+    return found.select(F.regexp_extract("path", r"(area=\w+/folder=\d+)/[^/]+$", 1).alias("place"), "label", "match")
+
+
 @query("b1_clean_texts", f"SELECT doc_id, md5(substr({STRIP}, 1, 500)) AS h FROM documents WHERE length({STRIP}) >= 20")
 def b1(spark, d):
     return C.clean_texts(table(spark, d, "documents").select("doc_id", "text"), 20, 500).select("doc_id", F.md5("text").alias("h"))
@@ -306,6 +327,16 @@ def c4(spark, d):
     return X.vocabulary(X.ngram_counts(pool(spark, d)), 3, 2000)
 
 
+STOPPED = f"list_filter({TERMS}, lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOP_WORDS)}))"
+
+
+@query("c4_vocabulary_stopped", f"WITH {GRAMS.replace(TERMS, STOPPED).replace('HAVING count(*) >= 3', 'HAVING count(*) >= 0.02 * (SELECT count(*) FROM pool_t)').replace('LIMIT 2000', 'LIMIT 500')} SELECT * FROM v")
+def c4s(spark, d):
+    """Without function words, grams in at least one text in fifty, the 500 most frequent."""
+    p = pool(spark, d)
+    return X.vocabulary(X.ngram_counts(p, stop_words=X.STOP_WORDS), 0.02, 500, p.count())
+
+
 @query(
     "c5_tfidf",
     f"""WITH {GRAMS}, r AS (SELECT doc_id, gram, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS raw FROM g JOIN v USING (gram), (SELECT count(*) AS n FROM pool_t))

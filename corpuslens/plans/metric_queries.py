@@ -534,6 +534,22 @@ def k9(spark, d):
     return K.wide_table(records(spark, d).filter("metric = 'chars'"), "model", "seed", [0, 1, 2, 3], "value")
 
 
+K9_FIELDS = ("chars", "quality")
+K9_CELL = "CASE WHEN {c} IS NULL THEN '-' ELSE printf('%.4f', {c}) END"
+
+
+@query(
+    "k9_markdown",
+    "WITH w AS (SELECT model, " + ", ".join(f"max(value) FILTER (metric = '{f}' AND seed = {i}) AS {f}_{i}" for f in K9_FIELDS for i in (0, 2, 4)) + " FROM rec_t WHERE seed % 2 = 0 GROUP BY model) SELECT model AS key, '| ' || model || "
+    + " || ".join(f"' | ' || {K9_CELL.format(c=f'{f}_{i}')}" for f in K9_FIELDS for i in (0, 2, 4)) + " || ' |' AS line FROM w",
+)
+def k9m(spark, d):
+    """Two fields of each model by seed as lines of a table; records of an unfinished epoch (odd seeds) are left out."""
+    r = records(spark, d).groupBy("model", "seed").pivot("metric", list(K9_FIELDS)).agg(F.first("value", ignorenulls=True))
+    r = r.withColumn("epoch", F.when(F.col("seed") % 2 == 1, F.col("seed")))
+    return K.markdown(K.wide_fields(r, "model", "seed", [0, 2, 4], list(K9_FIELDS), "epoch"))
+
+
 CTE["claims_t"] = "SELECT model || '/' || metric AS path, model || '/' || metric AS label, round(mean, 3) + CASE WHEN model = 'fr' THEN 0.01 ELSE 0 END AS expected FROM sum_t UNION ALL SELECT 'none/none', 'none/none', 1.0"
 CHECK = "SELECT label, round(mean, 6) AS actual, round(abs(mean - expected), 6) AS diff, CASE WHEN round(abs(mean - expected), 9) <= 0.002 THEN 'PASS' ELSE 'FAIL' END AS status FROM claims_t LEFT JOIN sum_t ON path = model || '/' || metric"
 
@@ -581,6 +597,17 @@ def k12(spark, d):
     return K.merge_intervals(old, new)
 
 
+@query(
+    "k12_drop_intervals",
+    """SELECT model, round(a.mean - b.mean, 6) AS drop, round(a.mean - b.mean - (a.highest - a.lowest) / 2 - (b.highest - b.lowest) / 2, 6) AS low, round(a.mean - b.mean + (a.highest - a.lowest) / 2 + (b.highest - b.lowest) / 2, 6) AS high
+    FROM (SELECT * FROM sum_t WHERE metric = 'chars') a JOIN (SELECT * FROM sum_t WHERE metric = 'toxic') b USING (model)""",
+)
+def k12d(spark, d):
+    """The difference of two metrics of each model, with the interval by which half widths add up."""
+    s = K.seed_summary(records(spark, d), _roster(spark, d)).select("model", "metric", F.col("mean").alias("value"), F.col("lowest").alias("low"), F.col("highest").alias("high"))
+    return K.drop_intervals(s, ["model"], "metric", "chars", "toxic")
+
+
 @query(
     "k13_model_table",
     "SELECT model, arg_max(metric, mean) AS top_metric, round(max(mean), 6) AS top_mean, min(n) < 6 AS provisional, n_docs FROM sum_t JOIN (SELECT lang AS model, count(*) AS n_docs FROM documents GROUP BY lang) USING (model) GROUP BY model, n_docs",
@@ -591,6 +618,27 @@ def k13(spark, d):
     return own.join(table(spark, d, "documents").groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("n_docs")), "model")
 
 
+CHECKPOINTS = """SELECT lang, lpad(CAST(n_chars // 500 AS VARCHAR), 6, '0') AS name, CASE WHEN NOT (lang = 'fr' AND doc_id % 2 = 0) THEN source || '-' || doc_id END AS key, doc_id AS path, CASE WHEN doc_id % 5 <> 0 THEN (doc_id * 37 % 101 - 50) / 10.0 END AS delta FROM documents"""
+
+
+@query(
+    "k14_latest_checkpoint",
+    f"""WITH c AS ({CHECKPOINTS}), l AS (SELECT * FROM c JOIN (SELECT lang, max(name) AS name FROM c GROUP BY lang) USING (lang, name)),
+    s AS (SELECT lang, name, max(path) FILTER (key IS NULL) AS single, arg_min(path, key) FILTER (key IS NOT NULL) AS first, (SELECT path FROM l b WHERE b.lang = l.lang AND key IS NOT NULL AND delta IS NOT NULL ORDER BY abs(delta), key LIMIT 1) AS best FROM l GROUP BY lang, name)
+    SELECT lang, name, kind, CASE WHEN single IS NOT NULL THEN single WHEN kind = 'first' THEN first ELSE best END AS path FROM s, (SELECT unnest(['first', 'best_ppl']) AS kind)""",
+)
+def k14c(spark, d):
+    """The first and the best checkpoint of the last run of each model."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(
+        "lang", F.lpad(F.floor(F.col("n_chars") / 500).cast("string"), 6, "0").alias("name"), F.col("doc_id").alias("path"),
+        F.when(~((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0)), F.concat_ws("-", "source", F.col("doc_id").cast("string"))).alias("key"),
+        F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") * 37 % 101 - 50) / 10.0).alias("delta"),
+    )
+    both = [K.latest_checkpoint(rows, ["lang"], s).withColumn("kind", F.lit(s)) for s in K.SELECT]
+    return both[0].unionByName(both[1]).select("lang", "name", "kind", "path")
+
+
 @query("k14_latest_run", "SELECT lang, source, arg_max(doc_id, lpad(CAST(n_chars AS VARCHAR), 8, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS path, max(lpad(CAST(n_chars AS VARCHAR), 8, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS name FROM documents GROUP BY ALL")
 def k14(spark, d):
     runs = table(spark, d, "documents").select("lang", "source", F.col("doc_id").alias("path"), F.concat_ws("-", F.lpad(F.col("n_chars").cast("string"), 8, "0"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("name"))

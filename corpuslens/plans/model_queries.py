@@ -17,7 +17,8 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import probes as P
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
-from corpuslens.plans.base import acts, pool, query, scratch, settled, table
+from corpuslens.operators.ordered import numbered
+from corpuslens.plans.base import CTE, acts, dictionary, pool, query, scratch, settled, table
 from corpuslens.plans.corpus_queries import KEY, STRIP
 from corpuslens.plans.metric_queries import _pairs
 from corpuslens.plans.vector_queries import TOP, _dict, _token_codes
@@ -87,8 +88,8 @@ def h4(spark, d):
     codes = D.encode(a, w)
     n = a.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     top = [r[0] for r in D.ranked(D.feature_label_corr(codes, n), "r").filter("place <= 16").select("feature_id").collect()]  # 16 ids
-    before = _card(P.code_probe(codes, len(w.ids), k=5, docs=a)).withColumn("dropped", F.lit(0))
-    return before.unionByName(_card(P.code_probe(codes, len(w.ids), top, k=5, docs=a)).withColumn("dropped", F.lit(len(top))))
+    before = _card(P.code_probe(codes, len(w.ids), a)).withColumn("dropped", F.lit(0))
+    return before.unionByName(_card(P.code_probe(codes, len(w.ids), a, top)).withColumn("dropped", F.lit(len(top))))
 
 
 @query("h5_probe_components")
@@ -108,30 +109,15 @@ def g6(spark, d):
 
 @query("g8_random_subsets")
 def g8(spark, d):
-    """Sufficiency of random feature subsets, replicates dealt over tasks with dictionary and basis broadcast."""
+    """Sufficiency of the features that follow d_K, against 1,000 random subsets of as many, of 50 and of 100."""
     a, w = _dict(spark, d)
     basis = np.array([v for _, _, v in V.contrastive_pca(a, 10)])
-    shared = spark.sparkContext.broadcast((basis, w.dec))
-
-    def run(batches):
-        s, dec = shared.value
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                size = (8, 16, 32)[int(i) % 3]
-                pick = np.random.Generator(np.random.Philox(int(i))).choice(len(dec), size, replace=False)
-                out.append((size, D.feature_sufficiency(s, dec[pick])))
-            yield pd.DataFrame(out, columns=["size", "value"])
-
-    # the features that follow d_K most, against 1,000 random subsets of each size
     dk = np.array(V.mean_diff(a).first()["d"])
-    order = np.argsort(-np.abs(w.dec @ dk) / np.linalg.norm(w.dec, axis=1), kind="stable")
-    seen = spark.createDataFrame([(k, D.feature_sufficiency(basis, w.dec[order[:k]])) for k in (8, 16, 32)], "size int, observed double")  # three rows
-    null = spark.range(3000).repartition(8).mapInPandas(run, "size int, value double").join(F.broadcast(seen), "size")
-    return null.groupBy("size").agg(
-        r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), r6(F.max("value")).alias("highest"), F.count(F.lit(1)).alias("n"),
-        r6(F.max("observed")).alias("observed"), F.count_if(F.col("value") >= F.col("observed")).alias("n_at_least"), r6((F.count_if(F.col("value") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p_value"),
-    )
+    along = np.abs(w.dec @ dk) / np.linalg.norm(w.dec, axis=1)
+    chosen = np.flatnonzero(along > 2 * along.mean())
+    seen = spark.createDataFrame([(len(chosen), D.feature_sufficiency(basis, w.dec[chosen]))], "size int, observed double")
+    out = D.null_table(D.sufficiency_null(spark, basis, w.dec, [len(chosen), 50, 100], 1000, 8), seen)
+    return out.select("size", "n_random", *[r6(c).alias(c) for c in out.columns[2:]])
 
 
 @query("i8_ablation_controls")
@@ -235,6 +221,67 @@ def l2(spark, d):
     return S.newest(spark, out).select("feature_id", "fires", F.round("total", 5).alias("total"), F.round("total_sq", 5).alias("total_sq"), r6("largest").alias("largest"))
 
 
+LATE = "SELECT doc_id % 5 AS step, doc_id * 37 % 1000 AS minute FROM documents"
+
+
+@query(
+    "l1_late_rows",
+    f"""WITH f AS ({LATE}), w AS (SELECT step, max(max(minute)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 200 AS mark FROM f GROUP BY step)
+    SELECT count(*) AS n_read, count(*) FILTER (minute <= mark) AS n_late FROM f JOIN w USING (step)""",
+)
+def l1l(spark, d):
+    """Files of texts with time stamps in no order: how many rows came later than the watermark of 200 minutes.
+
+    Spark raises the watermark after a batch, and holds the next batch's rows against the one before."""
+    src, out = scratch(spark, "stamped-in"), scratch(spark, "stamped-out")
+    minute = (F.col("doc_id") * 37 % 1000).cast("double")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.timestamp_seconds(1_700_000_000 + 60 * minute).alias("stamp"), (F.col("doc_id") % 5).alias("step"))
+    docs.repartition("step").write.partitionBy("step").parquet(src)
+    S.arrived_in_order(spark, src)
+    query_ = S.timed_corpus_stream(spark, src, out, scratch(spark, "stamped-state"), "200 minutes")
+    query_.awaitTermination()
+    return docs.agg(F.count(F.lit(1)).alias("n_read")).withColumn("n_late", F.lit(S.late_rows(query_)).cast("long"))
+
+
+#: Tokens of a step, the budget, steps of a window, and the rate below which a feature is dead.
+STEP, BUDGET, EVERY, DEAD = 24, 100, 2, 0.05
+CTE["step_t"] = f"SELECT doc_id, CAST(sum(1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) // {STEP} AS step FROM acts_t"
+CTE["taken_t"] = f"SELECT doc_id, step FROM step_t WHERE step < {-(-BUDGET // STEP)}"
+
+
+def _budgeted(spark, d):
+    """The stream of vectors in steps, run to its budget: where its tables are."""
+    a, w = _dict(spark, d)
+    src, out = scratch(spark, "steps-in"), scratch(spark, "steps-out")
+    placed = numbered(a.select("doc_id"), ["doc_id"])
+    codes = D.encode(a, w).groupBy("doc_id").agg(F.collect_list(F.struct("feature_id", "z")).alias("codes"))  # at most the model's features
+    rows = placed.join(codes, "doc_id", "left").select(F.col("doc_id").alias("token"), "codes", F.floor(F.col("place") / STEP).alias("step"))
+    rows.repartition("step").write.partitionBy("step").parquet(src)
+    S.arrived_in_order(spark, src)
+    S.budgeted_health_stream(spark, src, out, scratch(spark, "steps-state"), BUDGET, EVERY).awaitTermination()
+    return {k: S.newest(spark, f"{out}/{k}") for k in ("sums", "windows", "steps")}
+
+
+@query("l2_health_budget", "SELECT feature_id, count(*) AS fires, round(sum(z), 5) AS total, round(sum(z * z), 5) AS total_sq, round(max(z), 6) AS largest, (SELECT count(*) FROM taken_t) AS n_tokens FROM codes_t JOIN taken_t USING (doc_id) GROUP BY feature_id")
+def l2b(spark, d):
+    """Sums of the steps until the budget of tokens is reached; later steps are not read."""
+    t = _budgeted(spark, d)
+    n = t["steps"].agg(F.sum("tokens").alias("n_tokens"))
+    out = t["sums"].crossJoin(F.broadcast(n))  # one row
+    return out.select("feature_id", "fires", F.round("total", 5).alias("total"), F.round("total_sq", 5).alias("total_sq"), r6("largest").alias("largest"), "n_tokens")
+
+
+@query(
+    "l2_dead_by_window",
+    f"""WITH s AS (SELECT step // {EVERY} AS w, count(*) AS tokens, count(DISTINCT step) AS n FROM taken_t GROUP BY 1), f AS (SELECT step // {EVERY} AS w, feature_id, count(*) AS fires FROM codes_t JOIN taken_t USING (doc_id) GROUP BY ALL)
+    SELECT s.w AS "window", tokens, count(*) FILTER (coalesce(fires, 0) / greatest(tokens, 1) < {DEAD}) AS n_dead FROM s CROSS JOIN dict_t LEFT JOIN f ON f.w = s.w AND f.feature_id = dict_t.feature_id WHERE n = {EVERY} GROUP BY s.w, tokens""",
+)
+def l2w(spark, d):
+    """Features that hardly fire in each window of two steps; counters begin anew with each."""
+    t = _budgeted(spark, d)
+    return S.dead_by_window(t["windows"], t["steps"], dictionary(spark, d), EVERY, DEAD)
+
+
 @query("l3_topk_stream", TOP)
 def l3(spark, d):
     src, out = scratch(spark, "codes"), scratch(spark, "contexts")

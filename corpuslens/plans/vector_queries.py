@@ -10,7 +10,7 @@ from corpuslens.functions.vectors import cosine, norm, scaled
 from corpuslens.operators import dictionary as D
 from corpuslens.operators import metrics as M
 from corpuslens.operators import vectors as V
-from corpuslens.plans.base import CTE, acts, dictionary, layers, query, table, u
+from corpuslens.plans.base import CTE, acts, dictionary, layers, query, settled, table, u
 
 DOT = "list_dot_product"
 
@@ -241,7 +241,8 @@ def e15m(spark, d):
 def e16(spark, d):
     a, w = _dict(spark, d)
     basis = np.array([v for _, _, v in V.contrastive_pca(a, 10)])
-    rows = [(n, round(D.feature_sufficiency(basis, w.dec[:n]), 6)) for n in (8, 16, 32)]
+    rows = [(n, round(D.feature_sufficiency(basis, w.dec[:n]), 6)) for n in (8, 16, 32, 50, 100)]
+    rows.append((len(w.ids), round(D.sufficiency_of_all(dictionary(spark, d), basis), 6)))  # more features than dimensions
     return spark.createDataFrame(rows, "n_features int, sufficiency double")
 
 
@@ -258,6 +259,27 @@ def e17(spark, d):
     return M.auroc(s, ["kind"]).select("kind", "n_pos", "n_neg", r6("auroc").alias("auroc"))
 
 
+N_LAYERS, DICTIONARY_LAYER, WIDTH = 40, 22, 16
+SPACED = V.spaced_layers(N_LAYERS, also=DICTIONARY_LAYER)
+
+
+@query(
+    "e18_spaced_layers",
+    f"""WITH l AS (SELECT DISTINCT unnest(list_concat([0, {N_LAYERS - 1}, {DICTIONARY_LAYER}], range(0, {N_LAYERS}, {max(1, N_LAYERS // 9)}))) AS layer),
+    s AS (SELECT CAST(layer AS INTEGER) AS layer, label, round({DOT}(h[layer + 1:layer + {WIDTH}], v[layer + 1:layer + {WIDTH}]) / sqrt({DOT}(v[layer + 1:layer + {WIDTH}], v[layer + 1:layer + {WIDTH}])), 9) AS value FROM acts_t, dk_t, l)
+    SELECT layer, round(auroc, 6) AS auroc, row_number() OVER (ORDER BY auroc DESC, layer) = 1 AS is_best FROM ({area_sql('SELECT layer, label, value FROM s', 'layer')})""",
+)
+def e18s(spark, d):
+    """Direction AUROC of some of forty layers (windows of the vectors): first, last, every fourth and that of the dictionary."""
+    a = acts(spark, d)
+    cut = F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.slice("h", n + 1, WIDTH).alias("h")) for n in SPACED])).alias("l")
+    rows = a.select("doc_id", "label", cut).select("doc_id", "label", "l.layer", "l.h")
+    scored = rows.join(F.broadcast(V.mean_diff(rows, ["layer"]).select("layer", "d")), "layer")  # a row for each layer
+    area = M.auroc(scored.select("layer", "label", F.round(V.project(F.col("h"), F.col("d")), 9).alias("value")), ["layer"])
+    best = area.agg(F.min_by("layer", F.struct(-F.col("auroc"), "layer")).alias("best"))  # one row
+    return area.crossJoin(F.broadcast(best)).select("layer", r6("auroc").alias("auroc"), (F.col("layer") == F.col("best")).alias("is_best"))
+
+
 @query("e18_layer_sweep", f"SELECT arg_max(layer, auroc) AS best_layer, round(max(auroc), 6) AS best_auroc, count(*) AS n_layers FROM ({area_sql('SELECT layer, label, value FROM lscore_t', 'layer')})")
 def e18(spark, d):
     a = layers(spark, d)
@@ -408,6 +430,26 @@ def i5(spark, d):
     return _areas(D.ablated_scores(codes, base, weights, cells, ["cell"]), ["cell"]).select("cell", "stream", r6("auroc").alias("auroc"))
 
 
+@query("i5_selection_verdict")
+def i5v(spark, d):
+    """Each criterion at its depths: extraction drop, change of a probe on the codes, and the verdict at the deepest."""
+    from corpuslens.operators import probes as P
+
+    a, codes, base, weights = _base(spark, d)
+    n = _counts(a)
+    size = dictionary(spark, d).count()
+    picks = {
+        "member": D.rank_features(codes, n, "member"), "diff": D.rank_features(codes, n, "diff"),
+        "corr": D.feature_label_corr(codes, n).withColumnRenamed("r", "score"), "probe": P.rank_by_probe(codes, a, size),
+    }
+    ranked = None
+    for name, scores in picks.items():
+        own = D.ranked(scores, "score").filter(F.col("place") <= 32).select(F.lit(name).alias("criterion"), "feature_id", "place")
+        ranked = own if ranked is None else ranked.unionByName(own)
+    grid = D.selection_grid(codes, base, weights, settled(ranked, "ranked"), [8, 32], lambda drops: {r["stream"]: r["auroc"] for r in M.auroc(P.code_probes(codes, size, drops, a), ["stream"]).collect()})
+    return grid.select("criterion", "k", *[r6(c).alias(c) for c in ("recon_auroc", "extraction_drop", "probe_auroc", "probe_delta")], "passes_extraction", "preserves_probe", "verdict")
+
+
 @query("i6_residual_pcs")
 def i6(spark, d):
     """Principal directions of the residual: singular value, and share of variance up to it."""

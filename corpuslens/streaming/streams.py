@@ -34,6 +34,83 @@ def health_stream(spark: SparkSession, source: str, out: str, state: str, schema
     return sums.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def budgeted_health_stream(spark: SparkSession, source: str, out: str, state: str, budget: int, every: int):
+    """Health of features over a stream of tokens that stops at ``budget`` tokens, with counters that begin anew.
+
+    One file is one step, one row one token (token BIGINT, codes: its active features).  A step
+    is taken if fewer than ``budget`` tokens were seen before it, so the step that reaches
+    the budget still counts in full, and no later one.  Below ``out``: ``sums``, the running
+    sums of each feature after a step; ``windows``, firing counts of each stretch of ``every``
+    steps, after which they begin anew; ``steps``, the tokens of each step and before it.  A
+    step's tables are made from those of the step before and named by its number, so a step that runs
+    again writes the same; ``steps`` is written last."""
+    schema = "token BIGINT, codes ARRAY<STRUCT<feature_id: INT, z: DOUBLE>>"
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kinds = {
+        "sums": "feature_id INT, fires BIGINT, total DOUBLE, total_sq DOUBLE, largest DOUBLE",
+        "windows": "window BIGINT, feature_id INT, fires BIGINT",
+        "steps": "step BIGINT, seen BIGINT, tokens BIGINT",
+    }
+
+    def save(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        if number and not exists(own, f"{out}/steps/v={number - 1}"):
+            return  # the budget was reached earlier
+        before = {k: own.read.schema(v).parquet(f"{out}/{k}/v={number - 1}") if number else own.createDataFrame([], v) for k, v in kinds.items()}
+        seen = before["steps"].agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one row a step
+        if seen >= budget:
+            return
+        tokens = batch.count()
+        codes = batch.select(F.explode("codes").alias("c")).select("c.feature_id", "c.z").filter("z > 0")
+        one = codes.groupBy("feature_id").agg(F.count(F.lit(1)).alias("fires"), F.sum("z").alias("total"), F.sum(F.col("z") * F.col("z")).alias("total_sq"), F.max("z").alias("largest"))
+        add = [F.sum(c).alias(c) for c in ("fires", "total", "total_sq")]
+        sums = before["sums"].unionByName(one).groupBy("feature_id").agg(*add, F.max("largest").alias("largest"))
+        window = one.select(F.lit(number // every).cast("long").alias("window"), "feature_id", "fires")
+        windows = before["windows"].unionByName(window).groupBy("window", "feature_id").agg(F.sum("fires").alias("fires"))
+        step = own.createDataFrame([(number, seen, tokens)], kinds["steps"])
+        for k, v in (("sums", sums), ("windows", windows), ("steps", before["steps"].unionByName(step))):
+            v.write.mode("overwrite").parquet(f"{out}/{k}/v={number}")
+
+    return rows.writeStream.foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def dead_by_window(windows: DataFrame, steps: DataFrame, features: DataFrame, every: int, threshold: float) -> DataFrame:
+    """window, tokens, n_dead: features that fire in less than ``threshold`` of a whole window's tokens."""
+    sizes = steps.groupBy(F.floor(F.col("step") / every).alias("window")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == every)
+    grid = sizes.crossJoin(F.broadcast(features.select("feature_id").distinct()))  # a row for each window and feature of the model
+    rate = F.coalesce("fires", F.lit(0)) / F.greatest("tokens", F.lit(1))
+    return grid.join(windows, ["window", "feature_id"], "left").groupBy("window", "tokens").agg(F.count_if(rate < threshold).alias("n_dead"))
+
+
+def late_rows(query) -> int:
+    """Rows that a finished query left out because they came later than its watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def timed_corpus_stream(spark: SparkSession, source: str, out: str, state: str, horizon: str, schema: str = "doc_id BIGINT, text STRING, stamp TIMESTAMP"):
+    """Texts with their own time stamps: repeats within the horizon are dropped, and so are rows later than the watermark.
+
+    The query's :func:`late_rows` tells how many came too late."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kept = rows.withColumn("digest", F.md5(dedupe_key())).withWatermark("stamp", horizon).dropDuplicatesWithinWatermark(["digest"])
+    return kept.select("doc_id", "digest").writeStream.format("json").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def arrived_in_order(spark: SparkSession, path: str) -> None:
+    """Give the files of a table written with ``partitionBy`` the order of their folders as times of arrival."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted((f.getPath() for f in fs.listStatus(base) if f.isDirectory()), key=lambda p: int(p.getName().split("=")[1]))
+    for i, folder in enumerate(folders):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + 1000 * i, -1)
+
+
 def topk_stream(spark: SparkSession, source: str, k: int, out: str, state: str, schema: str = "feature_id INT, doc_id BIGINT, pos INT, z DOUBLE"):
     """Running top k contexts of each feature: each batch is merged with the k of before, so state is bounded.
 

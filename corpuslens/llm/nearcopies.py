@@ -201,7 +201,7 @@ def across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: floa
     def compare(batches):
         for t in whole_groups(batches, keys, AT_ONCE):
             begin = np.append(np.append(0, np.flatnonzero(changes(t, keys)) + 1), t.num_rows)
-            side, root, size = (np.array(t.column(c)) for c in ("side", "root", "size"))
+            side, size, root = np.asarray(t.column("side")), np.asarray(t.column("size")), np.asarray(t.column("root")).copy()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             carried = [_set(v) if v.is_valid else () for v in t.column("carried")]
             left, right, sure = [], [], []

@@ -79,3 +79,39 @@ def test_small_reads_become_blocks():
             assert small(n, at) == data[at : at + n]
     asked.clear()
     assert [small(1, at) for at in range(640, 704)] == [data[at : at + 1] for at in range(640, 704)] and len(asked) <= 1
+
+
+@pytest.mark.parametrize(("chunk", "carried"), [(512, 1024), (7, 1024), (7, 40)])
+def test_pairs_of_a_band_value(spark, monkeypatch, chunk, carried):
+    """All nodes under one band value, none joined yet: sure pairs and verified ones join what brute force joins."""
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    monkeypatch.setattr(nearcopies, "CARRIED", carried)
+    rng = random.Random(9)
+    texts = []
+    for size in (150, 150, 100):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                own[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = nearcopies.sketches(docs).cache()
+    sets = nearcopies.shingle_sets(docs, 5, np.full(1 << 10, 255, np.uint8)).cache()
+    open_ = nodes.select(F.lit(1).cast("long").alias("band"), "node", F.col("node").alias("root"), F.lit(len(texts)).cast("long").alias("members"))
+    found = nearcopies.across(open_, nodes, sets, 0.8).cache()
+    sure = {(bytes(r["a"]), bytes(r["b"])) for r in found.filter("sure").collect()}
+    checked = {(bytes(r["a"]), bytes(r["b"])) for r in nearcopies.verified(found.filter("NOT sure").select("a", "b"), sets).collect()}
+    of = {nearcopies._node(nearcopies.shingles(t)): nearcopies._set(pa.scalar(nearcopies._packed(nearcopies.shingles(t)))) for t in texts}
+    names = sorted(of)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if nearcopies._alike(of[a], of[b], 0.8)}
+    assert sure | checked <= want and (carried < 60 or not checked) and (carried > 60 or checked)
+
+    def joined(pairs):
+        root = {n: n for n in names}
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = {n: x if r == y else r for n, r in root.items()}
+        return root
+
+    assert joined(sure | checked) == joined(want) and len(want) > 30

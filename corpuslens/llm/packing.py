@@ -28,9 +28,11 @@ from corpuslens.llm.tokens import encoder
 CAPACITY = 2048
 #: Rounds of the linear program, weight updates in each, and the learning rate.
 ROUNDS, STEPS, ETA = 6, 12, 0.35
-#: Share of sequences above the bound at which the plan is good enough; most further updates
-#: (and their product with the number of lengths), first rate.
-GAP, UPDATES, WORK, RATE = 5e-4, 160, 20_000, 0.5
+#: Share of sequences above the bound at which the plan is good enough; most and fewest further updates, first
+#: rate, and the part of the gap that two roundings must close for the updates to go on.
+GAP, UPDATES, LEAST_UPDATES, RATE, STALL = 5e-4, 256, 32, 0.5, 0.02
+#: Share above the bound from which the other way to break ties is tried as well.
+FAR = 3e-3
 
 #: Bound on the broadcast table of places.
 MAX_BYTES = 64 << 20
@@ -84,10 +86,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     )
 
 
-def best_fillings(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def best_fillings(weights: np.ndarray, capacity: int, longest: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Knapsack by dynamic programming: the greatest value of each room 0..capacity, and the length taken first (0: none).
 
-    ``weights[l]`` is the value of one piece of length l, not above 0 where there is none."""
+    ``weights[l]`` is the value of one piece of length l, not above 0 where there is none.  Of equal values
+    the longest piece is taken, which leaves short ones to fill gaps, or else the shortest."""
     best = np.zeros(capacity + 1)
     first = np.zeros(capacity + 1, np.int64)
     present = np.flatnonzero(weights > 0)
@@ -106,7 +109,7 @@ def best_fillings(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
         first[room] = -1
         if k:
             gain = value[:k] + best[room - present[:k]]
-            j = int(gain.argmax())
+            j = k - 1 - int((gain[::-1] >= gain.max() * (1 - 1e-12)).argmax()) if longest else int(gain.argmax())
             if gain[j] > best[room]:
                 best[room], first[room] = gain[j], present[j]
     # a room that is best left partly empty fills as the next smaller room
@@ -125,7 +128,7 @@ def filling(first: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: float = ETA) -> Counter:
+def configurations(need: np.ndarray, capacity: int, longest: bool, steps: int = STEPS, eta: float = ETA) -> Counter:
     """Fractional solution of the configuration program: {configuration: amount}.
 
     Each step prices, for every length still in need, the most valuable sequence
@@ -138,7 +141,7 @@ def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: flo
         weights = np.zeros(capacity + 1)
         lag = np.clip((target - covered)[lengths] / need[lengths] * steps, -8, 8)
         weights[lengths] = lengths * np.exp(eta * lag)
-        _, first = best_fillings(weights, capacity)
+        _, first = best_fillings(weights, capacity, longest)
         for length in lengths[::-1]:
             short = target[length] - covered[length]
             if short <= 0:
@@ -155,8 +158,8 @@ def configurations(need: np.ndarray, capacity: int, steps: int = STEPS, eta: flo
 class Left:
     """Pieces by length that have no place yet, and the sequences taken so far."""
 
-    def __init__(self, need: np.ndarray):
-        self.left, self.taken = need.copy(), []
+    def __init__(self, need: np.ndarray, longest: bool):
+        self.left, self.taken, self.longest = need.copy(), [], longest
 
     def take(self, config: tuple[int, ...], most: int) -> int:
         uses = Counter(config)
@@ -175,7 +178,7 @@ class Left:
         for _ in range(rounds):
             if not left.any():
                 break
-            found = configurations(left.astype(float), capacity)
+            found = configurations(left.astype(float), capacity, self.longest)
             # the fullest first, so that rounding gives up the worst
             order = sorted(found.items(), key=lambda x: (capacity - sum(x[0]), -x[1], x[0]))
             if not sum(self.take(c, int(x)) for c, x in order if x >= 1):
@@ -217,19 +220,20 @@ def simple_bound(need: np.ndarray, capacity: int) -> int:
     return int((apart + np.maximum(0, -(-(small - spare) // capacity))).max())
 
 
-def refined(need: np.ndarray, capacity: int, taken: list, bound: float):
+def refined(need: np.ndarray, capacity: int, taken: list, bound: float, longest: bool):
     """Better plans by multiplicative weights: the best plan and bound found.
 
     A length's weight is multiplied by how much it was short in the last step's
-    configurations, those within a thousandth of the best.  From time to time the plan is
-    rounded from the averages so far: by the amounts, and by the weights' order."""
+    configurations, those within a thousandth of the best.  After 1, 2, 4, ... updates the plan is
+    rounded from the averages so far: by the amounts, and by the weights' order; updates
+    end when the gap is closed or two roundings in a row have hardly narrowed it."""
     lengths = np.flatnonzero(need)
     weights, sums, covered = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1)
     weights[lengths] = lengths / capacity
     amount: Counter = Counter()
-    updates = min(UPDATES, max(8, WORK // len(lengths)))
-    for step in range(1, updates + 1):
-        best, first = best_fillings(weights, capacity)
+    gaps = [sequences_of(taken) - bound]
+    for step in range(1, UPDATES + 1):
+        best, first = best_fillings(weights, capacity, longest)
         bound = max(bound, float(need @ weights) / best[capacity])
         sums += weights / best[capacity]
         near = [x for x in lengths.tolist() if weights[x] + best[capacity - x] >= 0.999 * best[capacity]]
@@ -244,19 +248,20 @@ def refined(need: np.ndarray, capacity: int, taken: list, bound: float):
                 now[x] += most[c] * scale * k
         covered += now
         weights[lengths] *= np.exp(np.clip(RATE / np.sqrt(step) * (1 - now[lengths] / need[lengths]), -1, 1))
-        if step & (step - 1) and step != updates:
+        if step & (step - 1):
             continue
         value, _ = best_fillings(sums, capacity)
         bound = max(bound, float(need @ sums) / value[capacity])
         worth = {c: sum(sums[x] for x in c) for c in amount}
         by_worth = sorted(amount, key=lambda c: (-worth[c], c))
         for share in (1 / step, None):
-            plan_ = Left(need)
+            plan_ = Left(need, longest)
             for c in by_worth:
                 plan_.take(c, int(amount[c] * share) if share else int(need.max()))
             new = plan_.finish(capacity, 2)
             taken = min(taken, new, key=sequences_of)
-        if sequences_of(taken) <= max(np.ceil(bound - 1e-6), bound * (1 + GAP)):
+        gaps.append(sequences_of(taken) - bound)
+        if sequences_of(taken) <= max(np.ceil(bound - 1e-6), bound * (1 + GAP)) or step >= LEAST_UPDATES and gaps[-1] > (1 - STALL) * gaps[-3]:
             break
     return taken, bound
 
@@ -267,9 +272,14 @@ def bounded_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[l
     for length, count in histogram.items():
         need[length] += count
     bound = float(simple_bound(need, capacity))
-    taken = Left(need).finish(capacity)
-    if sequences_of(taken) > max(np.ceil(bound - 1e-6), bound * (1 + GAP)):
-        taken, bound = refined(need, capacity, taken, bound)
+    enough = lambda gap: max(np.ceil(bound - 1e-6), bound * (1 + gap))
+    taken: list = []
+    for longest in (True, False):
+        if longest or sequences_of(taken) > enough(FAR):
+            own = Left(need, longest).finish(capacity)
+            taken = own if longest else min(taken, own, key=sequences_of)
+            if sequences_of(taken) > enough(GAP):
+                taken, bound = refined(need, capacity, taken, bound, longest)
     return taken, int(np.ceil(bound - 1e-6))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import cosine, dot, minus, norm, scaled, unit
 from corpuslens.operators import metrics as M
+from corpuslens.operators.ordered import numbered
+from corpuslens.sources.scratch import settled
 
 #: Vectors longer than this are refused by the d-by-d kernels.
 MAX_DIM = 8192
@@ -120,6 +122,25 @@ def contrastive_pca(acts: DataFrame, k: int = 10, alpha: float = 1.0) -> list[tu
     return [(float(values[j]), float(abs(values[j]) / whole), vectors[:, j].tolist()) for j in order]
 
 
+def paired_differences(acts: DataFrame) -> DataFrame:
+    """pair, h: the i-th vector of class 1 less the i-th of class 0, each class in the order of doc_id; the larger class's rest has no pair."""
+    placed = numbered(acts.select("label", "doc_id", "h"), ["label", "doc_id"])
+    first = placed.groupBy("label").agg(F.min("place").alias("first"))
+    own = settled(placed.join(F.broadcast(first), "label").withColumn("pair", F.col("place") - F.col("first")), "pairs")  # a row for each class
+    of = lambda y: own.filter(F.col("label") == y).select("pair", F.col("h").alias(f"h{y}"))
+    return of(1).join(of(0), "pair").select("pair", minus(F.col("h1"), F.col("h0")).alias("h"))
+
+
+def paired_pca(acts: DataFrame, k: int = 10) -> list[tuple[float, float, list[float]]]:
+    """Top k principal directions of the paired differences: (variance, share of all, vector); d rows reach the driver.
+
+    The pairing is arbitrary, so this shows variance within classes as well; :func:`contrastive_pca` does not."""
+    rows = covariances(paired_differences(acts).withColumn("all", F.lit(0)), ["all"]).collect()  # d rows of d numbers, d <= MAX_DIM
+    values, vectors = np.linalg.eigh(np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])]))
+    whole = max(float(values.sum()), 1e-12)
+    return [(float(values[j]), float(values[j] / whole), vectors[:, j].tolist()) for j in np.argsort(-values, kind="stable")[:k]]
+
+
 def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Angles in degrees between the spaces spanned by the rows of a and b."""
     qa, qb = np.linalg.qr(a.T)[0], np.linalg.qr(b.T)[0]

@@ -12,68 +12,38 @@ from pyspark.sql import functions as F
 from corpuslens.functions.draws import r6, u01, words_of
 from corpuslens.operators import metrics as M
 from corpuslens.operators import tokenscores as T
+from corpuslens.operators import unigrams as U
 from corpuslens.operators.corpus import make_neighbours
 from corpuslens.operators.textfeat import zlib_len
-from corpuslens.plans.base import CTE, pool, query, table, tokens, u
-
-
-def unigram(words, smooth: bool = False):
-    """token, logp of a unigram model; with ``smooth`` the unseen word has ln(1 / (total + kinds))."""
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    add = 1 if smooth else 0
-    base = F.col("total") + (F.col("kinds") if smooth else F.lit(0))
-    return counts.crossJoin(F.broadcast(total)).select("token", F.log((F.col("c") + add) / base).alias("logp"), F.log(F.lit(1.0) / base).alias("unseen"))
+from corpuslens.plans.base import CTE, pool, query, table, u
 
 
 def token_lp(spark, d, conds=("orig",)):
-    """doc_id, cond, pos, logp for the asked conditions, with mu and sigma of the "orig" model."""
-    words = tokens(spark, d)
-    parts = []
+    """doc_id, cond, pos, logp for the asked conditions."""
+    words = U.words_in(table(spark, d, "documents"))
+    out = None
     for cond in conds:
         own = words.withColumn("token", F.lower("token")) if cond == "lower" else words
         if cond == "ref":
-            fit = words.join(table(spark, d, "documents").filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+            fit = U.words_in(table(spark, d, "documents").filter("lang = 'en'"))
         elif cond.startswith("prefix"):
-            fit = words.join(pool(spark, d).filter(F.col("label") == (0 if cond == "prefix_non" else 1)).select("doc_id"), "doc_id", "left_semi")
+            fit = U.words_in(pool(spark, d).filter(F.col("label") == (0 if cond == "prefix_non" else 1)))
         else:
             fit = own
-        model = unigram(fit, cond not in ("orig", "lower"))
-        unseen = model.agg(F.max("unseen").alias("floor"))
-        scored = own.join(model.select("token", "logp"), "token", "left").crossJoin(F.broadcast(unseen))
-        parts.append(scored.select("doc_id", F.lit(cond).alias("cond"), "pos", F.coalesce("logp", "floor").alias("logp")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = U.scored(own.select("doc_id", "pos", "token"), U.unigram(fit, cond not in ("orig", "lower"))).select("doc_id", F.lit(cond).alias("cond"), "pos", "logp")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def with_stats(spark, d, lp):
     """Add mu and sigma of ln p over the vocabulary, weighted by p."""
-    model = unigram(tokens(spark, d))
+    model = U.unigram(U.words_in(table(spark, d, "documents")))
     p = F.exp("logp")
     s = model.agg(F.sum(p * F.col("logp")).alias("mu"), F.sum(p * F.col("logp") * F.col("logp")).alias("m2"))
     s = s.select("mu", F.sqrt(F.col("m2") - F.col("mu") * F.col("mu")).alias("sigma"))
     return lp.crossJoin(F.broadcast(s))
 
 
-def contexts(spark, d):
-    """Words with the word before them (empty at a text's start): doc_id, pos, token, prev."""
-    w = tokens(spark, d)
-    before = w.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("token").alias("prev"))
-    return w.join(before, ["doc_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit("")))
-
-
-def context_lp(places):
-    """prev, token, logp of a bigram model: the vocabulary of a place is what follows its preceding word anywhere.
-
-    A place's distribution depends on that word only, so statistics are taken once a word
-    and then joined to the places; successors are never listed for each place."""
-    pairs = places.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c"))
-    total = pairs.groupBy("prev").agg(F.sum("c").alias("total"))
-    return pairs.join(total, "prev").select("prev", "token", F.log(F.col("c") / F.col("total")).alias("logp"))
-
-
 def _model(words: str, smooth: bool = False) -> str:
     add, base = (1, "(total + kinds)") if smooth else (0, "total")
     return f"SELECT token, ln((c + {add}) / CAST({base} AS DOUBLE)) AS logp FROM (SELECT token, count(*) AS c FROM {words} GROUP BY token), (SELECT count(*) AS total, count(DISTINCT token) AS kinds FROM {words})"
@@ -132,11 +102,11 @@ def d4(spark, d):
 )
 def d5(spark, d):
     """Every place of every document."""
-    places = contexts(spark, d)
-    v = context_lp(places)
+    places = U.words_in(table(spark, d, "documents"))
+    v = U.bigram(places)
     w = T.position_stats(v, True, ["prev"]).withColumnsRenamed({"mu": "mu_w", "sigma": "sigma_w"})
     own = T.position_stats(v, False, ["prev"]).join(w, "prev")
-    return places.join(own, "prev").select("doc_id", F.col("pos").cast("int").alias("pos"), r6("mu").alias("mu"), r6("sigma").alias("sigma"), r6("mu_w").alias("mu_w"), (F.round("sigma_w", 5) + F.lit(0.0)).alias("sigma_w"))
+    return U.at_places(places, own, v).select("doc_id", F.col("pos").cast("int").alias("pos"), r6("mu").alias("mu"), r6("sigma").alias("sigma"), r6("mu_w").alias("mu_w"), (F.round("sigma_w", 5) + F.lit(0.0)).alias("sigma_w"))
 
 
 def _wide(*conds: str) -> str:
@@ -165,7 +135,7 @@ def d7(spark, d):
 def d8(spark, d):
     near = make_neighbours(table(spark, d, "documents").select("doc_id", "text"), 2, 0.3, 13)
     words = near.select("doc_id", "nb", F.explode(words_of(F.col("text"))).alias("token"))
-    scored = words.join(unigram(tokens(spark, d)).select("token", "logp"), "token")
+    scored = U.scored(words, U.unigram(U.words_in(table(spark, d, "documents")))).filter("logp IS NOT NULL")
     return T.neighbour_score(token_lp(spark, d), scored).select("doc_id", r6("neighbour_score").alias("neighbour_score"))
 
 
@@ -263,5 +233,6 @@ def _probe_table(scores, labels):
 )
 def d14(spark, d):
     """The likeliest word at every place of every document."""
-    places = contexts(spark, d)
-    return places.drop("token").join(T.greedy_tokens(context_lp(places), ["prev"]), "prev").select("doc_id", F.col("pos").cast("int").alias("pos"), "token")
+    places = U.words_in(table(spark, d, "documents"))
+    model = U.bigram(places)
+    return U.at_places(places.drop("token"), T.greedy_tokens(model, ["prev"]), model).select("doc_id", F.col("pos").cast("int").alias("pos"), "token")

@@ -85,6 +85,24 @@ def e4p(spark, d):
     return spark.createDataFrame([(i, round(v, 6), round(e, 6)) for i, (v, e, _) in enumerate(found)], "comp int, eigenvalue double, explained double")
 
 
+@query(
+    "e4_paired_covariance",
+    """WITH r AS (SELECT label, h, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM acts_t), d AS (SELECT a.k, i, a.h[i] - b.h[i] AS x FROM r a JOIN r b USING (k), (SELECT unnest(range(1, 65)) AS i) WHERE a.label = 1 AND b.label = 0)
+    SELECT CAST(a.i AS INTEGER) AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS c FROM d a JOIN d b USING (k) GROUP BY ALL""",
+)
+def e4pc(spark, d):
+    """Covariance of the differences of vectors paired across classes."""
+    rows = V.covariances(V.paired_differences(acts(spark, d)).withColumn("all", F.lit(0)), ["all"])
+    return rows.select((F.col("i") + 1).alias("i"), F.posexplode("row").alias("p", "x")).select("i", (F.col("p") + 1).cast("long").alias("j"), r6("x").alias("c"))
+
+
+@query("e4_paired_pca")
+def e4pp(spark, d):
+    """Principal directions of the paired differences, and their angle to the first contrastive direction."""
+    found, own = V.paired_pca(acts(spark, d), 10), np.array(V.contrastive_pca(acts(spark, d), 1)[0][2])
+    return spark.createDataFrame([(i, round(v, 6), round(e, 6), round(abs(float(np.array(x) @ own)), 6)) for i, (v, e, x) in enumerate(found)], "comp int, variance double, explained double, along_first double")
+
+
 def _recall(a):
     """Vectors of members with recall from a stand-in loss, -h[1]."""
     return V.recall_label(a.filter("label = 1").withColumn("loss", -F.col("h")[0]), "loss", "loss")

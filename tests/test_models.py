@@ -13,6 +13,7 @@ from corpuslens.operators import dictionary as D
 from corpuslens.operators import irls
 from corpuslens.operators import probes as P
 from corpuslens.operators import tokenscores as T
+from corpuslens.operators import unigrams as U
 from corpuslens.operators import vectors as V
 from corpuslens.plans.base import settled
 from corpuslens.sources.trees import Scanner, needed_literal, tree_scan
@@ -161,3 +162,37 @@ def test_intervals_of_drops_and_markdown(spark):
     records = spark.createDataFrame([("m", "base", 1.5, None, None), ("m", "erased", None, 7, None), ("m", "base", 9.0, 9, 1)], "model string, stage string, x double, n int, epoch int")
     wide = K.wide_fields(records, "model", "stage", ["base", "erased"], ["x", "n"], "epoch")
     assert K.markdown(wide).first()["line"] == "| m | 1.5000 | - | - | 7 |"
+
+
+def test_paired_differences(spark):
+    rng = np.random.default_rng(6)
+    x = {i: rng.normal(size=4) for i in range(31)}
+    label = {i: int(i % 3 == 0) for i in x}
+    acts = spark.createDataFrame([(i, label[i], v.tolist()) for i, v in x.items()], "doc_id long, label int, h array<double>").repartition(5)
+    one, zero = ([x[i] for i in sorted(x) if label[i] == y] for y in (1, 0))
+    want = np.array([a - b for a, b in zip(one, zero)])
+    got = sorted((r["pair"], r["h"]) for r in V.paired_differences(acts).collect())
+    assert [p for p, _ in got] == list(range(11)) and np.allclose([h for _, h in got], want)
+    _, s, vt = np.linalg.svd(want - want.mean(0))
+    for (value, share, vector), size, v in zip(V.paired_pca(acts, 3), s, vt):
+        assert value == pytest.approx(size**2 / 10) and share == pytest.approx(size**2 / (s**2).sum()) and abs(np.dot(vector, v)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("frequent", [2, 512])
+def test_words_by_frequency(spark, monkeypatch, frequent):
+    """Places of frequent words, of other words, and of words that the model does not know."""
+    monkeypatch.setattr(U, "FREQUENT", frequent)
+    texts = [(1, "a a a b a c"), (2, "a  d"), (3, ""), (4, None), (5, "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    words = U.words_in(docs)
+    flat = [(i, p, w, ([""] + (t or "").split())[p]) for i, t in texts for p, w in enumerate((t or "").split())]
+    assert sorted((r["doc_id"], r["pos"], r["token"], r["prev"]) for r in words.collect()) == sorted(flat)
+    model = U.unigram(U.words_in(docs.filter("doc_id < 2")), True)
+    seen = [w for i, _, w, _ in flat if i == 1]
+    want = sorted((i, p, round(np.log((seen.count(w) + 1) / (len(seen) + len(set(seen)))), 9)) for i, p, w, _ in flat)
+    assert sorted((r["doc_id"], r["pos"], round(r["logp"], 9)) for r in U.scored(words, model).collect()) == want
+    bi = U.bigram(words)
+    pairs = [(b, w) for _, _, w, b in flat]
+    assert {(r["prev"], r["token"]): round(r["logp"], 9) for r in bi.collect()} == {(b, w): round(np.log(pairs.count((b, w)) / sum(x == b for x, _ in pairs)), 9) for b, w in pairs}
+    best = U.at_places(words.drop("token"), T.greedy_tokens(bi, ["prev"]), bi)
+    assert sorted((r["doc_id"], r["pos"], r["token"]) for r in best.collect()) == sorted((i, p, min({w for x, w in pairs if x == b}, key=lambda w: (-pairs.count((b, w)), w))) for i, p, _, b in flat)

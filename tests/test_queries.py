@@ -9,7 +9,7 @@ from corpuslens import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = "a5_write_summary a6_vector_manifest d5_position_stats d13_probe_by_condition d14_greedy_tokens e12_recon_quality e14_direction_coverage g10_holm i9_gate_cells j2_health_summary k3_materiality k7_grid_verdict k10_verify_claims b4_dedupe_exact b6_mix_sources b9_disjoint_partition c5_tfidf d3_min_k e3_direction_audit e11_decomposition_audit f3_tpr_at_fpr g2_paired_bootstrap i3_ablate_topk j7_top_contexts k1_seed_summary l3_topk_stream".split()
+CHOSEN = "a7_tree_scan b5_dedupe_window b5_dedupe_window_reset b6_mix_cycle b15_token_steps_accumulate b15_token_steps_repeat c4_vocabulary_stopped d7_reference e4_paired_covariance e18_spaced_layers g1_bootstrap_ci k9_markdown k12_drop_intervals k14_latest_checkpoint l1_late_rows l2_health_budget l2_dead_by_window a5_write_summary a6_vector_manifest d5_position_stats d13_probe_by_condition d14_greedy_tokens e12_recon_quality e14_direction_coverage g10_holm i9_gate_cells j2_health_summary k3_materiality k7_grid_verdict k10_verify_claims b4_dedupe_exact b6_mix_sources b9_disjoint_partition c5_tfidf d3_min_k e3_direction_audit e11_decomposition_audit f3_tpr_at_fpr g2_paired_bootstrap i3_ablate_topk j7_top_contexts k1_seed_summary l3_topk_stream".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
 
 
@@ -36,7 +36,7 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["f1_auroc", "b10_disjointness_proof", "e11_decomposition_audit"])
+@pytest.mark.parametrize("name", ["f1_auroc", "b10_disjointness_proof", "e11_decomposition_audit", "e13_eval_summary", "k7_grid_verdict", "d1_loss", "g2_paired_bootstrap"])
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in physical(catalog.QUERIES[name](spark, DATA))
 

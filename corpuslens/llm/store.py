@@ -56,16 +56,19 @@ def settled_path(df: DataFrame) -> str:
     return df.settled_at
 
 
-#: At most so many groups are taken for hot.
-HOT = 512
+#: At most so many groups are taken for hot, and none of at most so many rows (of ids and digests), which any task can hold.
+HOT, LEAST_HOT = 512, 1 << 16
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Join rows to groups (one row for each value of ``key``; ``size`` counts the group's rows).
 
-    Groups with more than one row in HOT of ``total``, so at most HOT of them, are broadcast
-    and their rows stay where they are; only rows of other groups are shuffled."""
-    least = max(1, total // HOT)
+    Groups with more than one row in HOT of ``total``, so at most HOT of them, and of more than
+    LEAST_HOT rows are broadcast and their rows stay where they are; only rows of other groups
+    are shuffled.  No group of a smaller table can be one of them."""
+    if total <= LEAST_HOT:
+        return rows.join(groups.hint("merge"), key)
+    least = max(LEAST_HOT, total // HOT)
     hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
     kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
     return rows.join(F.broadcast(hot), key).unionByName(kept)

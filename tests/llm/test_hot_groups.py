@@ -14,6 +14,7 @@ from corpuslens.llm import nearcopies, neighbours, simhash, store, token_files,
 def test_join_hot_is_a_join(spark, monkeypatch, hot):
     """No group, some or all are hot; the rows are those of a plain join."""
     monkeypatch.setattr(store, "HOT", hot)
+    monkeypatch.setattr(store, "LEAST_HOT", 0)
     rng = random.Random(3)
     keys = [0] * 300 + [1] * 80 + [rng.randrange(2, 60) for _ in range(200)] + [None]
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int").repartition(5)
@@ -23,7 +24,7 @@ def test_join_hot_is_a_join(spark, monkeypatch, hot):
     assert got == want and len(got) > 500
 
 
-@pytest.mark.parametrize("hot", [1, 10**9])
+@pytest.mark.parametrize("hot", [3, 10**9])
 def test_near_copies_and_simhash_with_hot_groups(spark, monkeypatch, hot):
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 5) for _ in range(200)) for _ in range(6)]
@@ -34,8 +35,9 @@ def test_near_copies_and_simhash_with_hot_groups(spark, monkeypatch, hot):
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     results = []
-    for value in (512, hot):
+    for value, least in ((512, 1 << 16), (hot, 0)):
         monkeypatch.setattr(store, "HOT", value)
+        monkeypatch.setattr(store, "LEAST_HOT", least)
         near = sorted(map(tuple, nearcopies.near_copies(docs).collect()))
         results.append((near, sorted(map(tuple, simhash.near_duplicates(docs).collect()))))
     assert results[0] == results[1]
@@ -44,6 +46,7 @@ def test_near_copies_and_simhash_with_hot_groups(spark, monkeypatch, hot):
 
 def test_revisits_of_one_payload_in_most_pages(spark, monkeypatch):
     monkeypatch.setattr(store, "HOT", 4)
+    monkeypatch.setattr(store, "LEAST_HOT", 0)
     pages = spark.createDataFrame([(i, "u", "boilerplate " * 20 if i % 3 else f"own {i} " * 20) for i in range(90)], "page_id long, url string, html string").repartition(4)
     got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.with_roles(pages).collect()}
     assert got == {i: (("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1)) for i in range(90)}

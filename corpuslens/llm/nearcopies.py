@@ -44,7 +44,7 @@ LEAST_AGREE = 0.66
 #: Bits of the Bloom filter (at most), bits a document, and bits of a piece of it.
 BLOOM_BITS, BLOOM_LOAD, BLOOM_PIECE = 1 << 26, 16, 1 << 18
 #: Shingles of a set that travels with its sketch (at most).
-CARRIED = 1024
+CARRIED = 256
 #: Sketches in a chunk, and compared at once.
 CHUNK, AT_ONCE = 512, 2048
 

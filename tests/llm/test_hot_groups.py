@@ -84,7 +84,7 @@ def test_small_reads_become_blocks():
     assert [small(1, at) for at in range(640, 704)] == [data[at : at + 1] for at in range(640, 704)] and len(asked) <= 1
 
 
-@pytest.mark.parametrize(("chunk", "carried"), [(512, 1024), (7, 1024), (7, 40)])
+@pytest.mark.parametrize(("chunk", "carried"), [(512, 256), (7, 256), (7, 40)])
 def test_pairs_of_a_band_value(spark, monkeypatch, chunk, carried):
     """All nodes under one band value, none joined yet: sure pairs and verified ones join what brute force joins."""
     monkeypatch.setattr(nearcopies, "CHUNK", chunk)

@@ -6,7 +6,6 @@ the log-probabilities over the vocabulary at that place).
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

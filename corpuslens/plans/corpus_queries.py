@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions.draws import r6, stripped, u01, words_of
+from corpuslens.functions.draws import r6, u01, words_of
 from corpuslens.operators import corpus as C
 from corpuslens.operators import textfeat as X
-from corpuslens.plans.base import acts, layers, pool, query, scratch, table, tokens, u
+from corpuslens.plans.base import layers, pool, query, scratch, table, tokens, u
 from corpuslens.sources import texts as S
 from corpuslens.sources.trees import tree_scan
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions.draws import r6, u01, words_of
+from corpuslens.functions.draws import r6, words_of
 from corpuslens.operators import metrics as M
 from corpuslens.operators import tokenscores as T
 from corpuslens.operators import unigrams as U

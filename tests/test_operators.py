@@ -410,4 +410,5 @@ def test_rank_by_probe_finds_the_label(spark):
     docs = spark.range(41).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS label")
     score = {r["feature_id"]: r["score"] for r in P.rank_by_probe(codes, docs, 4).collect()}
     assert max(score, key=score.get) == 3 and score[1] == score[2] == 0
-    assert P.code_vectors(codes, 4, docs=docs).count() == 41
+    dense = {r["doc_id"]: r["h"] for r in P.code_arrays(codes, 4, docs).collect()}
+    assert len(dense) == 41 and dense[40] == [0.0] * 4 and dense[3] == [4.0, 0.0, 0.0, 2.0]

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrays import small_batches
 from corpuslens.llm.groups import changes, chunk_pairs, whole_groups
 from corpuslens.llm.simhash import DISTANCE, SEED, components, links, majority, named_classes, shingle_hashes
 from corpuslens.llm.store import join_hot, settle
@@ -94,18 +95,11 @@ def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
 
 
-def _few(batches, rows: int = 512):
-    """Batches of some rows each, so that the shingles held at once do not depend on how rows arrive."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, node (digest of the set of shingles), SimHash fingerprint, bands, sketch and number of shingles of every document."""
 
     def make(batches):
-        for batch in _few(batches):
+        for batch in small_batches(batches):
             all_ = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             prints = np.fromiter((majority(h) for h in all_), np.uint64, len(all_))
             sets = [np.unique(h) for h in all_]
@@ -155,7 +149,7 @@ def shingle_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     filter_ = docs.sparkSession.sparkContext.broadcast(wanted)  # at most BLOOM_BITS bits
 
     def make(batches):
-        for batch in _few(batches):
+        for batch in small_batches(batches):
             ids = pc.fill_null(batch.column(0), 0).to_numpy()
             at = _places(ids, 8 * len(filter_.value))
             near = (filter_.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)

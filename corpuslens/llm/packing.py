@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrays import small_batches
 from corpuslens.llm.store import settle, table
 from corpuslens.llm.tokens import encoder
 
@@ -57,7 +58,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 
     def cut(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, counts = enc.encode(batch.column(1))
             ends = np.cumsum(counts + 1)
             flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrays import small_batches
 from corpuslens.llm.store import fresh_path, settle, table, unused
 
 #: Kind, pattern, the group whose length counts, least length.
@@ -71,7 +72,7 @@ def scan_blobs(blobs: DataFrame, rules=RULES, version: str | None = None) -> Dat
     version = version or rule_version(rules)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [scan(t or "", rules) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,7 +158,7 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
     kinds, starts, ends = (unused(docs, c) for c in ("kinds", "starts", "ends"))
 
     def replace(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             out = columns["text"].to_pylist()
             hit = [i for i, k in enumerate(columns[kinds].to_pylist()) if k]

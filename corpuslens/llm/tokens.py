@@ -3,7 +3,7 @@
 A byte-pair encoder works inside each pre-token, so the ids of a text are the ids
 of its pre-tokens joined.  A batch of texts is cut into pre-tokens with array
 operations on its UTF-8 bytes; every distinct pre-token is encoded once by the
-tokenizers library and kept in a cache of bounded size.  Texts with characters or
+tokenizers library and kept in a cache of bounded size, which those met again do not leave.  Texts with characters or
 sequences for which these cuts are not exact go through the library whole.
 """
 
@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pre-tokens kept by a worker; when full, the cache starts anew.
-CACHE_WORDS = 400_000
+#: Pre-tokens kept by a worker in each of two generations; when the recent one is full, the older one goes.
+CACHE_WORDS = 160_000
 #: Bytes of text cut up at once.
 CHUNK_BYTES = 4 << 20
 
@@ -68,7 +68,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.alphabet = _byte_alphabet()
-        self.cache: dict[bytes, array] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     # -- whole texts through the library ------------------------------------------------
@@ -77,11 +78,11 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in found]
 
     # -- pre-tokens ---------------------------------------------------------------------
-    def _word(self, word: bytes) -> array:
+    def _word(self, word: bytes) -> bytes:
         if self.lower and not word.replace(b"\xc2\x85", b"").replace(b"\xc2\xa0", b"").strip(b"\t\n\x0b\x0c\r "):
-            return array("I")
+            return b""
         text = word.decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(text)])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Byte offsets where pre-tokens begin; ``starts``: where texts begin."""
@@ -120,17 +121,18 @@ class Encoder:
         words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
+        if len(self.cache) > self.cache_words:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         ids = []
         for w in distinct:
             found = cache.get(w)
             if found is None:
-                found = cache[w] = self._word(w)
+                found = older.get(w)
+                cache[w] = found = self._word(w) if found is None else found
             ids.append(found)
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(size) - size
         index = coded.indices.to_numpy()
         per_word = size[index]
@@ -155,6 +157,7 @@ class Encoder:
         offsets = np.frombuffer(lowered.buffers()[1], np.int64, n + 1, lowered.offset * 8)
         buffer = lowered.buffers()[2]
         data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]  # a slice shares the buffer of the whole
         size = np.diff(offsets)
         odd = self._odd(texts, data, offsets)
         parts: list[np.ndarray] = []
@@ -181,15 +184,13 @@ class Encoder:
         """Texts that must go through the library whole."""
         n = len(texts)
         odd = np.zeros(n, bool)
-        body = data[: offsets[-1]]
-        at = [np.flatnonzero(body >= 0xCA)]
-        p = np.flatnonzero(body == 0xC9)
-        at.append(p[body[p + 1] >= 0x90])
+        at = [np.flatnonzero(data >= 0xCA)]
+        p = np.flatnonzero(data == 0xC9)
+        at.append(p[data[p + 1] >= 0x90])
         if not self.lower:
-            p = np.flatnonzero(body == 0xC2)
-            at.append(p[(body[p + 1] == 0x85) | (body[p + 1] == 0xA0)])
+            p = np.flatnonzero(data == 0xC2)
+            at.append(p[(data[p + 1] == 0x85) | (data[p + 1] == 0xA0)])
         where = np.concatenate(at)
-        where = where[where >= offsets[0]]
         if len(where):
             odd[np.unique(np.searchsorted(offsets, where, "right") - 1)] = True
         quote = pc.match_substring(texts, "'").to_numpy(zero_copy_only=False)

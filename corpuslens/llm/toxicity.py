@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrays import small_batches
 from corpuslens.llm.store import settle, table
 
 #: Bound on labelled rows used for fitting, drawn evenly by a hash of doc_id.
@@ -309,7 +310,7 @@ def clean_rows(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray)
 
     def run(batches):
         grammar = Grammar(lexicon)
-        for batch in batches:
+        for batch in small_batches(batches):
             e = np.array([grammar.evidence(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(KINDS))
             yield batch.filter(pa.array(weights[0] + e @ weights[1:] < 0))
 

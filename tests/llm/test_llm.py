@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpuslens.llm import exact_dedup, neighbours, packing, secrets, simhash, suffix_dedup, token_files, tokens, toxicity, warc
+from corpuslens.llm.arrays import small_batches
 from corpuslens.llm.store import fresh_path, shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -644,3 +645,47 @@ def test_changed_rules_scan_old_blobs_again(spark):
     rules = (secrets.RULES[0], ("access", r"AKIA[0-9]", 0, 5), ("hex", r"[0-9a-f]+", 0, 16))
     found, _ = secrets.scan_versions(rows, old, rules)
     assert [r["kinds"] for r in found.collect()] == [["hex", "access"]]
+
+
+def test_words_met_again_stay_cached():
+    """The cache is bounded, and a word of every text is encoded once although others fill it again and again."""
+    enc, asked = tokens.Encoder(BYTES, cache_words=40), []
+    plain = enc._word
+    enc._word = lambda word: asked.append(word) or plain(word)
+    for k in range(20):
+        text = "often " + " ".join(chr(97 + k) + chr(97 + i % 26) * (1 + i // 26) for i in range(30))
+        ids, _ = enc.encode(pa.array([text]))
+        assert ids.tolist() == enc.library([text])[0].tolist()
+        assert len(enc.cache) + len(enc.older) <= 2 * (40 + 31)
+    assert asked.count(b"often") == 1
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_slices_are_encoded_as_the_whole(path):
+    texts = pa.array([t for _, t in TEXTS] + ["a b", None, "", "日本 x", "c 12"])
+    enc = tokens.Encoder(path)
+    ids, n = enc.encode(texts)
+    parts = [enc.encode(texts.slice(k, 2)) for k in range(0, len(texts), 2)]
+    assert np.array_equal(np.concatenate([i for i, _ in parts]), ids) and np.array_equal(np.concatenate([k for _, k in parts]), n)
+
+
+def test_packing_holds_few_rows_at_once(spark, monkeypatch):
+    """A worker encodes at most 512 rows at once, whatever the number in a batch, and packs them all."""
+
+    class Watched:
+        def encode(self, texts):
+            assert len(texts) <= 512
+            counts = np.arange(len(texts)) % 3
+            return np.ones(counts.sum(), np.uint32), counts
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Watched())
+    docs = spark.range(1500, numPartitions=1).selectExpr("id AS doc_id", "'x' AS text")
+    got = packing.tokenised_pieces(docs, BYTES, 0, 2048).collect()
+    assert [r["doc_id"] for r in got] == list(range(1500)) and [r["length"] for r in got] == [i % 512 % 3 + 1 for i in range(1500)]
+
+
+def test_small_batches_keep_all_rows():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1025))})
+    got = list(small_batches([batch, batch.slice(0, 0), batch.slice(3, 5)]))
+    assert [b.num_rows for b in got] == [512, 512, 1, 5]
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(1025), 3, 4, 5, 6, 7]

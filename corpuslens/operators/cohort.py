@@ -4,7 +4,8 @@ Records are long: model, seed, metric, value (null: missing)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import r6
@@ -111,9 +112,19 @@ def wide_fields(records: DataFrame, row: str, column: str, columns: list, fields
     return own.groupBy(row).agg(*[of(f, v) for f in fields for v in columns])
 
 
+def fixed(c, places: int) -> Column:
+    """A double with so many places, rounded from its exact value as C and SQL do; Java's format rounds its shortest decimal form."""
+
+    @F.pandas_udf("string")
+    def shown(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: f"{v:.{places}f}")
+
+    return shown(F.col(c).cast("double"))
+
+
 def markdown(table: DataFrame, places: int = 4) -> DataFrame:
     """Each row as a line of a Markdown table, numbers with so many places; null shows as a dash."""
-    shown = lambda c, t: F.format_string(f"%.{places}f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string")
+    shown = lambda c, t: fixed(c, places) if t in ("double", "float") else F.col(c).cast("string")
     cells = [F.when(F.col(c).isNull(), "-").otherwise(shown(c, t)) for c, t in table.dtypes]
     return table.select(F.col(table.columns[0]).alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 

@@ -29,6 +29,8 @@ POISSON = [round(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)), 12) for
 LEVELS = np.array([ceil(Fraction(c) * 2**32) for c in POISSON], np.uint64)
 #: Replicates that share one md5: each takes eight of its hex digits.
 SHARED = 4
+#: How a row's weights are packed, one number for each replicate.
+WEIGHT = "<u2"
 #: Replicates in a block of a summary; cells of a weight matrix held at once.
 BLOCK, CELLS = 250, 1 << 19
 
@@ -51,6 +53,11 @@ def poisson_weights(keys: list, numbers: np.ndarray, seed: int, draws: str = "md
     return np.searchsorted(LEVELS, draw_words(keys, numbers, seed, draws).astype(np.uint64), side="right")
 
 
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The weights of packed rows, a column for each replicate."""
+    return np.frombuffer(b"".join(rows), WEIGHT).reshape(len(rows), -1).astype(np.int64)
+
+
 class Summary:
     """Replicate columns of a range of scores: sums, and those of its first and last score."""
 
@@ -84,15 +91,16 @@ class Summary:
     ARRAYS = ("pos", "neg", "pairs", "first_pos", "first_neg", "last_pos", "last_neg")
 
 
-def auroc_replicates(scores: DataFrame, by: list[str], replicates, seed: int, key: str = "doc_id", label: str = "label", value: str = "value", draws: str = "md5") -> DataFrame:
+def auroc_replicates(scores: DataFrame, by: list[str], replicates, seed: int, key: str = "doc_id", label: str = "label", value: str = "value", draws: str = "md5", weights: str | None = None) -> DataFrame:
     """by, b, n_pos, n_neg, auroc of every replicate (a number, or a list of replicate numbers) of every group.
 
+    ``weights`` names a column of packed weights (``WEIGHT``), one for each replicate; without it they are drawn.
     Rows without a score or label take no part; a replicate without rows is left out; one
     of a single class has 0.5.  Sums are exact while a group has fewer than 4e9 rows."""
     numbers = np.arange(replicates) if isinstance(replicates, int) else np.array(sorted(replicates), np.int64)
     spark = scores.sparkSession
     own = scores.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    own = own.select(*by, F.col(value).cast("double").alias("value"), (F.col(label) == 1).cast("long").alias("label"), F.col(key).cast("string").alias("key"))
+    own = own.select(*by, F.col(value).cast("double").alias("value"), (F.col(label) == 1).cast("long").alias("label"), F.col(key).cast("string").alias("key"), *([F.col(weights).alias("weights")] if weights else []))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartitionByRange(parts, *by, "value", F.xxhash64("key")).sortWithinPartitions(*by, "value")
     kinds = [f"`{c}` {own.schema[c].dataType.simpleString()}" for c in by]
@@ -115,6 +123,7 @@ def auroc_replicates(scores: DataFrame, by: list[str], replicates, seed: int, ke
             names = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
             cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
             values, labels, keys = batch.column("value").to_numpy(), batch.column("label").to_numpy(), batch.column("key").to_pylist()
+            packed = batch.column("weights") if weights else None
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = batch.select(by).slice(a, 1)
                 if held is not None and mine.to_pylist() != open_.to_pylist():
@@ -123,7 +132,8 @@ def auroc_replicates(scores: DataFrame, by: list[str], replicates, seed: int, ke
                 open_ = mine
                 for k in range(a, z, at_once):
                     e = min(z, k + at_once)
-                    s = Summary.of(values[k:e], labels[k:e], poisson_weights(keys[k:e], numbers, seed, draws))
+                    own_weights = poisson_weights(keys[k:e], numbers, seed, draws) if packed is None else unpacked(packed[k:e].to_pylist())[:, numbers]
+                    s = Summary.of(values[k:e], labels[k:e], own_weights)
                     held = s if held is None else held.before(s)
         if held is not None:
             yield from told()

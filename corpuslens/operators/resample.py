@@ -4,11 +4,13 @@ Every row has a Poisson(1) weight in every replicate, from a hash draw.  AUROCs
 replicates come from ``replicates.auroc_replicates``, which draws the weights inside the tasks.
 Rates at a false-positive rate need the whole curve of a replicate; for them rows are written
 out with their weights.  Where class sizes must stay, rows are drawn with replacement from
-numbered groups.
+numbered groups, and a row carries how often it was drawn.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,9 +22,11 @@ from corpuslens.functions.vectors import cosine
 from corpuslens.operators import metrics as M
 from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import exact_rank
-from corpuslens.operators.replicates import POISSON, SHARED, auroc_replicates
+from corpuslens.operators.replicates import CELLS, POISSON, SHARED, WEIGHT, auroc_replicates
 from corpuslens.sources.scratch import settled
 
+#: Places of a group whose draws are counted by one task at a time.
+PLACES = 1024
 #: What to do with a replicate that holds one class only: leave it out, take the metric's value for it, or draw again.
 SINGLE_CLASS, REDRAWS = ("skip", "keep", "redraw"), 10
 
@@ -36,16 +40,56 @@ def weighted(scores: DataFrame, replicates: int, seed: int, key: str = "doc_id")
     return rows.withColumn("weight", weight).filter("weight > 0")
 
 
-def resampled(scores: DataFrame, replicates: int, seed: int, by: list[str], key: str = "doc_id") -> DataFrame:
-    """Rows of every replicate, as many from each group as it has: the columns of ``scores`` and b.
+def stratified_weights(scores: DataFrame, replicates: int, seed: int, by: list[str], key: str = "doc_id") -> DataFrame:
+    """``scores`` with ``weights``: how often each row is drawn in each replicate (packed), as many draws with replacement from each group as it has rows.
 
-    Rows are numbered in slices of a hash draw, so a large group is not sorted by one task."""
-    own = exact_rank(scores, by, seed, key).withColumnRenamed("place", "idx")
-    sizes = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    Draw j of replicate b has the same hash in all groups and falls on a place of the group's seeded
+    order.  Tasks make the draws of a range of j for all replicates and groups, and send each range of
+    PLACES places its hits in one piece, so no row is written for a draw.  Rows that are never drawn go."""
+    own = exact_rank(scores, by, seed, key)
+    chunk = max(1, CELLS // replicates)
     parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = sizes.repartition(parts, *by, "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    drawn = grid.select(*by, "b", F.floor(u01(F.lit(seed), F.col("b"), F.col("j")) * F.col("n")).cast("int").alias("idx"))
-    return drawn.join(own, [*by, "idx"]).drop("idx")
+    sizes = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ranges = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))))
+    dealt = ranges.repartition(parts, "chunk").sortWithinPartitions("chunk")
+    kinds = [f"`{c}` {sizes.schema[c].dataType.simpleString()}" for c in by]
+
+    def hits(batches):
+        held, draws = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, at = batch.column("n")[i].as_py(), batch.column("chunk")[i].as_py()
+                if at != held:
+                    tails = [str(j).encode() for j in range(at * chunk, (at + 1) * chunk)]
+                    heads = [f"{seed}|{b}|".encode() for b in range(replicates)]
+                    raw = b"".join([md5(h + t).digest()[:4] for h in heads for t in tails])
+                    held, draws = at, np.frombuffer(raw, ">u4").reshape(replicates, chunk) / 4294967296.0
+                place = np.floor(draws[:, : n - at * chunk] * n).astype(np.int64)
+                hit = (place % PLACES * replicates + np.arange(replicates)[:, None]).ravel().astype("<u4")
+                bucket = (place // PLACES).ravel()
+                order = np.argsort(bucket, kind="stable")
+                hit, bucket = hit[order], bucket[order]
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                group = batch.select(by).slice(i, 1).columns
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield pa.RecordBatch.from_arrays([*group, pa.array([bucket[a]]), pa.array([hit[a:z].tobytes()], pa.binary())], [*by, "bucket", "hits"])
+
+    def counted(t: pa.Table) -> pa.Table:
+        w = np.zeros(PLACES * replicates, np.int64)
+        for piece in t["hits"].to_pylist():
+            w += np.bincount(np.frombuffer(piece, "<u4"), minlength=len(w))
+        w = w.reshape(PLACES, replicates)
+        at = np.flatnonzero(w.any(1))
+        if w.max(initial=0) > np.iinfo(WEIGHT).max:
+            raise ValueError("a row was drawn too often for a packed weight")
+        group = [pa.array([t[c][0].as_py()] * len(at), t.schema.field(c).type) for c in by]
+        packed = pa.array([x.tobytes() for x in w[at].astype(WEIGHT)], pa.binary())
+        return pa.Table.from_arrays([*group, pa.array(t["bucket"][0].as_py() * PLACES + at), packed], [*by, "place", "weights"])
+
+    pieces = dealt.mapInArrow(hits, ", ".join([*kinds, "bucket long, hits binary"]))
+    weights = pieces.groupBy(*by, "bucket").applyInArrow(counted, ", ".join([*kinds, "place long, weights binary"]))
+    # made of few sizes, the weights look small enough to be sent to all tasks, which they are not
+    return own.withColumn("place", F.col("place").cast("long")).join(weights.hint("merge"), [*by, "place"]).drop("place")
 
 
 def interval(values: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -132,11 +176,6 @@ def append_history(history: DataFrame, refreshed: DataFrame, by: list[str], run:
     return history.unionByName(refreshed.select(*by, F.lit(run).alias("run"), "low", "high"))
 
 
-def stratified_draws(scores: DataFrame, replicates: int, seed: int, fold: str, label: str = "label") -> DataFrame:
-    """Rows of every replicate drawn within (fold, class), so class sizes stay."""
-    return resampled(scores, replicates, seed, [fold, label])
-
-
 def permuted_labels(rows: DataFrame, permutations: int, seed: int, key: str = "doc_id") -> DataFrame:
     """rows for each permutation m with ``permuted``: the P smallest draws are 1, so class sizes stay."""
     p = rows.agg(F.sum("label").alias("p"))

@@ -246,8 +246,8 @@ def g3(spark, d):
 )
 def g4(spark, d):
     s = scores(spark, d).withColumnsRenamed({"a": "first", "b": "second"}).withColumn("fold", F.col("doc_id") % 3)
-    drawn = R.stratified_draws(s, 500, 4, "fold")
-    area = M.auroc(R.long_scores(drawn, ["first", "second"], ["fold", "b", "label"]), ["fold", "b", "score"])
+    drawn = R.stratified_weights(s, 500, 4, ["fold", "label"])
+    area = R.auroc_replicates(R.long_scores(drawn, ["first", "second"], ["fold", "doc_id", "label", "weights"]), ["fold", "score"], 500, 4, weights="weights")
     w = area.groupBy("b").pivot("score", ["first", "second"]).agg(F.avg("auroc"))
     delta = w.withColumn("delta", F.col("first") - F.col("second"))
     q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))

@@ -1,6 +1,12 @@
 """What showed on larger tables only, on small ones."""
 
+from hashlib import md5
+
+import pytest
+
 from corpuslens.operators import cohort as K
+from corpuslens.operators import resample as R
+from corpuslens.operators.replicates import unpacked
 
 
 def test_markdown_rounds_the_exact_value(spark):
@@ -10,3 +16,29 @@ def test_markdown_rounds_the_exact_value(spark):
     want = {i: f"| {i} | {'-' if v is None else '%.4f' % v} |" for i, v in enumerate(values)}
     assert want[0] == "| 0 | 3.6481 |"
     assert {r["key"]: r["line"] for r in K.markdown(wide).collect()} == want
+
+
+@pytest.mark.parametrize("places, cells", [(1024, 1 << 19), (4, 7 * 9)])
+def test_stratified_weights(spark, monkeypatch, places, cells):
+    """Draws with replacement against plain ones; a row is written once, whatever the number of replicates."""
+    monkeypatch.setattr(R, "PLACES", places)
+    monkeypatch.setattr(R, "CELLS", cells)
+    rows = [(i, i % 3, int(i % 5 < 2), round(i * 37 % 11 / 10, 3)) for i in range(70)] + [(900, 7, 1, 0.5), (901, 7, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, fold long, label int, value double").repartition(3)
+    draw = lambda *parts: int(md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    want = {}
+    for group in {(f, y) for _, f, y, _ in rows}:
+        own = sorted((r for r in rows if r[1:3] == group), key=lambda r: (draw(4, r[0]), r[0]))
+        for b in range(9):
+            for j in range(len(own)):
+                i = own[int(draw(4, b, j) * len(own))][0]
+                want.setdefault(i, [0] * 9)[b] += 1
+    drawn = R.stratified_weights(df, 9, 4, ["fold", "label"])
+    got = drawn.collect()
+    assert len(got) == len(want) and {r["doc_id"]: unpacked([r["weights"]])[0].tolist() for r in got} == want
+    area = R.auroc_replicates(drawn, ["fold"], 9, 4, weights="weights").collect()
+    assert len(area) == 36
+    for r in area:
+        pairs = [(w * want[j][r["b"]], (x > y) + (x == y) / 2) for i, f, a, x in rows for j, g, c, y in rows if f == g == r["fold"] and a and not c and i in want and j in want and x is not None and y is not None for w in [want[i][r["b"]]]]
+        total = sum(w for w, _ in pairs)
+        assert r["auroc"] == pytest.approx(sum(w * s for w, s in pairs) / total if total else 0.5)

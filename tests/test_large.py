@@ -1,12 +1,16 @@
 """What showed on larger tables only, on small ones."""
 
+from collections import Counter
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.operators import cohort as K
 from corpuslens.operators import resample as R
 from corpuslens.operators.replicates import unpacked
+from corpuslens.sources.scratch import scratch
+from corpuslens.streaming import streams as S
 
 
 def test_markdown_rounds_the_exact_value(spark):
@@ -42,3 +46,21 @@ def test_stratified_weights(spark, monkeypatch, places, cells):
         pairs = [(w * want[j][r["b"]], (x > y) + (x == y) / 2) for i, f, a, x in rows for j, g, c, y in rows if f == g == r["fold"] and a and not c and i in want and j in want and x is not None and y is not None for w in [want[i][r["b"]]]]
         total = sum(w for w, _ in pairs)
         assert r["auroc"] == pytest.approx(sum(w * s for w, s in pairs) / total if total else 0.5)
+
+
+@pytest.mark.parametrize("budget, every, batches", [(50, 2, 7), (23, 3, 4), (10_000, 2, 10), (1, 1, 1)])
+def test_budgeted_stream_of_files_with_many_steps(spark, budget, every, batches):
+    """Files of three steps, windows that two files share, and no batch after the budget."""
+    rows = [(s, 10 * s + i, [(f, 0.5 + i) for f in range(4) if (s + i + f) % 3 == 0] or None) for s in range(30) for i in range(1 + s % 4)]
+    df = spark.createDataFrame(rows, "step long, token long, codes array<struct<feature_id: int, z: double>>").withColumn("file", F.floor(F.col("step") / 3))
+    src, out = scratch(spark, "many-in"), scratch(spark, "many-out")
+    df.repartition("file").write.partitionBy("file").parquet(src)
+    S.arrived_in_order(spark, src)
+    got = S.budgeted_health_stream(spark, src, out, scratch(spark, "many-state"), budget, every)
+    sizes = [1 + s % 4 for s in range(30)]
+    taken = [s for s in range(30) if sum(sizes[:s]) < budget]
+    assert sorted(map(tuple, got["steps"].collect())) == [(s, sum(sizes[:s]), sizes[s]) for s in taken]
+    codes = [(s, f, z) for s, _, c in rows if s in taken for f, z in c or []]
+    assert {r["feature_id"]: (r["fires"], r["total"], r["largest"]) for r in got["sums"].collect()} == {f: (len(z), sum(z), max(z)) for f in range(4) for z in [[z for _, g, z in codes if g == f]] if z}
+    assert {(r["window"], r["feature_id"]): r["fires"] for r in got["windows"].collect()} == Counter((s // every, f) for s, f, _ in codes)
+    assert spark.read.parquet(f"{out}/steps").select("v").distinct().count() == batches

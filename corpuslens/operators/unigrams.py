@@ -14,6 +14,10 @@ from corpuslens.functions.draws import words_of
 from corpuslens.sources.scratch import settled
 
 FREQUENT = 512
+#: The same for models whose table is narrow: words with more than one in WIDE of all places are sent.
+WIDE = 1 << 17
+#: Ids that are sent to all tasks.
+SENT = 1_000_000
 
 
 def words_in(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -24,11 +28,19 @@ def words_in(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.arrays_zip(w.alias("token"), before.alias("prev"))).alias("pos", "t")).select(*keep, "pos", F.col("t.token").alias("token"), F.col("t.prev").alias("prev"))
 
 
-def by_frequency(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def of_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key is among ``ids``; few ids are sent to the texts, so that these stay where they are."""
+    held = settled(ids.select(key).distinct(), "ids")
+    few = held.limit(SENT + 1).count() <= SENT
+    return docs.join(F.broadcast(held) if few else held, key, "left_semi")
+
+
+def by_frequency(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner", share: int | None = None) -> DataFrame:
     """Join ``rows`` to a settled ``table`` of one row for each key, whose column ``size`` counts how often it is met."""
     total = table.agg(F.sum(size)).first()[0] or 0
-    often = table.filter(F.col(size) > total / FREQUENT)
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.filter(F.col(size) <= total / FREQUENT), key, how)
+    share = share or FREQUENT
+    often = table.filter(F.col(size) > total / share)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.filter(F.col(size) <= total / share), key, how)
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
@@ -41,10 +53,22 @@ def unigram(words: DataFrame, smooth: bool = False) -> DataFrame:
     return settled(counts.crossJoin(F.broadcast(total)).select("token", "c", F.log((F.col("c") + add) / base).alias("logp"), F.log(F.lit(1.0) / base).alias("unseen")), "unigram")
 
 
-def scored(words: DataFrame, model: DataFrame) -> DataFrame:
+def conditions(docs: DataFrame) -> DataFrame:
+    """token, c, orig, lower, ref: the log-probability of each word of ``docs`` (text, lang), of its lower-cased form, and in English texts with add-one counts; settled.
+
+    The words are counted once; the three models are sums over their table."""
+    words = words_in(docs, ("lang",))
+    counts = settled(words.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("lang") == "en").alias("c_ref")), "counts").withColumn("low", F.lower("token"))
+    total = counts.agg(F.sum("c").alias("total"), (F.sum("c_ref") + F.count_if(F.col("c_ref") > 0)).alias("base"))  # one row
+    low = counts.groupBy("low").agg(F.sum("c").alias("c_low"))
+    logp = [F.log(F.col("c") / F.col("total")).alias("orig"), F.log(F.col("c_low") / F.col("total")).alias("lower"), F.log((F.col("c_ref") + 1) / F.col("base")).alias("ref")]
+    return settled(counts.join(low, "low").crossJoin(F.broadcast(total)).select("token", "c", *logp), "conditions")
+
+
+def scored(words: DataFrame, model: DataFrame, share: int | None = None) -> DataFrame:
     """``words`` (with a column token) with their logp; words that the model does not know have its ``unseen``."""
     floor = model.agg(F.max("unseen").alias("floor"))  # one row
-    found = by_frequency(words, model.select("token", "c", "logp"), "token", "c", "left")
+    found = by_frequency(words, model.select("token", "c", "logp"), "token", "c", "left", share)
     return found.crossJoin(F.broadcast(floor)).withColumn("logp", F.coalesce("logp", "floor")).drop("floor", "c")
 
 

@@ -206,7 +206,11 @@ _LONG = "SELECT cond, doc_id, probe, value FROM (SELECT cond, doc_id, unnest(['l
 )
 def d13(spark, d):
     """Loss and min-k by condition; drop from the first to the second, and the share of it the third recovers."""
-    return _probe_table(T.probe_scores(token_lp(spark, d, ("orig", "lower", "ref"))), pool(spark, d))
+    docs = table(spark, d, "documents")
+    model = U.conditions(docs)  # of all texts; only those with a label have a place in the table
+    words = U.words_in(U.of_ids(docs, table(spark, d, "labels"))).select("doc_id", "token")
+    wide = U.by_frequency(words, model, "token", "c", share=U.WIDE)
+    return _probe_table(T.probe_scores(wide, ["orig", "lower", "ref"]), pool(spark, d))
 
 
 @query("d13_zlib_probe")

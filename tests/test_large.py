@@ -1,5 +1,6 @@
 """What showed on larger tables only, on small ones."""
 
+import math
 from collections import Counter
 from hashlib import md5
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import cohort as K
 from corpuslens.operators import resample as R
+from corpuslens.operators import tokenscores as T
+from corpuslens.operators import unigrams as U
 from corpuslens.operators.replicates import unpacked
 from corpuslens.sources.scratch import scratch
 from corpuslens.streaming import streams as S
@@ -64,3 +67,28 @@ def test_budgeted_stream_of_files_with_many_steps(spark, budget, every, batches)
     assert {r["feature_id"]: (r["fires"], r["total"], r["largest"]) for r in got["sums"].collect()} == {f: (len(z), sum(z), max(z)) for f in range(4) for z in [[z for _, g, z in codes if g == f]] if z}
     assert {(r["window"], r["feature_id"]): r["fires"] for r in got["windows"].collect()} == Counter((s // every, f) for s, f, _ in codes)
     assert spark.read.parquet(f"{out}/steps").select("v").distinct().count() == batches
+
+
+TEXTS = [(1, "A a a b A c", "en"), (2, "a  d", "de"), (3, "", "en"), (4, None, "en"), (5, "a", None), (6, "B b É é a C c c", "en"), (7, "only", "fr")]
+
+
+@pytest.mark.parametrize("share", [2, 1 << 17])
+@pytest.mark.parametrize("sent", [2, 100])
+def test_conditions_of_one_pass(spark, monkeypatch, share, sent):
+    """Three models from one table of words, texts gathered once, those without a label left out of the scores only."""
+    monkeypatch.setattr(U, "SENT", sent)
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string").repartition(3)
+    ids = [1, 2, 3, 5, 6, 6, 99]
+    words = U.words_in(U.of_ids(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"))).select("doc_id", "token")
+    wide = U.by_frequency(words, U.conditions(docs), "token", "c", share=share)
+    flat = [(i, w, lang) for i, t, lang in TEXTS for w in (t or "").split()]
+    seen, low, en = Counter(w for _, w, _ in flat), Counter(w.lower() for _, w, _ in flat), Counter(w for _, w, lang in flat if lang == "en")
+    of = {"orig": lambda w: math.log(seen[w] / len(flat)), "lower": lambda w: math.log(low[w.lower()] / len(flat)), "ref": lambda w: math.log((en[w] + 1) / (sum(en.values()) + len(en)))}
+    want = {}
+    for i in (1, 2, 5, 6):
+        for c, f in of.items():
+            lp = sorted(f(w) for j, w, _ in flat if j == i)
+            least = max(1, int(0.2 * len(lp)))
+            want |= {(c, i, "loss"): sum(lp) / len(lp), (c, i, "min_k_20"): sum(lp[:least]) / least}
+    got = {(r["cond"], r["doc_id"], r["probe"]): r["value"] for r in T.probe_scores(wide, list(of)).collect()}
+    assert got == pytest.approx(want)

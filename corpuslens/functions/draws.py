@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ def u01(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def above(p: float, *parts) -> Column:
+    """Whether u01 of the parts is more than p, told from the hash's digits without making a number of them."""
+    least = math.floor(p * 2**32) + 1
+    cols = [(x if isinstance(x, Column) else F.lit(x)).cast("string") for x in parts]
+    return F.md5(F.concat_ws("|", *cols)) >= f"{least:08x}" if least < 2**32 else F.lit(False)
+
+
 def r6(c) -> Column:
     """Round to six places, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)

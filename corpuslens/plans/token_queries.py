@@ -13,7 +13,6 @@ from corpuslens.functions.draws import r6, words_of
 from corpuslens.operators import metrics as M
 from corpuslens.operators import tokenscores as T
 from corpuslens.operators import unigrams as U
-from corpuslens.operators.corpus import make_neighbours
 from corpuslens.operators.textfeat import zlib_len
 from corpuslens.plans.base import CTE, pool, query, table, u
 
@@ -133,10 +132,8 @@ def d7(spark, d):
     SELECT doc_id, round(own - near, 6) AS neighbour_score FROM (SELECT doc_id, avg(logp) AS own FROM lp_orig GROUP BY doc_id) JOIN (SELECT doc_id, avg(lp) AS near FROM each GROUP BY doc_id) USING (doc_id)""",
 )
 def d8(spark, d):
-    near = make_neighbours(table(spark, d, "documents").select("doc_id", "text"), 2, 0.3, 13)
-    words = near.select("doc_id", "nb", F.explode(words_of(F.col("text"))).alias("token"))
-    scored = U.scored(words, U.unigram(U.words_in(table(spark, d, "documents")))).filter("logp IS NOT NULL")
-    return T.neighbour_score(token_lp(spark, d), scored).select("doc_id", r6("neighbour_score").alias("neighbour_score"))
+    words = U.words_in(table(spark, d, "documents")).drop("prev")
+    return T.neighbour_score(U.scored(words, U.unigram(words), U.WIDE), 2, 0.3, 13).select("doc_id", r6("neighbour_score").alias("neighbour_score"))
 
 
 @query(

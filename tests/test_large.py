@@ -7,7 +7,9 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions.draws import above, u01
 from corpuslens.operators import cohort as K
+from corpuslens.operators import corpus as C
 from corpuslens.operators import resample as R
 from corpuslens.operators import tokenscores as T
 from corpuslens.operators import unigrams as U
@@ -92,3 +94,23 @@ def test_conditions_of_one_pass(spark, monkeypatch, share, sent):
             want |= {(c, i, "loss"): sum(lp) / len(lp), (c, i, "min_k_20"): sum(lp[:least]) / least}
     got = {(r["cond"], r["doc_id"], r["probe"]): r["value"] for r in T.probe_scores(wide, list(of)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_neighbours_of_one_pass(spark):
+    """Copies are means over kept places, as of copies that are written out and scored; a copy without words is the text."""
+    docs = spark.createDataFrame([(i, " ".join("abcdefg"[j % 7] for j in range(i % 5)) or None) for i in range(60)], "doc_id long, text string").repartition(3)
+    words = U.words_in(docs)
+    model = U.unigram(words)
+    logp = {r["token"]: r["logp"] for r in model.collect()}
+    copies = C.make_neighbours(docs, 3, 0.7, 13).collect()
+    assert any(r["text"] == "a" for r in copies)
+    mean = lambda t: sum(logp[w] for w in t.split()) / len(t.split())
+    want = {r["doc_id"]: mean(r["text"]) - sum(mean(c["text"]) for c in copies if c["doc_id"] == r["doc_id"]) / 3 for r in docs.collect() if r["text"]}
+    got = T.neighbour_score(U.scored(words, model, 1 << 17), 3, 0.7, 13).collect()
+    assert {r["doc_id"]: r["neighbour_score"] for r in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.3, 0.5, 0.999, 1.0])
+def test_draw_above(spark, p):
+    rows = spark.range(3000).select(u01(F.lit(5), F.col("id")).alias("u"), above(p, F.lit(5), F.col("id")).alias("more")).collect()
+    assert all((r["u"] > p) == r["more"] for r in rows)

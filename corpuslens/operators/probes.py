@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
@@ -28,8 +28,9 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import resample as R
 from corpuslens.operators import vectors as V
 from corpuslens.operators.corpus import stratified_folds
-from corpuslens.operators.ordered import numbered
+from corpuslens.operators.ordered import earliest, numbered
 from corpuslens.operators.textfeat import grams, ngram_counts, tfidf, vocabulary
+from corpuslens.operators.unigrams import SENT
 from corpuslens.sources.scratch import settled
 
 
@@ -42,19 +43,6 @@ def scaled_logistic(c: float = 1.0, n: int = 1000) -> list:
     return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), logistic("scaled", c, n)]
 
 
-class SmoothIdf(Estimator):
-    """Weights ln((1 + N) / (1 + df)) + 1, so that a term of all documents still counts."""
-
-    def __init__(self, inputCol: str, outputCol: str):
-        super().__init__()
-        self.columns = inputCol, outputCol
-
-    def _fit(self, dataset):
-        own, out = self.columns
-        idf = IDF(inputCol=own, outputCol=out).fit(dataset).idf.toArray()
-        return ElementwiseProduct(inputCol=own, outputCol=out, scalingVec=DenseVector(idf + 1.0))
-
-
 def scores_of(model, test: DataFrame, keep: list[str]) -> DataFrame:
     """keep, value: the fitted model's score for class 1."""
     column = "rawPrediction" if "rawPrediction" in model.transform(test.limit(0)).columns else "probability"
@@ -65,11 +53,16 @@ def out_of_fold(df: DataFrame, stages: list, k: int, seed: int) -> DataFrame:
     """doc_id, label, fold, value: each row scored by the model fitted on the other folds.
 
     The folds' fits are independent jobs, started side by side."""
-    dealt = settled(stratified_folds(df, "label", k, seed), "folds")
+    return scored_folds(settled(stratified_folds(df, "label", k, seed), "folds"), [[s.copy() for s in stages] for _ in range(k)])
+
 
-    @inheritable_thread_target(df.sparkSession)
+def scored_folds(dealt: DataFrame, stages: list[list]) -> DataFrame:
+    """The same of settled rows with their fold, and with the stages of each fold."""
+    k = len(stages)
+
+    @inheritable_thread_target(dealt.sparkSession)
     def fit(fold: int):
-        return Pipeline(stages=[s.copy() for s in stages]).fit(dealt.filter(F.col("fold") != fold))
+        return Pipeline(stages=stages[fold]).fit(dealt.filter(F.col("fold") != fold))
 
     with ThreadPool(k) as pool:
         models = pool.map(fit, range(k))
@@ -102,11 +95,49 @@ def text_terms(pool: DataFrame, n: int = 2) -> DataFrame:
     return pool.select("doc_id", "label", grams(terms_of(F.col("text")), n).alias("terms"))
 
 
+def fold_vocabularies(rows: DataFrame, k: int, vocab: int, min_df: float) -> list[dict[str, int]]:
+    """For each fold, the terms of the other folds' texts (fold, terms) with the number of these texts: terms of at least ``min_df`` texts, the most frequent ``vocab``, ties by term.
+
+    Terms are counted once by fold; a fold's own counts are taken from the whole."""
+    n_docs = dict(rows.groupBy("fold").count().collect())  # one row a fold
+    least = [min_df if min_df >= 1 else min_df * (sum(n_docs.values()) - n_docs.get(f, 0)) for f in range(k)]
+    row = lambda total, df: lambda t: F.struct(t.alias("gram"), F.lit(total).alias("total"), F.lit(df).alias("df"))
+    each = F.concat(F.transform("terms", row(1, 0)), F.transform(F.array_distinct("terms"), row(0, 1)))
+    flat = rows.select("fold", F.explode(each).alias("t")).select("fold", "t.*")
+    of = lambda c, f: F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}_{f}")
+    counts = flat.groupBy("gram").agg(*[of(c, f) for f in range(k) for c in ("total", "df")])
+    counts = settled(counts.filter(F.greatest(*[F.col(f"df_{f}") - F.lit(least[f]) for f in range(k)], F.lit(-1.0)) >= 0), "term-counts")
+    top = None
+    for f in range(k):
+        own = counts.select(F.lit(f).alias("fold"), "gram", F.col(f"total_{f}").alias("total"), F.col(f"df_{f}").alias("df")).filter(F.col("df") >= least[f])
+        own = earliest(own, [F.desc("total"), "gram"], vocab)
+        top = own if top is None else top.unionByName(own)
+    out: list[dict[str, int]] = [{} for _ in range(k)]
+    for r in settled(top, "vocabularies").select("fold", "gram", "df").collect():  # at most `vocab` rows a fold
+        out[r["fold"]][r["gram"]] = r["df"]
+    return out
+
+
 def bow_audit(pool: DataFrame, k: int = 5, seed: int = 0, tfidf: bool = True, vocab: int = 50_000, min_df: float = 2.0) -> DataFrame:
-    """Vocabulary confound: can words tell the labels apart?  The vocabulary is the training folds' own."""
-    counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocab, minDF=min_df)
-    stages = [counts, SmoothIdf("counts", "weighted"), Normalizer(inputCol="weighted", outputCol="features")] if tfidf else [counts.copy({counts.outputCol: "features"})]
-    return summary(out_of_fold(text_terms(pool), [*stages, logistic("features")], k, seed))
+    """Vocabulary confound: can words tell the labels apart?  The vocabulary is the training folds' own.
+
+    Texts become counts of the terms of any fold's vocabulary once; a fold's weights, ln((1 + N) / (1 + df)) + 1,
+    are zero for terms that are not in its own."""
+    folds = settled(stratified_folds(pool.select("doc_id", "label").distinct(), "label", k, seed), "folds")
+    few = folds.limit(SENT + 1).count() <= SENT  # as many as there are labelled texts
+    rows = text_terms(pool).join(F.broadcast(folds) if few else folds, ["doc_id", "label"])
+    words = fold_vocabularies(rows, k, vocab, min_df)
+    union = sorted(set().union(*words))
+    n_docs = dict(rows.groupBy("fold").count().collect())  # one row a fold
+    counts = CountVectorizerModel.from_vocabulary(union, "terms", "counts").transform(rows)
+    dealt = settled(counts.select("doc_id", "label", "fold", "counts"), "counts")
+    stages = []
+    for f in range(k):
+        n = sum(n_docs.values()) - n_docs.get(f, 0)
+        weights = DenseVector([(np.log((n + 1) / (words[f][w] + 1)) + 1 if tfidf else 1.0) if w in words[f] else 0.0 for w in union])
+        scaled = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=weights)
+        stages.append([scaled, Normalizer(inputCol="weighted", outputCol="features"), logistic("features")] if tfidf else [scaled, logistic("weighted")])
+    return summary(scored_folds(dealt, stages))
 
 
 def length_features_vector(pool: DataFrame, feature: str) -> DataFrame:

@@ -1,18 +1,26 @@
 """What showed on larger tables only, on small ones."""
 
+import functools
 import math
+import random
 from collections import Counter
 from hashlib import md5
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.draws import above, u01
 from corpuslens.operators import cohort as K
 from corpuslens.operators import corpus as C
+from corpuslens.operators import probes as P
 from corpuslens.operators import resample as R
 from corpuslens.operators import tokenscores as T
 from corpuslens.operators import unigrams as U
+from corpuslens.operators.corpus import stratified_folds
 from corpuslens.operators.replicates import unpacked
 from corpuslens.sources.scratch import scratch
 from corpuslens.streaming import streams as S
@@ -114,3 +122,40 @@ def test_neighbours_of_one_pass(spark):
 def test_draw_above(spark, p):
     rows = spark.range(3000).select(u01(F.lit(5), F.col("id")).alias("u"), above(p, F.lit(5), F.col("id")).alias("more")).collect()
     assert all((r["u"] > p) == r["more"] for r in rows)
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_audit_of_one_count(spark, weighted):
+    """Against a vocabulary, document frequencies and weights that each fold counts anew."""
+    rng = random.Random(3)
+    rows = [(i, i % 3 % 2, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"][i % 3 % 2 :]) for _ in range(i % 9))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string").repartition(3)
+    stages = [CountVectorizer(inputCol="terms", outputCol="counts", minDF=2.0), IDF(inputCol="counts", outputCol="idf")]
+
+    def plain():
+        dealt = stratified_folds(P.text_terms(df), "label", 3, 0).cache()
+        for f in range(3):
+            train, test = dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f)
+            counts = stages[0].fit(train)
+            own = [counts]
+            if weighted:
+                idf = stages[1].fit(counts.transform(train)).idf.toArray()
+                own += [ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=DenseVector(idf + 1.0)), Normalizer(inputCol="weighted", outputCol="features")]
+            model = Pipeline(stages=[*own, P.logistic("features" if weighted else "counts")]).fit(train)
+            yield P.scores_of(model, test, ["doc_id", "label", "fold"])
+
+    want = P.summary(functools.reduce(DataFrame.unionByName, plain())).first().asDict()
+    assert P.bow_audit(df, 3, tfidf=weighted).first().asDict() == pytest.approx(want, abs=1e-6)
+
+
+def test_vocabularies_of_folds(spark):
+    """Most frequent first, ties by term, frequencies of the other folds' texts only."""
+    rows = [(0, ["a", "a", "b", "z"]), (0, ["b", "c"]), (1, ["a", "c", "c"]), (1, ["c", "d", "z"]), (2, ["d", "e", "e", "e"]), (2, [])]
+    df = spark.createDataFrame(rows, "fold int, terms array<string>").repartition(2)
+    want = []
+    for f in range(3):
+        own = [t for g, t in rows if g != f]
+        total, seen = Counter(w for t in own for w in t), Counter(w for t in own for w in set(t))
+        kept = sorted((w for w in seen if seen[w] >= 2), key=lambda w: (-total[w], w))[:2]
+        want.append({w: seen[w] for w in kept})
+    assert P.fold_vocabularies(df, 3, 2, 2.0) == want
